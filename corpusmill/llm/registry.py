@@ -1,12 +1,14 @@
 """The queries of this package and their SQL."""
 
-from corpusmill.llm import mixing, quality_rules, simhash, token_counts
+from corpusmill.llm import decontamination, mixing, packing, quality_rules, simhash, token_counts
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
     "op4_simhash_near_dedup": simhash.op4_simhash_near_dedup,
     "op5_mix_sources": mixing.op5_mix_sources,
     "op6_quality_rules": quality_rules.op6_quality_rules,
+    "op8_token_packing": packing.op8_token_packing,
+    "op9_benchmark_decontamination": decontamination.op9_benchmark_decontamination,
 }
 SQL = {
     "op6_quality_rules": quality_rules.OP6_SQL,
