@@ -134,7 +134,7 @@ def mix(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     short = (F.col("_cm_part") > 0) & (F.col("_cm_part") < F.col("_cm_size"))
     x = x.withColumn("_cm_n", reps + short.cast("int")).where("_cm_n > 0")
     x = x.withColumn("_cm_short", short).withColumn("_cm_i", F.explode(F.sequence(F.lit(1), F.col("_cm_n"))))
-    head = F.expr("regexp_extract(_cm_t, concat('^[\\\\x20\\\\x09-\\\\x0D]*(?:[^\\\\x20\\\\x09-\\\\x0D]+[\\\\x20\\\\x09-\\\\x0D]*){', _cm_part, '}'), 0)")
+    head = F.expr("array_join(slice(regexp_extract_all(_cm_t, '[\\\\x20\\\\x09-\\\\x0D]*[^\\\\x20\\\\x09-\\\\x0D]+', 0), 1, cast(_cm_part as int)), '')")
     body = F.when(F.col("_cm_short") & (F.col("_cm_i") == F.col("_cm_n")), head).otherwise(F.col("_cm_t"))
     out = [body.alias(c) if c == text else F.col(f"_cm_row.`{c}`").alias(c) for c in cols]
     return x.select(*[F.length(body).cast("long").alias(c) if c == "n_chars" else o for c, o in zip(cols, out)])
