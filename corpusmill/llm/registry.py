@@ -1,15 +1,21 @@
 """The queries of this package and their SQL."""
 
-from corpusmill.llm import decontamination, mixing, packing, quality_rules, simhash, token_counts
+from corpusmill.llm import decontamination, html_extraction, mixing, packing, quality_classifier, quality_rules, simhash, token_counts, url_filters, warc_zip
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
+    "op2_html_extraction": html_extraction.op2_html_extraction,
+    "op3_quality_classifier": quality_classifier.op3_quality_classifier,
     "op4_simhash_near_dedup": simhash.op4_simhash_near_dedup,
     "op5_mix_sources": mixing.op5_mix_sources,
     "op6_quality_rules": quality_rules.op6_quality_rules,
+    "op7_url_filters": url_filters.op7_url_filters,
     "op8_token_packing": packing.op8_token_packing,
     "op9_benchmark_decontamination": decontamination.op9_benchmark_decontamination,
+    "op10_warc_zip": warc_zip.op10_warc_zip,
 }
 SQL = {
     "op6_quality_rules": quality_rules.OP6_SQL,
+    "op7_url_filters": url_filters.OP7_SQL,
+    "op10_warc_zip": warc_zip.OP10_SQL,
 }
