@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.plans.staging import cut, table
+from corpusmill.plans.staging import cut, small_or_shuffled, table
 
 WINDOW = 5
 COVER = 0.8
@@ -222,6 +222,7 @@ def matches(docs: DataFrame, items: DataFrame, cover: float = COVER, consistent:
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs`` that hold no item; rows with null ids stay."""
     bad = matches(docs.select("doc_id", "text"), items).select(F.col("doc_id").alias("_cm_bad")).distinct()
+    bad = small_or_shuffled(cut(bad))
     return docs.join(bad, docs["doc_id"] == bad["_cm_bad"], "left_anti")
 
 

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusmill.plans.staging import cut, table
+from corpusmill.plans.staging import cut, small_or_shuffled, table
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
@@ -107,7 +107,7 @@ def taken(size: Column, key: Column) -> Column:
 def decide(sizes: DataFrame, **options) -> DataFrame:
     """doc_id, size, source_size, target and taken of every row of ``sizes``."""
     sizes = cut(sizes)
-    p = cut(plan(sizes, **options)).withColumnRenamed("source", "s")
+    p = small_or_shuffled(cut(plan(sizes, **options)).withColumnRenamed("source", "s"))
     x = sizes.join(p, sizes["source"].eqNullSafe(p["s"]))
     return x.select("doc_id", "size", "source_size", "target", taken(F.col("size"), F.col("mix_key")).alias("taken"))
 
@@ -116,14 +116,13 @@ def mix(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     """The mixed rows with the columns of ``docs``: a row an epoch, the last cut at a word.
 
     Only the row at a source's cut loses words: it keeps the first ``cut_words``
-    of them with the white space between. The texts are never shuffled when the
-    plan (one row a source) is small enough for Spark to broadcast; a larger plan
-    joins as a shuffle.
+    of them with the white space between. The texts are not shuffled when the plan
+    (one row a source) was counted to be small; a larger plan joins as a shuffle.
     """
     cols = docs.columns
     sizes = cut(sized(docs.select("doc_id", "source", F.col(text).alias("text"))))
     p = cut(plan(sizes, **options))
-    p = p.select(*[F.col(c).alias(f"_cm_{c}") for c in p.columns])
+    p = small_or_shuffled(p.select(*[F.col(c).alias(f"_cm_{c}") for c in p.columns]))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("_cm_row"), F.col("source").alias("_cm_s"), F.col(text).alias("_cm_t"), order_key("doc_id").alias("_cm_key"))
     rows = rows.withColumn("_cm_size", n_words("_cm_t"))
     x = rows.join(p, rows["_cm_s"].eqNullSafe(p["_cm_source"]))

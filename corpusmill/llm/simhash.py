@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.llm.components import components
-from corpusmill.plans.staging import cut, table
+from corpusmill.plans.staging import cut, small_or_shuffled, table
 
 SHINGLE = 3
 BITS = 2
@@ -170,6 +170,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """
     marks = near_duplicates(docs)
     gone = marks.where("doc_id != component_id").select(F.col("doc_id").alias("_cm_gone")).distinct()
+    gone = small_or_shuffled(cut(gone))
     return docs.join(gone, docs["doc_id"] == gone["_cm_gone"], "left_anti")
 
 
