@@ -26,7 +26,7 @@ EPOCHS = 2
 BUCKETS = 4096
 SEED = "mix-1"
 
-_TRIM = r"' \t\n\u000B\f\r'"
+_TRIM = r"' \t\n\u000B\u000C\r'"
 
 
 def n_words(text: str) -> Column:

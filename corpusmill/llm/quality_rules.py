@@ -37,7 +37,7 @@ RULES = (
 POLICIES = {"base": 0b00011, "v1": 0b11111}
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 
-_TRIM = r"' \t\n\u000B\f\r'"
+_TRIM = r"' \t\n\u000B\u000C\r'"
 
 
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
