@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusmill.plans.staging import cut, small_or_shuffled, table
@@ -36,6 +36,8 @@ WINDOW = 5
 COVER = 0.8
 CONSISTENT = 0.8
 PLAIN = 3
+#: Words by which neighbouring matches of one copy may shift.
+DRIFT = 8
 #: Most hashes (8 bytes each) that the filter of the scan may hold.
 FILTER_ROWS = 4_000_000
 #: Characters handled at a time; a longer text is cut into overlapping pieces.
@@ -128,11 +130,12 @@ def _pieces(text: str) -> Iterator[str]:
 
 
 def _slots(i: int, raw: list, real: np.ndarray, slot: np.ndarray) -> list[str]:
-    return [raw[real[j]].lower() for j in range(i, i + WINDOW) if slot[j]]
+    """offset:value of each placeholder in the window at word i."""
+    return [f"{j}:{raw[real[i + j]].lower()}" for j in range(WINDOW) if slot[i + j]]
 
 
 def benchmark_windows(items: DataFrame) -> DataFrame:
-    """h, item_id, variant, slots, n_windows: the distinct windows of every item.
+    """h, item_id, variant, item_pos, slots, n_windows: the distinct windows of every item.
 
     Variant 1 is the item in lower case, for texts that lost their capitals.
     """
@@ -140,7 +143,7 @@ def benchmark_windows(items: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find, words = re.compile(_TOKEN).findall, _Words()
         for b in batches:
-            out = {"h": [], "item_id": [], "variant": [], "slots": [], "n_windows": []}
+            out = {"h": [], "item_id": [], "variant": [], "item_pos": [], "slots": [], "n_windows": []}
             for item, text in zip(b.column("item_id").to_pylist(), b.column("text").to_pylist()):
                 seen = None
                 text = (text or "").replace("\x00", " ")
@@ -153,11 +156,11 @@ def benchmark_windows(items: DataFrame) -> DataFrame:
                         continue
                     seen = set(first)
                     for x, i in first.items():
-                        for k, v in zip(out, (x - (1 << 64) if x >> 63 else x, item, variant, _slots(i, raw, real, slot), len(first))):
+                        for k, v in zip(out, (x - (1 << 64) if x >> 63 else x, item, variant, i, _slots(i, raw, real, slot), len(first))):
                             out[k].append(v)
-            yield pa.RecordBatch.from_pydict(out, pa.schema([("h", pa.int64()), ("item_id", pa.int64()), ("variant", pa.int32()), ("slots", pa.list_(pa.string())), ("n_windows", pa.int32())]))
+            yield pa.RecordBatch.from_pydict(out, pa.schema([("h", pa.int64()), ("item_id", pa.int64()), ("variant", pa.int32()), ("item_pos", pa.int64()), ("slots", pa.list_(pa.string())), ("n_windows", pa.int32())]))
 
-    return items.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(run, "h long, item_id long, variant int, slots array<string>, n_windows int")
+    return items.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(run, "h long, item_id long, variant int, item_pos long, slots array<string>, n_windows int")
 
 
 def document_windows(docs: DataFrame, only: np.ndarray | None) -> DataFrame:
@@ -205,16 +208,31 @@ def matches(docs: DataFrame, items: DataFrame, cover: float = COVER, consistent:
     if hashes.limit(FILTER_ROWS + 1).count() <= FILTER_ROWS:
         only = np.sort(np.array([r.h for r in hashes.toLocalIterator()], np.int64).view(np.uint64))
     hits = document_windows(docs, only)
-    joined = cut(hits.join(bench.withColumnRenamed("slots", "item_slots"), "h").select("doc_id", "item_id", "variant", "n_windows", "h", "slots", "item_slots"))
+    joined = hits.join(bench.withColumnRenamed("slots", "item_slots"), "h").withColumn("diagonal", F.col("pos") - F.col("item_pos"))
+    joined = cut(joined.select("doc_id", "item_id", "variant", "n_windows", "h", "item_pos", "diagonal", "slots", "item_slots"))
     key = ["doc_id", "item_id", "variant"]
-    cover_of = joined.groupBy(*key).agg(F.countDistinct("h").alias("n"), F.max("n_windows").alias("n_windows")).withColumn("coverage", F.col("n") / F.col("n_windows")).where(F.col("coverage") >= cover)
-    pairs = joined.where("size(slots) > 0").select(*key, F.explode(F.arrays_zip("item_slots", "slots")).alias("s")).select(*key, F.col("s.item_slots").alias("a"), F.col("s.slots").alias("b"))
-    pairs = pairs.groupBy(*key, "a", "b").count().groupBy(*key, "a").agg(F.max("count").alias("most"), F.sum("count").alias("total"), F.sum(F.when(F.col("a") == F.col("b"), F.col("count")).otherwise(0)).alias("same"))
-    slots = pairs.groupBy(*key).agg((F.sum("most") / F.sum("total")).alias("consistency"), (F.sum("same") / F.sum("total")).alias("same"))
-    k = [f"s_{c}" for c in key]
-    slots = slots.select(*[F.col(c).alias(f"s_{c}") for c in key], "consistency", "same")
-    both = cover_of.join(slots, [cover_of[c].eqNullSafe(slots[s]) for c, s in zip(key, k)], "left").withColumn("consistency", F.coalesce("consistency", F.lit(1.0)))
-    both = both.where(F.col("consistency") >= consistent).withColumn("kind", F.when(F.coalesce("same", F.lit(1.0)) >= 1, "verbatim").otherwise("reparameterised"))
+    held = joined.groupBy(*key).agg(F.countDistinct("h").alias("n"), F.max("n_windows").alias("n_windows")).withColumn("coverage", F.col("n") / F.col("n_windows")).where(F.col("coverage") >= cover)
+    # matches of one copy share a diagonal, but for a few inserted or missing words
+    along = Window.partitionBy(*key).orderBy("diagonal")
+    starts = (F.col("diagonal") - F.lag("diagonal").over(along) > DRIFT).cast("int")
+    copies = joined.withColumn("starts", F.coalesce(starts, F.lit(0))).withColumn("copy", F.sum("starts").over(along.rangeBetween(Window.unboundedPreceding, 0)))
+    size = copies.groupBy(*key, "copy").agg(F.countDistinct("h").alias("here"), F.countDistinct(F.when(F.col("slots") == F.col("item_slots"), F.col("h"))).alias("equal"))
+    # the copy with the most windows, then the most equal ones, then the first
+    most = size.groupBy(*key).agg(F.max_by(F.struct("copy", "equal"), F.struct("here", "equal", -F.col("copy"))).alias("m")).select(*key, F.col("m.copy").alias("copy"), F.col("m.equal").alias("equal"))
+    values = copies.where("size(slots) > 0").select(*key, "copy", "item_pos", F.explode(F.arrays_zip("item_slots", "slots")).alias("s"))
+    at = F.col("item_pos") + F.substring("s.item_slots", 1, 1).cast("long")
+    values = values.select(*key, "copy", at.alias("at"), F.expr("substring(s.item_slots, 3)").alias("a"), F.expr("substring(s.slots, 3)").alias("b")).distinct()
+    values = values.groupBy(*key, "copy", "a", "b").count().groupBy(*key, "copy", "a").agg((F.max("count") / F.sum("count")).alias("agree"))
+    values = values.groupBy(*key, "copy").agg(F.min("agree").alias("agree"))
+
+    def joined_by(x: DataFrame, y: DataFrame, on: list[str], how: str) -> DataFrame:
+        y = y.select(*[F.col(c).alias(f"_{c}") if c in on else F.col(c) for c in y.columns])
+        return x.join(y, [x[c].eqNullSafe(y[f"_{c}"]) for c in on], how).drop(*[f"_{c}" for c in on])
+
+    both = joined_by(held, most, key, "inner")
+    both = joined_by(both, values, [*key, "copy"], "left").withColumn("consistency", F.coalesce("agree", F.lit(1.0)))
+    verbatim = F.col("equal") / F.col("n_windows") >= cover
+    both = both.where(verbatim | (F.col("consistency") >= consistent)).withColumn("kind", F.when(verbatim, "verbatim").otherwise("reparameterised"))
     best = F.max_by(F.struct("coverage", "consistency", "kind"), F.struct("coverage", "consistency", F.col("kind"))).alias("m")
     return both.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "m.coverage", "m.consistency", "m.kind")
 
