@@ -35,5 +35,5 @@ def write_postings(stream: DataFrame, table_dir: str, checkpoint: str, **options
 
 def event_windows(stream: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Counts and sums by event type and window; rows later than the watermark drop."""
-    x = stream.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type")
+    x = stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", width), "event_type")
     return x.agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("start"), "event_type", "n", "total")
