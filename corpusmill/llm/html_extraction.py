@@ -30,7 +30,8 @@ _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)",
     re.S,
 )
-_ATTR = re.compile(r"(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+# a value is consumed with its name, so words inside quotes are never taken for names
+_ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 
 # Kinds of HTML elements.
 BLOCKS = frozenset("address article aside blockquote body br-none button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split())
@@ -41,8 +42,10 @@ WEAK = frozenset("header form fieldset".split())
 GOOD = frozenset("article main".split())
 CLOSES_P = BLOCKS - {"button", "option", "optgroup"}
 # Words in class, id and role that name a region, whole or as a prefix.
-BAD_WORDS = frozenset("ad ads adv advert adslot banner sidebar aside nav navbar navigation menu menubar footer contentinfo complementary comment comments disqus respond replies reply cookie cookies consent gdpr notice notices alert popup modal overlay promo promotion sponsor sponsored share sharing social related recommended newsletter subscribe subscription signup login breadcrumb breadcrumbs pagination pager widget toolbar masthead search form skip copyright legal disclaimer tags toc outbrain taboola".split())
+BAD_WORDS = frozenset("ad ads adv advert adslot banner sidebar aside nav navbar navigation menu menubar footer contentinfo complementary comment comments disqus respond replies reply cookie cookies consent gdpr notice notices alert popup modal overlay promo promotion sponsor sponsored share sharing social related recommended newsletter subscribe subscription signup login breadcrumb breadcrumbs pagination pager widget toolbar masthead search form skip copyright disclaimer outbrain taboola".split())
 BAD_STARTS = ("advert", "sponsor", "comment", "cookie", "sidebar", "breadcrumb", "newsletter", "navig", "footer")
+# "content-with-sidebar" names no sidebar
+NOT_ITSELF = frozenset("with has no without hide show".split())
 GOOD_WORDS = frozenset("article content post entry story main prose articlebody maincontent".split())
 
 # Weights of the linear classifier, in units of capacity.
@@ -59,17 +62,19 @@ def _region(tag: str, attrs: str) -> tuple[int, int, int]:
             if key == "style":
                 hard |= "display:none" in value.replace(" ", "") or "visibility:hidden" in value.replace(" ", "")
             elif key == "hidden":
-                hard |= m[2] is None and m[3] is None and m[4] is None or value in ("", "hidden")
+                hard = 1
             elif key == "aria-hidden":
                 hard |= value == "true"
-            else:
+            elif key in ("class", "id", "role") and tag not in ("html", "body"):
+                before = ""
                 for w in re.findall(r"[a-z]+", value):
-                    if w in BAD_WORDS or w.startswith(BAD_STARTS):
-                        hard = hard or tag not in ("html", "body")
+                    if (w in BAD_WORDS or w.startswith(BAD_STARTS)) and before not in NOT_ITSELF:
+                        hard = 1
                     elif w == "header":
                         soft = 1
                     elif w in GOOD_WORDS:
                         good = 1
+                    before = w
     return int(bool(hard)), soft, 0 if hard else good
 
 
@@ -80,6 +85,7 @@ def blocks(page: str) -> list[dict]:
     stack: list[tuple] = [("", 0, 0, 0, 0)]
     text: list[str] = []
     linked, in_link, made, at, n = 0, 0, 1, 0, len(page)
+    inline: set[str] = set()  # inline elements that a region mark has opened as blocks
 
     def end() -> None:
         nonlocal linked
@@ -121,10 +127,12 @@ def blocks(page: str) -> list[dict]:
             in_link = 0 if closing else 1
         elif tag == "br":
             text.append(" ")
-        elif tag in BLOCKS or (not closing and tag not in VOID and attrs and _region(tag, attrs)[0]):
+        elif tag in BLOCKS or (not closing and tag not in VOID and (attrs and _region(tag, attrs)[0] or tag in inline)):
             end()
             if tag in VOID:
                 continue
+            if tag not in BLOCKS:
+                inline.add(tag)  # from now on its nesting counts
             if closing:
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k][0] == tag:
@@ -137,12 +145,12 @@ def blocks(page: str) -> list[dict]:
                     stack.pop()
                 _, hard, soft, good, _ = stack[-1]
                 h, s, g = _region(tag, attrs)
+                h = h or int(good and tag in ("form", "fieldset"))
                 stack.append((tag, hard + h, 0 if g else soft + s, 1 if g else 0 if h else good, made))
                 made += 1
-        elif closing and any(e[0] == tag for e in stack[1:]):  # an inline element that a region mark opened as a block
+        elif closing and tag in inline and any(e[0] == tag for e in stack[1:]):
             end()
-            k = max(k for k in range(1, len(stack)) if stack[k][0] == tag)
-            del stack[k:]
+            del stack[max(k for k in range(1, len(stack)) if stack[k][0] == tag) :]
     end()
     return out
 

@@ -29,6 +29,19 @@ def test_extraction():
     assert html_extraction.main_text(long).count("\n") == 4999
 
 
+def test_extraction_of_marked_regions():
+    inner = "<h1>Title</h1><p>A first sentence that is long enough to stay here.</p>"
+    more = "<p>And a last sentence that is long enough to stay as well.</p>"
+    want = "Title\nA first sentence that is long enough to stay here.\nAnd a last sentence that is long enough to stay as well."
+    for odd in (
+        '<form><p>Give us your address now, please do so today.</p></form>', '<p>An <span class="ad">x <span>y</span> offer ends</span></p>'.replace("An ", ""), '<div hidden><p>Never seen by anyone who reads this page.</p></div>',
+        '<p style="display: none">Never seen by anyone who reads this page.</p>', '<div role="alert"><p>Our offices are closed today. Please come back.</p></div>', '<ul class="share-buttons"><li><a href=x>Tweet</a></ul>',
+    ):
+        assert html_extraction.main_text(f"<body><article>{inner}{odd}{more}</article></body>") == want, odd
+    for wrap in ('<div class="content-with-sidebar">%s</div>', '<p title="hidden class ad"></p><main>%s</main>', '<form><article>%s</article></form>', "<article><header>%s</header></article>", "<div>%s</div>"):
+        assert html_extraction.main_text("<body>" + wrap % (inner + more) + "</body>") == want, wrap
+
+
 def test_extraction_rows(spark):
     rows = [(1, "u", PAGE, "a", "b", "c"), (None, None, None, "", "", ""), (2, None, "", "", "", ""), (2, None, "", "", "", "")]
     got = html_extraction.extract(spark.createDataFrame(rows, SCHEMA)).collect()
