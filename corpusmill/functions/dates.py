@@ -160,3 +160,15 @@ def area_of(country: Column) -> Column:
         .when(c.rlike("philippin|filipin"), "philippines")
         .otherwise("all")
     )
+
+
+def shown(w: Column, today: Column) -> Column:
+    """name: opens → closes  [status] of one window."""
+    day = lambda d: F.coalesce(F.date_format(d, "yyyy-MM-dd"), F.lit("—"))
+    return F.concat(w["name"], F.lit(": "), day(w["opens"]), F.lit(" → "), day(w["closes"]), F.lit("  ["), status(w["opens"], w["closes"], today), F.lit("]"))
+
+
+def render(ws: Column, today: Column) -> Column:
+    """The block of computed deadlines, or '' without windows."""
+    head = F.concat(F.lit("COMPUTED DEADLINES (today = "), F.date_format(today, "yyyy-MM-dd"), F.lit("):\n  "))
+    return F.when(F.size(ws) > 0, F.concat(head, F.array_join(F.transform(ws, lambda w: shown(w, today)), "\n  "))).otherwise("")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -42,3 +42,20 @@ def label_mismatches(claims: DataFrame, labels: DataFrame) -> DataFrame:
     """Slugs whose claims and letters differ in number: a strict zip refuses them."""
     n = claims.groupBy("slug").agg(F.count("*").alias("claims"))
     return n.join(labels.select("slug", F.size(F.split(F.trim("letters"), r"\s+")).alias("letters")), "slug", "full_outer").where("not (claims <=> letters)")
+
+
+def read_slates(spark: SparkSession, path: str) -> DataFrame:
+    """(slug, question, source, citation, text) from slate files {question, sources: [[citation, text]]}."""
+    raw = spark.read.schema("question string, sources array<array<string>>, tail string").option("multiLine", True).json(path)
+    x = raw.select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.json$", 1).alias("slug"), "question", F.posexplode("sources").alias("source", "s"))
+    return x.select("slug", "question", (F.col("source") + 1).alias("source"), F.get("s", 0).alias("citation"), F.get("s", 1).alias("text"))
+
+
+def read_labels(spark: SparkSession, path: str) -> DataFrame:
+    """(slug, letters) from one object of slug -> letters."""
+    raw = spark.read.option("wholetext", True).text(path)
+    return raw.select(F.explode(F.from_json("value", "map<string,string>")).alias("slug", "letters"))
+
+
+def save_answers(answers: DataFrame, path: str) -> None:
+    answers.write.mode("overwrite").json(path)

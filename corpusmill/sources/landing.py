@@ -72,3 +72,30 @@ def refresh_status(landed: DataFrame, force: bool = False) -> DataFrame:
     young = F.lit(not force) & (F.col("age_hours") < TTL_HOURS)
     s = F.when(F.coalesce(F.col("url"), F.lit("")) == "", "skipped").when(young, "unchanged").when(F.coalesce(F.col("problem"), F.lit("")) != "", "kept").when(F.col("same"), "unchanged").otherwise("updated")
     return landed.withColumn("status", s)
+
+
+def first_available(fetched: DataFrame, shipped: DataFrame, key: str) -> DataFrame:
+    """Fetched rows, and shipped ones where nothing was fetched under their key."""
+    return fetched.unionByName(shipped.join(fetched.select(key).distinct(), key, "left_anti"))
+
+
+def merged_manifest(old: Column, new: Column) -> Column:
+    """A manifest (map of strings) with newer fields over older ones; null maps are empty."""
+    empty = F.create_map().cast("map<string,string>")
+    o, n = F.coalesce(old, empty), F.coalesce(new, empty)
+    return F.map_concat(F.map_filter(o, lambda k, v: ~F.map_contains_key(n, k)), n)
+
+
+def reply_text(raw: Column) -> Column:
+    """The text of a streamed model reply, given as its raw lines.
+
+    NDJSON lines carry message.content, server-sent events choices[0].delta.content.
+    Lines that are no JSON are skipped; nothing counts after the end mark.
+    """
+    lines = F.filter(F.transform(F.split(raw, "\n"), lambda x: F.trim(F.regexp_replace(F.trim(x), r"^data:\s*", ""))), lambda x: x != "")
+    ended = lambda x: (x == "[DONE]") | F.coalesce(F.get_json_object(x, "$.done") == "true", F.lit(False)) | F.coalesce(F.get_json_object(x, "$.choices[0].finish_reason") != "null", F.lit(False))
+    # the line that carries the end mark still counts; the first such line is the last
+    last = F.array_position(F.transform(lines, ended), True)
+    upto = F.when(last > 0, F.slice(lines, F.lit(1), last.cast("int"))).otherwise(lines)
+    text = lambda x: F.coalesce(F.get_json_object(x, "$.message.content"), F.get_json_object(x, "$.choices[0].delta.content"), F.lit(""))
+    return F.array_join(F.transform(upto, text), "")

@@ -100,3 +100,31 @@ def cube_problems(new: DataFrame, old_month: str | None = None) -> DataFrame:
     problems = new.select(F.when(month_bad, F.lit("no month")).when(~F.col("cell").rlike(r"^(C|U|\d{4}-\d{2}-\d{2})$"), F.concat_ws("/", F.lit("unreadable cell"), "chart", "category", "area")).when(F.lit(old_month is not None) & (F.col("month") < F.lit(old_month or "")), F.lit("older than the local table")).alias("problem"))
     none = new.agg(F.when(F.count("*") == 0, F.lit("no chart")).alias("problem"))
     return problems.unionByName(none).where("problem is not null").distinct()
+
+
+def first_per_chart(cells_: DataFrame) -> DataFrame:
+    """Of several tables of one page and chart, the first counts."""
+    first = cells_.groupBy("id", "chart").agg(F.min("table_no").alias("table_no"))
+    return cells_.join(first, ["id", "chart", "table_no"], "left_semi")
+
+
+def agency_chart(page: Column, month_label: str) -> Column:
+    """The chart an agency's page names for a month, or null while it names none."""
+    # The sentence of the filing-charts page.
+    rx = r"For Employment-Based Preference Filings: For all employment-based preference categories, you must use the (Final Action Dates|Dates for Filing) chart in the Department of State Visa Bulletin for "
+    m = F.regexp_extract(T.visible(page), rx + r"\Q" + month_label + r"\E", 1)
+    return F.when(m.startswith("Final"), CHARTS[0]).when(m != "", CHARTS[1])
+
+
+def publisher_cells(pages: DataFrame, month_label: str) -> DataFrame:
+    """(source, chart, category, area, cell) of landed publisher pages (source, html).
+
+    A page that does not name the month does not vote; unreadable cells drop out.
+    """
+    ok = pages.where(F.lower(T.visible(F.col("html"))).contains(month_label.lower()))
+    x = first_per_chart(chart_cells(cells(ok, "source")).where("chart is not null"))
+    return x.where("cell is not null").select(F.col("id").alias("source"), "chart", "category", "area", "cell")
+
+
+def merged_sources(a: Column, b: Column) -> Column:
+    return F.array_sort(F.array_distinct(F.array_union(a, b)))

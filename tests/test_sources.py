@@ -172,3 +172,35 @@ def test_streaming(spark, tmp_path):
     w = stream.event_windows(events).writeStream.format("memory").queryName("w").outputMode("complete").trigger(availableNow=True).start()
     w.awaitTermination()
     assert spark.sql("select sum(n) as n from w").first().n == spark.read.parquet(sf).count()
+
+
+def test_landing_helpers(spark):
+    a, b = spark.createDataFrame([("x", 1)], "k string, v int"), spark.createDataFrame([("x", 2), ("y", 3)], "k string, v int")
+    assert {(r.k, r.v) for r in landing.first_available(a, b, "k").collect()} == {("x", 1), ("y", 3)}
+    m = spark.createDataFrame([({"a": "1", "b": "2"}, {"b": "3"}), (None, {"c": "1"})], "o map<string,string>, n map<string,string>")
+    assert [r[0] for r in m.select(landing.merged_manifest(F.col("o"), F.col("n"))).collect()] == [{"a": "1", "b": "3"}, {"c": "1"}]
+    nd = '{"message": {"content": "Hel"}}\nbad\n{"message": {"content": "lo"}, "done": true}\n{"message": {"content": "!"}}'
+    sse = 'data: {"choices": [{"delta": {"content": "A"}}]}\n\ndata: {"choices": [{"delta": {"content": "B"}, "finish_reason": "stop"}]}\ndata: [DONE]\ndata: {"choices": [{"delta": {"content": "C"}}]}'
+    assert [r[0] for r in spark.createDataFrame([(nd,), (sse,), ("",)], "raw string").select(landing.reply_text(F.col("raw"))).collect()] == ["Hello", "AB", ""]
+
+
+def test_publishers(spark):
+    two = CHART + CHART.replace("01JUN23", "01JUN24")
+    pages = spark.createDataFrame([("p", f"<p>July 2026</p>{two}"), ("q", CHART), ("r", "July 2026 without tables")], "source string, html string")
+    got = tables.publisher_cells(pages, "July 2026").collect()
+    assert {r.source for r in got} == {"p"} and {r.cell for r in got if r.area == "china"} == {"2023-06-01"}
+    text = "For Employment-Based Preference Filings: For all employment-based preference categories, you must use the Dates for Filing chart in the Department of State Visa Bulletin for July 2026."
+    page = spark.createDataFrame([(f"<p>{text}</p>",)], "h string")
+    assert page.select(tables.agency_chart(F.col("h"), "July 2026").alias("x")).first().x == "dates_for_filing"
+    assert page.select(tables.agency_chart(F.col("h"), "June 2026").alias("x")).first().x is None
+
+
+def test_eval_files(spark, tmp_path):
+    from corpusmill.operators import evalkit
+
+    (tmp_path / "h1.json").write_text(json.dumps({"question": "q", "sources": [["c1", "t1"], ["c2", "t2"]], "tail": ""}))
+    assert {(r.slug, r.source, r.citation) for r in evalkit.read_slates(spark, str(tmp_path / "h1.json")).collect()} == {("h1", 1, "c1"), ("h1", 2, "c2")}
+    (tmp_path / "labels").write_text('{"h1": "S U", "h2": "N"}')
+    assert {r.slug: r.letters for r in evalkit.read_labels(spark, str(tmp_path / "labels")).collect()} == {"h1": "S U", "h2": "N"}
+    evalkit.save_answers(spark.createDataFrame([(1, "a")], "id long, text string"), str(tmp_path / "out"))
+    assert spark.read.json(str(tmp_path / "out")).count() == 1

@@ -214,3 +214,22 @@ def test_overlay_render_and_questions(spark):
     assert [r.rule for r in one(spark, results)] == ["cpt_full_time_year", "unemployment_limit"]
     assert "because: 14 months" in one(spark, rules.render(results)) and len(one(spark, rules.questions(results))) == 1
     assert re.match("Are you on", one(spark, rules.questions(results))[0])
+
+
+def test_resolve_asks_and_keeps(spark):
+    def decide(facts):
+        return [{"kind": "needs", "fact": "stem_extension"}] if "stem_extension" not in facts else [{"kind": "outcome", "fact": None}]
+
+    assert rules.resolve(decide, lambda r: {r["fact"]: True, "says_pending": True}, {}) == ([{"kind": "outcome", "fact": None}], {"stem_extension": True})
+    assert rules.resolve(decide, lambda r: {}, {})[0][0]["kind"] == "needs"
+
+
+def test_rendering(spark):
+    t = D0("2027-03-01")
+    text = one(spark, D.render(D.filing_windows(D0("2027-05-14")), t))
+    assert text.startswith("COMPUTED DEADLINES (today = 2027-03-01):\n  filing: 2027-02-13 → 2027-07-13  [OPEN — 134 days remaining]")
+    assert one(spark, D.render(F.array().cast("array<struct<name:string,opens:date,closes:date>>"), t)) == ""
+    assert one(spark, validity.headline(F.lit("stayed"), F.lit("A"), F.lit("1"), D0("2026-01-02"), F.lit("all"))) == "STAYED: A, 1, 2026-01-02 (all)"
+    reg = spark.createDataFrame([("2026-01-01", ["a", "b"]), ("2026-01-10", ["c"])], "checked string, provisions array<string>")
+    r = validity.register_summary(reg, "2026-01-20").first()
+    assert (r.max_age, r.any_stale, r.provisions) == (19, True, 3)
