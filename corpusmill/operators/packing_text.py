@@ -89,19 +89,23 @@ def pack(paragraphs: list[str], budget: int = BUDGET, overlap: int = OVERLAP) ->
     return [pair for p in pieces if p.strip() for pair in enumerated(p)]
 
 
-def packed(docs: DataFrame, id_col: str = "doc_id", paragraphs: str = "paragraphs", budget: int = BUDGET, overlap: int = OVERLAP) -> DataFrame:
-    """(id, piece, text, embed_text) for an array of paragraphs a document; embed_text is
-    '' where it equals the text."""
+def packed(docs: DataFrame, id_col: str = "doc_id", paragraphs: str = "paragraphs", budget: int = BUDGET, overlap: int = OVERLAP, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id, *carry, piece, text, embed_text) for an array of paragraphs a row; embed_text is
+    '' where it equals the text. ``carry`` names string columns that go along."""
+    names = ["id", *carry, "piece", "text", "embed_text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, no, served, alone = [], [], [], []
-            for i, ps in zip(b.column("id").to_pylist(), b.column("ps")):
+            row, no, served, alone = [], [], [], []
+            for r, ps in enumerate(b.column("ps")):
                 for n, (s, e) in enumerate(pack(ps.as_py() or [], budget, overlap)):
-                    ids.append(i)
+                    row.append(r)
                     no.append(n)
                     served.append(s)
                     alone.append("" if e == s else e)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(no, pa.int32()), pa.array(served, pa.string()), pa.array(alone, pa.string())], names=["id", "piece", "text", "embed_text"])
+            own = [b.column(c).take(pa.array(row, pa.int64())) for c in ("id", *carry)]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(no, pa.int32()), pa.array(served, pa.string()), pa.array(alone, pa.string())], names=names)
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(paragraphs).alias("ps")).mapInArrow(run, "id long, piece int, text string, embed_text string")
+    schema = ", ".join(["id long", *(f"`{c}` string" for c in carry), "piece int, text string, embed_text string"])
+    x = docs.select(F.col(id_col).cast("long").alias("id"), *[F.col(c).cast("string").alias(c) for c in carry], F.col(paragraphs).alias("ps"))
+    return x.mapInArrow(run, schema)

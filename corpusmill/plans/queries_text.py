@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
 from corpusmill.operators import ingest as G
 from corpusmill.operators import packing_text as P
 from corpusmill.operators import terminology as X
+from corpusmill.plans.numbering import numbered
 from corpusmill.plans.registry import Registry
 from corpusmill.plans.staging import table
 from corpusmill.sources import landing as L
@@ -53,9 +54,9 @@ def pack_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT 'd' || lang || ':' || (row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1) AS id, doc_id FROM documents")
 def chunk_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """slug:n in emit order of each shard; only keys enter the window."""
-    n = F.row_number().over(Window.partitionBy("lang").orderBy("doc_id")) - 1
-    return table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), "lang", F.lit(":"), n.cast("string")).alias("id"), "doc_id")
+    """slug:n in emit order of each shard, numbered over ranges of keys."""
+    n = numbered(table(spark, sf_dir, "documents").select("lang", "doc_id"), ["doc_id"], ["lang"])
+    return n.select(F.concat(F.lit("d"), "lang", F.lit(":"), F.col("n").cast("string")).alias("id"), "doc_id")
 
 
 @query(f"SELECT doc_id, {_WORDS.format(t='text')} >= 12 AS section_ok, {_WORDS.format(t='text')} >= 25 AS page_ok, {_WORDS.format(t='text')} >= 30 AS statute_ok, {_WORDS.format(t='text')} >= 40 AS chapter_ok FROM documents")

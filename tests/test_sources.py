@@ -204,3 +204,19 @@ def test_eval_files(spark, tmp_path):
     assert {r.slug: r.letters for r in evalkit.read_labels(spark, str(tmp_path / "labels")).collect()} == {"h1": "S U", "h2": "N"}
     evalkit.save_answers(spark.createDataFrame([(1, "a")], "id long, text string"), str(tmp_path / "out"))
     assert spark.read.json(str(tmp_path / "out")).count() == 1
+
+
+def test_numbering_and_first_seen(spark):
+    import random
+
+    from corpusmill.plans.numbering import numbered
+
+    rows = [(i, random.Random(i).choice("aab")) for i in range(500)] + [(1000, None), (1001, None)]
+    df = spark.createDataFrame(rows, "k long, g string").repartition(7)
+    got = {r.k: r.n for r in numbered(df, ["k"], ["g"]).collect()}
+    for g in ("a", "b", None):
+        assert [got[k] for k, v in rows if v == g] == list(range(sum(v == g for _, v in rows)))
+    assert [r.n for r in numbered(df, ["k"]).orderBy("k").collect()] == list(range(502))
+    assert numbered(df.limit(0), ["k"]).count() == 0
+    first = ingest.first_seen(df, [F.col("g")], "k").collect()
+    assert {r.g: r.k for r in first} == {g: min(k for k, v in rows if v == g) for g in ("a", "b", None)}
