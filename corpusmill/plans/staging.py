@@ -42,3 +42,14 @@ def small_or_shuffled(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def small_batches(spark: SparkSession, size: int = 8 << 20) -> None:
+    """Bound the Arrow batches in which texts reach Python, unless the session has set its own.
+
+    The default of 64 MB a batch is held several times over by a task (row buffers, the
+    socket, the worker); results do not depend on it.
+    """
+    key, default = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20
+    if str(spark.conf.get(key, None) or "").rstrip("b") == str(default):
+        spark.conf.set(key, str(size))
