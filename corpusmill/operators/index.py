@@ -8,6 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
+from corpusmill.plans.staging import cut
+
+#: Distinct query terms up to which they are looked for inside a row.
+FEW_TERMS = 32
 
 
 @dataclass(frozen=True)
@@ -44,16 +48,24 @@ def queries_to_terms(queries: DataFrame) -> DataFrame:
 def bm25(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col: str = "text", k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """(q, id, bm25) of the documents that hold a term of the query.
 
-    One pass over the texts: documents are reduced to the query terms they hold in
-    their own row, before anything moves. Rows of documents without a query term
-    only enter the one-row corpus statistics.
+    Documents are reduced to the query terms they hold in their own row, before anything
+    moves; the others only enter the one-row corpus statistics. Few distinct terms are
+    looked for inside the row, and what is left of a text (its length and hits) is
+    materialised, so the texts are read once; many terms are joined instead.
     """
     terms = queries_to_terms(queries)
-    wanted = terms.select("term").distinct()
     t = tokenized(docs, id_col, text_col)
-    stats = corpus_stats(t.select(F.greatest(F.size("tokens"), F.lit(1)).alias("len")))
-    tf = t.select("id", F.greatest(F.size("tokens"), F.lit(1)).alias("len"), F.explode("tokens").alias("term"))
-    tf = tf.join(wanted, "term", "left_semi").groupBy("id", "len", "term").agg(F.count("*").alias("tf"))
+    long = F.greatest(F.size("tokens"), F.lit(1)).alias("len")
+    few = [r["term"] for r in terms.select("term").distinct().limit(FEW_TERMS + 1).collect()]
+    if len(few) <= FEW_TERMS:
+        wanted = F.array(*map(F.lit, few)).cast("array<string>")
+        slim = cut(t.select("id", long, F.filter("tokens", lambda x: F.array_contains(wanted, x)).alias("hits")))
+        stats = corpus_stats(slim.select("len"))
+        tf = slim.select("id", "len", F.explode("hits").alias("term"))
+    else:
+        stats = corpus_stats(t.select(long))
+        tf = t.select("id", long, F.explode("tokens").alias("term")).join(terms.select("term").distinct(), "term", "left_semi")
+    tf = tf.groupBy("id", "len", "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     # corpus statistics are one row by construction
     weighted = df.crossJoin(F.broadcast(stats)).select("term", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "avglen")
