@@ -24,7 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.plans.staging import table
+from corpusmill.functions.process_cache import frugal
+from corpusmill.plans.staging import small_batches, table
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)",
@@ -85,6 +86,7 @@ def blocks(page: str) -> list[dict]:
     stack: list[tuple] = [("", 0, 0, 0, 0)]
     text: list[str] = []
     linked, in_link, made, at, n = 0, 0, 1, 0, len(page)
+    link_depth = 0  # open elements when the last link began: it ends with the innermost of them
     inline: set[str] = set()  # inline elements that a region mark has opened as blocks
 
     def end() -> None:
@@ -124,7 +126,7 @@ def blocks(page: str) -> list[dict]:
                 at = close.end() if close else n
             text.append(" ")
         elif tag == "a":
-            in_link = 0 if closing else 1
+            in_link, link_depth = int(not closing), len(stack)
         elif tag == "br":
             text.append(" ")
         elif tag in BLOCKS or (not closing and tag not in VOID and (attrs and _region(tag, attrs)[0] or tag in inline)):
@@ -138,11 +140,13 @@ def blocks(page: str) -> list[dict]:
                     if stack[k][0] == tag:
                         del stack[k:]
                         break
+                in_link = in_link and int(len(stack) >= link_depth)
             else:
                 if tag in CLOSES_P and stack[-1][0] == "p":
                     stack.pop()
                 if tag in ("li", "dt", "dd", "tr", "td", "th", "option") and stack[-1][0] == tag:
                     stack.pop()
+                in_link = in_link and int(len(stack) >= link_depth)
                 _, hard, soft, good, _ = stack[-1]
                 h, s, g = _region(tag, attrs)
                 h = h or int(good and tag in ("form", "fieldset"))
@@ -255,13 +259,14 @@ def main_text(page: str | None) -> str:
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for every row of ``pages`` (page_id, url, html)."""
+    small_batches(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = [main_text(x.as_py()) for x in b.column("html")]
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(frugal(run), "page_id long, url string, text string, n_chars long")
 
 
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.functions.process_cache import kept
-from corpusmill.plans.staging import table
+from corpusmill.functions.process_cache import frugal, kept
+from corpusmill.plans.staging import small_batches, table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 SEQ_LEN = 2048
@@ -141,8 +141,9 @@ def parts(docs: DataFrame, groups: int, seq_len: int = SEQ_LEN, name: str = VOCA
             if rows:
                 yield out(rows)
 
+    small_batches(docs.sparkSession)
     hashed = docs.select(F.xxhash64("doc_id", "text").alias("h"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return hashed.mapInArrow(run, "grp long, doc_id long, part int, n int, ids binary")
+    return hashed.mapInArrow(frugal(run), "grp long, doc_id long, part int, n int, ids binary")
 
 
 def _pack_group(t: pa.Table, seq_len: int, kind: type) -> pa.Table:

@@ -29,7 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.plans.staging import cut, table
+from corpusmill.functions.process_cache import frugal
+from corpusmill.plans.staging import cut, small_batches, table
 
 #: Weight of the pooled covariance, of the mean variance, and the temperature of the score.
 POOLED, RIDGE, TEMPERATURE = 0.2, 0.02, 4.0
@@ -78,6 +79,7 @@ def _packed(raw: bytes) -> int:
 
 def measured(docs: DataFrame) -> DataFrame:
     """doc_id, x (array of statistics) for every row of ``docs`` (doc_id, text)."""
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -85,7 +87,7 @@ def measured(docs: DataFrame) -> DataFrame:
             at = pa.array(np.arange(0, x.size + 1, len(FEATURES), dtype=np.int32))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.ListArray.from_arrays(at, pa.array(x.ravel()))], names=["doc_id", "x"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, x array<double>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(frugal(run), "doc_id long, x array<double>")
 
 
 def held_out(doc_id: str = "doc_id"):

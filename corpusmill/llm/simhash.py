@@ -29,7 +29,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.llm.components import components
-from corpusmill.plans.staging import cut, small_or_shuffled, table
+from corpusmill.functions.process_cache import frugal
+from corpusmill.plans.staging import cut, small_batches, small_or_shuffled, table
 
 SHINGLE = 3
 BITS = 2
@@ -69,13 +70,14 @@ def fingerprint(text: str | None) -> int:
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp long) for every row of ``docs`` (doc_id, text)."""
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.fromiter((fingerprint(x.as_py()) for x in b.column("text")), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(frugal(run), "doc_id long, fp long")
 
 
 _NEAR = np.array([0] + [1 << i for i in range(16)] + [1 << i | 1 << j for i, j in combinations(range(16), 2)], np.int64)
@@ -140,7 +142,7 @@ def links(distinct: DataFrame) -> DataFrame:
             hs, hk, hf = hs[rest:], hk[rest:], hf[rest:]
             yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
 
-    return postings.repartition("s", "k").sortWithinPartitions("s", "k", "fp").mapInArrow(run, "a long, b long")
+    return postings.repartition("s", "k").sortWithinPartitions("s", "k", "fp").mapInArrow(frugal(run), "a long, b long")
 
 
 def _flagged(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, pa.RecordBatch | None]]:

@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.functions.process_cache import kept
-from corpusmill.plans.staging import shared_dir, table
+from corpusmill.functions.process_cache import frugal, kept
+from corpusmill.plans.staging import shared_dir, small_batches, table
 
 TOKENIZER = "byte_bpe_50k.json"
 LIMIT = 512
@@ -66,6 +66,7 @@ def tokenizer_digest(name: str = TOKENIZER) -> str:
 def encode(texts: DataFrame, name: str = TOKENIZER) -> DataFrame:
     """digest, tokenizer, n_tokens for rows (digest, text); bounded batches of texts."""
     version = tokenizer_digest(name)
+    small_batches(texts.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path = _path(name)
@@ -83,7 +84,7 @@ def encode(texts: DataFrame, name: str = TOKENIZER) -> DataFrame:
                 [b.column("digest"), pa.array([version] * len(counts), pa.string()), pa.array(counts, pa.int64())], names=["digest", "tokenizer", "n_tokens"]
             )
 
-    return texts.select("digest", "text").mapInArrow(run, CACHE_SCHEMA)
+    return texts.select("digest", "text").mapInArrow(frugal(run), CACHE_SCHEMA)
 
 
 def read_cache(spark: SparkSession, path: str, version: str) -> DataFrame:

@@ -39,7 +39,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.plans.staging import cut, shared_dir, table
+from corpusmill.functions.process_cache import frugal
+from corpusmill.plans.staging import cut, shared_dir, small_batches, table
 
 #: Compressed bytes after which a task starts another archive.
 ARCHIVE_BYTES = 32_000_000
@@ -178,7 +179,8 @@ def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_B
         if now.n:
             yield close()
 
-    return cut(assign(pages, least_revisit).mapInArrow(run, "archive string, n_records long, n_bytes long"))
+    small_batches(pages.sparkSession)
+    return cut(assign(pages, least_revisit).mapInArrow(frugal(run), "archive string, n_records long, n_bytes long"))
 
 
 # --- reading -----------------------------------------------------------------
@@ -291,7 +293,7 @@ def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
                 if rows:
                     yield out(rows)
 
-    return archives.select("archive").mapInArrow(run, RECORDS)
+    return archives.select("archive").mapInArrow(frugal(run), RECORDS)
 
 
 def op10_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:

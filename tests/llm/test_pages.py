@@ -38,7 +38,7 @@ def test_extraction_of_marked_regions():
         '<p style="display: none">Never seen by anyone who reads this page.</p>', '<div role="alert"><p>Our offices are closed today. Please come back.</p></div>', '<ul class="share-buttons"><li><a href=x>Tweet</a></ul>',
     ):
         assert html_extraction.main_text(f"<body><article>{inner}{odd}{more}</article></body>") == want, odd
-    for wrap in ('<div class="content-with-sidebar">%s</div>', '<p title="hidden class ad"></p><main>%s</main>', '<form><article>%s</article></form>', "<article><header>%s</header></article>", "<div>%s</div>"):
+    for wrap in ('<div class="content-with-sidebar">%s</div>', '<p title="hidden class ad"></p><main>%s</main>', '<form><article>%s</article></form>', "<article><header>%s</header></article>", "<div>%s</div>", "<ul><li><a href=x>Menu</ul><div>%s</div>"):
         assert html_extraction.main_text("<body>" + wrap % (inner + more) + "</body>") == want, wrap
 
 
