@@ -16,8 +16,9 @@ Defined results: null and empty texts have no windows; items of fewer than five
 words have none and match nothing; rows with null ids report under a null id;
 rows that repeat an id report once, together; empty tables give an empty result;
 other columns are not read. Windows with fewer than three plain words (tables of
-figures) count for neither side. The first window of an item that opens with a
-capital letter is left out, as a sentence start and a name look alike there.
+figures) count for neither side. Every capitalised word is taken for a name, so that
+lost punctuation changes no template; the first window of an item that opens with one is
+left out, as inside a sentence that word may be in lower case.
 """
 
 from __future__ import annotations
@@ -30,7 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusmill.plans.staging import cut, small_or_shuffled, table
+from corpusmill.functions.process_cache import frugal
+from corpusmill.plans.staging import cut, small_batches, small_or_shuffled, table
 
 WINDOW = 5
 COVER = 0.8
@@ -41,15 +43,15 @@ DRIFT = 8
 #: Most hashes (8 bytes each) that the filter of the scan may hold.
 FILTER_ROWS = 4_000_000
 #: Characters handled at a time; a longer text is cut into overlapping pieces.
-CHUNK = 1_000_000
+CHUNK = 500_000
 OVERLAP = 4_000
 
 # Spelled numbers and units of measure.
 NUMBER_WORDS = frozenset("zero one two three four five six seven eight nine ten eleven twelve twenty thirty forty fifty hundred thousand million".split())
 UNITS = frozenset("mm cm m km in ft yd mi inches feet foot yards miles meters metres kilometers kilometres mg g kg lb lbs oz grams kilograms pounds ounces ml l liters litres gallons s sec seconds min minutes h hr hours days weeks months years percent dollars cents euros usd eur degrees mph kph kmh w kw v hz khz mhz ghz kb mb gb tb".split())
 
-_TOKEN = r"\x00|[.!?\n]+|\d+(?:[.,:/]\d+)*(?![^\W\d_])|[^\W_]+"
-_MARK, _END, _PLAIN, _CAP, _NUM, _UNIT = range(6)
+_TOKEN = r"\x00|\d+(?:[.,:/]\d+)*(?![^\W\d_])|[^\W_]+"
+_END, _PLAIN, _NAME, _NUM, _UNIT = range(5)
 _NUM_CODE, _NAME_CODE, _UNIT_CODE = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9
 _STEP = 0x2545F4914F6CDD1D
 
@@ -57,9 +59,28 @@ _STEP = 0x2545F4914F6CDD1D
 class _Words(dict):
     """word -> id, with the kind and code of each id; emptied when it gets large."""
 
+    #: Words kept at a time: some 30 MB in a worker.
+    LIMIT = 150_000
+
     def __init__(self) -> None:
-        self.kinds: list[int] = []
-        self.codes: list[int] = []
+        self.reset()
+
+    def reset(self) -> None:
+        self.clear()
+        self.kinds, self.codes = np.empty(0, np.int8), np.empty(0, np.uint64)
+        self.new_kinds: list[int] = []
+        self.new_codes: list[int] = []
+
+    def ids(self, raw: list[str]) -> np.ndarray:
+        """The ids of ``raw``; afterwards ``kinds`` and ``codes`` cover them."""
+        if len(self) > self.LIMIT:
+            self.reset()
+        out = np.fromiter(map(self.__getitem__, raw), np.int64, len(raw))
+        if self.new_kinds:
+            self.kinds = np.concatenate((self.kinds, np.array(self.new_kinds, np.int8)))
+            self.codes = np.concatenate((self.codes, np.array(self.new_codes, np.uint64)))
+            self.new_kinds, self.new_codes = [], []
+        return out
 
     def __missing__(self, w: str) -> int:
         import xxhash
@@ -67,19 +88,17 @@ class _Words(dict):
         low = w.lower()
         if w == "\x00":
             kind = _END
-        elif w[0] in ".!?\n":
-            kind = _MARK
-        elif low in NUMBER_WORDS or re.fullmatch(r"\d+(?:[.,:/]\d+)*", w):
+        elif low in NUMBER_WORDS or w[0].isdigit() and re.fullmatch(r"\d+(?:[.,:/]\d+)*", w):
             kind = _NUM
         elif low in UNITS:
             kind = _UNIT
         elif len(w) > 1 and w[0].isupper() and not w.isupper():
-            kind = _CAP
+            kind = _NAME
         else:
             kind = _PLAIN
-        n = self[w] = len(self.kinds)
-        self.kinds.append(kind)
-        self.codes.append(xxhash.xxh64_intdigest(low.encode(errors="replace"), 7))
+        n = self[w] = len(self)
+        self.new_kinds.append(kind)
+        self.new_codes.append(xxhash.xxh64_intdigest(low.encode(errors="replace"), 7))
         return n
 
 
@@ -88,22 +107,16 @@ def _windows(texts: list[str], words: _Words, find) -> tuple:
 
     Texts hold no NUL character.
     """
-    if len(words.kinds) > 1_000_000:
-        words.clear()
-        words.kinds.clear()
-        words.codes.clear()
     raw = find("\x00".join(texts))
-    ids = np.fromiter(map(words.__getitem__, raw), np.int64, len(raw))
-    kinds = np.array(words.kinds, np.int8)[ids] if len(ids) else np.empty(0, np.int8)
+    ids = words.ids(raw)
+    kinds = words.kinds[ids]
     doc = np.cumsum(kinds == _END)
-    opens = np.ones(len(ids), bool)
-    opens[1:] = kinds[:-1] <= _END
-    real = np.nonzero(kinds > _END)[0]
-    kinds, doc, opens = kinds[real], doc[real], opens[real]
-    codes = np.array(words.codes, np.uint64)[ids[real]] if len(real) else np.empty(0, np.uint64)
+    real = np.nonzero(kinds != _END)[0]
+    kinds, doc = kinds[real], doc[real]
+    codes = words.codes[ids[real]]
     after_number = np.zeros(len(real), bool)
     after_number[1:] = (kinds[:-1] == _NUM) & (doc[:-1] == doc[1:])
-    num, name, unit = kinds == _NUM, (kinds == _CAP) & ~opens, (kinds == _UNIT) & after_number
+    num, name, unit = kinds == _NUM, kinds == _NAME, (kinds == _UNIT) & after_number
     for at, code in ((num, _NUM_CODE), (name, _NAME_CODE), (unit, _UNIT_CODE)):
         codes[at] = np.uint64(code)
     slot = num | name | unit
@@ -165,6 +178,7 @@ def benchmark_windows(items: DataFrame) -> DataFrame:
 
 def document_windows(docs: DataFrame, only: np.ndarray | None) -> DataFrame:
     """doc_id, h, pos, slots of the windows of ``docs`` (doc_id, text) whose hash is in ``only``."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(only)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,7 +211,7 @@ def document_windows(docs: DataFrame, only: np.ndarray | None) -> DataFrame:
             if ids:
                 yield flush(ids, texts)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, h long, pos long, slots array<string>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(frugal(run), "doc_id long, h long, pos long, slots array<string>")
 
 
 def matches(docs: DataFrame, items: DataFrame, cover: float = COVER, consistent: float = CONSISTENT) -> DataFrame:

@@ -297,17 +297,24 @@ def test_decontamination_kinds(spark, empty):
     swap = QUESTION.replace("Alice", "Maria").replace("Bob", "Pedro").replace("12", "47").replace("5", "8").replace("3 miles", "9 km")
     mixed = re.sub("Alice|Bob", lambda m, n=iter("Ann Ben Cid Dan Eve".split()): next(n), QUESTION)
     docs = spark.createDataFrame(
-        [(1, "Hello there. " + QUESTION + " more words"), (2, "Something else. " + swap), (3, QUESTION.upper()), (4, mixed), (5, None), (6, ""), (None, QUESTION), (7, QUESTION[:60]), (8, " ".join(f"{w}###" for w in QUESTION.split()))],
+        [(1, "Hello there. " + QUESTION + " more words"), (2, "Something else. " + swap), (3, QUESTION.upper()), (4, mixed), (5, None), (6, ""), (None, QUESTION), (7, QUESTION[:60]), (8, " ".join(f"{w}###" for w in QUESTION.split())), (9, "and so on and " + QUESTION[0].lower() + QUESTION[1:])],
         "doc_id long, text string",
     )
     items = spark.createDataFrame([(7, QUESTION), (8, "too short"), (9, None), (10, "")], "item_id long, text string")
     got = {(r.doc_id, r.item_id): r.kind for r in decontamination.matches(docs, items).collect()}
-    assert got == {(1, 7): "verbatim", (2, 7): "reparameterised", (3, 7): "verbatim", (None, 7): "verbatim", (8, 7): "verbatim"}
+    assert got == {(1, 7): "verbatim", (2, 7): "reparameterised", (3, 7): "verbatim", (None, 7): "verbatim", (8, 7): "verbatim", (9, 7): "verbatim"}
     assert {r.doc_id for r in decontamination.clean(docs, items).collect()} == {4, 5, 6, 7, None}
     assert decontamination.matches(empty, items).count() == 0
     assert decontamination.matches(docs, items.limit(0)).count() == 0
 
 
+def test_decontamination_without_punctuation(spark):
+    item = "Then the court ruled on it. Nobody there had seen the letter. Such cases are rare! Who wrote it then? Maybe the clerk did."
+    docs = spark.createDataFrame([(1, "a b c " + re.sub(r"[^\w\s]", "", item)), (2, item.lower()), (3, item.replace(". ", ".\n\n")), (4, "Then the court ruled on other things. Such cases are rare!")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert {r.doc_id for r in decontamination.matches(docs, items).collect()} == {1, 2, 3}
+
+
 def test_decontamination_without_filter(spark, small, monkeypatch):
     items = spark.read.parquet(f"{SF}/benchmark.parquet")
     a = set(map(tuple, decontamination.matches(small, items).select("doc_id", "item_id").collect()))
