@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,14 +13,26 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 
 
+_own: list[str] = []
+
+
+def _temporary() -> str:
+    """One folder of this process, for local sessions; removed at its end."""
+    if not _own:
+        _own.append(tempfile.mkdtemp(prefix="corpusmill-"))
+        atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
+    return f"file://{_own[0]}"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; one of our own only where it is unset."""
+    """The folder of ``spark.checkpoint.dir``. Where it is unset, a local session gets a
+    temporary folder; a cluster must name one that driver and executors share."""
     sc = spark.sparkContext
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not path:
-        path = sc.getCheckpointDir()
-        if path is None:
-            path = "file://" + os.path.join(tempfile.gettempdir(), "corpusmill-checkpoints")
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = _temporary()
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(path)
     return path.rstrip("/")
@@ -51,5 +64,5 @@ def small_batches(spark: SparkSession, size: int = 8 << 20) -> None:
     socket, the worker); results do not depend on it.
     """
     key, default = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20
-    if str(spark.conf.get(key, None) or "").rstrip("b") == str(default):
+    if spark.conf.get(key, str(default)).rstrip("b") == str(default):
         spark.conf.set(key, str(size))

@@ -220,3 +220,19 @@ def test_numbering_and_first_seen(spark):
     assert numbered(df.limit(0), ["k"]).count() == 0
     first = ingest.first_seen(df, [F.col("g")], "k").collect()
     assert {r.g: r.k for r in first} == {g: min(k for k, v in rows if v == g) for g in ("a", "b", None)}
+
+
+def test_shared_folder(spark, monkeypatch):
+    from corpusmill.plans import staging
+
+    assert staging.shared_dir(spark).startswith("file:") or "/" in staging.shared_dir(spark)
+    assert staging._temporary() == staging._temporary()
+    small = spark.range(10)
+    assert staging.small_or_shuffled(small, 5) is small and staging.small_or_shuffled(small, 10) is not small
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    staging.small_batches(spark)
+    assert spark.conf.get(key).startswith(str(8 << 20))
+    spark.conf.set(key, "16m")
+    staging.small_batches(spark)
+    assert spark.conf.get(key) in ("16m", "16777216", "16777216b")
+    spark.conf.unset(key)
