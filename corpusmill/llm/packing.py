@@ -33,7 +33,7 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 SEQ_LEN = 2048
 PAD = 0
 #: Bytes of text behind one packing group.
-GROUP_BYTES = 4_000_000
+GROUP_BYTES = 2_000_000
 #: Characters tokenised at a time.
 BLOCK = 1_000_000
 
