@@ -27,8 +27,10 @@ from pyspark.sql import functions as F
 from corpusmill.functions.process_cache import frugal
 from corpusmill.plans.staging import small_batches, table
 
+# quoted values are looked through for 5,000 characters at most, so that unclosed quotes
+# cost no more than that each; longer values end at the first ">" by the next alternative
 _TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)",
+    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]{0,5000}+\"|'[^']{0,5000}+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)",
     re.S,
 )
 # a value is consumed with its name, so words inside quotes are never taken for names
@@ -86,6 +88,7 @@ def blocks(page: str) -> list[dict]:
     stack: list[tuple] = [("", 0, 0, 0, 0)]
     text: list[str] = []
     linked, in_link, made, at, n = 0, 0, 1, 0, len(page)
+    unclosed: set[str] = set()
     link_depth = 0  # open elements when the last link began: it ends with the innermost of them
     inline: set[str] = set()  # inline elements that a region mark has opened as blocks
 
@@ -121,9 +124,14 @@ def blocks(page: str) -> list[dict]:
             continue
         tag, closing, attrs = name.lower(), bool(m[1] or m[4]), m[3] if m[2] else m[6]
         if tag in RAW and not closing:
-            if not attrs.endswith("/"):
-                close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(page, at)
-                at = close.end() if close else n
+            if not attrs.endswith("/") and tag not in unclosed:
+                close = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(page, at)
+                if close:
+                    at = close.end()
+                elif tag in ("script", "style"):
+                    break
+                else:
+                    unclosed.add(tag)  # no end in the rest of the page either: its text counts
             text.append(" ")
         elif tag == "a":
             in_link, link_depth = int(not closing), len(stack)

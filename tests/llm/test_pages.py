@@ -25,6 +25,10 @@ def test_extraction():
     for x in (None, "", "<", "<p", "<!--", "<script>x", "<p title=\"abc>x", "</p></div>", "&", "<a><b></a>"):
         assert isinstance(html_extraction.main_text(x), str)
     assert html_extraction.main_text("plain text only here with several words in it.") == "plain text only here with several words in it."
+    body = "<article><p>A sentence that is long enough to stay here.</p></article>"
+    assert html_extraction.main_text("<title>Never closed" + body) == "A sentence that is long enough to stay here."
+    assert html_extraction.main_text(body + "<script>rest") == "A sentence that is long enough to stay here."
+    assert isinstance(html_extraction.main_text('<a title="' * 20_000), str)
     long = "<article>" + "<p>A line of words that is a sentence.</p>" * 5000 + "</article>"
     assert html_extraction.main_text(long).count("\n") == 4999
 
