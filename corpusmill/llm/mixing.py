@@ -25,6 +25,7 @@ SHARE = 1.5
 EPOCHS = 2
 BUCKETS = 4096
 SEED = "mix-1"
+KEY_BITS = 60
 
 _TRIM = r"' \t\n\u000B\u000C\r'"
 
@@ -40,8 +41,9 @@ def sized(docs: DataFrame, text: str = "text", key: tuple[str, ...] = ("doc_id",
 
 
 def order_key(*cols: str) -> Column:
-    """A key that depends on the row alone, so that reruns agree."""
-    return F.xxhash64(F.lit(SEED), *[F.col(f"`{c}`") for c in cols])
+    """A 60-bit key that depends on the row alone, so that reruns (and other engines) agree."""
+    digest = F.md5(F.concat_ws("|", F.lit(SEED), *[F.col(f"`{c}`").cast("string") for c in cols]))
+    return F.conv(F.substring(digest, 1, KEY_BITS // 4), 16, 10).cast("long")
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS) -> DataFrame:
@@ -92,9 +94,8 @@ def plan(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float =
 
 
 def _bucket(buckets: int) -> Column:
-    """Range bucket of a key: order-preserving over the whole range of a long."""
-    width = 2**64 // buckets
-    return F.floor((F.col("mix_key") - F.lit(-(2**63)).cast("decimal(20,0)")) / F.lit(width).cast("decimal(20,0)")).cast("int")
+    """Range bucket of a key, in the keys' order; ``buckets`` is a power of two."""
+    return F.shiftright("mix_key", KEY_BITS - (buckets.bit_length() - 1)).cast("int")
 
 
 def taken(size: Column, key: Column) -> Column:
@@ -141,3 +142,34 @@ def mix(docs: DataFrame, text: str = "text", **options) -> DataFrame:
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decide(sized(table(spark, sf_dir, "documents")))
+
+
+OP5_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+         ('0x' || substr(md5(concat_ws('|', 'mix-1', doc_id::VARCHAR)), 1, 15))::BIGINT AS k
+  FROM documents
+), s AS (
+  SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rn FROM d GROUP BY source
+), w AS (
+  SELECT *, CASE (rn - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight,
+         source_size * 2.0::DOUBLE AS room FROM s
+), l AS (
+  SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE
+             - coalesce(sum(room) OVER (ORDER BY room / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+          / (sum(weight) OVER ()
+             - coalesce(sum(weight) OVER (ORDER BY room / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS level
+  FROM w
+), t AS (
+  SELECT source, source_size, least(room, max(level) OVER () * weight) AS target FROM l
+), e AS (
+  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS epochs FROM t
+), r AS (
+  SELECT *, floor(target - epochs * source_size)::BIGINT AS rest FROM e
+), x AS (
+  SELECT d.doc_id, d.size, r.source_size, r.target, r.epochs, r.rest,
+         coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k, d.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source
+)
+SELECT doc_id, size, source_size, target, (epochs * size + greatest(0, least(size, rest - before)))::BIGINT AS taken FROM x
+"""

@@ -15,6 +15,7 @@ QUERIES = {
     "op10_warc_zip": warc_zip.op10_warc_zip,
 }
 SQL = {
+    "op5_mix_sources": mixing.OP5_SQL,
     "op6_quality_rules": quality_rules.OP6_SQL,
     "op7_url_filters": url_filters.OP7_SQL,
     "op10_warc_zip": warc_zip.OP10_SQL,
