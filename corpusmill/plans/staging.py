@@ -53,6 +53,17 @@ def small_or_shuffled(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def splittable(rows: DataFrame, unique: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """``rows`` joined to one row a key so that AQE can split a hot key's rows.
+
+    A side that is already partitioned by the key (an aggregation's result) would join
+    without a shuffle of its own, and then neither side can be split. A hash of the key as
+    one more join column gives both sides their own.
+    """
+    k = F.xxhash64(*on).alias("_cm_split")
+    return rows.select("*", k).join(unique.select("*", k), [*on, "_cm_split"], how).drop("_cm_split")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

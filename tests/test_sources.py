@@ -236,3 +236,12 @@ def test_shared_folder(spark, monkeypatch):
     staging.small_batches(spark)
     assert spark.conf.get(key) in ("16m", "16777216", "16777216b")
     spark.conf.unset(key)
+
+
+def test_splittable_join(spark):
+    from corpusmill.plans.staging import cut, splittable
+
+    rows = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (None, "d")], "k long, v string")
+    unique = cut(spark.createDataFrame([(1, 10), (3, 30)], "k long, n long").groupBy("k").agg(F.max("n").alias("n")))
+    assert {(r.k, r.v, r.n) for r in splittable(rows, unique, ["k"], "left").collect()} == {(1, "a", 10), (1, "b", 10), (2, "c", None), (None, "d", None)}
+    assert splittable(rows, unique, ["k"]).count() == 2
