@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.llm.components import components
 from corpusmill.functions.process_cache import frugal
-from corpusmill.plans.staging import cut, small_batches, small_or_shuffled, table
+from corpusmill.plans.staging import cut, small_batches, small_or_shuffled, splittable, table
 
 SHINGLE = 3
 BITS = 2
@@ -161,7 +161,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     least = comp.join(nodes, comp["node"] == nodes["fp"]).groupBy("component").agg(F.min("first").alias("least"))
     linked = comp.join(least, "component").select(F.col("node").alias("fp"), "least")
     classes = nodes.join(linked, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
-    return rows.join(classes, "fp").select("doc_id", "fp", "component_id")
+    return splittable(rows, classes, ["fp"]).select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

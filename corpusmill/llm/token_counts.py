@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.functions.process_cache import frugal, kept
-from corpusmill.plans.staging import shared_dir, small_batches, table
+from corpusmill.plans.staging import shared_dir, small_batches, splittable, table
 
 TOKENIZER = "byte_bpe_50k.json"
 LIMIT = 512
@@ -110,7 +110,7 @@ def token_counts(docs: DataFrame, cache: str, tokenizer: str = TOKENIZER, limit:
     stored = read_cache(spark, cache, version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     slim = rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "digest")
     n = F.when(F.col("n_bytes") == 0, F.lit(0)).otherwise(F.col("n_tokens")).cast("long")
-    return slim.join(stored, "digest", "left").select("doc_id", "n_bytes", n.alias("n_tokens"), (n > limit).alias("over_limit"))
+    return splittable(slim, stored, ["digest"], "left").select("doc_id", "n_bytes", n.alias("n_tokens"), (n > limit).alias("over_limit"))
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

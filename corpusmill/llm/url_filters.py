@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusmill.plans.staging import small_or_shuffled, table
+from corpusmill.plans.staging import small_or_shuffled, splittable, table
 
 #: (list, key, action, day, verdict): key is a host suffix, or host suffix + path prefix.
 ENTRIES = (
@@ -78,9 +78,8 @@ def decide(captures: DataFrame, entries: DataFrame) -> DataFrame:
     # smallest first: longest key, then allow before block, then the list's name
     best = F.min(F.struct((-F.length("key")).alias("rank"), "verdict", "list", F.col("key").alias("entry"), "valid_from")).alias("m")
     found = active.groupBy("url", "day").agg(F.count("*").alias("n_active"), best)
-    found = found.select(F.col("url").alias("u"), F.col("day").alias("d"), "n_active", "m.list", "m.entry", "m.verdict", "m.valid_from")
-    x = captures.select("page_id", "url", "day")
-    x = x.join(found, (x["url"] == found["u"]) & (x["day"] == found["d"]), "left")
+    found = found.select("url", "day", "n_active", "m.list", "m.entry", "m.verdict", "m.valid_from")
+    x = splittable(captures.select("page_id", "url", "day"), found, ["url", "day"], "left")
     return x.select("page_id", "url", "day", F.coalesce(F.col("verdict") == "block", F.lit(False)).alias("blocked"), F.coalesce("n_active", F.lit(0)).cast("long").alias("n_active"), "list", "entry", "verdict", "valid_from")
 
 

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.functions.process_cache import frugal
-from corpusmill.plans.staging import cut, shared_dir, small_batches, table
+from corpusmill.plans.staging import cut, shared_dir, small_batches, splittable, table
 
 #: Compressed bytes after which a task starts another archive.
 ARCHIVE_BYTES = 32_000_000
@@ -147,7 +147,7 @@ def assign(pages: DataFrame, least_revisit: int = LEAST_REVISIT) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("payload"))
     rows = rows.withColumn("sha1", F.unhex(F.sha1("payload"))).withColumn("n_bytes", F.octet_length("payload").cast("long"))
     first = rows.groupBy("sha1").agg(F.max("page_id").alias("first"))
-    joined = rows.join(first.hint("shuffle_hash"), "sha1", "left")
+    joined = splittable(rows, first.hint("shuffle_hash"), ["sha1"], "left")
     revisit = (F.col("n_bytes") >= least_revisit) & ~F.col("page_id").eqNullSafe(F.col("first"))
     out = joined.select("page_id", "url", "payload", "sha1", "n_bytes", F.when(revisit, F.col("first")).alias("refers_to"))
     return out.withColumn("payload", F.when(F.col("refers_to").isNull(), F.col("payload")).otherwise(F.lit(b"")))
