@@ -61,10 +61,26 @@ def strip_html(c: Column) -> Column:
     return clean(F.regexp_replace(bare, r"<[^>]+>", " "))
 
 
+def _numeric(c: Column) -> Column:
+    """Decimal and hexadecimal character references decoded; impossible ones stay."""
+
+    def one(text: Column, ref: Column) -> Column:
+        digits = F.regexp_extract(ref, r"&#[xX]?([0-9A-Fa-f]+);", 1)
+        code = F.when(ref.rlike("^&#[xX]"), F.conv(digits, 16, 10)).otherwise(digits).try_cast("int")
+        valid = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        char = F.decode(F.unhex(F.lpad(F.hex(F.when(valid, code)), 8, "0")), "UTF-32")
+        return F.replace(text, ref, F.coalesce(char, ref))
+
+    refs = F.array_distinct(F.regexp_extract_all(c, F.lit(r"&#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});"), 0))
+    return F.when(c.contains("&#"), F.aggregate(refs, c, one)).otherwise(c)
+
+
 def unescape(c: Column) -> Column:
+    """Numeric and the common named character references decoded, ampersands last."""
+    c = _numeric(c)
     for name, ch in ENTITIES.items():
         c = F.replace(c, F.lit(f"&{name};"), F.lit(ch))
-    return F.replace(c, F.lit("&#39;"), F.lit("'"))
+    return c
 
 
 def visible(c: Column) -> Column:

@@ -112,6 +112,7 @@ def test_text_functions(spark):
     assert one(T.n_words(F.lit("  "))) == 0 and one(T.n_tokens(F.lit("a b c"))) == 3
     assert one(T.strip_html(F.lit("a<script>x</script><style>y</style><b>b</b> &amp;"))) == "a b &amp;"
     assert one(T.visible(F.lit("<td>A&nbsp;&amp; B</td>"))) == "A & B"
+    assert one(T.unescape(F.lit("&#39;&#x20AC;&#128512; &lt;b&gt; &amp;lt; &#0; &#xD800; &#x110000; &nope;"))) == "'€😀 <b> &lt; &#0; &#xD800; &#x110000; &nope;"
     assert one(T.opens_with(F.lit("Students in colleges."), F.lit("Students in colleges, universities"))) and not one(T.opens_with(F.lit("x"), F.lit("")))
     assert one(T.issue_lines(F.lit("1. First issue here\n- Second issue line\nshort\n" + "x" * 200))) == ["First issue here", "Second issue line"]
     assert one(T.usable_words(F.lit("head\n[SUSPENDED — withheld: A, 1] two words"))) == 2
