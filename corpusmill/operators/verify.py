@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpusmill.functions import dates as D
 from corpusmill.functions import text as T
 from corpusmill.operators import validity as V
+from corpusmill.plans.staging import cut, small_or_shuffled
 
 # Bracket and citation grammar, least quote, drift.
 BRACKET = r"\[(\d{1,2})\]"
@@ -74,6 +75,45 @@ def wanted(sentence: Column) -> Column:
     return F.regexp_replace(T.fold(reading(sentence)), r"^[ .;:]+|[ .;:]+$", "")
 
 
+#: Words of a quoted sentence that make its join key.
+KEY_WORDS = 4
+
+
+def _standing(quotes: DataFrame, sources: DataFrame) -> DataFrame:
+    """(id, point, part, cited, want, source, clean, folded): every quote in every source that holds it.
+
+    The first and last word of a quote may be parts of longer words; those between them
+    stand in a source word for word. Up to four of them are the key of an equi-join with
+    the sources' word windows, and the pairs it finds are then checked exactly. Quotes of
+    one or two words have no such key and are held against each source.
+    """
+    w = F.split("want", " ")
+    n = F.greatest(F.least(F.size(w) - 2, F.lit(KEY_WORDS)), F.lit(0))
+    quotes = quotes.withColumn("n", n).withColumn("key", F.array_join(F.slice(w, F.lit(2), n), " "))
+    sizes = [r.n for r in quotes.select("n").distinct().collect()]  # five at most
+
+    def read(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("clean", reading(F.col("text"))).withColumn("folded", T.fold(F.col("clean"))).drop("text")
+
+    def windows(w: Column, k: int) -> Column:
+        at = F.when(F.size(w) >= k, F.sequence(F.lit(0), F.size(w) - k))
+        return F.coalesce(F.transform(at, lambda i: F.concat_ws(" ", *[F.get(w, i + j) for j in range(k)])), F.array().cast("array<string>"))
+
+    columns = ["id", "point", "part", "cited", "want", "source", "clean", "folded"]
+    found = read(quotes.where("n = 0").join(sources, "id")) if 0 in sizes else None
+    if keyed := [k for k in sizes if k]:
+        # the words are bound by a lambda, so that a text is read and split once and not for every window
+        keys = F.transform(F.array(F.split("folded", " ")), lambda w: F.concat(*[windows(w, k) for k in keyed]))
+        grams = read(sources).select("id", "source", F.explode(F.flatten(keys)).alias("key"))
+        pairs = cut(grams.join(small_or_shuffled(quotes.where("n > 0")), ["id", "key"]).select("id", F.col("source").alias("_source"), "point", "part", "cited", "want").distinct())
+        text = sources.select(F.col("id").alias("_id"), "source", "text")
+        near = text.join(small_or_shuffled(pairs), (F.col("_id") == F.col("id")) & F.col("source").eqNullSafe(F.col("_source")))
+        found = read(near).select(columns) if found is None else read(near).select(columns).unionByName(found.select(columns))
+    if found is None:
+        found = read(quotes.join(sources, "id")).select(columns)
+    return found.where(F.col("folded").contains(F.col("want")))
+
+
 def check_quotes(points: DataFrame, sources: DataFrame) -> DataFrame:
     """(id, point, part, cited, source, quote, applies, moved, kept) of each sentence quoted.
 
@@ -83,8 +123,7 @@ def check_quotes(points: DataFrame, sources: DataFrame) -> DataFrame:
     """
     s = points.select("id", "point", "cited", "applies", F.posexplode(F.when(F.size(T.sentences(F.col("quote"), T.QUOTE_SENTENCE)) > 0, T.sentences(F.col("quote"), T.QUOTE_SENTENCE)).otherwise(F.array("quote"))).alias("part", "sentence"))
     s = s.withColumn("want", wanted(F.col("sentence")))
-    src = sources.select("id", "source", reading(F.col("text")).alias("clean")).withColumn("folded", T.fold(F.col("clean")))
-    hit = s.where(F.length("want") >= MIN_QUOTE).join(src, "id").where(F.col("folded").contains(F.col("want")))
+    hit = _standing(s.where(F.length("want") >= MIN_QUOTE).select("id", "point", "part", "cited", "want"), sources.select("id", "source", "text"))
     own = F.substring("clean", F.expr("locate(want, folded)"), F.length("want"))
     best = hit.groupBy("id", "point", "part").agg(F.min_by(F.struct("source", own.alias("quote")), F.struct((F.col("source") != F.col("cited")).cast("int"), "source")).alias("b"))
     x = s.join(best, ["id", "point", "part"], "left")

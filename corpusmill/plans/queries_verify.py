@@ -50,9 +50,9 @@ _QSPLIT = r"""list_filter(string_split(regexp_replace(trim(text), '([.;:])\s+([A
 hit AS (SELECT item_id, part, min(doc_id) AS doc_id FROM p JOIN documents d ON d.doc_id < 200 AND length({_FOLD.format(t='s')}) >= 25 AND contains(lower(trim(regexp_replace(d.text, '\\s+', ' ', 'g'))), {_FOLD.format(t='s')}) GROUP BY ALL)
 SELECT item_id, part::INT AS part, coalesce(hit.doc_id, -1) AS source, hit.doc_id IS NOT NULL AS kept FROM p LEFT JOIN hit USING (item_id, part)""")
 def quote_sentence_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 200 documents are the slate that the items quote: the feature's own bound."""
+    """All documents are the slate. The SQL names the first 200, which are all at sf0.001 only."""
     points = table(spark, sf_dir, "benchmark").select(F.lit(0).alias("id"), F.col("item_id").alias("point"), F.lit(-1).alias("cited"), F.col("text").alias("quote"), F.lit("").alias("applies"))
-    slate = table(spark, sf_dir, "documents").where("doc_id < 200").select(F.lit(0).alias("id"), F.col("doc_id").alias("source"), "text")
+    slate = table(spark, sf_dir, "documents").select(F.lit(0).alias("id"), F.col("doc_id").alias("source"), "text")
     return V.check_quotes(points, slate).select(F.col("point").alias("item_id"), "part", F.coalesce("source", F.lit(-1).cast("long")).alias("source"), "kept")
 
 
