@@ -27,12 +27,8 @@ from pyspark.sql import functions as F
 from corpusmill.functions.process_cache import frugal
 from corpusmill.plans.staging import small_batches, table
 
-# quoted values are looked through for 5,000 characters at most, so that unclosed quotes
-# cost no more than that each; longer values end at the first ">" by the next alternative
-_TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]{0,5000}+\"|'[^']{0,5000}+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)",
-    re.S,
-)
+_OPEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)|<[!?][^>]*(?:>|\Z)", re.S)
+_BARE = re.compile(r"[^>\"']*")
 # a value is consumed with its name, so words inside quotes are never taken for names
 _ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 
@@ -56,6 +52,28 @@ HARD, SOFT, INSIDE, LINKS, WORD, STOP, HEADING, BASE = 400, 60, 120, 80, 3, 25,
 NEXT_TO, SAME_PARENT = 20, 12
 
 
+def _tag_end(page: str, at: int, dead: set[int]) -> int:
+    """Where the ">" of the tag stands whose attributes begin at ``at``, or the page's end.
+
+    A ">" inside a quoted value of any length ends no tag. If that leaves none, because a
+    quote is unclosed, the first ">" counts. ``dead`` collects the opening quotes of such
+    vain scans: a later scan that meets one stops there, so a page costs linear time.
+    """
+    pos, seen = at, []
+    while (pos := _BARE.match(page, pos).end()) < len(page):
+        if page[pos] == ">":
+            return pos
+        if pos in dead:
+            break
+        seen.append(pos)
+        pos = page.find(page[pos], pos + 1) + 1
+        if not pos:
+            break
+    dead.update(seen)
+    first = page.find(">", at)
+    return len(page) if first < 0 else first
+
+
 def _region(tag: str, attrs: str) -> tuple[int, int, int]:
     """(hard, soft, good) marks of one element."""
     hard, soft, good = int(tag in NEVER), int(tag in WEAK), int(tag in GOOD)
@@ -89,6 +107,7 @@ def blocks(page: str) -> list[dict]:
     text: list[str] = []
     linked, in_link, made, at, n = 0, 0, 1, 0, len(page)
     unclosed: set[str] = set()
+    dead: set[int] = set()
     link_depth = 0  # open elements when the last link began: it ends with the innermost of them
     inline: set[str] = set()  # inline elements that a region mark has opened as blocks
 
@@ -112,17 +131,18 @@ def blocks(page: str) -> list[dict]:
                 linked += len(raw.split())
 
     while at < n:
-        m = _TAG.search(page, at)
+        m = _OPEN.search(page, at)
         if m is None:
             add(page[at:])
             break
         if m.start() > at:
             add(page[at : m.start()])
         at = m.end()
-        name = m[2] or m[5]
-        if name is None:
+        if m[2] is None:
             continue
-        tag, closing, attrs = name.lower(), bool(m[1] or m[4]), m[3] if m[2] else m[6]
+        until = _tag_end(page, at, dead)
+        tag, closing, attrs = m[2].lower(), bool(m[1]), page[at:until]
+        at = until + 1
         if tag in RAW and not closing:
             if not attrs.endswith("/") and tag not in unclosed:
                 close = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(page, at)

@@ -181,3 +181,26 @@ def test_url_filters(spark):
     assert got[4].list == "m" and got[4].n_active == 2 and got[2].valid_from == d(2024, 2, 1)
     assert url_filters.decide(captures.limit(0), entries).count() == 0
     assert not any(r.blocked for r in url_filters.decide(captures, entries.limit(0)).collect())
+
+
+@pytest.mark.parametrize("q", "\"'")
+def test_quoted_values_have_no_length_bound(q):
+    other = "'" if q == '"' else '"'
+    value = f"<nav class={other}menu{other}>Not page text.</nav></article>" * 400  # some 20,000 characters
+    page = f"<article data-props={q}{value}{q}><p>The text of the page.</p></article><p>{q} > after"
+    assert [(b["text"], b["hard"], b["good"]) for b in html_extraction.blocks(page)] == [("The text of the page.", 0, 1), (f"{q} > after", 0, 0)]
+
+
+@pytest.mark.parametrize("unit", ['<a ">" ', '<a "', "<p '>\"", "<a '>'\""])
+def test_unclosed_quotes_cost_linear_time(unit, monkeypatch):
+    looks, real = 0, html_extraction._BARE
+
+    class Counted:
+        def match(self, *a):
+            nonlocal looks
+            looks += 1
+            return real.match(*a)
+
+    monkeypatch.setattr(html_extraction, "_BARE", Counted())
+    html_extraction.blocks(unit * 2000)
+    assert looks < 20_000
