@@ -177,7 +177,10 @@ def benchmark_windows(items: DataFrame) -> DataFrame:
 
 
 def document_windows(docs: DataFrame, only: np.ndarray | None) -> DataFrame:
-    """doc_id, h, pos, slots of the windows of ``docs`` (doc_id, text) whose hash is in ``only``."""
+    """doc_id, piece, h, pos, slots of the windows of ``docs`` (doc_id, text) whose hash is in ``only``.
+
+    ``piece`` is a digest of the text, or part of a long text, in which ``pos`` counts.
+    """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(only)
 
@@ -188,14 +191,17 @@ def document_windows(docs: DataFrame, only: np.ndarray | None) -> DataFrame:
             low[only & np.uint64((1 << 22) - 1)] = True
 
         def flush(ids: list, texts: list) -> pa.RecordBatch:
+            import xxhash
+
             h, doc, at, raw, real, slot = _windows(texts, words, find)
             if only is not None and len(h):
                 hit = np.nonzero(low[h & np.uint64((1 << 22) - 1)])[0]
                 hit = hit[np.isin(h[hit], only)] if len(hit) else hit
                 h, doc, at = h[hit], doc[hit], at[hit]
+            digests = {d: xxhash.xxh64_intdigest(texts[d].encode(errors="replace")) >> 1 for d in set(doc.tolist())}
             return pa.RecordBatch.from_arrays(
-                [pa.array([ids[d] for d in doc.tolist()], pa.int64()), pa.array(h.view(np.int64)), pa.array(at, pa.int64()), pa.array([_slots(i, raw, real, slot) for i in at.tolist()], pa.list_(pa.string()))],
-                names=["doc_id", "h", "pos", "slots"],
+                [pa.array([ids[d] for d in doc.tolist()], pa.int64()), pa.array([digests[d] for d in doc.tolist()], pa.int64()), pa.array(h.view(np.int64)), pa.array(at, pa.int64()), pa.array([_slots(i, raw, real, slot) for i in at.tolist()], pa.list_(pa.string()))],
+                names=["doc_id", "piece", "h", "pos", "slots"],
             )
 
         for b in batches:
@@ -211,7 +217,7 @@ def document_windows(docs: DataFrame, only: np.ndarray | None) -> DataFrame:
             if ids:
                 yield flush(ids, texts)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(frugal(run), "doc_id long, h long, pos long, slots array<string>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(frugal(run), "doc_id long, piece long, h long, pos long, slots array<string>")
 
 
 def matches(docs: DataFrame, items: DataFrame, cover: float = COVER, consistent: float = CONSISTENT) -> DataFrame:
@@ -223,30 +229,39 @@ def matches(docs: DataFrame, items: DataFrame, cover: float = COVER, consistent:
         only = np.sort(np.array([r.h for r in hashes.toLocalIterator()], np.int64).view(np.uint64))
     hits = document_windows(docs, only)
     joined = hits.join(bench.withColumnRenamed("slots", "item_slots"), "h").withColumn("diagonal", F.col("pos") - F.col("item_pos"))
-    joined = cut(joined.select("doc_id", "item_id", "variant", "n_windows", "h", "item_pos", "diagonal", "slots", "item_slots"))
+    joined = cut(joined.select("doc_id", "item_id", "variant", "n_windows", "piece", "h", "pos", "item_pos", "diagonal", "slots", "item_slots"))
     key = ["doc_id", "item_id", "variant"]
     held = joined.groupBy(*key).agg(F.countDistinct("h").alias("n"), F.max("n_windows").alias("n_windows")).withColumn("coverage", F.col("n") / F.col("n_windows")).where(F.col("coverage") >= cover)
     # matches of one copy share a diagonal, but for a few inserted or missing words
     along = Window.partitionBy(*key).orderBy("diagonal")
     starts = (F.col("diagonal") - F.lag("diagonal").over(along) > DRIFT).cast("int")
-    copies = joined.withColumn("starts", F.coalesce(starts, F.lit(0))).withColumn("copy", F.sum("starts").over(along.rangeBetween(Window.unboundedPreceding, 0)))
-    size = copies.groupBy(*key, "copy").agg(F.countDistinct("h").alias("here"), F.countDistinct(F.when(F.col("slots") == F.col("item_slots"), F.col("h"))).alias("equal"))
-    # the copy with the most windows, then the most equal ones, then the first
-    most = size.groupBy(*key).agg(F.max_by(F.struct("copy", "equal"), F.struct("here", "equal", -F.col("copy"))).alias("m")).select(*key, F.col("m.copy").alias("copy"), F.col("m.equal").alias("equal"))
-    values = copies.where("size(slots) > 0").select(*key, "copy", "item_pos", F.explode(F.arrays_zip("item_slots", "slots")).alias("s"))
+    chained = joined.withColumn("starts", F.coalesce(starts, F.lit(0))).withColumn("copy", F.sum("starts").over(along.rangeBetween(Window.unboundedPreceding, 0)))
+    # short items back to back have near diagonals too: read along the text, a copy also ends where item positions restart
+    inside = Window.partitionBy(*key, "piece").orderBy("pos")
+    step = lambda c: F.col(c) - F.lag(c).over(inside)
+    starts = ((step("pos") > 0) & ((step("item_pos") <= 0) | (F.abs(step("diagonal")) > DRIFT))).cast("int")
+    restarted = joined.withColumn("starts", F.coalesce(starts, F.lit(0))).withColumn("copy", F.sum("starts").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    copies = chained.withColumn("way", F.lit(0)).withColumn("piece", F.lit(0).cast("long")).unionByName(restarted.withColumn("way", F.lit(1)))
+    one = [*key, "way", "piece", "copy"]
+    size = copies.groupBy(*one).agg(F.countDistinct("h").alias("here"), F.countDistinct(F.when(F.col("slots") == F.col("item_slots"), F.col("h"))).alias("equal"))
+    values = copies.where("size(slots) > 0").select(*one, "item_pos", F.explode(F.arrays_zip("item_slots", "slots")).alias("s"))
     at = F.col("item_pos") + F.substring("s.item_slots", 1, 1).cast("long")
-    values = values.select(*key, "copy", at.alias("at"), F.expr("substring(s.item_slots, 3)").alias("a"), F.expr("substring(s.slots, 3)").alias("b")).distinct()
-    values = values.groupBy(*key, "copy", "a", "b").count().groupBy(*key, "copy", "a").agg((F.max("count") / F.sum("count")).alias("agree"))
-    values = values.groupBy(*key, "copy").agg(F.min("agree").alias("agree"))
+    values = values.select(*one, at.alias("at"), F.expr("substring(s.item_slots, 3)").alias("a"), F.expr("substring(s.slots, 3)").alias("b")).distinct()
+    values = values.groupBy(*one, "a", "b").count().groupBy(*one, "a").agg((F.max("count") / F.sum("count")).alias("agree"))
+    values = values.groupBy(*one).agg(F.min("agree").alias("agree"))
 
     def joined_by(x: DataFrame, y: DataFrame, on: list[str], how: str) -> DataFrame:
         y = y.select(*[F.col(c).alias(f"_{c}") if c in on else F.col(c) for c in y.columns])
         return x.join(y, [x[c].eqNullSafe(y[f"_{c}"]) for c in on], how).drop(*[f"_{c}" for c in on])
 
-    both = joined_by(held, most, key, "inner")
-    both = joined_by(both, values, [*key, "copy"], "left").withColumn("consistency", F.coalesce("agree", F.lit(1.0)))
+    both = joined_by(size, held, key, "inner")
+    both = joined_by(both, values, one, "left").withColumn("consistency", F.coalesce("agree", F.lit(1.0)))
     verbatim = F.col("equal") / F.col("n_windows") >= cover
-    both = both.where(verbatim | (F.col("consistency") >= consistent)).withColumn("kind", F.when(verbatim, "verbatim").otherwise("reparameterised"))
+    both = both.withColumn("kind", F.when(verbatim, "verbatim").otherwise("reparameterised")).withColumn("ok", verbatim | (F.col("consistency") >= consistent))
+    # any copy that holds enough of the item by itself may pass; of these, or else of all, the one
+    # with the most windows, then the most equal ones, then the first
+    rank = F.struct(F.col("ok") & (F.col("here") / F.col("n_windows") >= cover), "here", "equal", -F.col("way"), -F.col("piece"), -F.col("copy"))
+    both = both.groupBy(*key).agg(F.max_by(F.struct("coverage", "consistency", "kind", "ok"), rank).alias("m")).select(*key, "m.*").where("ok")
     best = F.max_by(F.struct("coverage", "consistency", "kind"), F.struct("coverage", "consistency", F.col("kind"))).alias("m")
     return both.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "m.coverage", "m.consistency", "m.kind")
 

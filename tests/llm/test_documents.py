@@ -308,6 +308,19 @@ def test_decontamination_kinds(spark, empty):
     assert decontamination.matches(docs, items.limit(0)).count() == 0
 
 
+def test_decontamination_of_every_copy(spark):
+    swap = QUESTION.replace("Alice", "Maria").replace("Bob", "Pedro").replace("12", "47").replace("5", "8").replace("3 miles", "9 km")
+    mixed = re.sub("Alice|Bob", lambda m, n=iter("Ann Ben Cid Dan Eve".split()): next(n), QUESTION)
+    gap = " some words of no question stand between the two copies of this bank here "
+    nearly = " ".join(QUESTION.split()[:-3])
+    short = "add {} apples and then count {} pears"
+    bank = " ".join(short.format(a, b) for a, b in ((31, 5), (44, 6), (58, 9), (63, 2)))
+    docs = spark.createDataFrame([(1, mixed + gap + swap), (2, mixed + gap + nearly), (3, mixed + gap + mixed), (4, bank), (5, bank), (5, bank), (None, mixed + gap + swap)], "doc_id long, text string")
+    items = spark.createDataFrame([(7, QUESTION), (8, short.format(12, 7))], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.kind for r in decontamination.matches(docs, items).collect()}
+    assert got == {(1, 7): "reparameterised", (2, 7): "verbatim", (4, 8): "reparameterised", (5, 8): "reparameterised", (None, 7): "reparameterised"}
+
+
 def test_decontamination_without_punctuation(spark):
     item = "Then the court ruled on it. Nobody there had seen the letter. Such cases are rare! Who wrote it then? Maybe the clerk did."
     docs = spark.createDataFrame([(1, "a b c " + re.sub(r"[^\w\s]", "", item)), (2, item.lower()), (3, item.replace(". ", ".\n\n")), (4, "Then the court ruled on other things. Such cases are rare!")], "doc_id long, text string")
