@@ -27,3 +27,11 @@ def test_quotes_of_all_documents(spark, tmp_path):
     save(spark, tmp_path, "benchmark", quotes, "item_id long, text string")
     got = {r.item_id: (r.source, r.kept) for r in entry.queries()["quote_sentence_match"](spark, str(tmp_path)).collect()}
     assert got == {1: (250, True), 2: (900, True), 3: (900, True), 4: (901, True), 5: (-1, False), 6: (-1, False), 7: (900, True)}
+
+
+def test_editions_by_whole_paragraphs(spark, tmp_path):
+    head = "The same forty characters open both texts"
+    rows = [(2, "en", f"{head}, old"), (3, "en", f"{head}, new"), (4, "en", "kept"), (5, "en", "kept"), (7, "de", "kept")]
+    save(spark, tmp_path, "documents", rows, "doc_id long, lang string, text string")
+    got = {tuple(r) for r in entry.queries()["edition_diff_whole"](spark, str(tmp_path)).collect()}
+    assert got == {("en", f"{head}, new"), ("de", "kept")}
