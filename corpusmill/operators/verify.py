@@ -210,6 +210,21 @@ def support(claims: DataFrame, sources: DataFrame, least: float = 0.6) -> DataFr
     return x.select("claim", ratio.alias("ratio"), (ratio < least).alias("flagged"))
 
 
+def support_in_any(claims: DataFrame, sources: DataFrame, least: float = 0.6) -> DataFrame:
+    """(claim, ratio, flagged) as ``support`` has it, over the sentences of all sources (text).
+
+    Sentences of the same content words count once; claims and sentences meet by word.
+    """
+    c = claims.select("claim", T.content_words(F.col("text")).alias("cw"))
+    s = sources.select(F.explode(T.sentences(F.col("text"))).alias("s")).select(F.array_sort(T.content_words(F.col("s"))).alias("sw"))
+    s = s.select(F.sha2(F.array_join("sw", " "), 256).alias("sentence"), "sw").dropDuplicates(["sentence"])
+    words = c.select("claim", F.explode("cw").alias("word"))
+    shared = s.select("sentence", F.explode("sw").alias("word")).join(small_or_shuffled(words), "word").groupBy("claim", "sentence").count()
+    most = shared.groupBy("claim").agg(F.max("count").alias("n"))
+    ratio = F.when(F.size("cw") == 0, F.lit(1.0)).otherwise(F.coalesce("n", F.lit(0)) / F.size("cw"))
+    return c.join(most, "claim", "left").select("claim", ratio.alias("ratio"), (ratio < least).alias("flagged"))
+
+
 def best_sources(claims: DataFrame, sources: DataFrame, n: int = 3) -> DataFrame:
     """The n sources of each claim with the most words in common."""
     x = claims.select("claim", T.content_words(F.col("text")).alias("cw")).join(sources.select("claim", "source", T.content_words(F.col("text")).alias("sw")), "claim")

@@ -139,6 +139,13 @@ def word_overlap_support(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.support(claims, sources.join(claims.select("claim"), "claim", "left_semi")).select("claim", F.round("ratio", 6).alias("ratio"), "flagged")
 
 
+@query()
+def word_overlap_support_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every claim against the sentences of all documents; word_overlap_support pairs by id, as its SQL does."""
+    claims = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("claim"), "text")
+    return V.support_in_any(claims, table(spark, sf_dir, "documents").select("text")).select("claim", F.round("ratio", 6).alias("ratio"), "flagged")
+
+
 _CHECKS = (("says idiot", r"\bidiot\b", "must_not"), ("ends sentences", r"\.\s", "must"), ("has digits", r"\d", "must"), ("has pipes", r"\|", "must_not"))
 _CVALS = ", ".join(f"('{n}', '{p}', '{k}')" for n, p, k in _CHECKS)
 _MATRIX = f"m AS (SELECT doc_id, lang, name, kind, regexp_matches(text, '(?is)' || pattern) = (kind = 'must') AS passed FROM documents, (VALUES {_CVALS}) c(name, pattern, kind))"

@@ -35,3 +35,11 @@ def test_editions_by_whole_paragraphs(spark, tmp_path):
     save(spark, tmp_path, "documents", rows, "doc_id long, lang string, text string")
     got = {tuple(r) for r in entry.queries()["edition_diff_whole"](spark, str(tmp_path)).collect()}
     assert got == {("en", f"{head}, new"), ("de", "kept")}
+
+
+def test_claims_against_all_documents(spark, tmp_path):
+    save(spark, tmp_path, "benchmark", [(1, "students need authorization before working"), (2, "zebra quagga okapi"), (3, "it is")], "item_id long, text string")
+    rows = [(1, "Nothing here."), (700, "Other. Students need authorization before any working."), (700, "Students need authorization before any working."), (800, "One zebra.")]
+    save(spark, tmp_path, "documents", rows, "doc_id long, text string")
+    got = {r.claim: (r.ratio, r.flagged) for r in entry.queries()["word_overlap_support_all"](spark, str(tmp_path)).collect()}
+    assert got == {1: (1.0, False), 2: (0.333333, True), 3: (1.0, False)}
