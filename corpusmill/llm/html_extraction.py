@@ -1,17 +1,26 @@
 """Main text of web pages by minimum-cut labelling.
 
 A page becomes a list of blocks (runs of text between block-level tags). A linear
-classifier over a block's place, words and links gives the cost of calling it
-boilerplate or content; these costs are the capacities from the source and to the
-sink. Neighbours in page order and in the DOM (blocks of one parent) are joined by
-smoothness edges. The minimum cut, found by Dinic's maximum flow, labels all
-blocks together, so that a short line inside an article stays with it and a chatty
-line inside a menu goes with the menu.
+classifier over a block's words, links and place gives the cost of calling it
+boilerplate or content; these costs, of at most some 150 either way, are the
+capacities from the source and to the sink. Neighbours in page order and blocks of
+one parent are joined by smoothness edges, and each block inside an ``article`` or
+``main`` region is tied to a node of that region, which has a cost of its own. The
+minimum cut, found by Dinic's maximum flow, labels all blocks together: a single
+word or a linked line inside an article stays with it, a chatty line inside a menu
+goes with the menu.
+
+Words in class, id and role are evidence, not verdicts. Words of a place (sidebar,
+navbar, form) count only for elements that hold less than half of the page's plain
+words, since a wrapper is often named after what stands beside the article.
 
 Defined results: null and empty pages give an empty text; text that no tag
-surrounds is a block; unclosed tags and quotes end where the page ends; null ids
-and urls are kept; repeated rows each get a row; an empty table gives an empty
-result; other columns are not read. A page's memory is linear in its length.
+surrounds is a block; unclosed tags and quotes end where the page ends; scripts that
+open with a slash at the end are not thereby closed; text that is not displayed
+(hidden attribute or style) is no block; scripts without spaces count two characters
+as a word; null ids and urls are kept; repeated rows each get a row; an empty table
+gives an empty result; other columns, whatever their names, are not read. A very long
+page is read whole, in memory linear in its length.
 """
 
 from __future__ import annotations
@@ -40,16 +49,28 @@ NEVER = frozenset("nav footer aside menu dialog button select head search".split
 WEAK = frozenset("header form fieldset".split())
 GOOD = frozenset("article main".split())
 CLOSES_P = BLOCKS - {"button", "option", "optgroup"}
-# Words in class, id and role that name a region, whole or as a prefix.
-BAD_WORDS = frozenset("ad ads adv advert adslot banner sidebar aside nav navbar navigation menu menubar footer contentinfo complementary comment comments disqus respond replies reply cookie cookies consent gdpr notice notices alert popup modal overlay promo promotion sponsor sponsored share sharing social related recommended newsletter subscribe subscription signup login breadcrumb breadcrumbs pagination pager widget toolbar masthead search form skip copyright disclaimer outbrain taboola".split())
-BAD_STARTS = ("advert", "sponsor", "comment", "cookie", "sidebar", "breadcrumb", "newsletter", "navig", "footer")
-# "content-with-sidebar" names no sidebar
+# Words in class, id and role that name what an element holds, whole or as a prefix.
+BAD_WORDS = frozenset("ad ads adv advert adslot contentinfo complementary comment comments disqus respond replies reply cookie cookies consent gdpr notice notices alert promo promotion sponsor sponsored share sharing social related recommended newsletter subscribe subscription copyright disclaimer outbrain taboola".split())
+BAD_STARTS = ("advert", "sponsor", "comment", "cookie", "newsletter")
+# Words that name a place on the page.
+PLACE_WORDS = frozenset("banner sidebar aside nav navbar navigation menu menubar footer popup modal overlay signup login breadcrumb breadcrumbs pagination pager widget toolbar masthead search form skip".split())
+PLACE_STARTS = ("sidebar", "breadcrumb", "navig", "footer")
+# Fixed values: "content-with-sidebar" names no sidebar, "comments-open" no comments
 NOT_ITSELF = frozenset("with has no without hide show".split())
+STATES = frozenset("open opened closed enabled disabled on off allowed".split())
 GOOD_WORDS = frozenset("article content post entry story main prose articlebody maincontent".split())
 
 # Weights of the linear classifier, in units of capacity.
-HARD, SOFT, INSIDE, LINKS, WORD, STOP, HEADING, BASE = 400, 60, 120, 80, 3, 25, 30, 25
-NEXT_TO, SAME_PARENT = 20, 12
+BASE, WORD, MOST_WORDS, STOP, HEADING, INSIDE, LINKS, LINKS_INSIDE, REGION, SOFT = 40, 3, 60, 25, 30, 35, 80, 10, 100, 90
+# Smoothness: to the block before, to the last block of one parent, to another region, to the region's node; and the node's own cost.
+NEXT_TO, SAME_PARENT, ACROSS, TO_REGION, REGION_COST = 20, 12, 4, 45, 200
+_NO_SPACES = re.compile("[\u0e00-\u0eff\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]")
+
+
+def _n_words(s: str) -> int:
+    """Words; of scripts without spaces, pairs of characters."""
+    n = len(s.split())
+    return n if s.isascii() else max(n, len(_NO_SPACES.findall(s)) // 2)
 
 
 def _tag_end(page: str, at: int, dead: set[int]) -> int:
@@ -74,36 +95,41 @@ def _tag_end(page: str, at: int, dead: set[int]) -> int:
     return len(page) if first < 0 else first
 
 
-def _region(tag: str, attrs: str) -> tuple[int, int, int]:
-    """(hard, soft, good) marks of one element."""
-    hard, soft, good = int(tag in NEVER), int(tag in WEAK), int(tag in GOOD)
+def _region(tag: str, attrs: str) -> tuple[int, int, int, int, int]:
+    """(bad, place, soft, good, hidden) marks of one element."""
+    bad, place, soft, good, hidden = int(tag in NEVER), 0, int(tag in WEAK), int(tag in GOOD), 0
     if attrs and not attrs.isspace():
         for m in _ATTR.finditer(attrs):
             key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
             if key == "style":
-                hard |= "display:none" in value.replace(" ", "") or "visibility:hidden" in value.replace(" ", "")
+                bare = "".join(value.split())
+                hidden |= "display:none" in bare or "visibility:hidden" in bare
             elif key == "hidden":
-                hard = 1
+                hidden = 1
             elif key == "aria-hidden":
-                hard |= value == "true"
+                hidden |= value == "true"
             elif key in ("class", "id", "role") and tag not in ("html", "body"):
-                before = ""
-                for w in re.findall(r"[a-z]+", value):
-                    if (w in BAD_WORDS or w.startswith(BAD_STARTS)) and before not in NOT_ITSELF:
-                        hard = 1
-                    elif w == "header":
-                        soft = 1
-                    elif w in GOOD_WORDS:
-                        good = 1
-                    before = w
-    return int(bool(hard)), soft, 0 if hard else good
+                for name in value.split():
+                    parts, before = re.findall(r"[a-z]+", name), ""
+                    if tag in GOOD and len(parts) > 1:
+                        continue  # a compound names a state or the page, not what the article is
+                    for w, after in zip(parts, parts[1:] + [""]):
+                        if before not in NOT_ITSELF:
+                            bad |= (w in BAD_WORDS or w.startswith(BAD_STARTS)) and after not in STATES
+                            place |= tag not in GOOD and (w in PLACE_WORDS or w.startswith(PLACE_STARTS))
+                        soft |= w == "header"
+                        good |= w in GOOD_WORDS
+                        before = w
+    return int(bad), int(place), int(soft), 0 if bad else int(good), int(hidden)
 
 
 def blocks(page: str) -> list[dict]:
-    """Blocks in page order: text, words, linked words, parent number, region marks, tag."""
+    """Blocks in page order: text, words, linked words, parent and region number, marks, tag."""
     out: list[dict] = []
-    # an open block-level element: tag, hard marks, soft marks since the last good one, inside good, number
-    stack: list[tuple] = [("", 0, 0, 0, 0)]
+    # open block-level elements: tag, bad marks, inside good, number, hidden, region, innermost place and soft mark
+    stack: list[tuple] = [("", 0, 0, 0, 0, -1, -1, -1)]
+    marks: list[list[int]] = []  # of place and soft marks: first block, block after the last, the mark around
+    closes: list[list[int]] = [[]]  # the marks that end with each open element
     text: list[str] = []
     linked, in_link, made, at, n = 0, 0, 1, 0, len(page)
     unclosed: set[str] = set()
@@ -114,13 +140,26 @@ def blocks(page: str) -> list[dict]:
     def end() -> None:
         nonlocal linked
         if text:
-            words = "".join(text).split()
-            if words:
-                tag, hard, soft, good, number = stack[-1]
-                out.append({"text": " ".join(words), "words": len(words), "linked": min(linked, len(words)), "parent": stack[-2][4] if len(stack) > 1 else 0, "hard": hard, "soft": soft, "good": good, "tag": tag})
+            joined = " ".join("".join(text).split())
+            if joined and not stack[-1][4]:
+                tag, bad, good, _, _, region, place, soft = stack[-1]
+                words = _n_words(joined)
+                out.append({"text": joined, "words": words, "linked": min(linked, words), "parent": stack[-2][3] if len(stack) > 1 else 0, "hard": int(bad > 0), "place": place, "soft": soft, "good": good, "region": region, "tag": tag})
             text.clear()
         linked = 0
 
+    def close(k: int) -> None:
+        """Close all open elements from the k-th on."""
+        for ms in closes[k:]:
+            for m in ms:
+                marks[m][1] = len(out)
+        del stack[k:], closes[k:]
+
+    def mark(around: int) -> int:
+        marks.append([len(out), -1, around])
+        closes[-1].append(len(marks) - 1)
+        return len(marks) - 1
+
     def add(raw: str) -> None:
         nonlocal linked
         if raw:
@@ -128,7 +167,7 @@ def blocks(page: str) -> list[dict]:
                 raw = entities.unescape(raw)
             text.append(raw)
             if in_link:
-                linked += len(raw.split())
+                linked += _n_words(raw)
 
     while at < n:
         m = _OPEN.search(page, at)
@@ -144,10 +183,11 @@ def blocks(page: str) -> list[dict]:
         tag, closing, attrs = m[2].lower(), bool(m[1]), page[at:until]
         at = until + 1
         if tag in RAW and not closing:
-            if not attrs.endswith("/") and tag not in unclosed:
-                close = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(page, at)
-                if close:
-                    at = close.end()
+            # a slash closes foreign elements only
+            if not (attrs.endswith("/") and tag in ("svg", "math")) and tag not in unclosed:
+                ends = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(page, at)
+                if ends:
+                    at = ends.end()
                 elif tag in ("script", "style"):
                     break
                 else:
@@ -157,7 +197,7 @@ def blocks(page: str) -> list[dict]:
             in_link, link_depth = int(not closing), len(stack)
         elif tag == "br":
             text.append(" ")
-        elif tag in BLOCKS or (not closing and tag not in VOID and (attrs and _region(tag, attrs)[0] or tag in inline)):
+        elif tag in BLOCKS or (not closing and tag not in VOID and (tag in inline or attrs and any((r := _region(tag, attrs))[i] for i in (0, 1, 4)))):
             end()
             if tag in VOID:
                 continue
@@ -166,53 +206,84 @@ def blocks(page: str) -> list[dict]:
             if closing:
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k][0] == tag:
-                        del stack[k:]
+                        close(k)
                         break
                 in_link = in_link and int(len(stack) >= link_depth)
             else:
                 if tag in CLOSES_P and stack[-1][0] == "p":
-                    stack.pop()
+                    close(len(stack) - 1)
                 if tag in ("li", "dt", "dd", "tr", "td", "th", "option") and stack[-1][0] == tag:
-                    stack.pop()
+                    close(len(stack) - 1)
                 in_link = in_link and int(len(stack) >= link_depth)
-                _, hard, soft, good, _ = stack[-1]
-                h, s, g = _region(tag, attrs)
-                h = h or int(good and tag in ("form", "fieldset"))
-                stack.append((tag, hard + h, 0 if g else soft + s, 1 if g else 0 if h else good, made))
+                _, bad, good, _, hidden, region, place, soft = stack[-1]
+                b, p, s, g, h = _region(tag, attrs)
+                b = b or int(good and tag in ("form", "fieldset"))
+                closes.append([])
+                if g:
+                    good, region, soft = 1, made, -1
+                elif b:
+                    good, region = 0, -1
+                if p:
+                    place = mark(place)
+                if s and not g:
+                    soft = mark(soft)
+                stack.append((tag, bad + b, good, made, hidden or h, region, place, soft))
                 made += 1
         elif closing and tag in inline and any(e[0] == tag for e in stack[1:]):
             end()
-            del stack[max(k for k in range(1, len(stack)) if stack[k][0] == tag) :]
+            close(max(k for k in range(1, len(stack)) if stack[k][0] == tag))
     end()
+    close(1)
+    _weigh_marks(out, marks)
     return out
 
 
+def _weigh_marks(bs: list[dict], marks: list[list[int]]) -> None:
+    """Turn mark numbers into 0 or 1: a mark around half of the page's plain words or more is none."""
+    upto = [0]
+    for b in bs:
+        upto.append(upto[-1] + b["words"] - b["linked"])
+    counts: list[int] = []
+    for first, after, around in marks:  # outer marks come first
+        small = 2 * (upto[after] - upto[first]) < upto[-1]
+        counts.append(int(small or around >= 0 and counts[around]))
+    for b in bs:
+        for k in ("place", "soft"):
+            b[k] = counts[b[k]] if b[k] >= 0 else 0
+
+
 def costs(b: dict) -> int:
     """Positive: cost of calling the block boilerplate; negative: of calling it content."""
-    score = -BASE + min(WORD * b["words"], 60)
-    score -= HARD * b["hard"] + (SOFT if b["soft"] and not b["good"] else 0)
-    if b["good"] and not b["hard"]:
-        score += INSIDE
-    score -= LINKS * b["linked"] // b["words"]
-    if b["text"][-1] in ".!?…。\"”’" and b["words"] > 3:
+    marked = b["hard"] or b["place"]
+    inside = b["good"] and not marked
+    score = -BASE + min(WORD * b["words"], MOST_WORDS) + INSIDE * inside
+    score -= REGION if marked else SOFT if b["soft"] else 0
+    score -= (LINKS_INSIDE if inside else LINKS) * b["linked"] // max(b["words"], 1)
+    if b["text"][-1] in ".!?…。！？\"”’" and b["words"] > 3:
         score += STOP
     if b["tag"] in ("h1", "h2", "h3", "h4", "h5", "h6") and not b["linked"]:
         score += HEADING
     return score
 
 
-def edges(bs: list[dict]) -> list[tuple[int, int, int]]:
-    """Smoothness edges: to the block before, and to the last block of the same parent."""
-    out, last = [], {}
+def problem(bs: list[dict]) -> tuple[list[int], list[tuple[int, int, int]]]:
+    """(costs, smoothness edges) of the blocks and then of their regions."""
+    cost, links, last, regions = [costs(b) for b in bs], [], {}, {}
+    places = [(b["hard"], b["place"], b["soft"], b["region"]) for b in bs]
     for i, b in enumerate(bs):
-        same_place = i and (b["hard"], b["good"]) == (bs[i - 1]["hard"], bs[i - 1]["good"])
         if i:
-            out.append((i - 1, i, NEXT_TO if same_place else NEXT_TO // 4))
+            links.append((i - 1, i, NEXT_TO if places[i] == places[i - 1] else ACROSS))
         j = last.get(b["parent"])
-        if j is not None:
-            out.append((j, i, SAME_PARENT))
+        if j is not None and places[i] == places[j]:
+            links.append((j, i, SAME_PARENT))
         last[b["parent"]] = i
-    return out
+        if b["region"] >= 0 and not (b["hard"] or b["place"]):
+            r = regions.get(b["region"])
+            if r is None:
+                r = regions[b["region"]] = len(cost)
+                cost.append(REGION_COST)
+            links.append((i, r, TO_REGION))
+    return cost, links
 
 
 def min_cut(cost: list[int], links: list[tuple[int, int, int]]) -> list[bool]:
@@ -275,14 +346,17 @@ def min_cut(cost: list[int], links: list[tuple[int, int, int]]) -> list[bool]:
             u = to[e]
 
 
+def labels(bs: list[dict]) -> list[bool]:
+    """True for the blocks that are content."""
+    cost, links = problem(bs)
+    # with one sign nothing can be cut: the labels are those of the costs
+    keep = [c > 0 for c in cost] if min(cost) > 0 or max(cost) <= 0 else min_cut(cost, links)
+    return keep[: len(bs)]
+
+
 def main_text(page: str | None) -> str:
     bs = blocks(page or "")
-    if not bs:
-        return ""
-    cost = [costs(b) for b in bs]
-    # with one sign nothing can be cut: the labels are those of the costs
-    keep = [c > 0 for c in cost] if min(cost) > 0 or max(cost) <= 0 else min_cut(cost, edges(bs))
-    return "\n".join(b["text"] for b, k in zip(bs, keep) if k)
+    return "\n".join(b["text"] for b, k in zip(bs, labels(bs)) if k) if bs else ""
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -204,3 +204,89 @@ def test_unclosed_quotes_cost_linear_time(unit, monkeypatch):
     monkeypatch.setattr(html_extraction, "_BARE", Counted())
     html_extraction.blocks(unit * 2000)
     assert looks < 20_000
+
+
+SENTENCES = "<p>The first sentence of this page is here. The second one is here too. A third follows it. Then comes a fourth. The fifth ends it.</p>"
+
+
+@pytest.mark.parametrize(
+    "wrap",
+    [
+        '<article class="post comments-open">%s</article>', '<div class="layout sidebar-right"><article>%s</article></div>', '<div id="page" class="right-sidebar"><main>%s</main></div>',
+        '<main class="search-results">%s</main>', '<div class="has-navbar navbar-fixed"><article>%s</article></div>', '<div class="form">%s</div>', '<body class="sidebar ads">%s</body>', '<form id="aspnet"><header><div>%s</div></header></form>',
+    ],
+)
+def test_names_of_wrappers_lose_no_article(wrap):
+    text = SENTENCES[3:-4]
+    assert html_extraction.main_text("<html>" + wrap % SENTENCES) == text
+    beside = '<div class="sidebar"><p>Some words that stand beside it all.</p></div><div class="comments"><article class="comment"><p>A reader wrote this long and friendly comment here.</p></article></div>'
+    assert html_extraction.main_text(wrap % SENTENCES + beside) == text
+
+
+def test_scripts_without_spaces():
+    a, b = "这是一个很长的中文段落，它没有空格，但是它是一篇文章的内容，所以应该保留下来。", "これは本文の段落です。空白はありませんが、長い文章なので残るべきものです。"
+    assert html_extraction.main_text(f"<div><p>{a}</p><p>{b}</p></div><ul><li><a href=x>主页</a><li><a href=y>新闻</a></ul>") == f"{a}\n{b}"
+
+
+def test_slashes_close_no_scripts():
+    page = f'<article>{SENTENCES}<script src="a.js"/>code</script><iframe src=https://x.com/>frame</iframe><svg/><p>And the last line.</p></article>'
+    assert html_extraction.main_text(page) == SENTENCES[3:-4] + "\nAnd the last line."
+
+
+def test_text_that_is_not_displayed():
+    assert html_extraction.main_text(f'<div hidden>{SENTENCES}</div><div style="display : none">{SENTENCES}</div><article>{SENTENCES}<p>Then <span aria-hidden="true">not this</span> the end.</p></article>').count("first") == 1
+
+
+def least_cuts(cost, links):
+    """All labellings of least value, by trying every one."""
+    best, found = None, []
+    for m in range(1 << len(cost)):
+        keep = [bool(m >> i & 1) for i in range(len(cost))]
+        v = cut_value(cost, links, keep)
+        if best is None or v < best:
+            best, found = v, []
+        if v == best:
+            found.append(keep)
+    return found
+
+
+def test_labels_are_of_least_cost_on_small_pages():
+    """Every labelling of random small pages is tried; the text is that of a cheapest one."""
+    rng = random.Random(5)
+    bits = ["<p>One two three four five six seven eight nine ten eleven.</p>", "<p>Word</p>", "<ul><li><a href=x>Link</a><li>plain item</ul>", "<h2>A heading</h2>", "<div class=ad>Buy it now, it is cheap.</div>", "<nav><a href=y>Home</a></nav>", "<article>", "</article>", "<div class=sidebar>", "</div>", "<p>Half a <a href=z>linked line</a></p>"]
+    flips = 0
+    for _ in range(150):
+        page = "".join(rng.choices(bits, k=rng.randint(1, 9)))
+        bs = html_extraction.blocks(page)
+        cost, links = html_extraction.problem(bs) if bs else ([], [])
+        if not bs or len(cost) > 13:
+            continue
+        keep = html_extraction.labels(bs)
+        assert keep in [k[: len(bs)] for k in least_cuts(cost, links)]
+        assert html_extraction.main_text(page) == "\n".join(b["text"] for b, k in zip(bs, keep) if k)
+        flips += sum((c > 0) != k for c, k in zip(cost, keep))
+    assert flips > 20
+
+
+def test_the_cut_changes_labels_of_real_pages(spark):
+    """On the driver's pages the cut, not a block's own cost, decides hundreds of blocks, and every article comes back whole."""
+    import re
+
+    flips = 0
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        bs = html_extraction.blocks(r.html or "")
+        keep = html_extraction.labels(bs) if bs else []
+        flips += sum((html_extraction.costs(b) > 0) != k for b, k in zip(bs, keep))
+        article = re.search(r"<article>(.*?)</article>", r.html or "", re.S)
+        if article:
+            import html
+
+            plain = html.unescape(re.sub(r"<[^>]+>", " ", article[1])).split()
+            assert html_extraction.main_text(r.html).split() == plain
+    assert flips > 30
+
+
+def test_very_long_and_odd_pages(spark):
+    rows = [(1, "u", "<article>" + SENTENCES * 20_000 + "</article>", "a", "b", "c"), (1, "u", "x" * 3_000_000, "a", "b", "c"), (3, None, "<div>" * 50_000 + "deep", "a", "b", "c")]
+    got = html_extraction.extract(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert len(got) == 3 and got[0].text.count("\n") == 19_999
