@@ -167,6 +167,62 @@ def test_simhash_links_in_dense_groups(spark):
         assert [found.get(s) for s in g] == ([min(g)] * len(g) if len(g) > 1 else [None])
 
 
+def test_simhash_count_filter(spark):
+    """Pairs that meet in a list with four or five shared bytes are dropped by their tally, not by their bits."""
+    import random
+
+    import numpy as np
+
+    rng = random.Random(11)
+    base = rng.getrandbits(64)
+    four = base ^ 0x01_01_01_01_00_00_00_00  # shares four bytes, differs in four bits
+    five = base ^ 0x01_00_00_01_00_00_01_00
+    near, wide = base ^ 0x10_00_00_00_00_00_00_01, base ^ 0x07_00_00_00_00_00_00_00
+    fps = np.array([base, four, five, near, wide], np.uint64)
+    assert simhash.tallied(fps)[0].tolist() == [8, 4, 5, 6, 7]
+    assert any(all(not (base ^ x) >> 8 * p & 255 for p in s) for s in simhash.SETS for x in (four,))  # they do meet
+    assert simhash._by_tally(fps) == [(3, 0)]  # 7 shared bytes and 3 bits: verification rejects
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps.tolist()]
+    got = {frozenset((r.a, r.b)) for r in simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long")).collect()}
+    assert got == {frozenset((signed[0], signed[3]))}
+
+
+@pytest.mark.parametrize("pairwise", [0, 3, 10_000])
+def test_simhash_lists_of_any_length(spark, monkeypatch, pairwise):
+    """The refined path and the pairwise path give the same groups as brute force."""
+    import random
+
+    monkeypatch.setattr(simhash, "PAIRWISE", pairwise)
+    rng = random.Random(3)
+    fps = set()
+    for _ in range(12):
+        base = rng.getrandbits(64)
+        for _ in range(25):
+            x = base
+            for _ in range(rng.randint(0, 5)):
+                x ^= 1 << rng.randrange(64)
+            fps.add(x)
+    fps = sorted(f - (1 << 64) if f >> 63 else f for f in fps)
+    root = grouped(fps, lambda a, b: (a ^ b).bit_count() <= 2 if (a < 0) == (b < 0) else ((a ^ b) & (1 << 64) - 1).bit_count() <= 2)
+    want = collections.Counter(root)
+    found = {r.node: r.component for r in simhash.components(simhash.links(spark.createDataFrame([(x,) for x in fps], "fp long"))).collect()}
+    assert {x: found[x] for x in found} == {x: fps[g] for x, g in zip(fps, root) if want[g] > 1}
+
+
+def test_keep_one_judges_rows(spark):
+    a = "The quick brown fox jumps over the lazy dog while seven wizards brew strong potions in a quiet valley tonight."
+    b = "Nothing of this second text has been said before, neither by the fox nor by any of the wizards it met."
+    c = "A third text that only rows without an id hold, and that is written twice in this small table of ours."
+    docs = spark.createDataFrame([(1, a, 7), (5, a, 8), (5, b, 9), (None, a, 1), (None, c, 2), (None, c, 3), (6, None, 4), (7, "", 5)], "doc_id long, text string, fp long")
+    assert sorted(map(str, (tuple(r) for r in simhash.keep_one(docs).collect()))) == sorted(map(str, [(1, a, 7), (5, b, 9), (None, c, 2), (None, c, 3), (6, None, 4)]))
+
+
+def test_components_of_a_star(spark):
+    edges = spark.createDataFrame([(900, i) for i in range(300)] + [(i + 1000, 900) for i in range(300)], "a long, b long")
+    found = {r.node: r.component for r in simhash.components(edges).collect()}
+    assert set(found.values()) == {0} and len(found) == 601
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (501, 500), (7, 7)], "a long, b long")
     found = {r.node: r.component for r in simhash.components(edges).collect()}
