@@ -403,6 +403,144 @@ def test_decontamination_in_pieces(monkeypatch):
     assert set(whole.tolist()) <= {x for p in parts for x in p.tolist()}
 
 
+def test_decontamination_judges_rows(spark):
+    """Two halves under one id, or under none, are no copy; a row is judged by its own text."""
+    w = QUESTION.split()
+    head, tail = " ".join(w[:16]), " ".join(w[14:])
+    clean = "Nothing in this row has ever been asked in any benchmark that we know of."
+    docs = spark.createDataFrame([(1, head, 5), (1, tail, 6), (None, head, 7), (None, tail, 8), (2, clean, 9), (2, QUESTION, 10), (None, QUESTION, 11), (None, clean, 12)], "doc_id long, text string, row long")
+    items = spark.createDataFrame([(7, QUESTION)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.kind, r.coverage) for r in decontamination.matches(docs, items).collect()}
+    assert got == {(2, 7): ("verbatim", 1.0), (None, 7): ("verbatim", 1.0)}
+    assert sorted(r.row for r in decontamination.clean(docs, items).collect()) == [5, 6, 7, 8, 9, 11, 12]
+    assert sorted(r.row for r in decontamination.clean(docs, items, null_ids=True).collect()) == [5, 6, 7, 8, 9, 12]
+    # two items under one id do not add up either
+    halves = spark.createDataFrame([(7, head), (7, tail)], "item_id long, text string")
+    assert {r.doc_id for r in decontamination.matches(docs.where("row in (5, 9)"), halves).collect()} == {1}
+
+
+def test_decontamination_of_scripts_without_spaces(spark):
+    item = "小明有十二个苹果，他给了小红五个，然后又从市场上买了三个，请问小明现在一共有多少个苹果？"
+    docs = spark.createDataFrame([(1, "前面有一些别的话。" + item + "后面也有。"), (2, "这里没有任何题目，只有一些普通的句子，和题目毫无关系。"), (3, item[:15])], "doc_id long, text string")
+    got = {r.doc_id: r.kind for r in decontamination.matches(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    assert got == {1: "verbatim"}
+
+
+def test_decontamination_of_items_without_templates(spark):
+    items = spark.createDataFrame([(1, "Compute 12 + 30 * 4 - 9 now"), (2, "Anna Berta Carla Dora Emma Frieda Gerda Hanna")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "We were told: compute 12 + 30 * 4 - 9 now, and so we did."), (2, "Compute 13 + 30 * 4 - 9 now"), (3, "ANNA BERTA CARLA DORA EMMA FRIEDA GERDA HANNA"), (4, "1 2 3 4 5 6 7 8 9"), (5, "Otto Paul Rolf Sven Timm Udo Veit Wim")], "doc_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontamination.matches(docs, items).collect()} == {(1, 1), (3, 2)}
+
+
+def test_decontamination_over_piece_borders(spark, monkeypatch):
+    """A long item in a long text is verbatim wherever it stands, and positions run on over pieces."""
+    import random
+
+    monkeypatch.setattr(decontamination, "CHUNK", 3000)
+    monkeypatch.setattr(decontamination, "OVERLAP", 100)
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choices("abcdefghij", k=rng.randint(2, 9)))
+    item = " ".join(f"{word()} 17 {word()}" if i % 9 == 0 else word() for i in range(900))
+    fill = [" ".join(word() for _ in range(n)) for n in (0, 30, 400, 1100, 2000)]
+    docs = spark.createDataFrame([(i, f"{f} {item} {f}") for i, f in enumerate(fill)] + [(9, "x" * 20_000 + " " + item), (10, "字" * 9000 + item)], "doc_id long, text string")
+    got = {r.doc_id: (r.kind, r.coverage) for r in decontamination.matches(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    assert got == {i: ("verbatim", 1.0) for i in (0, 1, 2, 3, 4, 9, 10)}
+    find = re.compile(decontamination._TOKEN).findall
+    for text in (fill[4], "字" * 9000, "a " * 5000, "x" * 20_000 + " b c"):
+        whole = find(text)
+        for before, piece in decontamination._placed(text, find):
+            assert find(piece) == whole[before : before + len(find(piece))]
+        assert before + len(find(piece)) == len(whole)
+
+
+def reference(doc, item):
+    """(coverage, consistency, kind) of the only copy in ``doc``, by plain loops; None if it holds none."""
+
+    def parse(text):
+        toks, out = re.findall(r"\d+(?:[.,:/]\d+)*(?![^\W\d_])|[^\W_]+", text), []
+        for i, w in enumerate(toks):
+            low = w.lower()
+            if low in decontamination.NUMBER_WORDS or w[0].isdigit():
+                out.append(("NUM", low))
+            elif low in decontamination.UNITS and i and out[-1][0] == "NUM":
+                out.append(("UNIT", low))
+            elif low not in decontamination.UNITS and len(w) > 1 and w[0].isupper() and not w.isupper():
+                out.append(("NAME", low))
+            else:
+                out.append((low, None))
+        return out
+
+    def windows(toks):
+        out = {}
+        for i in range(len(toks) - 4):
+            if sum(v is None for _, v in toks[i : i + 5]) >= 3:
+                out.setdefault(tuple(k for k, _ in toks[i : i + 5]), []).append(i)
+        return out
+
+    best = None
+    for text in {item, item.lower()}:
+        a, d = parse(text), parse(doc)
+        mine, theirs = {k: v[0] for k, v in windows(a).items()}, windows(d)
+        if len(mine) > 1 and text[0].isupper():
+            mine = {k: i for k, i in mine.items() if i}
+        shared = [k for k in mine if k in theirs]
+        if not shared or len(shared) / len(mine) < 0.8:
+            continue
+        pairs, equal = set(), 0
+        for k in shared:
+            same = False
+            for p in theirs[k]:
+                slots = [(mine[k] + j, a[mine[k] + j][1], d[p + j][1]) for j in range(5) if a[mine[k] + j][1] is not None]
+                pairs |= set(slots)
+                same |= all(x == y for _, x, y in slots)
+            equal += same
+        counts = collections.defaultdict(collections.Counter)
+        for _, x, y in pairs:
+            counts[x][y] += 1
+        agree = min((max(c.values()) / sum(c.values()) for c in counts.values()), default=1.0)
+        kind = "verbatim" if equal / len(mine) >= 0.8 else "reparameterised"
+        if kind == "verbatim" or agree >= 0.8:
+            best = max(filter(None, (best, (len(shared) / len(mine), agree, kind))))
+    return best
+
+
+def test_decontamination_against_plain_loops(spark):
+    """Template windows, coverage and slot consistency of random questions and their changed copies."""
+    import random
+
+    rng = random.Random(8)
+    words_ = [f"{a}{b}" for a in "ban cor dil fen gos hul jem kip lor mun".split() for b in "ta re mo si lu nea".split()]
+    names, units = "Alice Bruno Carla Denis Elena Felix Greta Hugo".split(), ["km", "kg", "hours"]
+
+    def question():
+        out, who, n = [], rng.sample(names, 2), [str(rng.randint(2, 90)) for _ in range(2)]
+        for i in range(rng.randint(14, 34)):
+            r = rng.random()
+            out.append(rng.choice(who) if r < 0.12 else f"{rng.choice(n)} {rng.choice(units)}" if r < 0.18 else rng.choice(n) if r < 0.25 else rng.choice(words_))
+        return " ".join(out)
+
+    items = [question() for _ in range(25)]
+    docs = []
+    for k in range(160):
+        q = items[k % 25]
+        if k % 4 == 1:
+            change = {n: m for n, m in zip(names, rng.sample(names, 8))}
+            q = " ".join(change.get(w, str(int(w) + 100) if w.isdigit() else w) for w in q.split())
+        elif k % 4 == 2:
+            q = " ".join(rng.choice(names) if w in names else str(rng.randint(2, 99)) if w.isdigit() else w for w in q.split())
+        elif k % 4 == 3:
+            w = q.split()
+            for _ in range(rng.randint(1, 3)):
+                w[rng.randrange(len(w))] = rng.choice(words_)
+            q = " ".join(w)
+        docs.append(f"{' '.join(f'noise{rng.randrange(10**6)}' for _ in range(12))} {q} {' '.join(f'other{rng.randrange(10**6)}' for _ in range(9))}")
+    got = {(r.doc_id, r.item_id): (round(r.coverage, 9), round(r.consistency, 9), r.kind) for r in decontamination.matches(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()}
+    want = {(i, j): (round(m[0], 9), round(m[1], 9), m[2]) for i, d in enumerate(docs) for j, t in enumerate(items) if (m := reference(d, t))}
+    assert {k: v[2] for k, v in got.items()} == {k: v[2] for k, v in want.items()} and len(want) > 80
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
+    assert {v[2] for v in want.values()} == {"verbatim", "reparameterised"}
+
+
 # --- classifier ---------------------------------------------------------------------
 
 
