@@ -1,16 +1,21 @@
 """Mix sources to target weights: hash-random order, distributed prefix sums, exact cuts.
 
-Each row gets a hash-random key. The key's high bits are a range bucket, so a
-source, however hot, spreads over ``BUCKETS`` ranges. Sizes are summed by
+Each row gets a hash-random key of its id and text. The key's high bits are a range
+bucket, so a source, however hot, spreads over ``BUCKETS`` ranges. Sizes are summed by
 (source, bucket) with partial aggregation, prefix sums run over those few sums,
 and only the one bucket that holds a source's cut is ordered row by row. The
-plan of a source is then five numbers, and applying it to a row needs no shuffle
+plan of a source is then a few numbers, and applying it to a row needs no shuffle
 of texts.
 
+Rows equal in id and text share a key. If a cut falls among such rows, they are
+numbered over ranges (no task gets them all) and the prefix sum runs on inside them,
+so the cut is exact to the word there too.
+
 Defined results: a null text has size 0; null sources form one source that comes
-last; a source of size 0 has target 0; null ids are kept; identical rows (same
-key) share a cut evenly, rounded down; an empty table gives an empty result;
-other columns pass through ``mix`` untouched.
+last; a source of size 0 has target 0; null ids are kept; of rows equal in id and text,
+which ones are taken is not defined, but how many are; a very long text is counted
+whole, and cut inside if a source's cut falls there; an empty table gives an empty
+result; other columns, whatever their names, pass through ``mix`` untouched.
 """
 
 from __future__ import annotations
@@ -18,13 +23,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpusmill.plans.numbering import numbered
 from corpusmill.plans.staging import cut, small_or_shuffled, table
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 EPOCHS = 2
 BUCKETS = 4096
-SEED = "mix-1"
+SEED = "mix-2"
 KEY_BITS = 60
 
 _TRIM = r"' \t\n\u000B\u000C\r'"
@@ -35,14 +41,15 @@ def n_words(text: str) -> Column:
     return F.expr(f"coalesce(if({t} = '', 0, size(split({t}, '[\\\\x20\\\\x09-\\\\x0D]+'))), 0)").cast("long")
 
 
-def sized(docs: DataFrame, text: str = "text", key: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def sized(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, source, size and hash-random key of every row; no texts."""
-    return docs.select("doc_id", "source", n_words(text).alias("size"), order_key(*key).alias("mix_key"))
+    return docs.select("doc_id", "source", n_words(text).alias("size"), order_key("doc_id", text).alias("mix_key"))
 
 
-def order_key(*cols: str) -> Column:
+def order_key(doc_id: str, text: str) -> Column:
     """A 60-bit key that depends on the row alone, so that reruns (and other engines) agree."""
-    digest = F.md5(F.concat_ws("|", F.lit(SEED), *[F.col(f"`{c}`").cast("string") for c in cols]))
+    body = F.md5(F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary"))
+    digest = F.md5(F.concat_ws("|", F.lit(SEED), F.col(f"`{doc_id}`").cast("string"), body))
     return F.conv(F.substring(digest, 1, KEY_BITS // 4), 16, 10).cast("long")
 
 
@@ -68,8 +75,9 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
 
 
 def plan(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, buckets: int = BUCKETS) -> DataFrame:
-    """One row a source: whole epochs, and the key and words at which the last one stops.
+    """One row a source: whole epochs, and the key at which the last one stops.
 
+    Of the ``copies`` rows with the key ``cut_key`` the mix takes ``cut_words`` words in all.
     ``sizes`` is read several times; pass a materialised frame.
     """
     t = targets(sizes, weights, share, epochs)
@@ -88,9 +96,9 @@ def plan(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float =
     run = Window.partitionBy("source").orderBy("mix_key").rowsBetween(Window.unboundedPreceding, -1)
     inside = inside.withColumn("before", F.col("before") + F.coalesce(F.sum("words").over(run), F.lit(0)))
     edge = inside.where("before <= rest and rest < before + words").select(
-        F.col("source").alias("s"), F.col("mix_key").alias("cut_key"), F.expr("(rest - before) div copies").alias("cut_words")
+        F.col("source").alias("s"), F.col("mix_key").alias("cut_key"), (F.col("rest") - F.col("before")).alias("cut_words"), "copies"
     )
-    return t.join(edge, t["source"].eqNullSafe(edge["s"]), "left").select("source", "source_size", "target", "epochs", "rest", "cut_key", "cut_words")
+    return t.join(edge, t["source"].eqNullSafe(edge["s"]), "left").select("source", "source_size", "target", "epochs", "rest", "cut_key", "cut_words", "copies")
 
 
 def _bucket(buckets: int) -> Column:
@@ -98,39 +106,51 @@ def _bucket(buckets: int) -> Column:
     return F.shiftright("mix_key", KEY_BITS - (buckets.bit_length() - 1)).cast("int")
 
 
-def taken(size: Column, key: Column) -> Column:
-    """Words that the mix takes of a row joined to its source's plan."""
-    last = F.when(key < F.col("cut_key"), size).when(key == F.col("cut_key"), F.least(size, F.col("cut_words"))).otherwise(F.lit(0))
-    last = F.when(F.col("rest") > 0, F.coalesce(last, F.lit(0))).otherwise(F.lit(0))
-    return (F.col("epochs") * size + last).cast("long")
+def last_epoch(size: Column, key: Column, earlier: Column) -> Column:
+    """Words of the last epoch for a row joined to its source's plan; ``earlier`` equal rows come before it."""
+    at_cut = F.greatest(F.lit(0), F.least(size, F.col("cut_words") - earlier * size))
+    part = F.when(key < F.col("cut_key"), size).when(key == F.col("cut_key"), at_cut).otherwise(F.lit(0))
+    return F.when(F.col("rest") > 0, F.coalesce(part, F.lit(0))).otherwise(F.lit(0)).cast("long")
+
+
+def _planned(rows: DataFrame, p: DataFrame, source: str, key: str) -> DataFrame:
+    """``rows`` with their source's plan and ``_cm_earlier``, the equal rows before each at a cut.
+
+    ``p`` is materialised. Only where a cut falls among several rows of one key are those
+    rows numbered.
+    """
+    p = p.withColumnRenamed("source", "_cm_source")
+    x = rows.join(small_or_shuffled(p), rows[source].eqNullSafe(p["_cm_source"]))
+    if p.where("copies > 1 and rest > 0").limit(1).count() == 0:
+        return x.withColumn("_cm_earlier", F.lit(0).cast("long"))
+    tied = F.coalesce((F.col("copies") > 1) & (F.col("rest") > 0) & (F.col(key) == F.col("cut_key")), F.lit(False))
+    ties = cut(x.where(tied)).withColumn("_cm_n", F.monotonically_increasing_id())
+    ties = numbered(ties, ["_cm_n"], ["_cm_source"], "_cm_earlier").drop("_cm_n")
+    return x.where(~tied).withColumn("_cm_earlier", F.lit(0).cast("long")).unionByName(ties)
 
 
 def decide(sizes: DataFrame, **options) -> DataFrame:
     """doc_id, size, source_size, target and taken of every row of ``sizes``."""
     sizes = cut(sizes)
-    p = small_or_shuffled(cut(plan(sizes, **options)).withColumnRenamed("source", "s"))
-    x = sizes.join(p, sizes["source"].eqNullSafe(p["s"]))
-    return x.select("doc_id", "size", "source_size", "target", taken(F.col("size"), F.col("mix_key")).alias("taken"))
+    x = _planned(sizes, cut(plan(sizes, **options)), "source", "mix_key")
+    words = F.col("epochs") * F.col("size") + last_epoch(F.col("size"), F.col("mix_key"), F.col("_cm_earlier"))
+    return x.select("doc_id", "size", "source_size", "target", words.cast("long").alias("taken"))
 
 
 def mix(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     """The mixed rows with the columns of ``docs``: a row an epoch, the last cut at a word.
 
-    Only the row at a source's cut loses words: it keeps the first ``cut_words``
-    of them with the white space between. The texts are not shuffled when the plan
-    (one row a source) was counted to be small; a larger plan joins as a shuffle.
+    Only the row at a source's cut loses words: it keeps the first ones that fit, with
+    the white space between. The texts are not shuffled when the plan (one row a source)
+    was counted to be small; a larger plan joins as a shuffle.
     """
     cols = docs.columns
     sizes = cut(sized(docs.select("doc_id", "source", F.col(text).alias("text"))))
     p = cut(plan(sizes, **options))
-    p = small_or_shuffled(p.select(*[F.col(c).alias(f"_cm_{c}") for c in p.columns]))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("_cm_row"), F.col("source").alias("_cm_s"), F.col(text).alias("_cm_t"), order_key("doc_id").alias("_cm_key"))
-    rows = rows.withColumn("_cm_size", n_words("_cm_t"))
-    x = rows.join(p, rows["_cm_s"].eqNullSafe(p["_cm_source"]))
-    at_cut = (F.col("_cm_rest") > 0) & (F.col("_cm_key") == F.col("_cm_cut_key"))
-    part = F.when((F.col("_cm_rest") > 0) & (F.col("_cm_key") < F.col("_cm_cut_key")), F.col("_cm_size")).when(at_cut, F.least("_cm_size", "_cm_cut_words")).otherwise(F.lit(0))
-    x = x.withColumn("_cm_part", F.coalesce(part, F.lit(0)).cast("long"))
-    reps = (F.col("_cm_epochs") + F.when((F.col("_cm_part") > 0) & (F.col("_cm_part") == F.col("_cm_size")), 1).otherwise(0)).cast("int")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("_cm_row"), F.col("source").alias("_cm_s"), F.col(text).alias("_cm_t"), order_key("doc_id", text).alias("_cm_key"))
+    x = _planned(rows.withColumn("_cm_size", n_words("_cm_t")), p, "_cm_s", "_cm_key")
+    x = x.withColumn("_cm_part", last_epoch(F.col("_cm_size"), F.col("_cm_key"), F.col("_cm_earlier")))
+    reps = (F.col("epochs") + F.when((F.col("_cm_part") > 0) & (F.col("_cm_part") == F.col("_cm_size")), 1).otherwise(0)).cast("int")
     short = (F.col("_cm_part") > 0) & (F.col("_cm_part") < F.col("_cm_size"))
     x = x.withColumn("_cm_n", reps + short.cast("int")).where("_cm_n > 0")
     x = x.withColumn("_cm_short", short).withColumn("_cm_i", F.explode(F.sequence(F.lit(1), F.col("_cm_n"))))
@@ -147,7 +167,7 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP5_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         ('0x' || substr(md5(concat_ws('|', 'mix-1', doc_id::VARCHAR)), 1, 15))::BIGINT AS k
+         ('0x' || substr(md5(concat_ws('|', 'mix-2', doc_id::VARCHAR, md5(coalesce(text, '')))), 1, 15))::BIGINT AS k
   FROM documents
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rn FROM d GROUP BY source

@@ -282,6 +282,42 @@ def test_mix_rows(small, odd, empty):
     assert mixing.mix(odd).columns == odd.columns and mixing.mix(odd).count() > 0 and mixing.mix(empty).count() == 0
 
 
+def test_mixing_of_rows_without_ids(spark):
+    """Null and repeated ids, equal rows in the cut: each source takes its target to the word."""
+    rows = [(None, f"w{i} " * (1 if i % 2 else 1000), "a") for i in range(400)] + [(1, "x " * 700, "b")] * 300 + [(None, "y", "c")] * 500 + [(2, f"z{i} " * (i % 7), "c") for i in range(100)] + [(3, None, "d"), (4, "", None), (5, "one two", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sizes = collections.Counter()
+    for _, t, s in rows:
+        sizes[s] += len(words(t))
+    want = water_fill(sizes)
+    for partitions in (1, 7):
+        sized = mixing.sized(docs.repartition(partitions))
+        got = mixing.decide(sized)
+        # the source comes back by its size, which differs here
+        taken = collections.Counter()
+        for r in got.collect():
+            taken[r.source_size] += r.taken
+            assert 0 <= r.taken <= 2 * r["size"]
+        assert taken == collections.Counter({sizes[s]: int(want[s] + 1e-9) for s in sizes})
+        mixed = mixing.mix(docs.repartition(partitions))
+        out = collections.Counter()
+        for r in mixed.collect():
+            out[r.source] += len(words(r.text))
+        assert {s: out[s] for s in sizes} == {s: int(want[s] + 1e-9) for s in sizes}
+
+
+def test_mixing_sql_with_null_and_repeated_ids(spark, tmp_path):
+    """The query against its SQL on a table with null ids, repeated ids and equal rows."""
+    import duckdb
+
+    rows = [(None if i % 5 == 0 else i // 3, f"w{i % 40} " * (i % 11), "abc"[i * i % 3] if i % 17 else None) for i in range(900)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = collections.Counter(tuple(r) for r in mixing.op5_mix_sources(spark, str(tmp_path)).select("doc_id", "size", "source_size", F.round("target", 6), "taken").collect())
+    c = duckdb.connect()
+    c.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == collections.Counter(c.execute(f"select doc_id, size, source_size, round(target, 6), taken from ({mixing.OP5_SQL})").fetchall())
+
+
 # --- packing ------------------------------------------------------------------------
 
 
