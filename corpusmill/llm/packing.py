@@ -1,28 +1,37 @@
-"""Token ids packed best-fit-decreasing into fixed rows, and their binary form.
+"""Token ids packed best-fit-decreasing into fixed rows, in binary form.
 
 Texts are tokenised in the scan. Each document is cut losslessly into parts of at
-most ``seq_len`` ids, and parts are dealt by a hash of document and part to
-groups of bounded size. A group packs its parts longest first, each into the row
-with the least room that still holds it; the row is found by a segment tree over
-capacities, whose leaves are the rows with that much room. Full parts are rows of
-their own. A row keeps its ids (padded), the cumulative lengths of its segments
-and positions that restart at each segment.
+most ``seq_len`` ids, and parts are dealt to groups of bounded size. A group packs its
+parts longest first, each into the row with the least room that still holds it; the
+row is found by a segment tree over capacities, whose leaves are the rows with that
+much room. Full parts are rows of their own.
 
-Groups depend on the rows alone, so reruns agree, and no group grows with a hot
-source, a group of copies or one long document.
+A packed row is written as bytes: its line of the id matrix (little-endian, two bytes an
+id where the vocabulary allows, padded to ``seq_len``), the cumulative lengths of its
+segments and the position resets, which are the offsets where positions start at 0
+again (four bytes each). ``arrays`` reads them back as arrays.
+
+The group of a part comes from a hash of id and text, the part's number, the task and
+how often the task has met an equal row: neither a hot source, a group of copies, equal
+rows without ids nor one long document fills a group. The number of partitions follows
+the number of groups. For one partitioning of the input, reruns agree.
 
 Defined results: null and empty texts have no ids and no segment; null ids are
-carried as null; repeated rows are each packed; an empty table gives no rows;
-other columns are not read.
+carried as null; repeated rows are each packed; a very long text is tokenised whole, in
+blocks whose seams change no id; parts of one length are packed by id, part and ids, and
+of rows with the same room any may take a part; an empty table gives no rows; other
+columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
 import base64
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,12 +41,14 @@ from corpusmill.plans.staging import small_batches, table
 VOCABULARY = "byte_bpe_50k.tiktoken"
 SEQ_LEN = 2048
 PAD = 0
-#: Bytes of text behind one packing group.
+#: Bytes of text behind one packing group, and groups to a partition.
 GROUP_BYTES = 2_000_000
+GROUPS = 16
 #: Characters tokenised at a time.
 BLOCK = 1_000_000
 
-PACKED = "pack_id long, n_tokens int, input_ids array<int>, cu_seqlens array<int>, position_ids array<int>, doc_ids array<bigint>, parts array<int>"
+PACKED = "pack_id long, n_tokens int, n_segments int, ids binary, cu_seqlens binary, position_resets binary, doc_ids array<bigint>, parts array<int>"
+ARRAYS = "pack_id long, n_tokens int, input_ids array<int>, cu_seqlens array<int>, position_ids array<int>, doc_ids array<bigint>, parts array<int>"
 
 
 def _encoding(name: str):
@@ -120,6 +131,13 @@ def best_fit(lengths: list[int], capacity: int) -> tuple[list[int], int]:
     return where, n
 
 
+def _mixed(h: int, part: int, copy: int, task: int) -> int:
+    """The hash of a part from that of its row."""
+    x = (h ^ (part // 64 * 0x9E3779B97F4A7C15) ^ (copy * 0xC2B2AE3D27D4EB4F) ^ (task * 0x165667B19E3779F9)) & (1 << 64) - 1
+    x = (x ^ x >> 31) * 0x94D049BB133111EB & (1 << 64) - 1
+    return x ^ x >> 29
+
+
 def parts(docs: DataFrame, groups: int, seq_len: int = SEQ_LEN, name: str = VOCABULARY) -> DataFrame:
     """grp, doc_id, part, n, ids (little-endian binary) for every part of every document."""
 
@@ -128,13 +146,15 @@ def parts(docs: DataFrame, groups: int, seq_len: int = SEQ_LEN, name: str = VOCA
             g, d, p, n, i = zip(*rows)
             return pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(d, pa.int64()), pa.array(p, pa.int32()), pa.array(n, pa.int32()), pa.array(i, pa.binary())], names=["grp", "doc_id", "part", "n", "ids"])
 
+        task, met = TaskContext.get().partitionId(), Counter()
         for b in batches:
             rows = []
             for h, d, t in zip(b.column("h").to_pylist(), b.column("doc_id").to_pylist(), b.column("text")):
                 ids = encode(t.as_py() or "", name)
+                copy, met[h] = met[h], met[h] + 1
                 for p, k in enumerate(range(0, len(ids), seq_len)):
                     x = ids[k : k + seq_len]
-                    rows.append(((h + p // 64 * 0x9E3779B1) % groups, d, p, len(x), x.tobytes()))
+                    rows.append((_mixed(h, p, copy, task) % groups, d, p, len(x), x.tobytes()))
                     if len(rows) >= 512:
                         yield out(rows)
                         rows = []
@@ -150,61 +170,78 @@ def _pack_group(t: pa.Table, seq_len: int, kind: type) -> pa.Table:
     t = t.sort_by([("n", "descending"), ("doc_id", "ascending"), ("part", "ascending"), ("ids", "ascending")])
     n = t.column("n").to_pylist()
     where, rows = best_fit(n, seq_len)
-    order = np.argsort(np.array(where, np.int64), kind="stable").tolist()
     ids, docs, part = t.column("ids"), t.column("doc_id").to_pylist(), t.column("part").to_pylist()
-    flat, position = np.full(rows * seq_len, PAD, np.int32), np.zeros(rows * seq_len, np.int32)
-    line = np.arange(seq_len, dtype=np.int32)
-    used, cu, cu_at, doc_at = [0] * rows, [], [0], [0]
-    now = -1
-    for k in order:
-        if where[k] != now:
-            if now >= 0:
-                cu_at.append(len(cu))
-                doc_at.append(doc_at[-1] + len(cu) - cu_at[-2] - 1)
-            now = where[k]
-            cu.append(0)
-        lo = now * seq_len + used[now]
-        flat[lo : lo + n[k]] = np.frombuffer(ids[k].as_py(), kind)
-        position[lo : lo + n[k]] = line[: n[k]]
-        used[now] += n[k]
-        cu.append(used[now])
-    if rows:
-        cu_at.append(len(cu))
-        doc_at.append(len(order))
+    held: list[list[int]] = [[] for _ in range(rows)]
+    for k, row in enumerate(where):
+        held[row].append(k)
+    line = np.full(seq_len, PAD, kind)
+    matrix, lengths, resets, used = [], [], [], []
+    for ks in held:
+        cu = np.cumsum([0] + [n[k] for k in ks]).astype("<i4")
+        line[:] = PAD
+        line[: cu[-1]] = np.frombuffer(b"".join(ids[k].as_py() for k in ks), kind)
+        matrix.append(line.tobytes())
+        lengths.append(cu.tobytes())
+        resets.append(cu[:-1].tobytes())
+        used.append(int(cu[-1]))
     group = t.column("grp")[0].as_py() if len(t) else 0
-    each = pa.array(np.arange(0, rows * seq_len + 1, seq_len, dtype=np.int32))
     return pa.table({
-        "pack_id": pa.array([group << 24 | k for k in range(rows)], pa.int64()), "n_tokens": pa.array(used, pa.int32()),
-        "input_ids": pa.ListArray.from_arrays(each, pa.array(flat)), "cu_seqlens": pa.ListArray.from_arrays(pa.array(cu_at, pa.int32()), pa.array(cu, pa.int32())),
-        "position_ids": pa.ListArray.from_arrays(each, pa.array(position)),
-        "doc_ids": pa.ListArray.from_arrays(pa.array(doc_at, pa.int32()), pa.array([docs[k] for k in order], pa.int64())), "parts": pa.ListArray.from_arrays(pa.array(doc_at, pa.int32()), pa.array([part[k] for k in order], pa.int32())),
+        "pack_id": pa.array([group << 24 | k for k in range(rows)], pa.int64()), "n_tokens": pa.array(used, pa.int32()), "n_segments": pa.array([len(ks) for ks in held], pa.int32()),
+        "ids": pa.array(matrix, pa.binary()), "cu_seqlens": pa.array(lengths, pa.binary()), "position_resets": pa.array(resets, pa.binary()),
+        "doc_ids": pa.array([[docs[k] for k in ks] for ks in held], pa.list_(pa.int64())), "parts": pa.array([[part[k] for k in ks] for ks in held], pa.list_(pa.int32())),
     })
 
 
-def pack(docs: DataFrame, seq_len: int = SEQ_LEN, name: str = VOCABULARY, group_bytes: int = GROUP_BYTES) -> DataFrame:
-    """Packed rows of ``docs`` (doc_id, text): see ``PACKED``."""
+def _kind(name: str) -> str:
+    return "<u2" if encoding(name).n_vocab <= 1 << 16 else "<u4"
+
+
+def matrices(docs: DataFrame, seq_len: int = SEQ_LEN, name: str = VOCABULARY, group_bytes: int = GROUP_BYTES) -> DataFrame:
+    """The packed rows of ``docs`` (doc_id, text) as bytes: see ``PACKED``."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = max(1, -(-total // group_bytes))
-    kind = np.uint16 if encoding(name).n_vocab <= 1 << 16 else np.uint32
-    return parts(docs, groups, seq_len, name).groupBy("grp").applyInArrow(lambda t: _pack_group(t, seq_len, kind), PACKED)
+    kind = np.dtype(_kind(name))
+    dealt = parts(docs, groups, seq_len, name).repartition(-(-groups // GROUPS), "grp")
+    return dealt.groupBy("grp").applyInArrow(lambda t: _pack_group(t, seq_len, kind), PACKED)
 
 
-def binary(packed: DataFrame, name: str = VOCABULARY) -> DataFrame:
-    """pack_id with ids, cumulative lengths and position resets as little-endian bytes.
+def arrays(packed: DataFrame, name: str = VOCABULARY) -> DataFrame:
+    """The rows of ``matrices`` read back as arrays, with a position for each id: see ``ARRAYS``."""
+    kind = _kind(name)
 
-    Ids take two bytes if the vocabulary allows; a position reset is the offset of
-    a segment's start.
-    """
-    kind = np.uint16 if encoding(name).n_vocab <= 1 << 16 else np.uint32
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, cu, positions = [], [], []
+            for x, c, r in zip(b.column("ids"), b.column("cu_seqlens"), b.column("position_resets")):
+                ids.append(np.frombuffer(x.as_py(), kind).astype(np.int32))
+                cu.append(np.frombuffer(c.as_py(), "<i4"))
+                p, ends = np.zeros(len(ids[-1]), np.int32), cu[-1][1:]
+                for lo, hi in zip(np.frombuffer(r.as_py(), "<i4").tolist(), ends.tolist()):
+                    p[lo:hi] = np.arange(hi - lo)
+                positions.append(p)
+            kinds = pa.list_(pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column("pack_id"), b.column("n_tokens"), pa.array(ids, kinds), pa.array(cu, kinds), pa.array(positions, kinds), b.column("doc_ids"), b.column("parts")], names=["pack_id", "n_tokens", "input_ids", "cu_seqlens", "position_ids", "doc_ids", "parts"])
+
+    return packed.select("pack_id", "n_tokens", "ids", "cu_seqlens", "position_resets", "doc_ids", "parts").mapInArrow(run, ARRAYS)
+
+
+def pack(docs: DataFrame, seq_len: int = SEQ_LEN, name: str = VOCABULARY, group_bytes: int = GROUP_BYTES) -> DataFrame:
+    """The packed rows of ``docs`` as arrays: see ``ARRAYS``."""
+    return arrays(matrices(docs, seq_len, name, group_bytes), name)
+
+
+def binary(packed: DataFrame, name: str = VOCABULARY) -> DataFrame:
+    """pack_id, ids, cu_seqlens and position_resets as bytes again, from rows of arrays."""
+    kind = _kind(name)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = [np.asarray(x.values, kind).tobytes() for x in b.column("input_ids")]
-            cu = [np.asarray(x.values, np.int32) for x in b.column("cu_seqlens")]
+            cu = [np.asarray(x.values, "<i4") for x in b.column("cu_seqlens")]
             yield pa.RecordBatch.from_arrays([b.column("pack_id"), pa.array(ids, pa.binary()), pa.array([c.tobytes() for c in cu], pa.binary()), pa.array([c[:-1].tobytes() for c in cu], pa.binary())], names=["pack_id", "ids", "cu_seqlens", "position_resets"])
 
     return packed.select("pack_id", "input_ids", "cu_seqlens").mapInArrow(run, "pack_id long, ids binary, cu_seqlens binary, position_resets binary")
 
 
 def op8_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return matrices(table(spark, sf_dir, "documents").select("doc_id", "text"))

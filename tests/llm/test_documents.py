@@ -380,6 +380,37 @@ def test_packed_binary(small):
         assert np.frombuffer(r.position_resets, "<i4").tolist() == list(p.cu_seqlens)[:-1]
 
 
+def test_packed_bytes_give_the_tokens_back(odd, small):
+    """What the query writes: ids, cumulative lengths and resets, decoded against the tokeniser."""
+    import numpy as np
+
+    for df in (odd, small):
+        got = collections.defaultdict(list)
+        for r in packing.matrices(df, seq_len=128, group_bytes=50_000).collect():
+            ids, cu, resets = np.frombuffer(r.ids, "<u2"), np.frombuffer(r.cu_seqlens, "<i4").tolist(), np.frombuffer(r.position_resets, "<i4").tolist()
+            assert len(ids) == 128 and resets == cu[:-1] and cu[-1] == r.n_tokens and len(resets) == r.n_segments == len(r.doc_ids)
+            assert not ids[r.n_tokens :].any()
+            for lo, hi, d, p in zip(cu, cu[1:], r.doc_ids, r.parts):
+                got[d, p].append(ids[lo:hi].tolist())
+        e = packing.encoding(packing.VOCABULARY)
+        want = collections.defaultdict(list)
+        for r in df.collect():
+            ids = e.encode_ordinary(r.text or "")
+            for p, k in enumerate(range(0, len(ids), 128)):
+                want[r.doc_id, p].append(ids[k : k + 128])
+        assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+
+
+def test_equal_rows_spread_over_groups(spark):
+    text = "The same short row stands in this table again and again."
+    rows = spark.range(100_000, numPartitions=4).select(F.lit(None).cast("long").alias("doc_id"), F.lit(text).alias("text"), F.lit(1).alias("grp"), F.lit("k").alias("h"))
+    per = [r["count"] for r in packing.parts(rows, 64).groupBy("grp").count().collect()]
+    assert len(per) == 64 and sum(per) == 100_000 and max(per) < 2 * 100_000 / 64
+    one = spark.createDataFrame([(1, "a b c d e f g h " * 60_000)], "doc_id long, text string")
+    per = [r["count"] for r in packing.parts(one, 8, seq_len=64).groupBy("grp").count().collect()]
+    assert len(per) == 8
+
+
 # --- decontamination ----------------------------------------------------------------
 
 QUESTION = "If Alice buys 12 apples and gives Bob 5 apples after walking 3 miles to the market square then how many apples does Alice have left before Bob returns home again"
