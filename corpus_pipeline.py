@@ -3,6 +3,16 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 return the columns of ``documents``. A stage judges all rows that its predecessor
 kept, on whole texts.
+
+Defined results, stage by stage. Null and empty texts: fail the rules (few words). Rows
+with null ids are judged by their own text in every stage: kept, dropped as copies (a
+group without any id keeps one text), dropped as benchmark copies, mixed, packed under a
+null id. Repeated rows: equal rows of the id that stands for a group all stay; packing
+packs each. One id with several texts: each text is judged alone. Ties: the smallest id
+stands for a group; the hash-random keys of the mix differ for all but equal rows. Very
+long texts are judged, cut and packed whole. Columns whose names clash with those that an
+operator makes pass through all stages but the last untouched. An empty table passes
+through every stage.
 """
 
 from __future__ import annotations
@@ -22,7 +32,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
+    return decontamination.clean(docs, table(spark, sf_dir, "benchmark"), null_ids=True)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +40,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs.select("doc_id", "text"))
+    return packing.matrices(docs.select("doc_id", "text"))
 
 
 STAGES = [
