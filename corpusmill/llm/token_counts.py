@@ -1,9 +1,15 @@
 """Token counts through a digest cache.
 
-A row of the cache is (content digest, tokenizer digest, n_tokens). Texts are
-reduced to one for each digest before any text moves, digests already in the
-cache drop out by an anti-join on the partitioning that this made, and only the
-distinct misses are encoded and appended. Counts then join back by digest.
+A row of the cache is (content digest, tokenizer digest, n_tokens), stored by tokenizer
+and first hexadecimal digit of the content digest. The run's distinct digests, which are
+narrow, meet the stored ones by an anti-join; what is left are the distinct misses. Only
+texts whose digit has a miss leave the scan, one for each missing digest is encoded, and
+the counts are appended. Counts then join back by digest. A cache may be far larger than
+a run: it is scanned for the digits and digests that the run has, not grouped whole.
+
+Misses are encoded in waves over the digits. Each wave looks the cache up again and
+appends before the next begins, so a run that is lost goes on from the last wave, and
+texts of one wave only are on disk at a time.
 
 The content is normalised only in ways that cannot change a count: a null text
 is the empty text. The digest is SHA-256 over the UTF-8 bytes. The tokenizer
@@ -11,27 +17,28 @@ digest covers the vocabulary file's bytes and the counting options, so another
 version of a tokenizer never reads older counts.
 
 Defined results: null and empty texts have 0 bytes and 0 tokens; null ids are
-kept; repeated rows each get a row; an empty table gives an empty result; other
-columns are not read. Two runs that append the same digest at a time leave equal
-rows, of which one counts.
+kept; repeated rows each get a row; a very long text is encoded whole; an empty table
+gives an empty result; other columns, whatever their names, are not read. Two runs that
+append the same digest at a time leave equal rows, of which one counts.
 """
 
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.functions.process_cache import frugal, kept
-from corpusmill.plans.staging import shared_dir, small_batches, splittable, table
+from corpusmill.plans.staging import BROADCAST_ROWS, cut, small_batches, small_or_shuffled, splittable, table, work_folder
 
 TOKENIZER = "byte_bpe_50k.json"
 LIMIT = 512
-CACHE_SCHEMA = "digest binary, tokenizer string, n_tokens long"
+CACHE_SCHEMA = "digest binary, n_tokens long, tokenizer string, prefix string"
+#: Waves in which the query encodes its misses.
+WAVES = 2
 
 
 def _encoder(path: str, name: str):
@@ -64,7 +71,7 @@ def tokenizer_digest(name: str = TOKENIZER) -> str:
 
 
 def encode(texts: DataFrame, name: str = TOKENIZER) -> DataFrame:
-    """digest, tokenizer, n_tokens for rows (digest, text); bounded batches of texts."""
+    """digest, n_tokens, tokenizer, prefix for rows (digest, text); bounded batches of texts."""
     version = tokenizer_digest(name)
     small_batches(texts.sparkSession)
 
@@ -80,11 +87,14 @@ def encode(texts: DataFrame, name: str = TOKENIZER) -> DataFrame:
                     counts += count(part)
                     part, size = [], 0
             counts += count(part) if part else []
-            yield pa.RecordBatch.from_arrays(
-                [b.column("digest"), pa.array([version] * len(counts), pa.string()), pa.array(counts, pa.int64())], names=["digest", "tokenizer", "n_tokens"]
-            )
+            yield pa.RecordBatch.from_arrays([b.column("digest"), pa.array(counts, pa.int64())], names=["digest", "n_tokens"])
+
+    found = texts.select("digest", "text").mapInArrow(frugal(run), "digest binary, n_tokens long")
+    return found.select("digest", "n_tokens", F.lit(version).alias("tokenizer"), _prefix().alias("prefix"))
+
 
-    return texts.select("digest", "text").mapInArrow(frugal(run), CACHE_SCHEMA)
+def _prefix() -> Column:
+    return F.lower(F.substring(F.hex("digest"), 1, 1))
 
 
 def read_cache(spark: SparkSession, path: str, version: str) -> DataFrame:
@@ -95,25 +105,44 @@ def read_cache(spark: SparkSession, path: str, version: str) -> DataFrame:
     return spark.read.schema(CACHE_SCHEMA).parquet(path).where(F.col("tokenizer") == version)
 
 
-def token_counts(docs: DataFrame, cache: str, tokenizer: str = TOKENIZER, limit: int = LIMIT) -> DataFrame:
+def misses(digests: DataFrame, cache: str, version: str) -> DataFrame:
+    """digest, prefix of the distinct ``digests`` that have no stored count."""
+    stored = read_cache(digests.sparkSession, cache, version).select("digest", "prefix")
+    return digests.select("digest", _prefix().alias("prefix")).join(stored, ["prefix", "digest"], "left_anti").select("digest", "prefix")
+
+
+def token_counts(docs: DataFrame, cache: str, tokenizer: str = TOKENIZER, limit: int = LIMIT, waves: int = 1) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for every row of ``docs`` (doc_id, text).
 
     ``cache`` is a folder that driver and executors share; it is made if absent
     and appended to by this call.
     """
     spark, version = docs.sparkSession, tokenizer_digest(tokenizer)
-    content = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", content.alias("text")).withColumn("digest", F.unhex(F.sha2("text", 256)))
-    known = read_cache(spark, cache, version).select("digest")
-    misses = rows.where("text != ''").select("digest", "text").dropDuplicates(["digest"]).join(known, "digest", "left_anti")
-    encode(misses, tokenizer).write.mode("append").parquet(cache)
-    stored = read_cache(spark, cache, version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
-    slim = rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "digest")
+    rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("digest", F.unhex(F.sha2("text", 256)))
+    slim = cut(rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "digest"))
+    digests = cut(slim.where("n_bytes > 0").select("digest").distinct())
+    for left in range(waves, 0, -1):
+        missing = cut(misses(digests, cache, version))
+        found = sorted(r.prefix for r in missing.select("prefix").distinct().collect())  # 16 at most
+        wave = found[: -(-len(found) // left)]
+        if not wave:
+            break
+        texts = rows.where(_prefix().isin(wave)).select("digest", "text").where("text != ''")
+        todo = missing.where(F.col("prefix").isin(wave)).select("digest")
+        if todo.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+            texts = texts.join(F.broadcast(todo), "digest", "left_semi").dropDuplicates(["digest"])
+        else:
+            texts = texts.dropDuplicates(["digest"]).join(todo, "digest", "left_semi")
+        encoded = encode(texts, tokenizer)
+        encoded.hint("rebalance", F.col("prefix")).write.mode("append").partitionBy("tokenizer", "prefix").parquet(cache)
+    stored = read_cache(spark, cache, version).join(small_or_shuffled(digests), "digest", "left_semi")
+    stored = stored.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     n = F.when(F.col("n_bytes") == 0, F.lit(0)).otherwise(F.col("n_tokens")).cast("long")
     return splittable(slim, stored, ["digest"], "left").select("doc_id", "n_bytes", n.alias("n_tokens"), (n > limit).alias("over_limit"))
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The cache is spark.corpusmill.tokenCache, or a new one in the shared folder."""
-    cache = spark.conf.get("spark.corpusmill.tokenCache", None) or f"{shared_dir(spark)}/token-cache-{uuid.uuid4().hex}"
-    return token_counts(table(spark, sf_dir, "documents"), cache)
+    """The cache is spark.corpusmill.tokenCache, or a new one in the shared folder that goes with
+    the session. The second wave finds stored what the first one appended."""
+    cache = spark.conf.get("spark.corpusmill.tokenCache", None) or work_folder(spark, "token-cache")
+    return token_counts(table(spark, sf_dir, "documents"), cache, waves=WAVES)

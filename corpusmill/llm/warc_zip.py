@@ -3,8 +3,9 @@
 Writing: each task writes archives of bounded size to the shared folder. A member
 ``archive/data.warc.gz`` holds one gzip member a record and is stored, not
 deflated, so a record is a byte range of the archive; ``indexes/index.cdxj`` has
-a line for each record. An archive is written under a name of its attempt and
-then renamed, so a task that runs again replaces it whole.
+a line for each record. Records go to the file as they come; a task holds one record
+and the index lines of one archive. An archive is written under a name of its attempt
+and then renamed, so a task that runs again replaces it whole.
 
 Reading: the end of the file gives the central directory (ZIP64 where present),
 the directory gives the members, a member's local header gives its first byte.
@@ -12,12 +13,15 @@ The index is read, neighbouring records are fetched in one range of bounded size
 and each is inflated by itself. Data members that are not stored are refused.
 
 Of records with one payload the response is that of the largest page_id; others
-revisit it. Only narrow digests are grouped; a payload moves once, to its task.
+revisit it. Only narrow digests are grouped, and only those of several rows meet the
+pages again: by a broadcast if they were counted to be few, else by a join that adaptive
+execution can split.
 
 Defined results: a null html is an empty payload; null urls are written without a
 target; rows with null ids are responses if no row of their payload has an id, and
-revisits else; rows that repeat the largest id are all responses; empty tables
-write no archive and read back empty; other columns are not read.
+revisits else; rows that repeat the largest id are all responses (ties); a very long page
+is one record, and read by one range; empty tables write no archive and read back empty;
+other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -25,10 +29,8 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
-import io
 import json
 import struct
-import uuid
 import zipfile
 import zlib
 from collections.abc import Iterator
@@ -40,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.functions.process_cache import frugal
-from corpusmill.plans.staging import cut, shared_dir, small_batches, splittable, table
+from corpusmill.plans.staging import cut, small_batches, small_or_shuffled, splittable, table, work_folder
 
 #: Compressed bytes after which a task starts another archive.
 ARCHIVE_BYTES = 32_000_000
@@ -105,50 +107,64 @@ def parse(raw: bytes) -> tuple:
 # --- writing -----------------------------------------------------------------
 
 
+# Schemes that Hadoop file systems give to stores known by another name.
+_SCHEMES = {"s3a": "s3", "s3n": "s3", "webhdfs": "hdfs", "abfss": "abfs"}
+
+
 def _store(uri: str):
-    """(file system, path) of a uri that every executor can reach."""
+    """(file system, path) of a uri that every executor can reach, as Spark names it."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else "file://" + uri)
+    scheme, colon, rest = uri.partition(":")
+    if not colon or "/" in scheme:
+        return fs.FileSystem.from_uri("file://" + uri)
+    if scheme == "file":
+        return fs.FileSystem.from_uri("file:///" + rest.lstrip("/"))
+    return fs.FileSystem.from_uri(_SCHEMES.get(scheme, scheme) + ":" + rest)
 
 
 class _Archive:
-    """An archive in memory, of at most about ARCHIVE_BYTES and one record."""
+    """An archive that is written as records come; of at most about ARCHIVE_BYTES and one record."""
+
+    def __init__(self, folder: str, name: str, attempt: str) -> None:
+        self.index, self.size, self.n, self.uri = [], 0, 0, f"{folder}/{name}"
+        self.where, path = _store(folder)
+        self.where.create_dir(path, recursive=True)
+        self.draft, self.final = f"{path}/.{name}.{attempt}", f"{path}/{name}"
+        self.file = self.where.open_output_stream(self.draft)
+        self.zip = zipfile.ZipFile(self.file, "w", zipfile.ZIP_STORED, allowZip64=True)
+        self.data = self._member(DATA)
 
-    def __init__(self) -> None:
-        self.data, self.index, self.size, self.n = [], [], 0, 0
+    def _member(self, name: str):
+        return self.zip.open(zipfile.ZipInfo(name, (2024, 1, 1, 0, 0, 0)), "w", force_zip64=True)
 
     def add(self, page_id: int | None, url: str | None, raw: bytes, digest: str, mime: str) -> None:
         packed = gzip.compress(raw, 1, mtime=0)
         line = {"url": url, "mime": mime, "digest": f"sha1:{digest}", "length": len(packed), "offset": self.size, "filename": DATA, "id": page_id}
         self.index.append(f"{quote(url or '', safe=_SAFE)} 20240101000000 {json.dumps(line)}")
-        self.data.append(packed)
+        self.data.write(packed)
         self.size += len(packed)
         self.n += 1
 
-    def write(self, folder: str, name: str, attempt: str) -> tuple[str, int]:
-        where, path = _store(folder)
-        out = io.BytesIO()
-        with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED, allowZip64=True) as z:
-            for member, parts in ((DATA, self.data), (INDEX, ["\n".join(self.index).encode()])):
-                with z.open(zipfile.ZipInfo(member, (2024, 1, 1, 0, 0, 0)), "w", force_zip64=True) as f:
-                    for p in parts:
-                        f.write(p)
-        where.create_dir(path, recursive=True)
-        draft, final = f"{path}/.{name}.{attempt}", f"{path}/{name}"
-        with where.open_output_stream(draft) as f:
-            f.write(out.getbuffer())
-        where.move(draft, final)
-        return f"{folder}/{name}", out.tell()
+    def close(self) -> tuple[str, int]:
+        self.data.close()
+        with self._member(INDEX) as f:
+            f.write("\n".join(self.index).encode())
+        self.zip.close()
+        size = self.file.tell()
+        self.file.close()
+        self.where.move(self.draft, self.final)
+        return self.uri, size
 
 
 def assign(pages: DataFrame, least_revisit: int = LEAST_REVISIT) -> DataFrame:
     """page_id, url, payload, sha1, n_bytes, refers_to for every row of ``pages``."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("payload"))
     rows = rows.withColumn("sha1", F.unhex(F.sha1("payload"))).withColumn("n_bytes", F.octet_length("payload").cast("long"))
-    first = rows.groupBy("sha1").agg(F.max("page_id").alias("first"))
-    joined = splittable(rows, first.hint("shuffle_hash"), ["sha1"], "left")
-    revisit = (F.col("n_bytes") >= least_revisit) & ~F.col("page_id").eqNullSafe(F.col("first"))
+    # a payload of one row is its own response
+    first = rows.groupBy("sha1").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("sha1", "first")
+    joined = splittable(rows, small_or_shuffled(cut(first)), ["sha1"], "left")
+    revisit = (F.col("n_bytes") >= least_revisit) & F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     out = joined.select("page_id", "url", "payload", "sha1", "n_bytes", F.when(revisit, F.col("first")).alias("refers_to"))
     return out.withColumn("payload", F.when(F.col("refers_to").isNull(), F.col("payload")).otherwise(F.lit(b"")))
 
@@ -162,21 +178,21 @@ def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_B
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         name, attempt = f"part-{task.stageId()}-{task.partitionId()}", str(task.taskAttemptId())
-        now, k = _Archive(), 0
+        now, k = None, 0
 
         def close() -> pa.RecordBatch:
-            path, size = now.write(folder, f"{name}-{k}.zip", attempt)
+            path, size = now.close()
             return pa.RecordBatch.from_pydict({"archive": [path], "n_records": [now.n], "n_bytes": [size]})
 
         for b in batches:
             for page_id, url, sha1, size, refers, payload in zip(*[b.column(c).to_pylist() for c in ("page_id", "url", "sha1", "n_bytes", "refers_to")], b.column("payload")):
                 digest = base64.b32encode(sha1).decode()
-                raw = record(page_id, url, payload.as_py(), digest, size, refers)
-                now.add(page_id, url, raw, digest, "text/html" if refers is None else "warc/revisit")
+                now = now or _Archive(folder, f"{name}-{k}.zip", attempt)
+                now.add(page_id, url, record(page_id, url, payload.as_py(), digest, size, refers), digest, "text/html" if refers is None else "warc/revisit")
                 if now.size >= archive_bytes:
                     yield close()
-                    now, k = _Archive(), k + 1
-        if now.n:
+                    now, k = None, k + 1
+        if now:
             yield close()
 
     small_batches(pages.sparkSession)
@@ -297,8 +313,7 @@ def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
 
 
 def op10_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
-    written = write_archives(table(spark, sf_dir, "pages").select("page_id", "url", "html"), folder)
+    written = write_archives(table(spark, sf_dir, "pages").select("page_id", "url", "html"), work_folder(spark, "warc"))
     return read_archives(written, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
