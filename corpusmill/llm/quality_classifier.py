@@ -10,11 +10,15 @@ factors) and the log prior odds.
 
 All labelled rows whose crc32(doc_id) mod 5 is not 0 are used; there is no sample.
 
+Statistics are standardised and, in scores only, held to ``REACH`` deviations either way:
+the densities are quadratic, so one measure of an odd text would else outweigh all others.
+
 Defined results: null and empty texts have the statistics 0 and get a score;
 rows with null ids are scored and count as not held out; labels without quality
-or document are not used, repeated ones count each; with fewer than two labelled
-classes the score is the share of label 1 (0.5 without labels); an empty table
-gives an empty result; other columns are not read.
+or document are not used, repeated ones count each; rows of one text tie in their score;
+with fewer than two labelled classes the score is the share of label 1 (0.5 without
+labels); a very long text is measured whole, in memory linear in its length; an empty
+table gives an empty result; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -34,6 +38,8 @@ from corpusmill.plans.staging import cut, small_batches, table
 
 #: Weight of the pooled covariance, of the mean variance, and the temperature of the score.
 POOLED, RIDGE, TEMPERATURE = 0.2, 0.02, 4.0
+#: Deviations from the mean beyond which a statistic counts no further.
+REACH = 8.0
 THRESHOLD = 0.3
 FEATURES = ("log_words", "word_length", "symbols", "exclaims", "capitals", "digits", "stops", "variety", "repeated_lines", "line_length", "top_word", "short_words", "density", "other_ascii")
 
@@ -145,7 +151,7 @@ class Model:
     def score(self, x: np.ndarray) -> np.ndarray:
         if not self.classes:
             return np.full(len(x), self.share)
-        z = np.clip((x - self.middle) / self.scale, -8, 8)
+        z = np.clip((x - self.middle) / self.scale, -REACH, REACH)
         log = [-0.5 * (((z - mean) @ inverse.T) ** 2).sum(axis=1) - 0.5 * logdet for mean, inverse, logdet in self.classes]
         odds = (log[1] - log[0]) / self.temperature + math.log(self.share / (1 - self.share))
         return 1 / (1 + np.exp(-np.clip(odds, -700, 700)))

@@ -3,16 +3,17 @@
 Everything here is DataFrame/SQL expressions; no Python runs on executors.
 
 Each rule has one bit. ``ledger`` evaluates all rules once for each row and keeps
-the measurements next to ``fail_bits``. A policy is a mask: a row passes it if
-``fail_bits & mask = 0``. Policies are versioned rows, so that a new version is a
-new mask over the stored ledger and never a new pass over the texts. ``ablation``
-reads only ``fail_bits`` counts.
+the measurements next to ``fail_bits``; ``store`` writes it down without texts. A policy
+is a mask: a row passes it if ``fail_bits & mask = 0``. Policies are rows of a table of
+versions, so that a new version is a new mask over the stored ledger and never a new
+pass over the texts. ``ablation`` reads only the counts of distinct ``fail_bits``.
 
 Defined results: a null text counts as empty (all counts 0, rule 0 fails); null
-ids are kept; repeated rows are each judged; an empty table gives an empty
-ledger; other columns of the input, whatever their names, pass through
-``ledger`` untouched unless they bear the name of a ledger column, in which case
-the ledger's replaces them.
+ids are kept; repeated rows are each judged; a very long text is measured whole, in
+memory linear in its length; a line or window that ties with an earlier one repeats it,
+and windows count with their first occurrence; an empty table gives an empty ledger;
+other columns of the input, whatever their names, pass through ``ledger`` untouched
+unless they bear the name of a ledger column, in which case the ledger's replaces them.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.plans.staging import table
+from corpusmill.plans.staging import table, work_folder
 
 #: Words in a window for the repetition measure.
 WINDOW = 8
@@ -113,8 +114,20 @@ def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
     return measure(docs, text).drop("fail_bits").withColumn("fail_bits", fail_bits())
 
 
+def store(led: DataFrame, path: str) -> DataFrame:
+    """Write the ledger's rows (doc_id, measurements, fail_bits) under ``path`` and read them back."""
+    led.select("doc_id", *MEASURES, "fail_bits").write.mode("append").parquet(path)
+    return led.sparkSession.read.parquet(path)
+
+
 def policy_table(spark: SparkSession, policies: dict[str, int] = POLICIES) -> DataFrame:
-    return spark.createDataFrame(sorted(policies.items()), "policy string, mask long")
+    """policy, mask: a row a version."""
+    return spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{p}', {m}L)" for p, m in sorted(policies.items())) + " AS t(policy, mask)")
+
+
+def masks(policies: DataFrame) -> dict[str, int]:
+    """The versions of a policy table; they are few, as each names rules by bits."""
+    return {r.policy: r.mask for r in policies.select("policy", "mask").collect()}
 
 
 def passes(mask: int) -> Column:
@@ -126,13 +139,14 @@ def counts(led: DataFrame) -> DataFrame:
     return led.groupBy("fail_bits").agg(F.count("*").alias("n_docs"), F.sum("n_words").alias("n_words"))
 
 
-def ablation(led: DataFrame, policies: dict[str, int] = POLICIES) -> DataFrame:
+def ablation(led: DataFrame, policies: DataFrame | None = None) -> DataFrame:
     """For each policy and rule: rows that fail it, and rows that only it rejects.
 
-    Works on ``counts``, so its cost is one aggregation over the ledger's bits.
-    The rows of policies times rules are few, and are exploded from literals.
+    Works on ``counts``, so its cost is one aggregation over the ledger's bits. The
+    rows of policies times rules are few, and are exploded from literals.
     """
-    cells = [(p, m, name, 1 << k) for p, m in sorted(policies.items()) for k, (name, _) in enumerate(RULES) if m >> k & 1]
+    versions = masks(policies if policies is not None else policy_table(led.sparkSession))
+    cells = [(p, m, name, 1 << k) for p, m in sorted(versions.items()) for k, (name, _) in enumerate(RULES) if m >> k & 1]
     grid = F.explode(F.array(*[F.struct(F.lit(p).alias("policy"), F.lit(m).cast("long").alias("mask"), F.lit(r).alias("rule"), F.lit(b).cast("long").alias("bit")) for p, m, r, b in cells])).alias("g")
     x = counts(led).select("fail_bits", "n_docs", grid).select("fail_bits", "n_docs", "g.*")
     hit = F.col("fail_bits").bitwiseAND(F.col("mask"))
@@ -150,14 +164,23 @@ def keep(docs: DataFrame, policy: str = "v1", text: str = "text") -> DataFrame:
     return ledger(inner).where(passes(POLICIES[policy])).select("_cm_row.*")
 
 
+def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store(ledger(table(spark, sf_dir, "documents").select("doc_id", "text")), f"{work_folder(spark, 'ledger')}/rows")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    led = ledger(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    led, versions = _stored(spark, sf_dir), masks(policy_table(spark))
     return led.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        (~passes(POLICIES["base"])).alias("base_failed"), passes(POLICIES["v1"]).alias("kept"), "fail_bits",
+        (~passes(versions["base"])).alias("base_failed"), passes(versions["v1"]).alias("kept"), "fail_bits",
     )
 
 
+def quality_rule_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ablation of every policy over the stored ledger of all documents."""
+    return ablation(_stored(spark, sf_dir))
+
+
 OP6_SQL = r"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents
@@ -192,3 +215,14 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        (fail_bits & 3) <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits
 FROM b
 """
+
+ABLATION_SQL = (
+    OP6_SQL[: OP6_SQL.rindex("SELECT doc_id")]
+    + """
+SELECT policy, rule, bit, sum(CASE WHEN fail_bits & mask & bit <> 0 THEN 1 ELSE 0 END)::BIGINT AS n_fail,
+       sum(CASE WHEN fail_bits & mask = bit THEN 1 ELSE 0 END)::BIGINT AS n_only,
+       bit_or(CASE WHEN fail_bits & mask <> 0 THEN fail_bits ELSE 0 END)::BIGINT AS seen_bits
+FROM b, (VALUES """
+    + ", ".join(f"('{p}', {m}::BIGINT, '{r}', {1 << k}::BIGINT)" for p, m in sorted(POLICIES.items()) for k, (r, _) in enumerate(RULES) if m >> k & 1)
+    + ") AS g(policy, mask, rule, bit) GROUP BY policy, rule, bit"
+)

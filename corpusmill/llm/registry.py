@@ -9,6 +9,7 @@ QUERIES = {
     "op4_simhash_near_dedup": simhash.op4_simhash_near_dedup,
     "op5_mix_sources": mixing.op5_mix_sources,
     "op6_quality_rules": quality_rules.op6_quality_rules,
+    "quality_rule_ablation": quality_rules.quality_rule_ablation,
     "op7_url_filters": url_filters.op7_url_filters,
     "op8_token_packing": packing.op8_token_packing,
     "op9_benchmark_decontamination": decontamination.op9_benchmark_decontamination,
@@ -17,6 +18,7 @@ QUERIES = {
 SQL = {
     "op5_mix_sources": mixing.OP5_SQL,
     "op6_quality_rules": quality_rules.OP6_SQL,
+    "quality_rule_ablation": quality_rules.ABLATION_SQL,
     "op7_url_filters": url_filters.OP7_SQL,
     "op10_warc_zip": warc_zip.OP10_SQL,
 }

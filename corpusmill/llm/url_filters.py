@@ -12,16 +12,22 @@ decisions join back on those, so repeated captures of one url or one hot host co
 narrow rows and an adaptive skew join, never a group in one task. The list is
 broadcast only after it was counted.
 
+Hosts are compared without case; paths too, so that a block is not evaded by spelling,
+unless ``fold_paths`` is off. An address in numbers (IPv4, or IPv6 in brackets) has no
+suffixes but itself.
+
 Defined results: a null or unparsable url, or a null day, has no key and passes;
 ids are not looked at, so null and repeated ones are kept; a removal without an
 addition, or with a null day or key, has no effect; of two events of a list and
-key on one day the removal counts; empty tables give an empty result (pages) or
-pass everything (list); other columns are not read.
+key on one day the removal counts; entries that tie in length and verdict are ranked by
+list; a very long url gives a key for each step of its path; empty tables give an empty
+result (pages) or pass everything (list); other columns, whatever their names, are not
+read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusmill.plans.staging import small_or_shuffled, splittable, table
@@ -42,39 +48,49 @@ ENTRIES = (
     ("trusted", "example.org/en", "add", "2024-02-01", "allow"),
     ("trusted", "example.org/en", "remove", "2024-07-01", "allow"),
 )
-HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
+HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^/?#\]]*\]|[^/?#:]*)"
 PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)"
 
 
 def entry_table(spark: SparkSession, entries: tuple = ENTRIES) -> DataFrame:
-    rows = spark.createDataFrame(list(entries), "list string, key string, action string, day string, verdict string")
+    """The dated events as rows; a production list is a table of the same columns."""
+    quoted = ", ".join("(" + ", ".join("null" if x is None else "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'" for x in e) + ")" for e in entries)
+    columns = "list, key, action, day, verdict"
+    rows = spark.sql(f"SELECT * FROM VALUES {quoted} AS t({columns})" if entries else "SELECT " + ", ".join(f"cast(null AS string) AS {c}" for c in columns.split(", ")) + " WHERE false")
     return rows.withColumn("day", F.try_to_date("day"))
 
 
-def intervals(entries: DataFrame) -> DataFrame:
+def intervals(entries: DataFrame, fold_paths: bool = True) -> DataFrame:
     """list, key, verdict, valid_from, valid_to (null: still valid) from dated events."""
-    e = entries.where("key is not null and day is not null and action in ('add', 'remove')")
+    e = entries.where("key is not null and day is not null and action in ('add', 'remove')").withColumn("key", F.lower("key") if fold_paths else _folded("key"))
     # one event a day, list and key: max('add', 'remove') is the removal
     e = e.groupBy("list", "key", "day").agg(F.max_by("verdict", "action").alias("verdict"), F.max("action").alias("action"))
     later = Window.partitionBy("list", "key").orderBy("day")
     e = e.withColumn("valid_to", F.lead("day").over(later))
-    return e.where("action = 'add'").select("list", F.lower("key").alias("key"), "verdict", F.col("day").alias("valid_from"), "valid_to")
+    return e.where("action = 'add'").select("list", "key", "verdict", F.col("day").alias("valid_from"), "valid_to")
+
+
+def _folded(key: str) -> Column:
+    """The key with its host in lower case."""
+    return F.expr(f"concat(lower(substring_index(`{key}`, '/', 1)), substring(`{key}`, length(substring_index(`{key}`, '/', 1)) + 1))")
 
 
-def keys(captures: DataFrame) -> DataFrame:
+def keys(captures: DataFrame, fold_paths: bool = True) -> DataFrame:
     """url, day, host, key: a row for each host suffix and path prefix of distinct captures."""
     x = captures.select("url", "day").distinct().where("url is not null and day is not null")
     x = x.withColumn("host", F.lower(F.regexp_extract("url", HOST, 1))).where("host != ''")
-    x = x.withColumn("labels", F.split("host", r"\.")).withColumn("steps", F.expr(f"filter(split(regexp_extract(url, r'{PATH}', 1), '/'), s -> s != '')"))
+    path = f"lower(regexp_extract(url, r'{PATH}', 1))" if fold_paths else f"regexp_extract(url, r'{PATH}', 1)"
+    number = F.col("host").rlike(r"^(\d{1,3}(\.\d{1,3}){3}|\[.*)$")
+    x = x.withColumn("labels", F.when(number, F.array("host")).otherwise(F.split("host", r"\."))).withColumn("steps", F.expr(f"filter(split({path}, '/'), s -> s != '')"))
     x = x.withColumn("suffix", F.explode(F.expr("transform(sequence(1, size(labels)), i -> array_join(slice(labels, i, size(labels)), '.'))")))
-    paths = "transform(sequence(0, size(steps)), n -> if(n = 0, suffix, concat(suffix, '/', lower(array_join(slice(steps, 1, n), '/')))))"
+    paths = "transform(sequence(0, size(steps)), n -> if(n = 0, suffix, concat(suffix, '/', array_join(slice(steps, 1, n), '/'))))"
     return x.select("url", "day", F.explode(F.expr(paths)).alias("key"))
 
 
-def decide(captures: DataFrame, entries: DataFrame) -> DataFrame:
+def decide(captures: DataFrame, entries: DataFrame, fold_paths: bool = True) -> DataFrame:
     """``captures`` (page_id, url, day) with blocked, n_active, list, entry, verdict, valid_from."""
-    spans = small_or_shuffled(intervals(entries))
-    active = keys(captures).join(spans, "key").where("valid_from <= day and (valid_to is null or day < valid_to)")
+    spans = small_or_shuffled(intervals(entries, fold_paths))
+    active = keys(captures, fold_paths).join(spans, "key").where("valid_from <= day and (valid_to is null or day < valid_to)")
     # smallest first: longest key, then allow before block, then the list's name
     best = F.min(F.struct((-F.length("key")).alias("rank"), "verdict", "list", F.col("key").alias("entry"), "valid_from")).alias("m")
     found = active.groupBy("url", "day").agg(F.count("*").alias("n_active"), best)

@@ -183,6 +183,74 @@ def test_url_filters(spark):
     assert not any(r.blocked for r in url_filters.decide(captures, entries.limit(0)).collect())
 
 
+def test_url_filters_by_a_large_list(spark, monkeypatch):
+    """A list of over 200,000 intervals joins as a shuffle, with the result of plain loops."""
+    import datetime as dt
+
+    from pyspark.sql import functions as F
+
+    n = 110_000
+    dated = spark.range(n).select(F.concat(F.lit("list"), (F.col("id") % 3).cast("string")).alias("list"), F.concat(F.lit("h"), F.col("id").cast("string"), F.lit(".example.org")).alias("key"), (F.col("id") % 50).alias("d"))
+    on = dated.select("list", "key", F.lit("add").alias("action"), F.date_add(F.lit("2024-01-01").cast("date"), F.col("d").cast("int")).alias("day"), F.lit("block").alias("verdict"))
+    off = on.withColumn("action", F.lit("remove")).withColumn("day", F.date_add("day", 10))
+    again = on.withColumn("day", F.date_add("day", 40))
+    entries = on.unionByName(off).unionByName(again)
+    assert url_filters.intervals(entries).count() == 2 * n > 200_000
+    rng = random.Random(4)
+    rows = [(i if i % 7 else None, f"http://www.h{k}.Example.org/p?q=1", dt.date(2024, 1, 1) + dt.timedelta(days=rng.randrange(110))) for i, k in enumerate(rng.choices([5, 17, 99_999, n + 3], k=400))]
+    rows += rows[:50]
+    captures = spark.createDataFrame(rows, "page_id long, url string, day date")
+    found = url_filters.decide(captures, entries)
+    assert "BroadcastHashJoin [key" not in found._jdf.queryExecution().executedPlan().toString()
+
+    def blocked(url, day):
+        k = int(url.split("h")[2].split(".")[0])
+        since = (day - dt.date(2024, 1, 1)).days - k % 50
+        return k < n and (0 <= since < 10 or since >= 40)
+
+    want = collections.Counter((i, u, d, blocked(u, d)) for i, u, d in rows)
+    assert collections.Counter((r.page_id, r.url, r.day, r.blocked) for r in found.collect()) == want
+
+
+def test_url_filters_of_addresses_and_cases(spark):
+    import datetime as dt
+
+    entries = url_filters.entry_table(spark, (("l", "3.4", "add", "2024-01-01", "block"), ("l", "1.2.3.4/Bad", "add", "2024-01-01", "block"), ("l", "[::1]", "add", "2024-01-01", "block"), ("l", "it's.com", "add", "2024-01-01", "block")))
+    day = dt.date(2024, 5, 5)
+    urls = ["http://1.2.3.4/", "http://1.2.3.4/Bad/x", "http://1.2.3.4/bad", "http://[::1]:80/a", "http://a.3.4/", "http://it's.com/"]
+    captures = spark.createDataFrame([(None, u, day) for u in urls], "page_id long, url string, day date")
+    for fold, want in ((True, [False, True, True, True, True, True]), (False, [False, True, False, True, True, True])):
+        got = {r.url: r.blocked for r in url_filters.decide(captures, entries, fold).collect()}
+        assert [got[u] for u in urls] == want
+    none = url_filters.entry_table(spark, ())
+    assert not any(r.blocked for r in url_filters.decide(captures, none).collect())
+
+
+def test_store_schemes(monkeypatch):
+    from pyarrow import fs
+
+    seen = []
+    class Fake:
+        @staticmethod
+        def from_uri(uri):
+            seen.append(uri)
+            return None, uri
+
+    monkeypatch.setattr(fs, "FileSystem", Fake)
+    for uri in ("s3a://b/k", "s3n://b/k", "gs://b/k", "hdfs://n:1/k", "/tmp/x", "file:/tmp/x", "file:///tmp/x"):
+        warc_zip._store(uri)
+    assert seen == ["s3://b/k", "s3://b/k", "gs://b/k", "hdfs://n:1/k", "file:///tmp/x", "file:///tmp/x", "file:///tmp/x"]
+
+
+def test_archives_of_clashing_columns_and_long_pages(spark, tmp_path):
+    rows = [(1, "u", "x" * 9_000_000, 1, "s"), (2, "u", "x" * 9_000_000, 2, "s"), (2, None, "y", 3, "s"), (None, "v", "y", 4, "s"), (3, "w", None, 5, "s"), (None, None, "", 6, "s"), (None, "a", "only", 7, "s")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, n_bytes long, sha1 string")
+    archives = warc_zip.write_archives(pages, str(tmp_path / "w"), archive_bytes=2000)
+    got = sorted(str((r.page_id, r.record_type, r.refers_to, r.payload_bytes)) for r in warc_zip.read_archives(archives).collect())
+    want = [(1, "revisit", 2, 9_000_000), (2, "response", None, 9_000_000), (2, "response", None, 1), (None, "revisit", 2, 1), (3, "response", None, 0), (None, "revisit", 3, 0), (None, "response", None, 4)]
+    assert got == sorted(map(str, want))
+
+
 @pytest.mark.parametrize("q", "\"'")
 def test_quoted_values_have_no_length_bound(q):
     other = "'" if q == '"' else '"'
