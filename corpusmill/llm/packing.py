@@ -201,8 +201,10 @@ def matrices(docs: DataFrame, seq_len: int = SEQ_LEN, name: str = VOCABULARY, gr
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = max(1, -(-total // group_bytes))
     kind = np.dtype(_kind(name))
-    dealt = parts(docs, groups, seq_len, name).repartition(-(-groups // GROUPS), "grp")
-    return dealt.groupBy("grp").applyInArrow(lambda t: _pack_group(t, seq_len, kind), PACKED)
+    # partitions take turns, so none gets more than GROUPS groups, as hashed ones might
+    n = -(-groups // GROUPS)
+    dealt = parts(docs, groups, seq_len, name).withColumn("at", (F.col("grp") % n).cast("int")).repartitionById(n, "at")
+    return dealt.groupBy("at", "grp").applyInArrow(lambda t: _pack_group(t, seq_len, kind), PACKED)
 
 
 def arrays(packed: DataFrame, name: str = VOCABULARY) -> DataFrame:
