@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 
 # The token grammar, its stop words and the section-number grammar.
 TOKEN = r"[A-Za-z]+|\d+(?:\.\d+)*|\([a-z0-9]{1,4}\)"
-STOP = tuple("the a an of to in for and or is are be as by on that this with it at from may can i my me do does if what how when which".split())
+STOP = (
+    "the", "a", "an", "of", "to", "in", "for", "and", "or", "is", "are", "be", "as", "by", "on", "that", "this", "with", "it", "at", "from", "may",
+    "can", "i", "my", "me", "do", "does", "if", "what", "how", "when", "which",
+)
 CFR_SECTION = r"\d+[a-z]?\.\d+"
 USC_SECTION = r"\d+[a-z]?(?:[–-]\d+)?"
 SECTION_NO = f"(?:{CFR_SECTION}|{USC_SECTION})"

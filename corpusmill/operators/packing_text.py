@@ -1,16 +1,17 @@
 """Group paragraphs into budgeted pieces; split enumerated provisions.
 
-These are ordered folds over one document, so they run per document on Arrow
-batches; a document is one row and is never gathered with others.
+A document is one row and is never gathered with others.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate, groupby
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
@@ -24,88 +25,91 @@ def tokens(s: str) -> int:
     return int(len(s.split()) * T.TOKENS_PER_WORD)
 
 
-def _by_budget(units: list[str], budget: int) -> Iterator[str]:
-    """Consecutive units joined while they fit; a unit over the budget stands alone."""
-    held: list[str] = []
-    used = 0
-    for u in units:
-        cost = tokens(u)
-        if held and used + cost > budget:
-            yield " ".join(held)
-            held, used = [], 0
-        held.append(u)
-        used += cost
-    if held:
-        yield " ".join(held)
+def _fitting(costs: list[int], budget: int, overlap: int = 0) -> Iterator[tuple[int, int]]:
+    """Ranges (from, to) over consecutive units whose costs add up to the budget at most.
 
+    A range takes one new unit at least, whatever it costs. With ``overlap`` the next range
+    goes back over the fewest units that cost that much, one at least.
+    """
+    upto = [0, *accumulate(costs)]
+    lo = hi = 0
+    while hi < len(costs):
+        hi = max(hi + 1, bisect_right(upto, upto[lo] + budget) - 1)
+        yield lo, hi
+        lo = min(hi - 1, max(lo, bisect_right(upto, upto[hi] - overlap) - 1)) if overlap else hi
 
-def enumerated(piece: str) -> list[tuple[str, str]]:
-    """(served, embedded) pairs: a stem and its items, or the piece as it is.
 
-    Items are served behind the citation header and the last words of the stem, and
-    embedded alone.
+def stem_and_items(piece: Column) -> Column:
+    """array<struct<served, embedded>> of a piece: its stem and its items, or the piece as it is.
+
+    A piece of enough tokens, with words before the first of enough items, is split before
+    each item. Items are served behind the header line (if it cites) and the last words
+    of the stem, and embedded alone.
     """
-    starts = [m.start() for m in re.finditer(T.ENUM_ITEM, piece)]
-    if len(starts) < ENUM_ITEMS or tokens(piece) < ENUM_TOKENS or not piece[: starts[0]].strip():
+    pair = lambda served, embedded: F.struct(served.alias("served"), embedded.alias("embedded"))
+
+    def split(x: Column) -> Column:
+        stem = F.regexp_replace(F.get(x, 0), r"\s+$", "")
+        first = F.regexp_extract(stem, r"^([^\n]*)", 1)
+        cites = first.contains("§") | first.contains("SEC.")
+        words = T.words(F.when(cites, F.regexp_replace(stem, r"^[^\n]*\n?", "")).otherwise(stem))
+        lead = F.trim(F.concat_ws(" ", F.when(cites, first), F.array_join(F.slice(words, F.greatest(F.size(words) - STEM_WORDS, F.lit(0)) + 1, F.lit(STEM_WORDS)), " ")))
+        items = F.transform(F.slice(x, F.lit(2), F.size(x)), lambda i: F.regexp_replace(i, r"^\s+|\s+$", ""))
+        enumerated_ = (F.size(items) >= ENUM_ITEMS) & (T.n_tokens(piece) >= ENUM_TOKENS) & (stem != "")
+        return F.when(enumerated_, F.concat(F.array(pair(stem, stem)), F.transform(items, lambda i: pair(F.concat_ws(" ", lead, i), i)))).otherwise(F.array(pair(piece, piece)))
+
+    # a lambda binds the split text once
+    return F.get(F.transform(F.array(F.split(piece, f"(?={T.ENUM_ITEM})")), split), 0)
+
+
+def enumerated(piece: str) -> list[tuple[str, str]]:
+    """``stem_and_items`` of one piece on the driver or in a worker."""
+    stem, *items = re.split(f"(?={T.ENUM_ITEM})", piece)
+    stem = stem.rstrip()
+    if len(items) < ENUM_ITEMS or not stem or tokens(piece) < ENUM_TOKENS:
         return [(piece, piece)]
-    stem = piece[: starts[0]].rstrip()
-    first, _, rest = stem.partition("\n")
-    header, body = (first, rest) if "§" in first or "SEC." in first else ("", stem)
-    lead = " ".join(filter(None, (header, " ".join(body.split()[-STEM_WORDS:]))))
-    items = [piece[a:b].strip() for a, b in zip(starts, starts[1:] + [len(piece)])]
-    return [(stem, stem)] + [(f"{lead} {x}", x) for x in items if x]
+    line, *others = stem.split("\n", 1)
+    cited = bool(re.search("§|SEC\\.", line))
+    last = " ".join((others[0] if cited and others else "" if cited else stem).split()[-STEM_WORDS:])
+    lead = " ".join(([line] if cited else []) + ([last] if last else []))
+    return [(stem, stem), *((f"{lead} {i}", i) for i in map(str.strip, items))]
 
 
-def pack(paragraphs: list[str], budget: int = BUDGET, overlap: int = OVERLAP) -> list[tuple[str, str]]:
-    """Pieces of whole paragraphs with some of the last piece carried over.
+def pieces(paragraphs: list[str], budget: int = BUDGET, overlap: int = OVERLAP) -> list[str]:
+    """Whole paragraphs joined up to the budget, some of the last piece carried over.
 
-    A paragraph over 1.6 budgets is cut at sentences. What is pending goes out before
-    it, so pieces keep the order of the text (a deliberate difference from engines
-    that emit the oversized paragraph first).
+    A paragraph over 1.6 budgets is cut at sentences and joins no other. Pieces keep the
+    order of the text (a deliberate difference from engines that emit the oversized
+    paragraph first).
     """
-    pieces: list[str] = []
-    held: list[str] = []
-
-    def used() -> int:
-        return sum(map(tokens, held))
-
-    for p in paragraphs:
-        if tokens(p) > HARD_SPLIT * budget:
-            if held:
-                pieces.append(" ".join(held))
-                held = []
-            pieces += _by_budget(re.split(T.SENTENCE, p), budget)
-            continue
-        if held and used() + tokens(p) > budget:
-            pieces.append(" ".join(held))
-            carry, k = 0, len(held)
-            while k > 0 and (carry < overlap or k == len(held)):
-                k -= 1
-                carry += tokens(held[k])
-            held = held[k:]
-        held.append(p)
-    if held:
-        pieces.append(" ".join(held))
-    return [pair for p in pieces if p.strip() for pair in enumerated(p)]
+    out: list[str] = []
+    for big, run in groupby(paragraphs, lambda p: tokens(p) > HARD_SPLIT * budget):
+        groups = [re.split(T.SENTENCE, p) for p in run] if big else [list(run)]
+        for units in groups:
+            out += [" ".join(units[lo:hi]) for lo, hi in _fitting([tokens(u) for u in units], budget, 0 if big else overlap)]
+    return [p for p in out if p.strip()]
+
+
+def pack(paragraphs: list[str], budget: int = BUDGET, overlap: int = OVERLAP) -> list[tuple[str, str]]:
+    """(served, embedded) of each piece or enumerated part."""
+    return [pair for p in pieces(paragraphs, budget, overlap) for pair in enumerated(p)]
 
 
 def packed(docs: DataFrame, id_col: str = "doc_id", paragraphs: str = "paragraphs", budget: int = BUDGET, overlap: int = OVERLAP, carry: tuple[str, ...] = ()) -> DataFrame:
     """(id, *carry, piece, text, embed_text) for an array of paragraphs a row; embed_text is
-    '' where it equals the text. ``carry`` names string columns that go along."""
-    names = ["id", *carry, "piece", "text", "embed_text"]
+    '' where it equals the text. ``carry`` names string columns that go along.
+
+    Joining paragraphs is an ordered fold and runs on Arrow batches; enumerated pieces are
+    split by column expressions.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            row, no, served, alone = [], [], [], []
-            for r, ps in enumerate(b.column("ps")):
-                for n, (s, e) in enumerate(pack(ps.as_py() or [], budget, overlap)):
-                    row.append(r)
-                    no.append(n)
-                    served.append(s)
-                    alone.append("" if e == s else e)
-            own = [b.column(c).take(pa.array(row, pa.int64())) for c in ("id", *carry)]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(no, pa.int32()), pa.array(served, pa.string()), pa.array(alone, pa.string())], names=names)
-
-    schema = ", ".join(["id long", *(f"`{c}` string" for c in carry), "piece int, text string, embed_text string"])
+            found = pa.array([pieces(ps.as_py() or [], budget, overlap) for ps in b.column("ps")], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("id", *carry)], found], names=["id", *carry, "pieces"])
+
+    schema = ", ".join(["id long", *(f"`{c}` string" for c in carry), "pieces array<string>"])
     x = docs.select(F.col(id_col).cast("long").alias("id"), *[F.col(c).cast("string").alias(c) for c in carry], F.col(paragraphs).alias("ps"))
-    return x.mapInArrow(run, schema)
+    x = x.mapInArrow(run, schema).withColumn("pairs", F.flatten(F.transform("pieces", stem_and_items)))
+    x = x.select("id", *[F.col(f"`{c}`") for c in carry], F.posexplode("pairs").alias("piece", "p"))
+    return x.select("id", *[F.col(f"`{c}`") for c in carry], "piece", F.col("p.served").alias("text"), F.when(F.col("p.embedded") == F.col("p.served"), "").otherwise(F.col("p.embedded")).alias("embed_text"))

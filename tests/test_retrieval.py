@@ -184,3 +184,45 @@ def test_enumerated_split():
     assert len(out) == 5 and out[0][0].startswith("8 CFR")
     assert out[2][1] == "(ii) Item ii with its own words." and out[2][0].endswith(out[2][1]) and out[2][0].startswith("8 CFR § 204.5(h) — Title")
     assert enumerated("(i) A (ii) B") == [("(i) A (ii) B", "(i) A (ii) B")]
+
+
+def test_enumerated_columns_equal_strings(spark):
+    from pyspark.sql import functions as F
+
+    from corpusmill.operators.packing_text import stem_and_items
+
+    rng = random.Random(6)
+    numerals = ["i", "ii", "iii", "iv", "v", "vi", "vii", "viii", "ix", "x"]
+    texts = ["", "(i) A (ii) B", "no items at all " * 200]
+    for k in range(40):
+        head = rng.choice(["8 CFR § 1.2(a) — T\n", "SEC. 4\n", "plain line\n", "", "8 U.S.C. § 9"])
+        stem = " ".join(f"w{i}" for i in range(rng.choice([0, 3, 90, 300]))) + rng.choice([" ", "\n", ""])
+        items = " ".join(f"({r}) Item {r} " + "and words " * rng.randint(0, 60) for r in numerals[: rng.randint(2, 10)])
+        texts.append(head + stem + items)
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", stem_and_items(F.col("t")).alias("p")).orderBy("i").collect()
+    for r, t in zip(got, texts):
+        assert [tuple(p) for p in r.p] == enumerated(t), t
+
+
+def test_pieces_against_a_running_sum():
+    """The ranges of the prefix sums are those of adding unit by unit."""
+    from corpusmill.operators.packing_text import _fitting
+
+    rng = random.Random(9)
+    for _ in range(300):
+        costs = [rng.choice([0, 1, 5, 20, 70]) for _ in range(rng.randint(0, 15))]
+        overlap = rng.choice([0, 1, 10, 40])
+        want, lo, new = [], 0, 0
+        while new < len(costs):
+            hi, used = new + 1, sum(costs[lo : new + 1])
+            while hi < len(costs) and used + costs[hi] <= 60:
+                used += costs[hi]
+                hi += 1
+            want.append((lo, hi))
+            new = back = hi
+            if overlap:
+                back = hi - 1
+                while back > lo and sum(costs[back:hi]) < overlap:
+                    back -= 1
+            lo = back
+        assert list(_fitting(costs, 60, overlap)) == want
