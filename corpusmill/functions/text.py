@@ -91,9 +91,33 @@ def visible(c: Column) -> Column:
     return clean(unescape(F.regexp_replace(c, r"<[^>]+>", " ")))
 
 
+def raw_tokens(c: Column) -> Column:
+    """Tokens in lower case, stop words and all; [''] for none. One pass, no lambda."""
+    return F.split(F.lower(F.array_join(F.regexp_extract_all(c, F.lit(TOKEN), 0), " ")), " ")
+
+
 def tokenize(c: Column) -> Column:
-    stop = F.array(*map(F.lit, STOP))
-    return F.filter(F.transform(F.regexp_extract_all(c, F.lit(TOKEN), 0), F.lower), lambda x: ~F.array_contains(stop, x))
+    stop = F.array(*map(F.lit, (*STOP, "")))
+    return F.filter(raw_tokens(c), lambda x: ~F.array_contains(stop, x))
+
+
+def distinct_terms(c: Column) -> Column:
+    """The distinct tokens that are no stop words."""
+    return F.array_except(raw_tokens(c), F.array(*map(F.lit, (*STOP, ""))))
+
+
+def counted_terms(c: Column) -> Column:
+    """array<struct<term, tf>> of a text, counted inside the row: equal tokens stand side by
+    side once sorted, and a run's length is its count. Nothing is shuffled."""
+    # a lambda binds the sorted tokens and the runs' starts once
+    stop = F.array(*map(F.lit, (*STOP, "")))
+
+    def runs(t: Column) -> Column:
+        first = F.filter(F.sequence(F.lit(0), F.size(t) - 1), lambda i: F.coalesce(F.get(t, i) != F.get(t, i - 1), F.lit(True)))
+        return F.get(F.transform(F.array(first), lambda at: F.transform(at, lambda a, k: F.struct(F.get(t, a).alias("term"), (F.coalesce(F.get(at, k + 1), F.size(t)) - a).cast("long").alias("tf")))), 0)
+
+    found = F.get(F.transform(F.array(F.sort_array(raw_tokens(c))), runs), 0)
+    return F.filter(found, lambda x: ~F.array_contains(stop, x["term"]))
 
 
 def section_key(citation: Column) -> Column:

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
-from corpusmill.plans.staging import cut
+from corpusmill.plans.staging import BROADCAST_ROWS, cut
 
 #: Distinct query terms up to which they are looked for inside a row.
 FEW_TERMS = 32
@@ -27,15 +27,33 @@ def tokenized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 
 def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Index:
-    """All terms of all documents. Persist the frames to query them repeatedly."""
-    t = tokenized(docs, id_col, text_col)
-    postings = t.select("id", F.explode("tokens").alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
-    doc_stats = t.select("id", F.greatest(F.size("tokens"), F.lit(1)).cast("long").alias("len"))
+    """All terms of all documents, one row an id. Persist the frames to query them
+    repeatedly, or take ``stored``. Postings are counted inside their rows and shuffle nothing."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    postings = docs.select(F.col(id_col).alias("id"), F.inline(T.counted_terms(text)))
+    doc_stats = tokenized(docs, id_col, text_col).select("id", F.greatest(F.size("tokens"), F.lit(1)).cast("long").alias("len"))
     # a term counts once in a document: distinct within the row needs no shuffle
-    terms = t.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    terms = docs.select(F.explode(T.distinct_terms(text)).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     return Index(postings, doc_stats, terms, corpus_stats(doc_stats))
 
 
+def stored(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> Index:
+    """The index written under ``path`` and read back; the texts are tokenised once."""
+    spark, text = docs.sparkSession, F.coalesce(F.col(text_col), F.lit(""))
+    docs.select(F.col(id_col).alias("id"), T.counted_terms(text).alias("terms")).write.mode("overwrite").parquet(f"{path}/documents")
+    d = spark.read.parquet(f"{path}/documents")
+    size = F.aggregate("terms", F.lit(0).cast("long"), lambda s, x: s + x["tf"])
+    d.select("id", F.greatest(size, F.lit(1)).cast("long").alias("len")).write.mode("overwrite").parquet(f"{path}/doc_stats")
+    d.select(F.explode("terms.term").alias("term")).groupBy("term").agg(F.count("*").alias("df")).write.mode("overwrite").parquet(f"{path}/term_stats")
+    return opened(spark, path)
+
+
+def opened(spark: SparkSession, path: str) -> Index:
+    """An index that ``stored`` has written."""
+    lens = spark.read.parquet(f"{path}/doc_stats")
+    return Index(spark.read.parquet(f"{path}/documents").select("id", F.inline("terms")), lens, spark.read.parquet(f"{path}/term_stats"), corpus_stats(lens))
+
+
 def corpus_stats(doc_stats: DataFrame) -> DataFrame:
     return doc_stats.agg(F.greatest(F.count("*"), F.lit(1)).cast("long").alias("n"), F.coalesce(F.avg("len"), F.lit(1.0)).alias("avglen"))
 
@@ -49,9 +67,11 @@ def bm25(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col:
     """(q, id, bm25) of the documents that hold a term of the query.
 
     Documents are reduced to the query terms they hold in their own row, before anything
-    moves; the others only enter the one-row corpus statistics. Few distinct terms are
-    looked for inside the row, and what is left of a text (its length and hits) is
-    materialised, so the texts are read once; many terms are joined instead.
+    moves; the others only enter the one-row corpus statistics. What is left of a text
+    (its length and hits) is materialised, so the texts are read and tokenised once. Few
+    distinct terms are looked for inside the row; more, if they were counted to be few
+    enough to broadcast, meet the counted terms of each row, among which a row without a
+    term stands for the document itself.
     """
     terms = queries_to_terms(queries)
     t = tokenized(docs, id_col, text_col)
@@ -61,11 +81,19 @@ def bm25(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col:
         wanted = F.array(*map(F.lit, few)).cast("array<string>")
         slim = cut(t.select("id", long, F.filter("tokens", lambda x: F.array_contains(wanted, x)).alias("hits")))
         stats = corpus_stats(slim.select("len"))
-        tf = slim.select("id", "len", F.explode("hits").alias("term"))
+        tf = slim.select("id", "len", F.explode("hits").alias("term")).groupBy("id", "len", "term").agg(F.count("*").alias("tf"))
     else:
-        stats = corpus_stats(t.select(long))
-        tf = t.select("id", long, F.explode("tokens").alias("term")).join(terms.select("term").distinct(), "term", "left_semi")
-    tf = tf.groupBy("id", "len", "term").agg(F.count("*").alias("tf"))
+        distinct = cut(terms.select("term").distinct().withColumn("wanted", F.lit(True)))
+        size = F.greatest(F.aggregate("c", F.lit(0).cast("long"), lambda s, x: s + x["tf"]), F.lit(1).cast("long"))
+        counted = docs.select(F.col(id_col).alias("id"), T.counted_terms(F.coalesce(F.col(text_col), F.lit(""))).alias("c")).select("id", size.alias("len"), "c")
+        if distinct.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+            itself = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(0).cast("long").alias("tf")))
+            every = counted.select("id", "len", F.inline(F.concat(itself, "c")))
+            slim = cut(every.join(F.broadcast(distinct), "term", "left").where("term is null or wanted").drop("wanted"))
+            stats, tf = corpus_stats(slim.where("term is null").select("len")), slim.where("term is not null")
+        else:
+            stats = corpus_stats(t.select(long))
+            tf = counted.select("id", "len", F.inline("c")).join(distinct, "term", "left_semi")
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     # corpus statistics are one row by construction
     weighted = df.crossJoin(F.broadcast(stats)).select("term", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "avglen")

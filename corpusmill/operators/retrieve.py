@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
+from corpusmill.plans.staging import cut
 
 # Pool, fusion, caps, gate and tier weights.
 TOP_K, RRF_K, CITATION_CAP, SECTION_CAP, MIN_SCORE, PRIMARY_SHARE = 12, 60, 3, 4, 0.62, 0.5
@@ -40,7 +41,8 @@ def dense_top(vectors: DataFrame, queries: np.ndarray, n: int, id_col: str = "ve
 
     A partition multiplies whole batches and keeps its n best rows of each query,
     so only n rows a query and partition move. ``queries`` is a matrix that the
-    caller holds; its size bounds what is shipped.
+    caller holds; its size bounds what is shipped. Rows without an id or with a vector
+    that is null, of another length or with null elements have no score (``unscored``).
     """
     d = queries.shape[1]
 
@@ -56,8 +58,70 @@ def dense_top(vectors: DataFrame, queries: np.ndarray, n: int, id_col: str = "ve
             at = np.lexsort((ids, -best[:, q]))[:n]
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), q, np.int64)), pa.array(ids[at]), pa.array(best[at, q])], names=["q", "id", "cosine"])
 
-    found = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector).alias("v")).where("v is not null").mapInArrow(run, "q long, id long, cosine double")
-    return top(found, "cosine", n)
+    return top(_scored(vectors, d, id_col, vector).mapInArrow(run, "q long, id long, cosine double"), "cosine", n)
+
+
+def _has_score(d: int, id_col: str, vector: str) -> Column:
+    v = F.col(vector)
+    return F.coalesce(F.col(id_col).isNotNull() & (F.size(v) == d) & ~F.exists(v, F.isnull), F.lit(False))
+
+
+def _scored(vectors: DataFrame, d: int, id_col: str, vector: str) -> DataFrame:
+    return vectors.where(_has_score(d, id_col, vector)).select(F.col(id_col).cast("long").alias("id"), F.col(vector).alias("v"))
+
+
+def unscored(vectors: DataFrame, d: int, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(id, size) of the rows that a search over vectors of length ``d`` leaves out."""
+    return vectors.where(~_has_score(d, id_col, vector)).select(F.col(id_col).alias("id"), F.size(vector).alias("size"))
+
+
+#: Vectors and queries that one multiplication takes.
+CHUNK, BLOCK = 8192, 512
+#: Bytes of query blocks that may be broadcast.
+BLOCK_BYTES = 64 << 20
+
+
+def dense_top_blocks(vectors: DataFrame, queries: DataFrame, n: int, d: int, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(q, id, cosine, rank): the n best of all ``vectors`` for every row of ``queries``; q is its id.
+
+    Both sides become matrices, of at most ``CHUNK`` and ``BLOCK`` rows; each pair of them
+    is one multiplication of which n rows a query remain. Nothing is held by the driver,
+    so the queries may grow with the table. Their blocks are broadcast if their bytes were
+    summed to be few, and dealt out as a Cartesian product of blocks otherwise.
+    """
+
+    def matrices(rows: DataFrame, size: int, name: str) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, parts = [], []
+
+            def out() -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([pa.array([np.concatenate(ids).tobytes()], pa.binary()), pa.array([np.concatenate(parts).tobytes()], pa.binary())], names=[f"{name}_ids", f"{name}_m"])
+
+            for b in batches:
+                i, v = b.column("id").to_numpy(), np.asarray(b.column("v").flatten(), np.float64).reshape(b.num_rows, d)
+                for k in range(0, len(i), size):
+                    ids.append(i[k : k + size])
+                    parts.append(v[k : k + size])
+                    if sum(map(len, ids)) >= size:
+                        yield out()
+                        ids, parts = [], []
+            if ids:
+                yield out()
+
+        return _scored(rows, d, id_col, vector).mapInArrow(run, f"{name}_ids binary, {name}_m binary")
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for vi, vm, qi, qm in zip(*[b.column(c) for c in ("v_ids", "v_m", "q_ids", "q_m")]):
+                ids, qs = np.frombuffer(vi.as_py(), np.int64), np.frombuffer(qi.as_py(), np.int64)
+                scores = np.frombuffer(qm.as_py(), np.float64).reshape(-1, d) @ np.frombuffer(vm.as_py(), np.float64).reshape(-1, d).T
+                at = np.stack([np.lexsort((ids, -s))[:n] for s in scores])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qs, at.shape[1])), pa.array(ids[at].ravel()), pa.array(np.take_along_axis(scores, at, 1).ravel())], names=["q", "id", "cosine"])
+
+    blocks = cut(matrices(queries, BLOCK, "q"))
+    few = (blocks.agg(F.sum(F.octet_length("q_m"))).first()[0] or 0) <= BLOCK_BYTES
+    pairs = matrices(vectors, CHUNK, "v").crossJoin(F.broadcast(blocks) if few else blocks)
+    return top(pairs.mapInArrow(multiply, "q long, id long, cosine double"), "cosine", n)
 
 
 def fuse(dense: DataFrame, lexical: DataFrame, k: int = RRF_K) -> DataFrame:

@@ -7,11 +7,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
-from corpusmill.functions.vectors import dot, norm, unit
+from corpusmill.functions.vectors import norm, unit
 from corpusmill.operators import index as I
 from corpusmill.operators import retrieve as R
 from corpusmill.plans.registry import Registry
-from corpusmill.plans.staging import table
+from corpusmill.plans.staging import cut, small_or_shuffled, table, work_folder
 
 query = Registry()
 
@@ -103,19 +103,44 @@ def bm25_multi_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.top(scores, "bm25", K).select("q", F.col("id").alias("doc_id"), F.round("bm25", 6).alias("bm25"), "rank")
 
 
-@query(f"WITH {_DEN} SELECT id AS vec_id, round(cosine, 6) AS cosine, rank FROM den")
+@query(f"WITH {bm25_sql('SELECT item_id AS q, text FROM benchmark')} SELECT q, id AS doc_id, round(bm25, 6) AS bm25, rank FROM (SELECT q, id, bm25, row_number() OVER (PARTITION BY q ORDER BY round(bm25, 9) DESC, id) AS rank FROM bm) WHERE rank <= 12")
+def bm25_stored_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same scores from an index that was written down first."""
+    queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("q"), "text")
+    index = I.stored(table(spark, sf_dir, "documents"), work_folder(spark, "index"))
+    scores = I.bm25_indexed(index, queries).withColumn("bm25", F.round("bm25", 9))
+    return R.top(scores, "bm25", K).select("q", F.col("id").alias("doc_id"), F.round("bm25", 6).alias("bm25"), "rank")
+
+
+_ALL_COS = f"c AS (SELECT b.vec_id AS q, a.vec_id AS id, a.label, {_COS} AS cosine FROM embeddings a, (SELECT * FROM embeddings WHERE vec_id % 20 = 0) b)"
+
+
+def _searches(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
+    """The n best of all vectors for each vector whose id 20 divides."""
+    e = table(spark, sf_dir, "embeddings")
+    first = e.select(F.size("embedding")).first()
+    return R.dense_top_blocks(e, e.where("vec_id % 20 = 0"), n, first[0] if first else 1)
+
+
+@query(f"WITH {_ALL_COS} SELECT q, id AS vec_id, round(cosine, 6) AS cosine, rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(cosine, 9) DESC, id) AS rank FROM c) WHERE rank <= {R.pool_size(K)}")
 def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dense(spark, sf_dir).select(F.col("id").alias("vec_id"), F.round("cosine", 6).alias("cosine"), "rank")
+    found = _searches(spark, sf_dir, 2 * R.pool_size(K)).withColumn("score", F.round("cosine", 9))
+    return R.top(found, "score", R.pool_size(K)).select("q", F.col("id").alias("vec_id"), F.round("cosine", 6).alias("cosine"), "rank")
 
 
-@query(f"WITH c AS (SELECT a.label, a.vec_id, {_COS} AS cosine FROM embeddings a, (SELECT embedding FROM embeddings WHERE vec_id = 0) b) SELECT label, vec_id, round(cosine, 6) AS cosine, rank, round(best, 6) AS best FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY round(cosine, 9) DESC, vec_id) AS rank, max(cosine) OVER (PARTITION BY label) AS best FROM c) WHERE rank <= 5")
+@query(f"WITH {_ALL_COS} SELECT q, label, id AS vec_id, round(cosine, 6) AS cosine, rank, round(best, 6) AS best FROM (SELECT *, row_number() OVER (PARTITION BY q, label ORDER BY round(cosine, 9) DESC, id) AS rank, max(cosine) OVER (PARTITION BY q, label) AS best FROM c) WHERE rank <= 5")
 def dense_topk_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = F.array(*[F.lit(float(x)) for x in _query_vector(spark, sf_dir)[0]])
-    c = table(spark, sf_dir, "embeddings").select("label", "vec_id", dot(F.col("embedding"), q).alias("cosine"))
-    best = c.groupBy("label").agg(F.max("cosine").alias("best"))  # partial maxima: no label gathers its rows
-    w = Window.partitionBy("label").orderBy(F.round("cosine", 9).desc(), "vec_id")
-    top = c.withColumn("rank", F.row_number().over(w).cast("long")).where("rank <= 5")
-    return top.join(best, "label").select("label", "vec_id", F.round("cosine", 6).alias("cosine"), "rank", F.round("best", 6).alias("best"))
+    """The five best of each label: the queries search the vectors of one label after the other."""
+    e = table(spark, sf_dir, "embeddings")
+    labels = [r.label for r in e.select("label").distinct().orderBy("label").limit(1000).collect()]
+    first = e.select(F.size("embedding")).first()
+    out = None
+    for x in labels:
+        part = R.dense_top_blocks(e.where(F.col("label").eqNullSafe(x)), e.where("vec_id % 20 = 0"), 10, first[0]).withColumn("label", F.lit(x))
+        out = part if out is None else out.unionByName(part)
+    w = Window.partitionBy("q", "label").orderBy(F.round("cosine", 9).desc(), "id")
+    best = F.max("cosine").over(Window.partitionBy("q", "label"))  # ten rows a query and label
+    return out.withColumn("best", best).withColumn("rank", F.row_number().over(w).cast("long")).where("rank <= 5").select("q", "label", F.col("id").alias("vec_id"), F.round("cosine", 6).alias("cosine"), "rank", F.round("best", 6).alias("best"))
 
 
 @query("SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS norm, round(embedding[1]::DOUBLE / greatest(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 1e-9), 6) AS first FROM embeddings")
@@ -186,23 +211,38 @@ def usable_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slate(spark, sf_dir).select(F.col("id").alias("doc_id"), "score", "usable", "rank")
 
 
-@query(f"WITH c AS (SELECT q.vec_id AS q, a.vec_id AS id, {_COS.replace('b.embedding', 'q.embedding')} AS cosine FROM embeddings a, (SELECT * FROM embeddings WHERE vec_id < 20) q WHERE a.vec_id <> q.vec_id) SELECT q, round(max(cosine), 6) AS best, max(cosine) >= 0.62 AS passes FROM c GROUP BY q")
+@query(f"WITH {_ALL_COS} SELECT q, round(max(cosine), 6) AS best, max(cosine) >= 0.62 AS passes FROM c WHERE q <> id GROUP BY q")
 def relevance_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings")
-    rows = e.where("vec_id < 20").orderBy("vec_id").collect()  # the stated twenty queries
-    found = R.dense_top(e, np.array([r["embedding"] for r in rows], np.float64), 2).where("q != id")
+    found = _searches(spark, sf_dir, 2).where("q != id")
     return R.gate(found).select("q", F.round("best", 6).alias("best"), "passes")
 
 
-@query()
+_TAKE = (
+    "CASE WHEN s.usable >= 12 OR list_contains(s.seen, x.name) OR len(list_filter(s.cites, lambda c: c = x.citation)) >= {cap} OR len(list_filter(s.sections, lambda c: c = x.section)) >= 4{more} THEN s "
+    "ELSE {{'usable': s.usable + x.usable::INT, 'seen': s.seen || [x.name], 'cites': s.cites || [x.citation], 'sections': s.sections || [x.section], 'out': s.out || [{{'qi': x.qi, 'id': x.id}}]}} END"
+)
+_NEW = "{'usable': 0, 'seen': []::VARCHAR[], 'cites': []::VARCHAR[], 'sections': []::VARCHAR[], 'out': []::STRUCT(qi INT, id BIGINT)[]}"
+
+
+@query(f"""WITH {bm25_sql("SELECT item_id AS q, text FROM benchmark")},
+r AS (SELECT * FROM (SELECT q, id, round(bm25, 9) AS score, row_number() OVER (PARTITION BY q ORDER BY round(bm25, 9) DESC, id) AS rank FROM bm) WHERE rank <= {K}),
+c AS (SELECT r.q // 4 AS question_id, (r.q % 4)::INT AS qi, r.rank, r.id, r.score, source AS citation, source AS section, source || '|' || left(text, 80) AS name, r.id % 5 <> 0 AS usable FROM r JOIN documents ON doc_id = r.id),
+l AS (SELECT question_id, list({{'qi': qi, 'id': id, 'citation': citation, 'section': section, 'name': name, 'usable': usable}} ORDER BY qi, rank, id) AS by_query, list({{'qi': qi, 'id': id, 'citation': citation, 'section': section, 'name': name, 'usable': usable}} ORDER BY rank, qi, id) AS by_rank FROM c GROUP BY question_id),
+a AS (SELECT *, list_reduce(list_filter(by_query, lambda x: x.qi = 0), lambda s, x: {_TAKE.format(cap=3, more=" OR s.usable >= 6")}, {_NEW}) AS s1 FROM l),
+b AS (SELECT *, list_reduce(by_rank, lambda s, x: {_TAKE.format(cap=3, more="")}, s1) AS s2 FROM a),
+m AS (SELECT question_id, list_reduce(by_query, lambda s, x: {_TAKE.format(cap=12, more="")}, s2).out AS out FROM b),
+f AS (SELECT question_id, unnest(out) AS o, unnest(range(1, len(out) + 1)) AS rank FROM m)
+SELECT f.question_id, f.rank, f.o.qi AS qi, f.o.id AS id, c.citation, round(c.score, 6) AS score, c.usable FROM f JOIN c ON c.question_id = f.question_id AND c.qi = f.o.qi AND c.id = f.o.id""")
 def slate_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark items in groups of four as one question and its three issues."""
+    """Benchmark items in groups of four as one question and its three issues; every fifth document is suspended."""
     d = table(spark, sf_dir, "documents")
     queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("q"), "text")
     scores = R.top(I.bm25(d, queries).withColumn("score", F.round("bm25", 9)), "score", K)
-    rows = scores.select(F.floor(F.col("q") / 4).alias("question_id"), (F.col("q") % 4).alias("qi"), "rank", "id", "score")
-    rows = rows.join(d.select(F.col("doc_id").alias("id"), F.col("source").alias("citation"), F.substring("text", 1, 80).alias("text")), "id")
-    return R.merge_slates(rows.withColumn("usable", F.lit(True)), K)
+    rows = cut(scores.select(F.floor(F.col("q") / 4).alias("question_id"), (F.col("q") % 4).alias("qi"), "rank", "id", "score"))
+    ids = small_or_shuffled(rows.select("id").distinct())  # texts leave the scan for ranked documents only
+    near = d.select(F.col("doc_id").alias("id"), F.col("source").alias("citation"), F.substring("text", 1, 80).alias("text")).join(ids, "id")
+    merged = R.merge_slates(rows.join(near, "id").withColumn("usable", F.col("id") % 5 != 0), K)
+    return merged.withColumn("score", F.round("score", 6))
 
 
 @query("SELECT s.shard, s.embed_model, (s.embed_model IS NULL OR s.embed_model IN ('', 'm1')) AS usable FROM (SELECT lang AS shard, CASE lang WHEN 'en' THEN 'm1' WHEN 'fr' THEN '' WHEN 'de' THEN 'm2' END AS embed_model FROM documents GROUP BY lang) s")
