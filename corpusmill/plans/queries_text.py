@@ -11,8 +11,9 @@ from corpusmill.operators import packing_text as P
 from corpusmill.operators import terminology as X
 from corpusmill.plans.numbering import numbered
 from corpusmill.plans.registry import Registry
-from corpusmill.plans.staging import table
+from corpusmill.plans.staging import table, work_folder
 from corpusmill.sources import landing as L
+from corpusmill.sources import shards
 
 query = Registry()
 
@@ -46,12 +47,45 @@ def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.explode(T.sentences(F.col("text"))).alias("sentence"))
 
 
-@query()
+_TOK = "floor({w} * 1.33::DOUBLE)::BIGINT".format(w=_WORDS.format(t="{t}"))
+_PACK = f"""WITH d AS (SELECT doc_id, list_transform({_SENT}, lambda s: {{'t': s, 'c': {_TOK.format(t='s')}}}) AS ps FROM documents),
+f AS (SELECT doc_id, list_reduce(ps, lambda s, x:
+  CASE WHEN x.c > 1.6 * 330 THEN {{'held': []::STRUCT(t VARCHAR, c BIGINT)[], 'out': s.out || (CASE WHEN len(s.held) > 0 THEN [list_transform(s.held, lambda h: h.t)] ELSE []::VARCHAR[][] END) || [[x.t]]}}
+       WHEN len(s.held) > 0 AND coalesce(list_sum(list_transform(s.held, lambda h: h.c)), 0) + x.c > 330 THEN
+         {{'held': s.held[coalesce(list_max(list_filter(range(1, len(s.held) + 1), lambda k: list_sum(list_transform(s.held[k:], lambda h: h.c)) >= 80)), 1):] || [x], 'out': s.out || [list_transform(s.held, lambda h: h.t)]}}
+       ELSE {{'held': s.held || [x], 'out': s.out}} END,
+  {{'held': []::STRUCT(t VARCHAR, c BIGINT)[], 'out': []::VARCHAR[][]}}) AS s FROM d),
+p AS (SELECT doc_id, list_filter(list_transform(s.out || (CASE WHEN len(s.held) > 0 THEN [list_transform(s.held, lambda h: h.t)] ELSE []::VARCHAR[][] END), lambda g: array_to_string(g, ' ')), lambda t: regexp_matches(t, '\\S')) AS ts FROM f),
+u AS (SELECT doc_id, unnest(range(len(ts)))::INT AS piece, unnest(ts) AS text FROM p)
+SELECT doc_id, piece, {_TOK.format(t='text')} AS tokens, text, '' AS embed_text FROM u"""
+
+
+@query(_PACK)
 def pack_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences as paragraphs; no document of the test tables enumerates (see enumerated_split)."""
     d = table(spark, sf_dir, "documents").select("doc_id", T.sentences(F.col("text")).alias("paragraphs"))
     return P.packed(d, budget=330).select(F.col("id").alias("doc_id"), "piece", T.n_tokens(F.col("text")).alias("tokens"), "text", "embed_text")
 
 
+_NUMERALS = ("i", "ii", "iii", "iv", "v", "vi", "vii", "viii", "ix", "x")
+_SPLIT = f"""WITH d AS (SELECT doc_id, '8 CFR § 9.' || doc_id AS line, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')[1:150] AS body, {_SENT}[1:10] AS ss FROM documents),
+e AS (SELECT *, list_transform(ss, lambda x, i: '(' || ['{"', '".join(_NUMERALS)}'][i] || ') Item ' || x) AS items, rtrim(line || chr(10) || array_to_string(body, ' '), chr(10)) AS stem FROM d),
+g AS (SELECT *, line || chr(10) || array_to_string(body, ' ') || ' ' || array_to_string(items, ' ') AS whole FROM e),
+h AS (SELECT *, len(items) >= 4 AND {_TOK.format(t='whole')} >= 400 AS apart, trim(line || ' ' || array_to_string(body[greatest(len(body) - 119, 1):], ' ')) AS lead FROM g),
+u AS (SELECT doc_id, CASE WHEN apart THEN [{{'t': stem, 'e': ''}}] || list_transform(items, lambda i: {{'t': lead || ' ' || regexp_replace(i, '^\\s+|\\s+$', '', 'g'), 'e': regexp_replace(i, '^\\s+|\\s+$', '', 'g')}}) ELSE [{{'t': whole, 'e': ''}}] END AS ps FROM h)
+SELECT doc_id, piece, p.t AS text, p.e AS embed_text FROM (SELECT doc_id, unnest(range(len(ps)))::INT AS piece, unnest(ps) AS p FROM u)"""
+
+
+@query(_SPLIT)
+def enumerated_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a provision: a citing line, its first words, its first ten sentences as items."""
+    numeral = F.array(*map(F.lit, _NUMERALS))
+    items = F.transform(F.slice(T.sentences(F.col("text")), 1, 10), lambda x, i: F.concat(F.lit("("), F.get(numeral, i), F.lit(") Item "), x))
+    whole = F.concat(F.lit("8 CFR § 9."), F.col("doc_id").cast("string"), F.lit("\n"), F.array_join(F.slice(T.words(F.col("text")), 1, 150), " "), F.lit(" "), F.array_join(items, " "))
+    p = P.packed(table(spark, sf_dir, "documents").select("doc_id", F.array(whole).alias("paragraphs")), budget=10**9)
+    return p.select(F.col("id").alias("doc_id"), "piece", "text", "embed_text")
+
+
 @query("SELECT 'd' || lang || ':' || (row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1) AS id, doc_id FROM documents")
 def chunk_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """slug:n in emit order of each shard, numbered over ranges of keys."""
@@ -77,11 +111,18 @@ def sha256_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.manifest(d).select(F.col("name").cast("long").alias("doc_id"), "sha256", "bytes")
 
 
-@query("SELECT doc_id, lang AS shard, 1 AS tier FROM documents WHERE lang IN ('en', 'fr') UNION ALL SELECT doc_id, lang, 9 FROM documents WHERE lang = 'de'")
+@query("SELECT 'd:' || doc_id AS id, lang AS shard, CASE lang WHEN 'de' THEN 9 ELSE 2 END AS tier, source AS citation, length(text)::BIGINT AS chars FROM documents")
 def concat_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
-    public = d.where("lang in ('en', 'fr')").select("doc_id", F.col("lang").alias("shard"), F.lit(1).alias("tier"))
-    return public.unionByName(d.where("lang = 'de'").select("doc_id", F.col("lang").alias("shard"), F.lit(9).alias("tier")))
+    """Documents written as shards under a public and a private root, and all read back as one table."""
+    d, root = table(spark, sf_dir, "documents"), work_folder(spark, "shards")
+    tier, private = F.when(F.col("lang") == "de", 9).otherwise(2), F.col("lang") == "de"
+    named = {"id": F.concat(F.lit("d:"), F.col("doc_id").cast("string")), "text": F.col("text"), "citation": F.col("source"), "shard": F.col("lang"), "tier": tier}
+    p = d.select(*[named.get(c, F.lit("")).alias(c) for c in G.COLUMNS], private.alias("private"))
+    for name, own in (("public", ~F.col("private")), ("private", F.col("private"))):
+        shards.write(p.where(own), f"{root}/{name}")
+    both, rejects = shards.read_all(spark, [f"{root}/public", f"{root}/private", f"{root}/none"])
+    assert len(rejects) == 1  # the root that is not there is reported
+    return both.select("id", F.col("shard").cast("string").alias("shard"), "tier", "citation", F.length("text").cast("long").alias("chars"))
 
 
 @query("SELECT doc_id, lower(trim(split_part(text, ' ', 1))) AS word, trim(regexp_replace(text, '\\s+', ' ', 'g'))[1:90] AS fingerprint, length(regexp_replace(text, '\\s', '', 'g'))::BIGINT AS dense FROM documents")
@@ -90,36 +131,63 @@ def text_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.lower(F.trim(F.split_part(t, F.lit(" "), F.lit(1)))).alias("word"), T.fingerprint(t).alias("fingerprint"), F.length(T.squash(t)).cast("long").alias("dense"))
 
 
-_CITES = ["8 CFR § 214.2(f)(5)", "8 CFR § 274a.12(c)", "8 U.S.C. § 1324a", "8 U.S.C. § 1440–1(b)", "USCIS PM Vol 6, Pt F, Ch 5, D.3", "USCIS PM Vol 2, Pt M, Ch 2", "notes.md, p. 4"]
+_CITED = """CASE doc_id % 7 WHEN 0 THEN '8 CFR § 214.' || doc_id % 30 WHEN 1 THEN '8 CFR § ' || (200 + doc_id % 90) || 'a.12' WHEN 2 THEN '8 U.S.C. § ' || (1100 + doc_id % 300) || 'a'
+WHEN 3 THEN '8 U.S.C. § 1440–' || doc_id % 9 WHEN 4 THEN 'USCIS PM Vol ' || doc_id % 9 || ', Pt F, Ch ' || doc_id % 20 WHEN 5 THEN 'USCIS PM Vol 2, Pt M, Ch ' || doc_id % 20 ELSE 'notes' || doc_id || '.md, p. 4' END"""
+_TAILS = "CASE doc_id % 7 WHEN 0 THEN '(f)(5)' WHEN 1 THEN '(c)' WHEN 3 THEN '(b)' WHEN 4 THEN ', D.3' ELSE '' END"
 
 
-@query("SELECT citation, coalesce(nullif(regexp_extract(trim(citation), '^(\\d+ (?:CFR|U\\.S\\.C\\.) § (?:\\d+[a-z]?\\.\\d+|\\d+[a-z]?(?:[–-]\\d+)?))', 1), ''), nullif(regexp_extract(trim(citation), '^(USCIS PM Vol \\S+, Pt \\S+, Ch \\S+?)(?:,|$)', 1), ''), trim(citation)) AS section FROM (VALUES " + ", ".join(f"('{c}')" for c in _CITES) + ") t(citation)")
+@query(f"SELECT doc_id, {_CITED} || {_TAILS} AS citation, {_CITED} AS section FROM documents")
 def section_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(c,) for c in _CITES], "citation string").select("citation", T.section_key(F.col("citation")).alias("section"))
+    """Citations of every form, one a document; the section is what was there before the tail."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.expr(f"{_CITED} || {_TAILS}").alias("citation"))
+    return d.select("doc_id", "citation", T.section_key(F.col("citation")).alias("section"))
 
 
-_QUERIES = ["Can I do CPT before OPT?", "my EB-1A and EB 1 case, CPT (curricular practical training)", "is opt for me", "What is D/S on my I94 or EADs", "F-1 fixed period", "EB-1A or O-1A evidence", "an O-1 person asking", "m1 student asking"]
+_QUERIES = ["Can I do CPT before OPT?", "my EB-1A and EB 1 case, CPT (curricular practical training)", "is opt for me", "What is D/S on my I94 or EADs", "F-1 fixed period", "EB-1A or O-1A evidence", "an O-1 person asking", "M1 student asking", "EB1C, EB 2 and NIW; RFE, NOID", "SEVIS, SEVP and my PDSO or DSO about STEM", "EB-1B evidence", "nothing at all"]
 
 
-@query()
-def expand_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = spark.createDataFrame([(q,) for q in _QUERIES], "q string")
-    return d.select("q", X.expand(F.col("q")).alias("expanded"), X.excluded(F.col("q")).alias("excluded"))
+def _sql_list(xs: list[str]) -> str:
+    return "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in xs) + "]"
 
 
-_FOLLOW = [*_QUERIES, "ok", "What about the time that the agency needs to answer a petition filed in March of that year by mail", "I have a question about the visa bulletin and how my own priority date moves in the coming months"]
-_VALUES = ", ".join("('" + q.replace("'", "''") + "')" for q in _FOLLOW)
+def _asked(spark: SparkSession, sf_dir: str, phrases: list[str]) -> DataFrame:
+    """Every turn of every conversation with one of the phrases after its first 60 characters."""
+    phrase = F.get(F.array(*map(F.lit, phrases)), ((F.col("conv_id") * 3 + F.col("turn")) % len(phrases)).cast("int"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.substring("text", 1, 60), F.lit(" "), phrase).alias("q"))
 
 
-@query("SELECT q, " + _WORDS.format(t="q") + " <= 8 OR regexp_matches(lower(trim(q)), '^(" + "|".join(T.OPENERS) + ")') AS context, regexp_matches(lower(q), '" + "|".join(T.VOLATILE) + "') AS volatile, " + _WORDS.format(t="q") + " > 12 AND regexp_matches(' ' || lower(q) || ' ', '" + "|".join(T.FIRST_PERSON).replace("'", "''") + f"') AS situational FROM (VALUES {_VALUES}) t(q)")
-def question_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _asked_sql(phrases: list[str]) -> str:
+    return f"SELECT conv_id, turn, left(text, 60) || ' ' || {_sql_list(phrases)}[(conv_id * 3 + turn) % {len(phrases)} + 1] AS q FROM conversations"
+
+
+def _expansion_sql() -> str:
+    """One step a term; RE2 has no look-around, so what follows a term is kept as a group."""
+    steps = [f"WITH s0 AS ({_asked_sql(_QUERIES)})"]
+    for n, (_, pattern, words, case) in enumerate(X.TERMS):
+        core, after = pattern.replace("(?<![A-Za-z])", "(?:^|[^A-Za-z])"), ""
+        for ahead in ("[A-Za-z0-9]", "[A-Za-z]"):
+            if core.endswith(f"(?!{ahead})"):
+                core, after = core.removesuffix(f"(?!{ahead})"), f"($|[^{ahead[1:-1]}])"
+        low = words.lower().replace("'", "''")
+        steps.append(f"s{n + 1} AS (SELECT conv_id, turn, CASE WHEN contains(lower(q), '{low}') THEN q ELSE regexp_replace(q, '({core}){after}', '\\1 ({words}){chr(92) + '2' if after else ''}', '{'c' if case else 'i'}') END AS q FROM s{n})")
+    named = {s: f"regexp_matches(o.q, '(?i){rx}')" for s, rx, _, _ in X.SCOPES}
+    sets = []
+    for s, _, group, prefixes in X.SCOPES:
+        others = " OR ".join(named[o] for o, _, g, _ in X.SCOPES if g == group and o != s)
+        sets.append(f"CASE WHEN ({others}) AND NOT {named[s]} THEN {_sql_list(list(prefixes))} ELSE []::VARCHAR[] END")
+    return ", ".join(steps) + f" SELECT o.conv_id, o.turn, o.q, x.q AS expanded, array_to_string({' || '.join(sets)}, '|') AS excluded FROM s0 o JOIN s{len(X.TERMS)} x USING (conv_id, turn)"
+
+
+@query(_expansion_sql())
+def expand_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = F.col("q")
-    return spark.createDataFrame([(x,) for x in _FOLLOW], "q string").select("q", T.needs_context(q).alias("context"), T.needs_bulletin(q).alias("volatile"), T.situational(q).alias("situational"))
+    return _asked(spark, sf_dir, _QUERIES).select("conv_id", "turn", "q", X.expand(q).alias("expanded"), F.array_join(X.excluded(q), "|").alias("excluded"))
 
 
-@query("SELECT a.doc_id, a.part, a.n, a.piece FROM (SELECT doc_id, lang AS part, 0 AS n, '' AS piece FROM documents WHERE false) a")
-def empty_enumeration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """No document of the test corpus enumerates; the split must leave all of them whole."""
-    d = table(spark, sf_dir, "documents").where(F.col("text").rlike(T.ENUM_ITEM)).select("doc_id", F.array("text").alias("paragraphs"), "lang")
-    p = P.packed(d).where("embed_text != ''")
-    return p.join(d.select(F.col("doc_id").alias("id"), F.col("lang").alias("part")), "id").select(F.col("id").alias("doc_id"), "part", F.col("piece").alias("n"), F.col("text").alias("piece"))
+_FOLLOW = [*_QUERIES, "ok", "Is my priority date current for EB-2 in the visa bulletin?", "What about the time that the agency needs to answer a petition filed in March of that year by mail", "I have a question about the backlog and how my own priority date moves in the coming months"]
+
+
+@query(f"SELECT conv_id, turn, q, {_WORDS.format(t='q')} <= 8 OR regexp_matches(lower(trim(q)), '^(" + "|".join(T.OPENERS) + ")') AS context, regexp_matches(lower(q), '" + "|".join(T.VOLATILE) + f"') AS volatile, {_WORDS.format(t='q')} > 12 AND regexp_matches(' ' || lower(q) || ' ', '" + "|".join(T.FIRST_PERSON).replace("'", "''") + f"') AS situational FROM ({_asked_sql(_FOLLOW)})")
+def question_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = F.col("q")
+    return _asked(spark, sf_dir, _FOLLOW).select("conv_id", "turn", "q", T.needs_context(q).alias("context"), T.needs_bulletin(q).alias("volatile"), T.situational(q).alias("situational"))
