@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
+from corpusmill.plans.numbering import running
 
 # Carried turns and their tokens, and the prompt's budget.
 TURNS, HISTORY, WINDOW, RESERVE = 3, 700, 16384, 1400
@@ -51,6 +52,14 @@ def fits(rows: DataFrame, budget: int, key: str, order: str, cost: Column) -> Da
     return x.where(F.col("_first") | (F.col("_run") <= budget)).withColumn("used", F.col("_run")).drop("_run", "_first")
 
 
+def fits_spread(rows: DataFrame, budget: int, key: str, order: str, cost: Column) -> DataFrame:
+    """``fits`` for keys that may hold most of a table: the running cost is summed over ranges."""
+    x = running(rows.withColumn("_cost", cost), "_cost", [order], [key], "used")
+    first = x.groupBy(F.col(key).alias("_key")).agg(F.min(order).alias("_first"))
+    y = x.join(first, x[key].eqNullSafe(first["_key"]))
+    return y.where((F.col(order) == F.col("_first")) | (F.col("used") <= budget)).drop("_cost", "_key", "_first")
+
+
 def condensed(texts: DataFrame, tokens: int, id_col: str = "id") -> DataFrame:
     """Whole leading sentences of each text within a budget; the first always kept."""
     x = texts.select(id_col, F.posexplode(T.sentences(F.col("text"))).alias("n", "s"))

@@ -114,6 +114,39 @@ def _standing(quotes: DataFrame, sources: DataFrame) -> DataFrame:
     return found.where(F.col("folded").contains(F.col("want")))
 
 
+def containing(quotes: DataFrame, sources: DataFrame) -> DataFrame:
+    """Distinct (quote_id, source_id) of the ``quotes`` (quote_id, quote) that stand whole in ``sources`` (source_id, text).
+
+    The first and last word of a quote may be parts of longer ones; up to four words
+    between them are its key, as a hash. A source keeps only the hashes of its word windows
+    that are keys, in its own row; the pairs that this gives are confirmed on the texts of
+    the sources that are left. Quotes of one or two words have no such key, and are held
+    against each source. Null quotes and texts stand nowhere; ids may be null or repeat.
+    """
+    w = T.words(F.col("quote"))
+    n = F.greatest(F.least(F.size(w) - 2, F.lit(KEY_WORDS)), F.lit(0))
+    q = cut(quotes.where("quote is not null").select("quote_id", "quote", n.alias("n"), F.xxhash64(n, F.array_join(F.slice(w, F.lit(2), n), " ")).alias("key")))
+    sizes = [r.n for r in q.select("n").distinct().collect()]  # five at most
+    found = q.where("n = 0").join(sources, F.col("text").contains(F.col("quote"))).select("quote_id", "source_id")
+
+    def windows(words: Column, k: int) -> Column:
+        at = F.when(F.size(words) >= k, F.sequence(F.lit(0), F.size(words) - k))
+        return F.coalesce(F.transform(at, lambda i: F.xxhash64(F.lit(k), F.concat_ws(" ", *[F.get(words, i + j) for j in range(k)]))), F.array().cast("array<bigint>"))
+
+    def keys(words: Column) -> Column:
+        return F.array_distinct(F.concat(*[windows(words, k) for k in sizes if k]))
+
+    if any(sizes):
+        # a row number names the source, whose id need not
+        s = sources.where("text is not null").select("source_id", "text", F.xxhash64("source_id", "text").alias("row"))
+        grams = s.select("row", F.explode(F.get(F.transform(F.array(T.words(F.col("text"))), keys), 0)).alias("key"))
+        pairs = cut(grams.join(small_or_shuffled(q.where("n > 0").select("key").distinct()), "key").distinct())
+        near = s.join(small_or_shuffled(pairs.select("row").distinct()), "row").dropDuplicates(["row"])
+        keyed = near.join(pairs, "row").join(small_or_shuffled(q.where("n > 0")), "key").where(F.col("text").contains(F.col("quote")))
+        found = found.unionByName(keyed.select("quote_id", "source_id"))
+    return found.distinct()
+
+
 def check_quotes(points: DataFrame, sources: DataFrame) -> DataFrame:
     """(id, point, part, cited, source, quote, applies, moved, kept) of each sentence quoted.
 

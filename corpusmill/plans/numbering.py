@@ -27,3 +27,21 @@ def numbered(rows: DataFrame, order: list[str], within: list[str] | None = None,
     inside = Window.partitionBy(*within, "_range").orderBy(*order)
     y = x.join(offsets, on).withColumn(name, (F.col("_before") + F.row_number().over(inside) - 1).cast("long"))
     return y.drop("_range", "_r", "_before", *[f"_w_{c}" for c in within])
+
+
+def running(rows: DataFrame, value: str, order: list[str], within: list[str], name: str = "total") -> DataFrame:
+    """``rows`` with ``name``: the sum of ``value`` up to and with each row, by ``order`` in each ``within``.
+
+    As ``numbered``: rows are range-partitioned and materialised, each range sums its
+    rows, and a window adds up inside one range, so a group may hold most of the rows.
+    """
+    x = cut(rows.repartitionByRange(*within, *order).withColumn("_range", F.spark_partition_id()))
+    sums = x.groupBy(*within, "_range").agg(F.sum(value).alias("_s"))
+    earlier = Window.partitionBy(*within).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(*[F.col(c).alias(f"_w_{c}") for c in within], F.col("_range").alias("_r"), F.coalesce(F.sum("_s").over(earlier), F.lit(0)).alias("_before"))
+    on = x["_range"] == offsets["_r"]
+    for c in within:
+        on = on & x[c].eqNullSafe(offsets[f"_w_{c}"])
+    inside = Window.partitionBy(*within, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    y = x.join(offsets, on).withColumn(name, F.col("_before") + F.sum(value).over(inside))
+    return y.drop("_range", "_r", "_before", *[f"_w_{c}" for c in within])

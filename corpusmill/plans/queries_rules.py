@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.functions import dates as D
+from corpusmill.functions import text as T
 from corpusmill.operators import consensus as C
 from corpusmill.operators import rules as R
 from corpusmill.operators import validity as V
@@ -65,25 +66,29 @@ def month_timing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("month", "n", D.timing(F.col("month"), F.lit(TODAY).cast("date")).alias("timing"))
 
 
-_CELLS = {"C": "C", "Current": "C", "u": "U", "Unavailable*": "U", "01JUN23": "2023-06-01", "31FEB23": None, "June 1, 2023": "2023-06-01", "Jun. 01 2023": "2023-06-01", "15MAY": None, "01JUN23 *": "2023-06-01", "": None}
+_CELL_SQL = """CASE o_orderkey % 9 WHEN 0 THEN 'C' WHEN 1 THEN 'Unavailable*' WHEN 2 THEN upper(strftime(d, '%d%b%y')) WHEN 3 THEN strftime(d, '%B %-d, %Y') WHEN 4 THEN strftime(d, '%b. %d %Y')
+WHEN 5 THEN '31FEB' || strftime(d, '%y') WHEN 6 THEN '15MAY' WHEN 7 THEN upper(strftime(d, '%d%b%y')) || ' *' ELSE ' current' END"""
+_READ_SQL = """CASE WHEN o_orderkey % 9 IN (0, 8) THEN 'C' WHEN o_orderkey % 9 = 1 THEN 'U' WHEN o_orderkey % 9 IN (2, 7) THEN '20' || strftime(d, '%y-%m-%d') WHEN o_orderkey % 9 IN (3, 4) THEN strftime(d, '%Y-%m-%d') END"""
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', {chr(39) + v + chr(39) if v else 'NULL'})" for k, v in _CELLS.items()) + ") t(raw, cell)")
+@query(f"SELECT o_orderkey, {_CELL_SQL} AS raw, {_READ_SQL} AS cell FROM (SELECT o_orderkey, o_orderdate::DATE AS d FROM orders)")
 def parse_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(k,) for k in _CELLS], "raw string").select("raw", D.parse_cell(F.col("raw")).alias("cell"))
+    """Order dates as the cells of a chart, in every spelling and some that are no date."""
+    k, f = F.col("o_orderkey") % 9, lambda p: F.date_format("d", p)
+    short = F.upper(f("ddMMMyy"))
+    raw = F.when(k == 0, "C").when(k == 1, "Unavailable*").when(k == 2, short).when(k == 3, f("MMMM d, yyyy")).when(k == 4, f("MMM. dd yyyy")).when(k == 5, F.concat(F.lit("31FEB"), f("yy"))).when(k == 6, "15MAY").when(k == 7, F.concat(short, F.lit(" *"))).otherwise(" current")
+    x = _orders(spark, sf_dir).select("o_orderkey", raw.alias("raw"))
+    return x.select("o_orderkey", "raw", D.parse_cell(F.col("raw")).alias("cell"))
 
 
-_PROSE = {
-    "File by 2027-02-13 or 2027-02-31.": ["2027-02-13"],
-    "It ends October 1st, 2027 and Sept 30 2026": ["2027-10-01", "2026-09-30"],
-    "on Feb. 30, 2026 nothing": [],
-    "none here": [],
-}
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{t}', DATE '{d}')" for t, ds in _PROSE.items() for d in ds) + ") t(text, d)")
+@query("""WITH o AS (SELECT o_orderkey, o_orderdate::DATE + 4018 AS d FROM orders)
+SELECT o_orderkey, d FROM o UNION ALL SELECT o_orderkey, (d + 40)::DATE FROM o WHERE o_orderkey % 3 > 0 UNION ALL SELECT o_orderkey, (d + 80)::DATE FROM o WHERE o_orderkey % 3 = 2""")
 def date_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(k,) for k in _PROSE], "text string").select("text", F.explode(D.dates_in(F.col("text"))).alias("x")).select("text", "x.d")
+    """Sentences about orders: ISO dates, prose dates in three forms, and days that do not exist."""
+    f, k = lambda n, p: F.date_format(F.date_add("d", 4018 + n), p), F.col("o_orderkey") % 3
+    more = F.when(k == 1, F.concat(F.lit("It is due "), f(40, "MMMM d, yyyy"), F.lit(" or never."))).when(k == 2, F.concat(F.lit("Due "), f(40, "MMM. dd yyyy"), F.lit(" and then on "), f(80, "MMMM d"), F.lit("th, "), f(80, "yyyy"), F.lit("."))).otherwise("On Feb. 30, 2026 nothing happens.")
+    x = _orders(spark, sf_dir).select("o_orderkey", F.concat(F.lit("File by "), f(0, "yyyy-MM-dd"), F.lit(" or by 2027-02-31. "), more).alias("text"))
+    return x.select("o_orderkey", F.explode(D.dates_in(F.col("text"))).alias("x")).select("o_orderkey", "x.d")
 
 
 @query("SELECT o_orderkey, l_linenumber, l_shipdate::DATE AS ship, o_orderdate::DATE + 30 AS bound, abs(l_shipdate::DATE - (o_orderdate::DATE + 30))::BIGINT AS off FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE abs(l_shipdate::DATE - (o_orderdate::DATE + 30)) BETWEEN 1 AND 3")
@@ -126,15 +131,19 @@ def version_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.newest(li, ["l_orderkey"], "v").select("l_orderkey", "version", F.col("l_suppkey").alias("supplier"))
 
 
-@query("SELECT section, paragraph FROM (SELECT DISTINCT lang AS section, text[1:40] AS paragraph, doc_id FROM documents WHERE doc_id % 2 = 1) n WHERE NOT EXISTS (SELECT 1 FROM documents o WHERE o.doc_id % 2 = 0 AND o.lang = n.section AND o.text[1:40] = n.paragraph)")
+_BLOCK_LIST = r"""list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '\n\s*\n', chr(1), 'g'), '\n(\s*(?:[-*•]|\d+\.))', chr(1) || '\1', 'g'), chr(1)), lambda b: regexp_replace(b, '^\s+|\s+$', '', 'g')), lambda b: b <> '')"""
+
+
+@query(f"WITH b AS (SELECT doc_id, lang AS section, unnest({_BLOCK_LIST}) AS paragraph FROM documents) SELECT section, paragraph FROM b n WHERE doc_id % 2 = 1 AND NOT EXISTS (SELECT 1 FROM b o WHERE o.doc_id % 2 = 0 AND o.section = n.section AND o.paragraph = n.paragraph)")
 def edition_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("section"), F.substring("text", 1, 40).alias("paragraph"))
-    return V.edition_diff(d.where("doc_id % 2 = 0"), d.where("doc_id % 2 = 1")).select("section", "paragraph")
+    """Whole paragraphs of the odd documents that no even document of their language has."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("section"), F.explode(T.blocks(F.col("text"))).alias("text")).withColumn("paragraph", F.sha2("text", 256))
+    return V.edition_diff(d.where("doc_id % 2 = 0"), d.where("doc_id % 2 = 1")).select("section", F.col("text").alias("paragraph"))
 
 
-@query()
+@query("SELECT lang AS section, text AS paragraph FROM documents n WHERE doc_id % 2 = 1 AND NOT EXISTS (SELECT 1 FROM documents o WHERE o.doc_id % 2 = 0 AND o.lang = n.lang AND o.text = n.text)")
 def edition_diff_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole texts compared, by digest; edition_diff compares 40 characters, as its SQL does."""
+    """Whole texts compared, by digest."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("section"), F.sha2("text", 256).alias("paragraph"), "text")
     return V.edition_diff(d.where("doc_id % 2 = 0"), d.where("doc_id % 2 = 1")).select("section", F.col("text").alias("paragraph"))
 
@@ -144,25 +153,23 @@ def missing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left_anti").select("doc_id")
 
 
-#: citation, provision, text, covered
-_COVER = (
-    ("8 CFR § 214.2(f)", "8 CFR 214.2(f)(5)", "(5) Duration of status", True),
-    ("8 CFR § 214.2(f)", "8 CFR 214.2(f)(5)", "(6) Other", False),
-    ("8 CFR § 214.2(f)(5)(i)", "8 CFR § 214.2(f)(5)", "anything", True),
-    ("8 CFR § 214.20", "8 CFR § 214.2", "x", False),
-    ("8 CFR § 274a.12(c)", "8 C.F.R. § 274a.12", "x", True),
-    ("8 U.S.C. § 1324a", "8 CFR § 274a.12", "x", False),
-    ("8 U.S.C. § 1324a(b)", "8 USC 1324a", "x", True),
-    ("8 CFR § 214.2(m)", "8 CFR § 214.2(f)", "x", False),
-    ("not a citation", "8 CFR § 214.2(f)", "x", False),
-)
+@query("""WITH p AS (SELECT doc_id AS id, doc_id % 4 AS title, doc_id % 3 AS sec, CASE doc_id % 5 WHEN 0 THEN [] WHEN 1 THEN ['f'] WHEN 2 THEN ['f', '5'] WHEN 3 THEN ['f', '5', 'i'] ELSE ['m'] END::VARCHAR[] AS parts, text || CASE WHEN doc_id % 2 = 0 THEN ' (5) Duration' ELSE ' (f) Students' END AS text FROM documents),
+v AS (SELECT item_id AS entry, least(item_id % 4, 2) AS title, item_id % 3 AS sec, CASE item_id % 7 WHEN 0 THEN [] WHEN 1 THEN ['f'] WHEN 2 THEN ['f', '5'] WHEN 3 THEN ['f', '6'] WHEN 4 THEN ['m'] WHEN 5 THEN ['f', '5', 'ii'] ELSE ['f', '5', 'i'] END::VARCHAR[] AS parts FROM benchmark)
+SELECT id, entry FROM p JOIN v ON p.title = v.title AND p.sec = v.sec
+WHERE p.title < 3 AND p.parts[1:least(len(p.parts), len(v.parts))] = v.parts[1:least(len(p.parts), len(v.parts))]
+AND (len(v.parts) <= len(p.parts) OR regexp_matches(text, '\\(' || v.parts[len(p.parts) + 1] || '\\)\\s*[A-Z(]'))""")
+def citation_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and benchmark items as passages and provisions: four spellings of titles (one unreadable), three sections, paths of parts."""
 
+    def cite(k: str, parts: list[str], names: list[str]) -> Column:
+        section = F.concat((F.col(k) % 3 + 1).cast("string"), F.lit("a.2"))
+        head = F.get(F.array(*map(F.lit, names)), (F.col(k) % 4).cast("int"))
+        return F.concat(head, section, F.get(F.array(*map(F.lit, parts)), (F.col(k) % len(parts)).cast("int")))
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, '{p}')" for i, (c, p, t, ok) in enumerate(_COVER) if ok) + ") t(id, provision)")
-def citation_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(i, c, t, p) for i, (c, p, t, _) in enumerate(_COVER)], "id long, citation string, text string, provision string")
-    hit = V.covering(rows.select("id", "citation", "text"), rows.select(F.col("id").alias("entry"), "provision"))
-    return hit.where("id = entry").select("id", "provision")
+    text = F.concat("text", F.when(F.col("doc_id") % 2 == 0, " (5) Duration").otherwise(" (f) Students"))
+    p = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), cite("doc_id", ["", "(f)", "(f)(5)", "(f)(5)(i)", "(m)"], ["8 CFR § ", "20 C.F.R. § ", "22 CFR ", "no citation "]).alias("citation"), text.alias("text"))
+    v = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("entry"), cite("item_id", ["", "(f)", "(f)(5)", "(f)(6)", "(m)", "(f)(5)(ii)", "(f)(5)(i)"], ["8 C.F.R. ", "20 CFR § ", "22 CFR § ", "22 CFR § "]).alias("provision"))
+    return V.covering(p, v).select("id", "entry")
 
 
 @query("""WITH s AS (SELECT user_id, event_id, floor(epoch(ts))::BIGINT AS a, floor(epoch(ts))::BIGINT + 3600 * (1 + event_id % 48) AS b FROM events),
@@ -175,13 +182,19 @@ def span_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.merged_spans(s, "user_id").select("user_id", "a", "b")
 
 
-@query()
+_DENSE = "regexp_replace({t}, '\\s', '', 'g')"
+
+
+@query(f"""WITH d AS (SELECT doc_id AS id, {_DENSE.format(t='text')} AS t FROM documents), b AS (SELECT item_id, {_DENSE.format(t='text')} AS p FROM benchmark),
+hit AS (SELECT id, item_id FROM d JOIN b ON item_id % 4 = id % 4 AND (contains(t, left(p, 90)) OR contains(t, right(p, 90))))
+SELECT id, string_agg(item_id::VARCHAR, ',' ORDER BY item_id) AS entries FROM hit GROUP BY id""")
 def redact_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark items as amended paragraphs of one entry, cut out of the documents."""
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.lit("8 CFR § 214.2(f)").alias("citation"), F.concat(F.lit("8 CFR § 214.2(f)\n"), "text").alias("text"))
-    items = table(spark, sf_dir, "benchmark").agg(F.array_sort(F.collect_list("text")).alias("amended"))  # one register entry
-    register = items.select(F.lit(1).alias("entry"), F.array(F.lit("8 CFR § 214.2(f)")).alias("provisions"), "amended", F.lit("A v. B").alias("case_name"), F.lit("No. 1").alias("docket"))
-    return V.redacted(d, register).where("size(entries) > 0").select("id", "entries", "suspended", F.length("served").alias("n_served"))
+    """Benchmark items as the amended paragraphs of register entries, cut out of the documents that cite their section."""
+    cite = lambda k: F.concat(F.lit("8 CFR § 214."), (F.col(k) % 4 + 1).cast("string"))
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), cite("doc_id").alias("citation"), F.concat(cite("doc_id"), F.lit("\n"), "text").alias("text"))
+    register = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("int").alias("entry"), F.array(F.concat(cite("item_id"), F.lit("(f)"))).alias("provisions"), F.array("text").alias("amended"), F.lit("A v. B").alias("case_name"), F.lit("No. 1").alias("docket"))
+    red = V.redacted(d, register).where("size(entries) > 0")
+    return red.select("id", F.array_join(F.transform(F.array_sort("entries"), lambda e: e.cast("string")), ",").alias("entries"))
 
 
 def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -218,30 +231,65 @@ def unemployment_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _facts(spark, sf_dir).where("days is not null").select("o_orderkey", R.used_days(d).alias("used"), shown.alias("shown"))
 
 
-_ASK = {
-    "My change of status is pending, can I travel abroad?": ("says_cos", "says_pending", "says_travel"),
-    "I filed my STEM extension on time but my EAD expired": ("says_stem_filed", "says_timely", "says_ead_expired"),
-    "Is my priority date current for EB-2?": ("says_priority_date",),
-    "It was approved.": ("says_decided",),
-}
+_ASK = (
+    "My change of status is pending, can I travel abroad?", "I filed my STEM extension on time but my EAD expired", "Is my priority date current for EB-2?", "It was approved.",
+    "My COS has not been decided and I have no decision, so a trip must wait", "The STEM application is pending. My OPT card ran out", "It was denied but not yet mailed", "visa bulletin cut-off date, timely", "none of these words",
+)
+# RE2 has no look-ahead: a decision counts unless "yet" follows it in its sentence
+_SAYS = {k: f"regexp_matches(q, '(?i){rx}')" for k, rx in R.SITUATIONS.items() if k != "says_decided"} | {"says_decided": r"regexp_matches(q, '(?i)\b(approved|denied|rejected)\b') AND NOT regexp_matches(q, '(?i)\b(approved|denied|rejected)\b[^.]{0,20}\byet\b')"}
+_ASKED = "SELECT conv_id, turn, left(text, 40) || '. ' || [" + ", ".join(f"'{q}'" for q in _ASK) + f"][(conv_id * 2 + turn) % {len(_ASK)} + 1] AS q FROM conversations"
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{q}', '{s}')" for q, ss in _ASK.items() for s in ss) + ") t(q, says)")
+@query(" UNION ALL ".join(f"SELECT conv_id, turn, '{k}' AS says FROM ({_ASKED}) WHERE {c}" for k, c in _SAYS.items()))
 def read_situation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flags = R.situation(F.col("q"))
-    said = F.array_compact(F.array(*[F.when(c, k) for k, c in flags.items()]))
-    return spark.createDataFrame([(q,) for q in _ASK], "q string").select("q", F.explode(said).alias("says"))
+    """What every turn of every conversation says, with one of the questions after its first words."""
+    asked = F.get(F.array(*map(F.lit, _ASK)), ((F.col("conv_id") * 2 + F.col("turn")) % len(_ASK)).cast("int"))
+    x = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.substring("text", 1, 40), F.lit(". "), asked).alias("q"))
+    said = F.array_compact(F.array(*[F.when(c, k) for k, c in R.situation(F.col("q")).items()]))
+    return x.select("conv_id", "turn", F.explode(said).alias("says"))
 
 
-#: fact, reply, value
+#: fact, reply and value as SQL over n = o_orderkey and d, a date
 _REPLIES = (
-    ("cpt_full_time_months", "a full year", "12"), ("cpt_full_time_months", "14 months", "14"), ("cpt_full_time_months", "none", "0"), ("cpt_full_time_months", "between 3 and 6", None),
-    ("unemployment_days", "twenty-four, then 40 days", "24,40"), ("stem_extension", "yes I am", "true"), ("stem_extension", "Nope", "false"), ("stem_extension", "maybe", None),
-    ("eb_category", "EB-2 NIW", "EB-2"), ("eb_category", "EB-1 or EB-2", None), ("country_of_birth", " India ", "India"), ("priority_date", "15 March 2021", "2021-03-15"), ("priority_date", "2021-02-30", None), ("cos_pending", "", None),
+    ("cpt_full_time_months", "'a full year'", "'12'"), ("cpt_full_time_months", "n % 30 || ' months'", "(n % 30)::VARCHAR"), ("cpt_full_time_months", "'none'", "'0'"), ("cpt_full_time_months", "'between 3 and 6'", "NULL"),
+    ("unemployment_days", "'twenty-four, then ' || (100 + n % 30) || ' days'", "'24,' || (100 + n % 30)"), ("stem_extension", "'yes I am'", "'true'"), ("stem_extension", "'Nope'", "'false'"), ("stem_extension", "'maybe'", "NULL"),
+    ("eb_category", "'EB-' || (1 + n % 4) || ' I think'", "'EB-' || (1 + n % 4)"), ("eb_category", "'EB-1 or EB-2'", "NULL"), ("country_of_birth", "' India '", "'India'"), ("priority_date", "strftime(d, '%-d %B %Y')", "strftime(d, '%Y-%m-%d')"),
+    ("priority_date", "strftime(d, '%Y-%m-%d')", "strftime(d, '%Y-%m-%d')"), ("priority_date", "'2021-02-30'", "NULL"), ("cos_pending", "''", "NULL"), ("stem_timely", "'it is'", "'true'"),
 )
+_REPLY_CASE = lambda i: "CASE n % 16 " + " ".join(f"WHEN {k} THEN {r[i]}" for k, r in enumerate(_REPLIES)) + " END"
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{f}', '{r}', {chr(39) + v + chr(39) if v is not None else 'NULL'})" for f, r, v in _REPLIES) + ") t(fact, reply, value)")
+@query("SELECT o_orderkey, CASE n % 16 " + " ".join(f"WHEN {k} THEN '{r[0]}'" for k, r in enumerate(_REPLIES)) + f" END AS fact, {_REPLY_CASE(1)} AS reply, {_REPLY_CASE(2)} AS value FROM (SELECT o_orderkey, o_orderkey AS n, o_orderdate::DATE AS d FROM orders)")
 def reply_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = spark.createDataFrame([(f, r) for f, r, _ in _REPLIES], "fact string, reply string")
-    return d.select("fact", "reply", R.reply_value(F.col("fact"), F.col("reply")).alias("value"))
+    """A reply to some question for every order; values follow from how the reply was made."""
+    forms = {"strftime(d, '%-d %B %Y')": "date_format(d, 'd MMMM yyyy')", "strftime(d, '%Y-%m-%d')": "date_format(d, 'yyyy-MM-dd')"}
+    fact = "CASE n % 16 " + " ".join(f"WHEN {k} THEN '{r[0]}'" for k, r in enumerate(_REPLIES)) + " END"
+    reply = "CASE n % 16 " + " ".join(f"WHEN {k} THEN {forms.get(r[1], r[1])}" for k, r in enumerate(_REPLIES)) + " END"
+    d = _orders(spark, sf_dir).withColumn("n", F.col("o_orderkey")).select("o_orderkey", F.expr(fact).alias("fact"), F.expr(reply).alias("reply"))
+    return d.select("o_orderkey", "fact", "reply", R.reply_value(F.col("fact"), F.col("reply")).alias("value"))
+
+
+_STATUS = """f AS (SELECT o_orderkey AS k, o_orderkey % 2 = 0 AS cos, o_orderkey % 3 > 0 AS travel, o_orderkey % 5 > 1 AS pending, o_orderkey % 7 = 0 AS decided, o_orderkey % 4 < 3 AS filed, o_orderkey % 11 < 5 AS expired, o_orderkey % 13 > 3 AS timely,
+CASE WHEN o_orderkey % 6 > 0 THEN 'EB-2' END AS category, CASE WHEN o_orderkey % 8 > 0 THEN 'india' END AS area, CASE WHEN o_orderkey % 9 > 0 THEN o_orderdate::DATE END AS priority, CASE o_orderkey % 4 WHEN 0 THEN 'C' WHEN 1 THEN 'U' WHEN 2 THEN '1996-01-01' END AS action FROM orders)"""
+
+
+@query(f"""WITH {_STATUS} SELECT k AS o_orderkey, 'cos_travel_abandonment' AS rule, CASE WHEN NOT pending OR decided THEN 'cos_pending' END AS fact, CASE WHEN pending AND NOT decided THEN 'ABANDONS' END AS word FROM f WHERE cos AND travel
+UNION ALL SELECT k, 'stem_pending_work', CASE WHEN decided THEN 'stem_decided' WHEN NOT timely THEN 'stem_timely' END, CASE WHEN NOT decided AND timely THEN 'MAY' END FROM f WHERE filed AND (expired OR pending)
+UNION ALL SELECT k, 'priority_date_current', CASE WHEN category IS NULL THEN 'eb_category' WHEN area IS NULL THEN 'country_of_birth' WHEN priority IS NULL THEN 'priority_date' END,
+  CASE WHEN category IS NOT NULL AND area IS NOT NULL AND priority IS NOT NULL THEN CASE WHEN action IS NULL THEN 'UNCONFIRMED' WHEN action = 'C' THEN 'CURRENT' WHEN action = 'U' THEN 'NOT' WHEN priority < TRY_CAST(action AS DATE) THEN 'CURRENT' ELSE 'NOT' END END FROM f""")
+def status_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Travel and work while pending, and priority dates, for a person an order: the fact still needed or the word that decides."""
+    k = F.col("o_orderkey")
+    action = F.when(k % 4 == 0, "C").when(k % 4 == 1, "U").when(k % 4 == 2, "1996-01-01")
+    x = _orders(spark, sf_dir).select(
+        "o_orderkey", (k % 2 == 0).alias("cos"), (k % 3 > 0).alias("travel"), (k % 5 > 1).alias("pending"), (k % 7 == 0).alias("decided"), (k % 4 < 3).alias("filed"), (k % 11 < 5).alias("expired"), (k % 13 > 3).alias("timely"),
+        F.when(k % 6 > 0, "EB-2").alias("category"), F.when(k % 8 > 0, "india").alias("area"), F.when(k % 9 > 0, F.col("d")).alias("priority"), action.alias("action"), "d",
+    )
+    c = F.col
+    results = R.evaluate(
+        R.travel_pending(c("cos"), c("travel"), c("pending"), c("decided")),
+        R.work_pending(c("filed"), c("expired"), c("pending"), c("decided"), c("timely"), c("d")),
+        R.priority_date(F.lit(True), c("category"), c("area"), c("priority"), c("action"), F.lit("C"), F.lit("June 1996")),
+    )
+    x = x.select("o_orderkey", F.explode(results).alias("r")).select("o_orderkey", "r.*")
+    return x.select("o_orderkey", "rule", "fact", F.nullif(F.regexp_extract("decision", r"(?:Final Action Dates: |\b)(ABANDONS|MAY|UNCONFIRMED|CURRENT|NOT)\b", 1), F.lit("")).alias("word"))

@@ -11,25 +11,16 @@ from corpusmill.operators import evalkit as E
 from corpusmill.operators import retrieve as R
 from corpusmill.operators import verify as V
 from corpusmill.plans.registry import Registry
-from corpusmill.plans.staging import small_or_shuffled, table
+from corpusmill.plans.staging import table
 
 query = Registry()
 
 
 def contained(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(item_id, doc_id) of quotes that stand whole in a document.
-
-    The quotes are a stated set, held against all rows in one pass. A document is
-    compared only with quotes whose first four words it has in a row: an equi-join on
-    word windows instead of every pair.
-    """
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote"))
-    items = items.withColumn("key", F.array_join(F.slice(T.words(F.lower("quote")), 2, 4), " "))
-    keys = small_or_shuffled(items.select("key").distinct())
-    d = table(spark, sf_dir, "documents").select("doc_id", "text", T.words(F.lower("text")).alias("w"))
-    grams = d.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 3, F.lit(1))), lambda i: F.array_join(F.slice("w", i, 4), " ")))).alias("key"))
-    pairs = grams.join(keys, "key", "left_semi").join(items, "key")
-    return pairs.join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").where(F.col("text").contains(F.col("quote"))).select("item_id", "doc_id").distinct()
+    """(item_id, doc_id) of benchmark items that stand whole in a document."""
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("quote_id"), F.col("text").alias("quote"))
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source_id"), "text")
+    return V.containing(items, d).select(F.col("quote_id").alias("item_id"), F.col("source_id").alias("doc_id"))
 
 
 @query("SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
@@ -47,10 +38,10 @@ _QSPLIT = r"""list_filter(string_split(regexp_replace(trim(text), '([.;:])\s+([A
 
 
 @query(f"""WITH p AS (SELECT item_id, unnest({_QSPLIT}) AS s, unnest(range(len({_QSPLIT}))) AS part FROM benchmark),
-hit AS (SELECT item_id, part, min(doc_id) AS doc_id FROM p JOIN documents d ON d.doc_id < 200 AND length({_FOLD.format(t='s')}) >= 25 AND contains(lower(trim(regexp_replace(d.text, '\\s+', ' ', 'g'))), {_FOLD.format(t='s')}) GROUP BY ALL)
+hit AS (SELECT item_id, part, min(doc_id) AS doc_id FROM p JOIN documents d ON length({_FOLD.format(t='s')}) >= 25 AND contains(lower(trim(regexp_replace(d.text, '\\s+', ' ', 'g'))), {_FOLD.format(t='s')}) GROUP BY ALL)
 SELECT item_id, part::INT AS part, coalesce(hit.doc_id, -1) AS source, hit.doc_id IS NOT NULL AS kept FROM p LEFT JOIN hit USING (item_id, part)""")
 def quote_sentence_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents are the slate. The SQL names the first 200, which are all at sf0.001 only."""
+    """All documents are the slate of all items."""
     points = table(spark, sf_dir, "benchmark").select(F.lit(0).alias("id"), F.col("item_id").alias("point"), F.lit(-1).alias("cited"), F.col("text").alias("quote"), F.lit("").alias("applies"))
     slate = table(spark, sf_dir, "documents").select(F.lit(0).alias("id"), F.col("doc_id").alias("source"), "text")
     return V.check_quotes(points, slate).select(F.col("point").alias("item_id"), "part", F.coalesce("source", F.lit(-1).cast("long")).alias("source"), "kept")
@@ -75,12 +66,47 @@ def closing_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.too_many_questions(a).select("id.*", "n")
 
 
-_ANSWERS = (("see [1] and [7], [7] or [12]", 5), ("[0] [3]", 3), ("none", 2), ("year [2024]", 2))
+_BRACKETED = "text || ' [' || doc_id % 15 || '] and [' || doc_id % 4 || '], [' || doc_id % 15 || '] but not [2024]'"
 
 
-@query("SELECT * FROM (VALUES (0::BIGINT, 7::BIGINT), (0, 12), (1, 0)) t(id, n)")
+@query(f"SELECT DISTINCT doc_id AS id, n::BIGINT AS n FROM (SELECT doc_id, unnest(regexp_extract_all({_BRACKETED}, '\\[(\\d{{1,2}})\\]', 1))::INT AS n FROM documents) WHERE n < 1 OR n > doc_id % 9")
 def uncited_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.out_of_range(spark.createDataFrame([(i, *a) for i, a in enumerate(_ANSWERS)], "id long, text string, n_sources int"))
+    """Documents as answers that cite three numbers, with 0 to 8 sources each."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.expr(_BRACKETED).alias("text"), (F.col("doc_id") % 9).cast("int").alias("n_sources"))
+    return V.out_of_range(d)
+
+
+@query("""WITH a AS (SELECT doc_id, [{'t': '8', 's': '214.' || doc_id % 12, 'r': '8 CFR § 214.' || doc_id % 12 || '(f)'}, {'t': CASE WHEN doc_id % 5 = 0 THEN '20' ELSE '8' END, 's': '274a.' || doc_id % 7, 'r': CASE WHEN doc_id % 5 = 0 THEN '20' ELSE '8' END || ' C.F.R. 274a.' || doc_id % 7}] AS cs FROM documents),
+c AS (SELECT doc_id, unnest(cs) AS c FROM a)
+SELECT doc_id AS id, c.r AS raw, CASE WHEN c.t <> '8' THEN 'wrong title' ELSE 'in no source' END AS problem FROM c WHERE c.t <> '8' OR NOT (c.s = '214.' || doc_id % 10 OR c.s = '274a.' || doc_id % 3 OR c.s = '214.' || doc_id % 11)""")
+def bad_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two citations an answer; its slate cites one section and mentions two."""
+    k = lambda n: (F.col("doc_id") % n).cast("string")
+    title = F.when(F.col("doc_id") % 5 == 0, "20").otherwise("8")
+    d = table(spark, sf_dir, "documents")
+    answers = d.select(F.col("doc_id").alias("id"), F.concat(F.lit("See 8 CFR § 214."), k(12), F.lit("(f) and "), title, F.lit(" C.F.R. 274a."), k(7), F.lit(" too.")).alias("text"))
+    slate = d.select(F.col("doc_id").alias("id"), F.concat(F.lit("8 CFR § 214."), k(10), F.lit("(a)")).alias("citation"), F.concat(F.lit("As 8 CFR § 274a."), k(3), F.lit("(b) has it, and 8 CFR 214."), k(11), F.lit(" says.")).alias("text"))
+    return V.bad_citations(answers, slate)
+
+
+_STATED = """WITH o AS (SELECT o_orderkey AS k, o_orderdate::DATE + 4018 AS d FROM orders),
+x AS (SELECT k, d + (k % 6)::INT AS stated, d + 10 AS first_end, d + 3 AS second_end, k % 4 = 0 AS cited_says, k % 5 = 0 AS other_says FROM o)"""
+
+
+@query(f"""{_STATED} SELECT k AS id, stated AS d,
+CASE WHEN stated = second_end THEN 'boundary' WHEN CASE WHEN k % 3 > 0 THEN cited_says ELSE cited_says OR other_says END THEN 'supported' WHEN abs(stated - second_end) BETWEEN 1 AND 3 THEN 'drift' ELSE 'derived' END AS verdict,
+CASE WHEN stated <> second_end AND NOT (CASE WHEN k % 3 > 0 THEN cited_says ELSE cited_says OR other_says END) AND abs(stated - second_end) BETWEEN 1 AND 3 THEN second_end END AS boundary FROM x""")
+def stated_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An answer an order states one date near a computed boundary; sources say it for some, and some answers cite."""
+    k = F.col("o_orderkey")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.date_add(F.to_date("o_orderdate"), 4018).alias("b"))
+    stated = F.date_add("b", (k % 6).cast("int"))
+    iso, prose = F.date_format(stated, "yyyy-MM-dd"), F.date_format(stated, "MMMM d, yyyy")
+    answers = o.select(k.alias("id"), F.concat(F.lit("You must file by "), iso, F.when(k % 3 > 0, " [1].").otherwise(".")).alias("text"), F.lit("").alias("settled"))
+    one = o.select(k.alias("id"), F.lit(1).alias("source"), F.when(k % 4 == 0, F.concat(F.lit("The day is "), prose, F.lit("."))).otherwise("No day here.").alias("served"))
+    two = o.select(k.alias("id"), F.lit(2).alias("source"), F.when(k % 5 == 0, F.concat(F.lit("See "), prose)).otherwise("").alias("served"))
+    ends = o.select(k.alias("id"), F.lit(0).alias("ord"), F.lit("grace").alias("name"), F.date_add("b", 10).alias("d")).unionByName(o.select(k.alias("id"), F.lit(1).alias("ord"), F.lit("filing").alias("name"), F.date_add("b", 3).alias("d")))
+    return V.check_dates(answers, one.unionByName(two), ends).select("id", "d", "verdict", "boundary")
 
 
 @query("SELECT conv_id, turn, back FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations WHERE role = 'user') WHERE back <= 3")
@@ -122,30 +148,37 @@ r AS (SELECT *, sum(cost) OVER (PARTITION BY lang ORDER BY doc_id ROWS UNBOUNDED
 SELECT lang, doc_id, used::BIGINT AS used FROM r WHERE n = 1 OR used <= 6000""")
 def prompt_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("lang", "doc_id", T.n_tokens(F.col("text")).alias("cost"))
-    return C.fits(d, 6000, "lang", "doc_id", F.col("cost")).select("lang", "doc_id", "used")
+    return C.fits_spread(d, 6000, "lang", "doc_id", F.col("cost")).select("lang", "doc_id", "used")
 
 
 _CW = "list_distinct(list_filter(regexp_extract_all(lower({t}), '[a-z]+'), lambda w: length(w) > 2 AND w NOT IN (" + ", ".join(f"'{w}'" for w in T.STOP) + ")))"
 _SENT = r"list_filter(string_split(regexp_replace(trim({t}), '([.;:])\s+([A-Z(])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda s: trim(s) <> '')"
 
 
-@query(f"""WITH pairs AS (SELECT item_id AS claim, b.text AS ct, d.text AS st FROM benchmark b JOIN documents d ON d.doc_id = b.item_id),
-s AS (SELECT claim, ct, unnest({_SENT.format(t='st')}) AS s FROM pairs),
-m AS (SELECT claim, {_CW.format(t='ct')} AS cw, max(len(list_intersect({_CW.format(t='ct')}, {_CW.format(t='s')}))) AS n FROM s GROUP BY claim, ct)
-SELECT claim, round(CASE WHEN len(cw) = 0 THEN 1.0 ELSE n::DOUBLE / len(cw) END, 6) AS ratio, (CASE WHEN len(cw) = 0 THEN 1.0::DOUBLE ELSE n::DOUBLE / len(cw) END) < 0.6 AS flagged FROM m""")
-def word_overlap_support(spark: SparkSession, sf_dir: str) -> DataFrame:
-    claims = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("claim"), "text")
-    sources = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("claim"), "text")
-    return V.support(claims, sources.join(claims.select("claim"), "claim", "left_semi")).select("claim", F.round("ratio", 6).alias("ratio"), "flagged")
+_SUPPORT = f"""WITH c AS (SELECT item_id AS claim, {_CW.format(t='text')} AS cw FROM benchmark),
+s AS (SELECT doc_id, s, row_number() OVER () AS r FROM (SELECT doc_id, unnest({_SENT.format(t='text')}) AS s FROM documents)),
+w AS (SELECT r, unnest({_CW.format(t='s')}) AS word FROM s), cx AS (SELECT claim, unnest(cw) AS word FROM c),
+m AS (SELECT claim, max(n) AS n FROM (SELECT claim, r, count(*) AS n FROM cx JOIN w USING (word) GROUP BY claim, r) GROUP BY claim)
+SELECT claim, round(CASE WHEN len(cw) = 0 THEN 1.0::DOUBLE ELSE coalesce(n, 0)::DOUBLE / len(cw) END, 6) AS ratio, (CASE WHEN len(cw) = 0 THEN 1.0::DOUBLE ELSE coalesce(n, 0)::DOUBLE / len(cw) END) < 0.6 AS flagged FROM c LEFT JOIN m USING (claim)"""
 
 
-@query()
-def word_overlap_support_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every claim against the sentences of all documents; word_overlap_support pairs by id, as its SQL does."""
+def _support(spark: SparkSession, sf_dir: str) -> DataFrame:
     claims = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("claim"), "text")
     return V.support_in_any(claims, table(spark, sf_dir, "documents").select("text")).select("claim", F.round("ratio", 6).alias("ratio"), "flagged")
 
 
+@query(_SUPPORT)
+def word_overlap_support(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every claim against the sentences of all documents."""
+    return _support(spark, sf_dir)
+
+
+@query(_SUPPORT)
+def word_overlap_support_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same; the name that earlier callers use."""
+    return _support(spark, sf_dir)
+
+
 _CHECKS = (("says idiot", r"\bidiot\b", "must_not"), ("ends sentences", r"\.\s", "must"), ("has digits", r"\d", "must"), ("has pipes", r"\|", "must_not"))
 _CVALS = ", ".join(f"('{n}', '{p}', '{k}')" for n, p, k in _CHECKS)
 _MATRIX = f"m AS (SELECT doc_id, lang, name, kind, regexp_matches(text, '(?is)' || pattern) = (kind = 'must') AS passed FROM documents, (VALUES {_CVALS}) c(name, pattern, kind))"
@@ -190,17 +223,20 @@ def tier_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.weigh(d, R.tier_table(spark), "one").groupBy("tier_name").agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("weight"))
 
 
-_JSON = (
-    '{"attributions": [{"claim": 0, "source": 2}, {"claim": 1, "source": 64}, {"claim": 0, "source": 1}]}',
-    '{"attributions": [{"claim": true, "source": 1}, {"claim": 2, "source": null}, {"claim": 9, "source": 1}, 5]}',
-    "not json", '{"attributions": {}}', '{"attributions": [{"claim": 1}]}',
-)
-
-
-@query()
+@query("""WITH l AS (SELECT l_orderkey AS id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS n, (l_partkey % 6)::INT AS claim, CASE WHEN l_suppkey % 4 = 0 THEN NULL ELSE (l_suppkey % 9)::INT END AS source FROM lineitem WHERE l_orderkey % 10 < 8),
+f AS (SELECT id, claim, arg_min(coalesce(source, 0), n) AS source FROM l WHERE claim < 4 AND id % 10 > 0 AND NOT (claim = 3 AND id % 3 = 0) GROUP BY id, claim)
+SELECT id, claim::BIGINT AS claim, CASE WHEN source BETWEEN 1 AND 5 THEN source END::BIGINT AS source FROM f""")
 def json_point_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = spark.createDataFrame([(i, r, 3, 5) for i, r in enumerate(_JSON)], "id long, raw string, n_claims int, n_sources int")
-    return V.attributions(d)
+    """A JSON reply for every order: its lines as attributions; claims out of range or no integers, sources out
+    of range or null, and replies that are cut off, no list or no JSON at all."""
+    k = F.col("l_orderkey")
+    claim = F.when((F.col("l_partkey") % 6 == 3) & (k % 3 == 0), "true").otherwise((F.col("l_partkey") % 6).cast("string"))
+    source = F.when(F.col("l_suppkey") % 4 == 0, "null").otherwise((F.col("l_suppkey") % 9).cast("string"))
+    point = F.struct(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity").alias("o"), F.concat(F.lit('{"claim": '), claim, F.lit(', "source": '), source, F.lit("}")).alias("p"))
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(point)), lambda x: x["p"]), ", ").alias("ps"))
+    whole = F.concat(F.lit('{"attributions": ['), "ps", F.lit("]}"))
+    raw = F.when(k % 10 == 0, F.substring(whole, 1, 20)).when(k % 10 == 8, '{"attributions": {}}').when(k % 10 == 9, F.concat(F.lit("I think "), "ps")).otherwise(whole)
+    return V.attributions(lines.select(k.alias("id"), raw.alias("raw"), F.lit(4).alias("n_claims"), F.lit(5).alias("n_sources"))).select("id", "claim", "source")
 
 
 @query("SELECT event_type, json_extract_string(props, '$.k') AS k, count(*) AS n FROM events GROUP BY ALL")

@@ -135,3 +135,55 @@ def test_evaluation(spark):
     claims, labels = df(spark, [("h", 0), ("h", 1)], "slug string, ord int"), df(spark, [("h", "S U")], "slug string, letters string")
     assert {r.label for r in evalkit.labelled(claims, labels).collect()} == {"S", "U"} and evalkit.label_mismatches(claims, labels).count() == 0
     assert evalkit.label_mismatches(claims, df(spark, [("h", "S")], "slug string, letters string")).count() == 1
+
+
+def test_quotes_of_any_length_are_found(spark):
+    """Quotes of one word to many, cut inside words, against plain loops."""
+    import random
+
+    from corpusmill.operators import verify as V
+
+    rng = random.Random(12)
+    words = "alpha beta gamma delta epsilon zeta eta theta".split()
+    docs = [(i if i % 6 else None, rng.choice([" ", "\n", "  "]).join(rng.choice(words) for _ in range(rng.randint(0, 9)))) for i in range(60)] + [(7, None)]
+    quotes = [(1, "beta gamma delta epsilon"), (2, "one two three"), (3, "alpha"), (4, "lpha bet"), (5, ""), (6, None), (7, "gamma delta eps"), (8, "a beta gamma d")]
+    for i in range(9, 60):
+        t = rng.choice([t for _, t in docs if t])
+        a = rng.randrange(len(t))
+        quotes.append((i, t[a : a + rng.randint(1, 40)]))
+    got = {(r.quote_id, r.source_id) for r in V.containing(spark.createDataFrame(quotes, "quote_id int, quote string"), spark.createDataFrame(docs, "source_id int, text string")).collect()}
+    assert got == {(q, d) for q, x in quotes for d, t in docs if x is not None and t is not None and x in t}
+    one = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta"), (2, "one two three")], "source_id int, text string")
+    assert {(r.quote_id, r.source_id) for r in V.containing(spark.createDataFrame(quotes[:2], "quote_id int, quote string"), one).collect()} == {(1, 1), (2, 2)}
+
+
+def test_running_sums_over_ranges(spark):
+    import random
+
+    from corpusmill.plans.numbering import running
+
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), i, rng.randint(0, 9)) for i in range(500)]
+    want, total = {}, {}
+    for k, i, v in rows:
+        total[k] = total.get(k, 0) + v
+        want[i] = total[k]
+    got = running(spark.createDataFrame(rows, "k string, i int, v int"), "v", ["i"], ["k"])
+    assert {r.i: r.total for r in got.collect()} == want
+
+
+def test_dense_search_leaves_out_what_has_no_score(spark):
+    import numpy as np
+
+    from corpusmill.operators import retrieve as R
+
+    rng = np.random.default_rng(1)
+    good = [(i, rng.normal(size=4).tolist()) for i in range(50)]
+    rows = good + [(None, [1.0] * 4), (60, None), (61, [1.0] * 3), (62, []), (63, [1.0, None, 1.0, 1.0])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    m = np.array([x for _, x in good])
+    want = {(q, i) for q in range(0, 50, 20) for i in np.argsort(-(m @ m[q]), kind="stable")[:5].tolist()}
+    got = R.dense_top_blocks(v, v.where("vec_id % 20 = 0"), 5, 4)
+    assert {(r.q, r.id) for r in got.where("q < 50").collect()} == want
+    assert {r.id for r in R.dense_top(v, m[:1], 50).collect()} == set(range(50))
+    assert R.unscored(v, 4).count() == 5
