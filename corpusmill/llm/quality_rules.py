@@ -66,16 +66,22 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
 def _repeats(df: DataFrame) -> DataFrame:
     """n_repeat_words: words inside any 8-word window that the text holds twice or more.
 
-    One long a window: its hash with the position in the low bits. Sorting puts
-    equal hashes side by side; only windows with such a neighbour are compared
-    as text, so a hash collision never counts.
+    Words are hashed once; hashes of two, four and eight words follow from those of half
+    as many. Most texts have no two equal window hashes and are done. For the others, one
+    long a window holds its hash and, in the low bits, its position. Sorting puts equal
+    hashes side by side; only windows with such a neighbour are compared as text, so a
+    hash collision never counts.
     """
-    each = ", ".join(f"get(_cm_w, i + {k})" for k in range(WINDOW))
-    df = df.withColumn(
+    df = df.withColumn("_cm_1", F.expr(f"if(size(_cm_w) < {WINDOW}, cast(array() as array<bigint>), transform(_cm_w, x -> xxhash64(x)))"))
+    k = 1
+    while k < WINDOW:  # a power of two
+        df = df.withColumn(f"_cm_{2 * k}", F.expr(f"zip_with(_cm_{k}, slice(_cm_{k}, {k + 1}, greatest(size(_cm_{k}) - {k}, 0)), (a, b) -> xxhash64(a, b))"))
+        k *= 2
+    df = df.withColumn("_cm_h", F.expr(f"slice(_cm_{WINDOW}, 1, greatest(size(_cm_{WINDOW}) - {WINDOW - 1}, 0))")).withColumn(
         "_cm_h",
         F.expr(
-            f"if(size(_cm_w) < {WINDOW}, cast(array() as array<bigint>), sort_array(transform("
-            f"sequence(0, size(_cm_w) - {WINDOW}), i -> shiftleft(shiftright(xxhash64({each}), _cm_b), _cm_b) | cast(i as bigint))))"
+            "if(size(array_distinct(_cm_h)) = size(_cm_h), cast(array() as array<bigint>),"
+            " sort_array(transform(_cm_h, (x, i) -> shiftleft(shiftright(x, _cm_b), _cm_b) | cast(i as bigint))))"
         ),
     ).withColumn(
         "_cm_c",
@@ -101,7 +107,7 @@ def _repeats(df: DataFrame) -> DataFrame:
     # would copy the nested arrays above into one expression many times over
     start = "if(spark_partition_id() >= 0, 0L, null)"
     covered = f"transform(_cm_p, (p, i) -> least({WINDOW}, coalesce(get(_cm_p, i + 1) - p, {WINDOW})))"
-    return df.withColumn("n_repeat_words", F.expr(f"aggregate({covered}, {start}, (a, x) -> a + x)")).drop("_cm_h", "_cm_c", "_cm_e", "_cm_p")
+    return df.withColumn("n_repeat_words", F.expr(f"aggregate({covered}, {start}, (a, x) -> a + x)")).drop("_cm_h", "_cm_c", "_cm_e", "_cm_p", *[f"_cm_{1 << j}" for j in range(WINDOW.bit_length())])
 
 
 def fail_bits() -> Column:
