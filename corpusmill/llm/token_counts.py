@@ -123,13 +123,13 @@ def token_counts(docs: DataFrame, cache: str, tokenizer: str = TOKENIZER, limit:
     digests = cut(slim.where("n_bytes > 0").select("digest").distinct())
     for left in range(waves, 0, -1):
         missing = cut(misses(digests, cache, version))
-        found = sorted(r.prefix for r in missing.select("prefix").distinct().collect())  # 16 at most
-        wave = found[: -(-len(found) // left)]
+        found = {r.prefix: r["count"] for r in missing.groupBy("prefix").count().collect()}  # 16 at most
+        wave = sorted(found)[: -(-len(found) // left)]
         if not wave:
             break
         texts = rows.where(_prefix().isin(wave)).select("digest", "text").where("text != ''")
         todo = missing.where(F.col("prefix").isin(wave)).select("digest")
-        if todo.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        if sum(found[p] for p in wave) <= BROADCAST_ROWS:
             texts = texts.join(F.broadcast(todo), "digest", "left_semi").dropDuplicates(["digest"])
         else:
             texts = texts.dropDuplicates(["digest"]).join(todo, "digest", "left_semi")
