@@ -41,8 +41,9 @@ ENTITIES = {"nbsp": " ", "quot": '"', "apos": "'", "lt": "<", "gt": ">", "copy":
 
 
 def words(c: Column) -> Column:
-    t = F.trim(F.regexp_replace(c, r"\s+", " "))
-    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, " "))
+    # one regex pass: the ends are trimmed without one
+    t = F.btrim(c, F.lit(" \t\n\x0b\f\r"))
+    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, r"\s+"))
 
 
 def n_words(c: Column) -> Column:

@@ -58,8 +58,9 @@ def stem_and_items(piece: Column) -> Column:
         enumerated_ = (F.size(items) >= ENUM_ITEMS) & (T.n_tokens(piece) >= ENUM_TOKENS) & (stem != "")
         return F.when(enumerated_, F.concat(F.array(pair(stem, stem)), F.transform(items, lambda i: pair(F.concat_ws(" ", lead, i), i)))).otherwise(F.array(pair(piece, piece)))
 
-    # a lambda binds the split text once
-    return F.get(F.transform(F.array(F.split(piece, f"(?={T.ENUM_ITEM})")), split), 0)
+    # most pieces have no bracket and are not split; a lambda binds the split text once
+    parts = F.get(F.transform(F.array(F.split(piece, f"(?={T.ENUM_ITEM})")), split), 0)
+    return F.when(piece.contains("("), parts).otherwise(F.array(pair(piece, piece)))
 
 
 def enumerated(piece: str) -> list[tuple[str, str]]:

@@ -129,17 +129,17 @@ def containing(quotes: DataFrame, sources: DataFrame) -> DataFrame:
     sizes = [r.n for r in q.select("n").distinct().collect()]  # five at most
     found = q.where("n = 0").join(sources, F.col("text").contains(F.col("quote"))).select("quote_id", "source_id")
 
-    def windows(words: Column, k: int) -> Column:
-        at = F.when(F.size(words) >= k, F.sequence(F.lit(0), F.size(words) - k))
-        return F.coalesce(F.transform(at, lambda i: F.xxhash64(F.lit(k), F.concat_ws(" ", *[F.get(words, i + j) for j in range(k)]))), F.array().cast("array<bigint>"))
-
-    def keys(words: Column) -> Column:
-        return F.array_distinct(F.concat(*[windows(words, k) for k in sizes if k]))
-
     if any(sizes):
         # a row number names the source, whose id need not
         s = sources.where("text is not null").select("source_id", "text", F.xxhash64("source_id", "text").alias("row"))
-        grams = s.select("row", F.explode(F.get(F.transform(F.array(T.words(F.col("text"))), keys), 0)).alias("key"))
+        at = s.select("row", T.words(F.col("text")).alias("w0"))
+        for k in range(1, max(sizes)):
+            at = at.withColumn(f"w{k}", F.slice("w0", k + 1, 1 << 30))
+        at = at.select("row", F.explode(F.arrays_zip(*[f"w{k}" for k in range(max(sizes))])).alias("z"))
+        # a word and those after it; at the end of a text fewer
+        window = lambda k: F.when(F.col(f"z.w{k - 1}").isNotNull(), F.xxhash64(F.lit(k), F.concat_ws(" ", *[f"z.w{j}" for j in range(k)])))
+        hashes = [window(k) for k in sizes if k]
+        grams = at.select("row", hashes[0].alias("key") if len(hashes) == 1 else F.explode(F.array(*hashes)).alias("key"))
         pairs = cut(grams.join(small_or_shuffled(q.where("n > 0").select("key").distinct()), "key").distinct())
         near = s.join(small_or_shuffled(pairs.select("row").distinct()), "row").dropDuplicates(["row"])
         keyed = near.join(pairs, "row").join(small_or_shuffled(q.where("n > 0")), "key").where(F.col("text").contains(F.col("quote")))
