@@ -1,4 +1,4 @@
-"""python -m corpusmill: index, sources, ask, profile."""
+"""python -m corpusmill: init, index, refresh, add, remember, sources, ask, profile."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import argparse
 import datetime as dt
 
 from corpusmill.engine import Engine, to_json
-from corpusmill.sources import landing, registry
+from corpusmill.sources import fetch, landing, registry
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -26,6 +26,19 @@ def main(argv: list[str] | None = None) -> int:
     x = sub.add_parser("profile", help="show or set a field")
     x.add_argument("file")
     x.add_argument("assignment", nargs="?", help="key=value")
+    x = sub.add_parser("init", help="build every defined source from landed files")
+    x.add_argument("definitions")
+    x.add_argument("landed", help="a folder with a folder of files for each source")
+    x.add_argument("--shipped", help="the same, for sources of which nothing was landed")
+    x = sub.add_parser("refresh", help="conditional refresh of named files, from a mirror folder")
+    x.add_argument("items", help="name=url, separated by commas")
+    x.add_argument("mirror", help="a folder of files named by their quoted urls")
+    x.add_argument("table")
+    x.add_argument("--force", action="store_true")
+    x = sub.add_parser("add", help="add private documents")
+    x.add_argument("path")
+    x = sub.add_parser("remember", help="keep a note")
+    x.add_argument("note")
     a = p.parse_args(argv)
     if a.command == "profile":
         if a.assignment:
@@ -42,6 +55,22 @@ def main(argv: list[str] | None = None) -> int:
         built = engine.build(files, a.slug, a.chunker, tier=a.tier)
         print(to_json(built))
         return int(built["chunks"] == 0)
+    if a.command == "init":
+        landed = landing.by_source(spark, a.landed)
+        reports = engine.init(registry.load(spark, a.definitions), landed, landing.by_source(spark, a.shipped) if a.shipped else None)
+        for r in reports:
+            print(to_json(r))
+        return int(any(r["chunks"] == 0 for r in reports))
+    if a.command == "refresh":
+        items = spark.createDataFrame([tuple(x.split("=", 1)) for x in a.items.split(",")], "name string, url string")
+        done = fetch.refresh(spark, items, a.table, fetch.folder(a.mirror), lambda name, new, old: "" if new else "empty", dt.datetime.now(dt.timezone.utc).strftime("%Y-%m-%d %H:%M:%S"), force=a.force)
+        for r in done.orderBy("name").collect():
+            print(to_json(r.asDict()))
+        return 0
+    if a.command in ("add", "remember"):
+        done = engine.add(landing.text_files(spark, a.path)) if a.command == "add" else engine.remember(a.note, dt.date.today().isoformat())
+        print(to_json(done))
+        return int(done["chunks"] == 0)
     if a.command == "sources":
         for r in engine.sources(registry.load(spark, a.definitions), dt.date.today().isoformat()).collect():
             print(to_json(r.asDict()))

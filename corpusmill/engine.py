@@ -8,6 +8,7 @@ are selectable. Text generation stays outside; it is a function the caller gives
 from __future__ import annotations
 
 import json
+import zlib
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -15,8 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
-from corpusmill.operators import conversation, embed, index, ingest, retrieve, terminology, validity
-from corpusmill.sources import registry, shards
+from corpusmill.operators import answering, conversation, embed, index, ingest, retrieve, terminology, validity
+from corpusmill.plans.staging import cut
+from corpusmill.sources import landing, registry, shards
 
 
 @dataclass
@@ -44,6 +46,36 @@ class Engine:
         p = shards.read(self.spark, self.root)
         return p if private else p.where("tier != 9")
 
+    def init(self, definitions: DataFrame, landed: DataFrame, shipped: DataFrame | None = None) -> list[dict]:
+        """Build every defined source from its landed files (source, path, content), or from the
+        ``shipped`` ones where nothing was fetched. One report a definition."""
+        files = landed if shipped is None else landing.first_available(landed, shipped, "source")
+        out = []
+        for d in definitions.collect():  # the definitions are files that a person wrote
+            own = files.where(F.col("source") == d.slug)
+            own = own.select("path", "content") if d.chunker in ("regulation", "pdf") else own.select("path", F.col("content").cast("string").alias("text"))
+            if d.chunker == "manual":
+                own = own.select(F.xxhash64("path").alias("page_id"), F.col("text").alias("html"))
+            out.append(self.build(own, d.slug, d.chunker, tier=d.tier, kind=d.kind, url=d.url, source_title=d.title))
+        return out
+
+    def add(self, files: DataFrame) -> dict:
+        """Private documents (path, text) of accepted kinds, kept and built as shard ``me`` of tier 9.
+
+        A document of the same name replaces the one kept; others stay.
+        """
+        ok = files.where(landing.accepted_suffix(F.col("path")))
+        refused = [r.path for r in files.where(~landing.accepted_suffix(F.col("path"))).select("path").limit(100).collect()]
+        name = F.element_at(F.split("path", "/"), -1)
+        kept = f"{self.root.rstrip('/')}-private"
+        cut(ok.select(name.alias("name"), "text")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("name").parquet(kept)
+        every = self.spark.read.schema("text string, name string").parquet(kept).select(F.col("name").alias("path"), "text")
+        return self.build(every, "me", "text", tier=9, kind="personal") | {"refused": refused}
+
+    def remember(self, note: str, today: str) -> dict:
+        """A note of the person's own, as a private document."""
+        return self.add(self.spark.createDataFrame([(f"note-{today}-{zlib.crc32(note.encode()):08x}.txt", note)], "path string, text string"))
+
     # --- searching -----------------------------------------------------------------
 
     def search_many(self, queries: list[str], k: int | None = None, only: list[str] | None = None, exclude: list[str] | None = None) -> DataFrame:
@@ -126,6 +158,25 @@ class Engine:
     def _numbered(slate: DataFrame) -> DataFrame:
         return slate.select(F.lit(0).alias("question_id"), F.col("q").alias("qi"), "rank", F.xxhash64("id").alias("id"), "citation", "text", "score", "usable")
 
+    def answer(self, question: str, chat: answering.Client, facts: str = "", k: int | None = None, **options) -> dict:
+        """``ask`` with a model's part: issues planned, the answer cited and checked, loose duties attributed."""
+        q = self.spark.createDataFrame([(0, question, facts)], "id long, question string, facts string")
+        issues = [r.issue for r in answering.planned_issues(q, chat).orderBy("n").collect()]  # six at most
+        got = self.ask(question, issues=issues, k=k, **options)
+        if got["status"] != "ok":
+            return got
+        slate = self.spark.createDataFrame([(0, r["rank"], r["citation"]) for r in got["sources"]], "id long, source int, citation string")
+        texts = self.passages().select("citation", "text").join(slate, "citation").select("id", "source", "text")
+        prompt = self.spark.createDataFrame([(0, got["prompt"] + "\n\n" + question)], "id long, prompt string")
+        answers, quotes = answering.cited_answers(prompt, texts, chat)
+        text = answers.first().answer
+        loose = answering.attributed_claims(prompt.select("id", "prompt", F.lit(text).alias("text"), F.lit(len(got["sources"])).alias("n_sources")), chat)
+        return got | {
+            "answer": text,
+            "quotes": [r.asDict() for r in quotes.orderBy("point", "part").select("source", "quote", "applies").collect()],
+            "attributed": [r.asDict() for r in loose.orderBy("claim").select("text", "source").collect()],
+        }
+
     # --- housekeeping ----------------------------------------------------------------
 
     def sources(self, definitions: DataFrame, today: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Landing raw files: sniffing, digests, archive members, guarded refresh.
 
-The network is out of scope; what was fetched is a table (path, content) as read by
-the ``binaryFile`` source.
+What was fetched is a table (path, content) as read by the ``binaryFile`` source or
+landed by ``fetch``.
 """
 
 from __future__ import annotations
@@ -27,6 +27,12 @@ def text_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
 
 
+def by_source(spark: SparkSession, path: str) -> DataFrame:
+    """(source, path, content) of the files in a folder of folders named by source."""
+    f = files(spark, f"{path.rstrip('/')}/*/*")
+    return f.select(F.element_at(F.split("path", "/"), -2).alias("source"), "path", "content")
+
+
 def sniffed(declared: Column, content: Column) -> Column:
     """Extension of a body: PDF magic beats what was declared."""
     head = F.substring(content, 1, 5)
