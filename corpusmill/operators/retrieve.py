@@ -77,51 +77,72 @@ def unscored(vectors: DataFrame, d: int, id_col: str = "vec_id", vector: str = "
 
 #: Vectors and queries that one multiplication takes.
 CHUNK, BLOCK = 8192, 512
+#: Decimals by which the scores of block searches rank.
+DIGITS = 9
 #: Bytes of query blocks that may be broadcast.
 BLOCK_BYTES = 64 << 20
 
 
-def dense_top_blocks(vectors: DataFrame, queries: DataFrame, n: int, d: int, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def dense_top_blocks(vectors: DataFrame, queries: DataFrame, n: int, d: int, id_col: str = "vec_id", vector: str = "embedding", group: str | None = None) -> DataFrame:
     """(q, id, cosine, rank): the n best of all ``vectors`` for every row of ``queries``; q is its id.
 
+    With ``group``, a column of ``vectors``, the n best of each of its values (null is one
+    of them), and the column is in the result. Scores rank by ``DIGITS`` decimals, then by
+    id: copies of a vector tie, wherever in a matrix they stand, however many there are.
+
     Both sides become matrices, of at most ``CHUNK`` and ``BLOCK`` rows; each pair of them
-    is one multiplication of which n rows a query remain. Nothing is held by the driver,
-    so the queries may grow with the table. Their blocks are broadcast if their bytes were
-    summed to be few, and dealt out as a Cartesian product of blocks otherwise.
+    is one multiplication of which n rows a query and group remain. Nothing is held by the
+    driver, so queries and groups may grow with the table. The blocks of queries are
+    broadcast if their bytes were summed to be few, and dealt out as a Cartesian product
+    of blocks otherwise.
     """
+    kind = vectors.schema[group].dataType.simpleString() if group else "int"
 
-    def matrices(rows: DataFrame, size: int, name: str) -> DataFrame:
+    def matrices(rows: DataFrame, size: int, name: str, g: Column) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, parts = [], []
+            ids, parts, groups = [], [], []
 
             def out() -> pa.RecordBatch:
-                return pa.RecordBatch.from_arrays([pa.array([np.concatenate(ids).tobytes()], pa.binary()), pa.array([np.concatenate(parts).tobytes()], pa.binary())], names=[f"{name}_ids", f"{name}_m"])
+                g = pa.concat_arrays(groups)
+                m = [pa.array([np.concatenate(x).tobytes()], pa.binary()) for x in (ids, parts)]
+                return pa.RecordBatch.from_arrays([*m, pa.ListArray.from_arrays([0, len(g)], g)], names=[f"{name}_ids", f"{name}_m", f"{name}_g"])
 
             for b in batches:
                 i, v = b.column("id").to_numpy(), np.asarray(b.column("v").flatten(), np.float64).reshape(b.num_rows, d)
                 for k in range(0, len(i), size):
                     ids.append(i[k : k + size])
                     parts.append(v[k : k + size])
+                    groups.append(b.column("g").slice(k, size))
                     if sum(map(len, ids)) >= size:
                         yield out()
-                        ids, parts = [], []
+                        ids, parts, groups = [], [], []
             if ids:
                 yield out()
 
-        return _scored(rows, d, id_col, vector).mapInArrow(run, f"{name}_ids binary, {name}_m binary")
+        scored = rows.where(_has_score(d, id_col, vector)).select(F.col(id_col).cast("long").alias("id"), F.col(vector).alias("v"), g.alias("g"))
+        t = kind if name == "v" else "int"
+        return scored.mapInArrow(run, f"{name}_ids binary, {name}_m binary, {name}_g array<{t}>")
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for vi, vm, qi, qm in zip(*[b.column(c) for c in ("v_ids", "v_m", "q_ids", "q_m")]):
+            for vi, vm, vg, qi, qm in zip(*[b.column(c) for c in ("v_ids", "v_m", "v_g", "q_ids", "q_m")]):
                 ids, qs = np.frombuffer(vi.as_py(), np.int64), np.frombuffer(qi.as_py(), np.int64)
                 scores = np.frombuffer(qm.as_py(), np.float64).reshape(-1, d) @ np.frombuffer(vm.as_py(), np.float64).reshape(-1, d).T
-                at = np.stack([np.lexsort((ids, -s))[:n] for s in scores])
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qs, at.shape[1])), pa.array(ids[at].ravel()), pa.array(np.take_along_axis(scores, at, 1).ravel())], names=["q", "id", "cosine"])
-
-    blocks = cut(matrices(queries, BLOCK, "q"))
+                keys = np.round(scores, DIGITS)
+                codes = vg.values.dictionary_encode(null_encoding="encode").indices.to_numpy()
+                sizes = np.bincount(codes)
+                nth = np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes)  # place within its group, once sorted
+                at = np.stack([np.lexsort((ids, -k, codes))[nth < n] for k in keys])
+                cols = [pa.array(np.repeat(qs, at.shape[1])), pa.array(ids[at].ravel()), vg.values.take(pa.array(at.ravel()))]
+                yield pa.RecordBatch.from_arrays([*cols, *(pa.array(np.take_along_axis(x, at, 1).ravel()) for x in (keys, scores))], names=["q", "id", "g", "key", "cosine"])
+
+    blocks = cut(matrices(queries, BLOCK, "q", F.lit(0)))
     few = (blocks.agg(F.sum(F.octet_length("q_m"))).first()[0] or 0) <= BLOCK_BYTES
-    pairs = matrices(vectors, CHUNK, "v").crossJoin(F.broadcast(blocks) if few else blocks)
-    return top(pairs.mapInArrow(multiply, "q long, id long, cosine double"), "cosine", n)
+    pairs = matrices(vectors, CHUNK, "v", F.col(group) if group else F.lit(0)).crossJoin(F.broadcast(blocks) if few else blocks)
+    found = pairs.mapInArrow(multiply, f"q long, id long, g {kind}, key double, cosine double")
+    w = Window.partitionBy("q", "g").orderBy(F.col("key").desc(), "id")
+    best = found.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= n)
+    return best.select("q", *([F.col("g").alias(group)] if group else []), "id", "cosine", "rank")
 
 
 def fuse(dense: DataFrame, lexical: DataFrame, k: int = RRF_K) -> DataFrame:

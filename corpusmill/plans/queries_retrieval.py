@@ -115,32 +115,23 @@ def bm25_stored_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ALL_COS = f"c AS (SELECT b.vec_id AS q, a.vec_id AS id, a.label, {_COS} AS cosine FROM embeddings a, (SELECT * FROM embeddings WHERE vec_id % 20 = 0) b)"
 
 
-def _searches(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
-    """The n best of all vectors for each vector whose id 20 divides."""
+def _searches(spark: SparkSession, sf_dir: str, n: int, group: str | None = None) -> DataFrame:
+    """The n best of all vectors (of each group) for each vector whose id 20 divides."""
     e = table(spark, sf_dir, "embeddings")
-    first = e.select(F.size("embedding")).first()
-    return R.dense_top_blocks(e, e.where("vec_id % 20 = 0"), n, first[0] if first else 1)
+    first = e.where("embedding IS NOT NULL").select(F.size("embedding")).first()
+    return R.dense_top_blocks(e, e.where("vec_id % 20 = 0"), n, first[0] if first else 1, group=group)
 
 
 @query(f"WITH {_ALL_COS} SELECT q, id AS vec_id, round(cosine, 6) AS cosine, rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(cosine, 9) DESC, id) AS rank FROM c) WHERE rank <= {R.pool_size(K)}")
 def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _searches(spark, sf_dir, 2 * R.pool_size(K)).withColumn("score", F.round("cosine", 9))
-    return R.top(found, "score", R.pool_size(K)).select("q", F.col("id").alias("vec_id"), F.round("cosine", 6).alias("cosine"), "rank")
+    return _searches(spark, sf_dir, R.pool_size(K)).select("q", F.col("id").alias("vec_id"), F.round("cosine", 6).alias("cosine"), "rank")
 
 
 @query(f"WITH {_ALL_COS} SELECT q, label, id AS vec_id, round(cosine, 6) AS cosine, rank, round(best, 6) AS best FROM (SELECT *, row_number() OVER (PARTITION BY q, label ORDER BY round(cosine, 9) DESC, id) AS rank, max(cosine) OVER (PARTITION BY q, label) AS best FROM c) WHERE rank <= 5")
 def dense_topk_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The five best of each label: the queries search the vectors of one label after the other."""
-    e = table(spark, sf_dir, "embeddings")
-    labels = [r.label for r in e.select("label").distinct().orderBy("label").limit(1000).collect()]
-    first = e.select(F.size("embedding")).first()
-    out = None
-    for x in labels:
-        part = R.dense_top_blocks(e.where(F.col("label").eqNullSafe(x)), e.where("vec_id % 20 = 0"), 10, first[0]).withColumn("label", F.lit(x))
-        out = part if out is None else out.unionByName(part)
-    w = Window.partitionBy("q", "label").orderBy(F.round("cosine", 9).desc(), "id")
-    best = F.max("cosine").over(Window.partitionBy("q", "label"))  # ten rows a query and label
-    return out.withColumn("best", best).withColumn("rank", F.row_number().over(w).cast("long")).where("rank <= 5").select("q", "label", F.col("id").alias("vec_id"), F.round("cosine", 6).alias("cosine"), "rank", F.round("best", 6).alias("best"))
+    found = _searches(spark, sf_dir, 5, "label")
+    best = F.max("cosine").over(Window.partitionBy("q", "label"))  # five rows a query and label
+    return found.select("q", "label", F.col("id").alias("vec_id"), F.round("cosine", 6).alias("cosine"), "rank", F.round(best, 6).alias("best"))
 
 
 @query("SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS norm, round(embedding[1]::DOUBLE / greatest(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 1e-9), 6) AS first FROM embeddings")

@@ -187,3 +187,29 @@ def test_dense_search_leaves_out_what_has_no_score(spark):
     assert {(r.q, r.id) for r in got.where("q < 50").collect()} == want
     assert {r.id for r in R.dense_top(v, m[:1], 50).collect()} == set(range(50))
     assert R.unscored(v, 4).count() == 5
+
+
+def test_dense_search_of_many_groups_and_copies(spark):
+    """1,300 groups and a null one; copies of a vector tie and rank by id in every block."""
+    import numpy as np
+
+    from corpusmill.operators import retrieve as R
+
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=(3, 4))
+    rows = [(i, base[0].tolist() if i % 3 else rng.normal(size=4).tolist(), None if i % 7 == 0 else f"g{i % 1300}") for i in range(5200)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>, topic string").repartition(5)
+    queries = v.where("vec_id in (0, 20, 2600)")
+    got, want = {}, {}
+    for r in R.dense_top_blocks(v, queries, 2, 4, group="topic").collect():
+        got.setdefault((r.q, r.topic), []).append((r["rank"], r.id))
+    for q in (0, 20, 2600):
+        for i, x, g in rows:
+            want.setdefault((q, g), []).append((-round(float(np.dot(x, rows[q][1])), 9), i))
+    assert len(got) == 3 * 1301
+    assert {k: [i for _, i in sorted(x)] for k, x in got.items()} == {k: [i for _, i in sorted(x)[:2]] for k, x in want.items()}
+    alone = {q: [i for _, i in sorted(x for k, y in want.items() if k[0] == q for x in y)[:90]] for q in (0, 20, 2600)}
+    for q, ids in alone.items():
+        assert [r.id for r in R.dense_top_blocks(v, queries, 90, 4).where(f"q = {q}").orderBy("rank").collect()] == ids
+    assert R.dense_top_blocks(v.where("vec_id < 0"), queries, 2, 4, group="topic").count() == 0
+    assert R.dense_top_blocks(v, v.where("vec_id < 0"), 2, 4, group="topic").count() == 0
