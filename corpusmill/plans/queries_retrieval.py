@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -51,12 +50,15 @@ def lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.top(I.bm25(table(spark, sf_dir, "documents"), _question(spark)), "bm25", R.pool_size(K))
 
 
-def _query_vector(spark: SparkSession, sf_dir: str) -> np.ndarray:
-    return np.array(table(spark, sf_dir, "embeddings").where("vec_id = 0").first()["embedding"], np.float64)[None, :]
+def dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    return R.dense_top_blocks(e, e.where("vec_id = 0"), R.pool_size(K), _length(e))
 
 
-def dense(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.dense_top(table(spark, sf_dir, "embeddings"), _query_vector(spark, sf_dir), R.pool_size(K))
+def _length(e: DataFrame) -> int:
+    """Of the first vector; 1 where there is none."""
+    first = e.where("embedding IS NOT NULL").select(F.size("embedding")).first()
+    return first[0] if first else 1
 
 
 def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,8 +120,7 @@ _ALL_COS = f"c AS (SELECT b.vec_id AS q, a.vec_id AS id, a.label, {_COS} AS cosi
 def _searches(spark: SparkSession, sf_dir: str, n: int, group: str | None = None) -> DataFrame:
     """The n best of all vectors (of each group) for each vector whose id 20 divides."""
     e = table(spark, sf_dir, "embeddings")
-    first = e.where("embedding IS NOT NULL").select(F.size("embedding")).first()
-    return R.dense_top_blocks(e, e.where("vec_id % 20 = 0"), n, first[0] if first else 1, group=group)
+    return R.dense_top_blocks(e, e.where("vec_id % 20 = 0"), n, _length(e), group=group)
 
 
 @query(f"WITH {_ALL_COS} SELECT q, id AS vec_id, round(cosine, 6) AS cosine, rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(cosine, 9) DESC, id) AS rank FROM c) WHERE rank <= {R.pool_size(K)}")

@@ -43,3 +43,17 @@ def test_claims_against_all_documents(spark, tmp_path):
     save(spark, tmp_path, "documents", rows, "doc_id long, text string")
     got = {r.claim: (r.ratio, r.flagged) for r in entry.queries()["word_overlap_support_all"](spark, str(tmp_path)).collect()}
     assert got == {1: (1.0, False), 2: (0.333333, True), 3: (1.0, False)}
+
+
+def test_ranking_of_empty_tables(spark, tmp_path):
+    for name in ("documents", "embeddings", "labels"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").where("false").write.parquet(f"{tmp_path}/{name}.parquet")
+    for name in ("dense_topk", "dense_topk_by_label", "relevance_gate", "rrf_hybrid", "usable_limit", "concat_shards"):
+        assert entry.queries()[name](spark, str(tmp_path)).count() == 0
+
+
+def test_shards_keep_documents_without_language(spark, tmp_path):
+    rows = [(1, "a text", "en", "s1"), (2, "more", None, "s2")]
+    save(spark, tmp_path, "documents", rows, "doc_id long, text string, lang string, source string")
+    got = {tuple(r) for r in entry.queries()["concat_shards"](spark, str(tmp_path)).collect()}
+    assert got == {("d:1", "en", 2, "s1", 6), ("d:2", None, 2, "s2", 4)}
