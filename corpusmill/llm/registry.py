@@ -1,6 +1,6 @@
 """The queries of this package and their SQL."""
 
-from corpusmill.llm import decontamination, html_extraction, merkle, mixing, packing, quality_classifier, quality_rules, simhash, token_counts, url_filters, vector_codes, warc_zip
+from corpusmill.llm import decontamination, html_extraction, license_scan, merkle, mixing, packing, quality_classifier, quality_rules, simhash, token_counts, url_filters, vector_codes, warc_zip
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -15,6 +15,7 @@ QUERIES = {
     "op9_benchmark_decontamination": decontamination.op9_benchmark_decontamination,
     "op10_warc_zip": warc_zip.op10_warc_zip,
     "op11_merkle_manifest": merkle.op11_merkle_manifest,
+    "op12_license_scan": license_scan.op12_license_scan,
     "op13_vector_code_compression": vector_codes.op13_vector_code_compression,
 }
 SQL = {
@@ -24,5 +25,6 @@ SQL = {
     "op7_url_filters": url_filters.OP7_SQL,
     "op10_warc_zip": warc_zip.OP10_SQL,
     "op11_merkle_manifest": merkle.OP11_SQL,
+    "op12_license_scan": license_scan.OP12_SQL,
     "op13_vector_code_compression": vector_codes.OP13_SQL,
 }
