@@ -236,7 +236,7 @@ def _proofs(ranged: DataFrame, ends: DataFrame, counts: DataFrame, runs: DataFra
     if above is not None:
         known = splittable(known, above.select("grp", "root", F.col("proof").alias("above")), ["grp"])
     context = shaped(known).unionByName(shaped(_touched(ends).join(runs, ["grp", "level", "run"])))
-    ranges = ranged.rdd.getNumPartitions()
+    ranges = max(1, ranged.rdd.getNumPartitions())
     dealt = context.unionByName(shaped(ranged)).repartitionById(ranges, "_range").sortWithinPartitions("_range", F.col("_at").asc_nulls_first())
     proof = pa.list_(pa.struct([("place", pa.int32()), ("siblings", pa.string())]))
 
