@@ -83,18 +83,100 @@ PARA = "(5) Duration of status. The student may remain for the whole period that
 OTHER = "(6) Course of study. " + "Words that stay in force go on here and are long enough to be used as a passage of their own. " * 3
 
 
-def test_cut_paragraphs():
-    mark = "[SUSPENDED — withheld: A, 1]"
-    for text, want in (
-        (f"8 CFR § 214.2(f)\n{PARA} {OTHER}", f"8 CFR § 214.2(f)\n{mark} {' '.join(OTHER.split())}"),
-        (f"head\n{PARA[:130]}", f"head\n{mark}"),
-        (f"head\n{PARA[-130:]} {OTHER}", f"head\n{mark} {' '.join(OTHER.split())}"),
-        (f"head\n{PARA.replace(' ', '  ')} x", f"head\n{mark} x"),
-        (PARA.replace("status. The", "status.The"), mark),
-        (f"head\n{PARA}{PARA}", f"head\n{mark}{' '.join(PARA.split())}"),
-        ("head\nnothing here", "head\nnothing here"),
-    ):
-        assert validity.cut_paragraphs(text, [PARA], mark)[0] == want
+REGISTER = "entry int, provisions array<string>, amended array<string>, case_name string, docket string"
+
+
+def served_of(spark, texts, amended, citation="8 CFR § 214.2(f)"):
+    """What is left of each text, with one entry a list of paragraphs."""
+    passages = spark.createDataFrame([(i, citation, t) for i, t in enumerate(texts)], "id long, citation string, text string").repartition(3)
+    register = spark.createDataFrame([(k, ["8 CFR § 214.2(f)(5)"], ps, "ABCD"[k], str(k + 1)) for k, ps in enumerate(amended)], REGISTER)
+    return {r.id: r for r in validity.redacted(passages, register).collect()}
+
+
+LONG_TAIL = " ".join(f"word{i}" for i in range(30))
+
+
+def test_amended_paragraphs_are_cut(spark):
+    mark, other = "[SUSPENDED — withheld: A, 1]", OTHER + LONG_TAIL
+    cases = [
+        (f"8 CFR § 214.2(f)\n{PARA} {other}", f"8 CFR § 214.2(f)\n{mark} {' '.join(other.split())}"),
+        (f"head\n{other} {PARA[:130]}", f"head\n{' '.join(other.split())} {mark}"),
+        (f"head\n{PARA[-130:]} {other}", f"head\n{mark} {' '.join(other.split())}"),
+        (f"head\n{PARA.replace(' ', '  ')} {other}", f"head\n{mark} {' '.join(other.split())}"),
+        (PARA.replace("status. The", "status.The") + other, mark + " ".join(other.split())),
+        (f"head\n{PARA}{PARA} {other}", f"head\n{mark}{' '.join(PARA.split())} {' '.join(other.split())}"),
+        ("head\nnothing here", "head\nnothing here"), ("", ""), (f"head\n{PARA}", ""),
+    ]
+    got = served_of(spark, [c[0] for c in cases], [[PARA]])
+    assert [got[i].served for i in range(len(cases))] == [c[1] for c in cases]
+    assert [got[i].suspended for i in range(len(cases))] == [False] * 8 + [True]
+    assert [len(got[i].entries) for i in range(len(cases))] == [1] * 6 + [0, 0, 1]
+
+
+def plain_cut(text, amended):
+    """Entry numbers that stand in a text, and their intervals in it without white space, by plain searches."""
+    body = "".join((text.split("\n", 1)[1] if "\n" in text else text).split())
+    hit = {}
+    for k, paragraphs in enumerate(amended):
+        for p in map("".join, map(str.split, paragraphs)):
+            at, end = body.find(p[:90]), body.find(p[-90:])
+            if p and at >= 0:
+                hit.setdefault(k, set()).update(range(at, min(len(body), at + len(p))))
+            elif p and end >= 0:
+                hit.setdefault(k, set()).update(range(max(0, end + len(p[-90:]) - len(p)), end + len(p[-90:])))
+    return body, hit
+
+
+def test_amended_paragraphs_of_any_length_are_found_wherever_they_stand(spark):
+    rng = random.Random(9)
+    filler = lambda n: "".join(rng.choice("abcdefgh éß\n漢") for _ in range(n))
+    amended = [[filler(n) for n in (3, 17, 64)], [filler(89), filler(90), filler(91)], [filler(400), filler(2000)], ["aaaa" * 60, "  "]]
+    texts = []
+    for _ in range(60):
+        p = rng.choice(amended[rng.randrange(4)])
+        cut_at = rng.choice([len(p), len(p), 95])
+        texts.append("head\n" + filler(rng.randrange(200)) + rng.choice([p, p[:cut_at], p[-cut_at:], " ".join(p)]) + filler(rng.randrange(3000)))
+    texts += ["x\n" + "a" * 500, "漢" * 300, filler(5000), "h\n" + amended[2][0] + "  " + amended[1][1] + LONG_TAIL]
+    got = served_of(spark, texts, amended)
+    for i, t in enumerate(texts):
+        body, hit = plain_cut(t, amended)
+        assert got[i].entries == sorted(hit), i
+        gone = set().union(*hit.values()) if hit else set()
+        if hit and not got[i].suspended:
+            left = re.sub(r"\[SUSPENDED — withheld: [A-D], \d\]", "", got[i].served.split("\n", 1)[1] if "\n" in t else got[i].served)
+            assert "".join(left.split()) == "".join(ch for k, ch in enumerate(body) if k not in gone), i
+
+
+def test_redaction_of_odd_rows(spark):
+    passages = spark.createDataFrame([(1, "8 CFR § 214.2(f)", None), (1, "8 CFR § 214.2(f)", "other"), (None, "8 CFR § 214.2(f)", f"h\n{PARA}"), (2, None, PARA), (3, "no citation", PARA), (4, "8 CFR § 214.2(m)", PARA)], "id long, citation string, text string")
+    register = spark.createDataFrame([(1, ["8 CFR § 214.2(f)(5)"], [PARA], "A", "1")], REGISTER)
+    rows = sorted((str(r.id), str(r.text)[:5], r.suspended) for r in validity.redacted(passages, register).collect())
+    assert rows == sorted([("1", "None", True), ("1", "other", False), ("None", f"h\n{PARA}"[:5], False), ("2", PARA[:5], False), ("3", PARA[:5], False), ("4", PARA[:5], False)])
+    assert all(r.served == (r.text or "") for r in validity.redacted(passages.where("text is not null"), spark.createDataFrame([], REGISTER)).collect())
+    assert validity.redacted(passages.limit(0), register).count() == 0
+
+
+def test_many_paragraphs_meet_by_a_join(spark, monkeypatch):
+    monkeypatch.setattr(validity, "BROADCAST_ROWS", 1)
+    test_amended_paragraphs_are_cut(spark)
+
+
+def test_covering_joins_by_keys_only(spark):
+    parts = ["", "(a)", "(a)(1)", "(a)(1)(i)", "(b)", "(a)(2)"]
+    p = spark.createDataFrame([(i, f"8 CFR § 1.2{x}", t) for i, (x, t) in enumerate((x, t) for x in parts for t in ("(1) One (i) More", "(a)(1) (i)(A) x", "(2)  Two", None))], "id long, citation string, text string")
+    v = spark.createDataFrame([(k, f"8 C.F.R. 1.2{x}") for k, x in enumerate([*parts, "(a)(1)(i)(A)"])], "entry int, provision string")
+    got = {(r.id, r.entry) for r in validity.covering(p, v).collect()}
+    path = lambda s: re.findall(r"\((\w+)\)", s.lower())
+    want = set()
+    for r in p.collect():
+        for e in v.collect():
+            a, b = path(e.provision), path(r.citation)
+            n = min(len(a), len(b))
+            if a[:n] == b[:n] and (len(a) <= len(b) or r.text is None or re.search(rf"\({a[len(b)]}\)\s*[A-Z(]", r.text)):
+                want.add((r.id, e.entry))
+    assert got == want
+    plan = validity.covering(p, v)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and "NestedLoop" not in plan
 
 
 def test_redacted(spark):
