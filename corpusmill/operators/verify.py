@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions import dates as D
 from corpusmill.functions import text as T
 from corpusmill.operators import validity as V
-from corpusmill.plans.staging import cut, small_or_shuffled
+from corpusmill.plans.staging import BROADCAST_ROWS, cut, small_batches, small_or_shuffled
 
 # Bracket and citation grammar, least quote, drift.
 BRACKET = r"\[(\d{1,2})\]"
@@ -243,19 +248,91 @@ def support(claims: DataFrame, sources: DataFrame, least: float = 0.6) -> DataFr
     return x.select("claim", ratio.alias("ratio"), (ratio < least).alias("flagged"))
 
 
+class BestOverlap:
+    """The largest overlap of each claim's words with any set of words met so far.
+
+    A claim's words stand rarest first. A set that shares more words than the best so far
+    misses fewer than the rest, so it holds one of the first ``size - best`` words: only
+    those lead from a word to a claim, fewer and fewer as the best grows, and none once a
+    whole claim was met. Sets with no more of the claims' words than the best are skipped.
+    """
+
+    def __init__(self, claims: list[set[str]], frequency: dict[str, int]):
+        self.claims, self.best, self.compared = claims, [0] * len(claims), 0
+        ranked = [sorted(c, key=lambda w: (frequency.get(w, 0), w)) for c in claims]
+        self.leads: dict[str, list[tuple[int, int]]] = {}
+        for k, words in enumerate(ranked):
+            for rank, w in enumerate(words):
+                self.leads.setdefault(w, []).append((k, rank))
+
+    def meet(self, words: set[str]) -> None:
+        known = words & self.leads.keys()
+        near = {k for w in known for k, rank in self.leads[w] if rank < len(self.claims[k]) - self.best[k]}
+        for k in near:
+            if len(words) > self.best[k]:
+                self.compared += 1
+                self.best[k] = max(self.best[k], len(self.claims[k] & words))
+
+    def prune(self) -> None:
+        """Forget what no longer leads to a claim."""
+        for w in list(self.leads):
+            self.leads[w] = [(k, rank) for k, rank in self.leads[w] if rank < len(self.claims[k]) - self.best[k]]
+            if not self.leads[w]:
+                del self.leads[w]
+
+
+def sentence_words(text: str) -> Iterator[set[str]]:
+    """The content words of each sentence, as ``T.sentences`` and ``T.content_words`` have them."""
+    for s in re.split(T.SENTENCE, text.strip(" "), flags=re.ASCII):
+        yield {w for w in re.findall("[a-z]+", s.lower()) if len(w) > 2 and w not in T.STOP}
+
+
 def support_in_any(claims: DataFrame, sources: DataFrame, least: float = 0.6) -> DataFrame:
     """(claim, ratio, flagged) as ``support`` has it, over the sentences of all sources (text).
 
-    Sentences of the same content words count once; claims and sentences meet by word.
+    Claims that were counted to be few go to every task, which walks over its sentences with
+    ``BestOverlap`` (words ranked by their frequency in the task's first batch of texts) and
+    gives one row a claim. More claims meet the sentences by shared words, in a shuffle.
+    Null texts say nothing; a claim without content words is supported; repeated claims
+    count once each.
     """
-    c = claims.select("claim", T.content_words(F.col("text")).alias("cw"))
+    c = cut(claims.select("claim", T.content_words(F.coalesce("text", F.lit(""))).alias("cw"), F.monotonically_increasing_id().alias("n")))
+    held = c.select("n", "cw").limit(BROADCAST_ROWS + 1).collect()
+    if len(held) > BROADCAST_ROWS:
+        return _support_by_words(c, sources, least)
+    numbers, words = [r.n for r in held], [set(r.cw) for r in held]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        overlap = None
+        for b in batches:
+            texts = [x for x in b.column("text").to_pylist() if x is not None]
+            if overlap is None:
+                seen = Counter(w for t in texts for s in sentence_words(t) for w in s)
+                overlap = BestOverlap(words, seen)
+            for t in texts:
+                for s in sentence_words(t):
+                    overlap.meet(s)
+            overlap.prune()
+        best = overlap.best if overlap else []
+        yield pa.RecordBatch.from_arrays([pa.array(numbers[: len(best)], pa.int64()), pa.array(best, pa.int32())], names=["n", "shared"])
+
+    small_batches(sources.sparkSession, 1 << 20)
+    most = sources.select("text").mapInArrow(run, "n long, shared int").groupBy("n").agg(F.max("shared").alias("shared"))
+    return _ratios(c.join(small_or_shuffled(cut(most)), "n", "left"), least)
+
+
+def _ratios(x: DataFrame, least: float) -> DataFrame:
+    ratio = F.when(F.size("cw") == 0, F.lit(1.0)).otherwise(F.coalesce("shared", F.lit(0)) / F.size("cw"))
+    return x.select("claim", ratio.alias("ratio"), (ratio < least).alias("flagged"))
+
+
+def _support_by_words(c: DataFrame, sources: DataFrame, least: float) -> DataFrame:
+    """The same for any number of claims (claim, cw, n): sentences of the same words count once."""
     s = sources.select(F.explode(T.sentences(F.col("text"))).alias("s")).select(F.array_sort(T.content_words(F.col("s"))).alias("sw"))
     s = s.select(F.sha2(F.array_join("sw", " "), 256).alias("sentence"), "sw").dropDuplicates(["sentence"])
-    words = c.select("claim", F.explode("cw").alias("word"))
-    shared = s.select("sentence", F.explode("sw").alias("word")).join(small_or_shuffled(words), "word").groupBy("claim", "sentence").count()
-    most = shared.groupBy("claim").agg(F.max("count").alias("n"))
-    ratio = F.when(F.size("cw") == 0, F.lit(1.0)).otherwise(F.coalesce("n", F.lit(0)) / F.size("cw"))
-    return c.join(most, "claim", "left").select("claim", ratio.alias("ratio"), (ratio < least).alias("flagged"))
+    words = c.select("n", F.explode("cw").alias("word"))
+    shared = s.select("sentence", F.explode("sw").alias("word")).join(small_or_shuffled(words), "word").groupBy("n", "sentence").count()
+    return _ratios(c.join(shared.groupBy("n").agg(F.max("count").alias("shared")), "n", "left"), least)
 
 
 def best_sources(claims: DataFrame, sources: DataFrame, n: int = 3) -> DataFrame:

@@ -155,28 +155,27 @@ _CW = "list_distinct(list_filter(regexp_extract_all(lower({t}), '[a-z]+'), lambd
 _SENT = r"list_filter(string_split(regexp_replace(trim({t}), '([.;:])\s+([A-Z(])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda s: trim(s) <> '')"
 
 
-_SUPPORT = f"""WITH c AS (SELECT item_id AS claim, {_CW.format(t='text')} AS cw FROM benchmark),
-s AS (SELECT doc_id, s, row_number() OVER () AS r FROM (SELECT doc_id, unnest({_SENT.format(t='text')}) AS s FROM documents)),
-w AS (SELECT r, unnest({_CW.format(t='s')}) AS word FROM s), cx AS (SELECT claim, unnest(cw) AS word FROM c),
-m AS (SELECT claim, max(n) AS n FROM (SELECT claim, r, count(*) AS n FROM cx JOIN w USING (word) GROUP BY claim, r) GROUP BY claim)
-SELECT claim, round(CASE WHEN len(cw) = 0 THEN 1.0::DOUBLE ELSE coalesce(n, 0)::DOUBLE / len(cw) END, 6) AS ratio, (CASE WHEN len(cw) = 0 THEN 1.0::DOUBLE ELSE coalesce(n, 0)::DOUBLE / len(cw) END) < 0.6 AS flagged FROM c LEFT JOIN m USING (claim)"""
+def _support_sql(claim: str, claims: str) -> str:
+    return f"""WITH c AS MATERIALIZED (SELECT {claim} AS claim, {_CW.format(t='text')} AS cw, row_number() OVER () AS k FROM {claims}),
+s AS MATERIALIZED (SELECT r, unnest({_CW.format(t='s')}) AS word FROM (SELECT s, row_number() OVER () AS r FROM (SELECT DISTINCT unnest({_SENT.format(t='text')}) AS s FROM documents))), cx AS (SELECT k, unnest(cw) AS word FROM c),
+m AS (SELECT k, max(n) AS n FROM (SELECT k, r, count(*) AS n FROM cx JOIN s USING (word) GROUP BY k, r) GROUP BY k)
+SELECT claim, round(CASE WHEN len(cw) = 0 THEN 1.0::DOUBLE ELSE coalesce(n, 0)::DOUBLE / len(cw) END, 6) AS ratio, (CASE WHEN len(cw) = 0 THEN 1.0::DOUBLE ELSE coalesce(n, 0)::DOUBLE / len(cw) END) < 0.6 AS flagged FROM c LEFT JOIN m USING (k)"""
 
 
-def _support(spark: SparkSession, sf_dir: str) -> DataFrame:
-    claims = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("claim"), "text")
+def _support(spark: SparkSession, sf_dir: str, claims: DataFrame) -> DataFrame:
     return V.support_in_any(claims, table(spark, sf_dir, "documents").select("text")).select("claim", F.round("ratio", 6).alias("ratio"), "flagged")
 
 
-@query(_SUPPORT)
+@query(_support_sql("item_id", "benchmark"))
 def word_overlap_support(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every claim against the sentences of all documents."""
-    return _support(spark, sf_dir)
+    """Every benchmark item as a claim against the sentences of all documents."""
+    return _support(spark, sf_dir, table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("claim"), "text"))
 
 
-@query(_SUPPORT)
+@query(_support_sql("conv_id || '/' || turn", "conversations"))
 def word_overlap_support_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same; the name that earlier callers use."""
-    return _support(spark, sf_dir)
+    """Every turn of every conversation as a claim against the sentences of all documents."""
+    return _support(spark, sf_dir, table(spark, sf_dir, "conversations").select(F.concat(F.col("conv_id").cast("string"), F.lit("/"), F.col("turn").cast("string")).alias("claim"), "text"))
 
 
 _CHECKS = (("says idiot", r"\bidiot\b", "must_not"), ("ends sentences", r"\.\s", "must"), ("has digits", r"\d", "must"), ("has pipes", r"\|", "must_not"))

@@ -213,3 +213,49 @@ def test_dense_search_of_many_groups_and_copies(spark):
         assert [r.id for r in R.dense_top_blocks(v, queries, 90, 4).where(f"q = {q}").orderBy("rank").collect()] == ids
     assert R.dense_top_blocks(v.where("vec_id < 0"), queries, 2, 4, group="topic").count() == 0
     assert R.dense_top_blocks(v, v.where("vec_id < 0"), 2, 4, group="topic").count() == 0
+
+
+# --- best support -------------------------------------------------------------------------
+
+
+def _plain_overlap(claims, sentences):
+    return [max((len(c & s) for s in sentences), default=0) for c in claims]
+
+
+def test_best_overlap_misses_nothing_and_compares_little():
+    import random
+    from collections import Counter
+
+    rng = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    draw = lambda n: {vocabulary[min(2999, int(rng.paretovariate(0.6)))] for _ in range(n)}  # noqa: E731  a few words are in most sentences
+    sentences = [draw(rng.randint(1, 25)) for _ in range(6000)]
+    claims = [set(rng.choice(sentences)) for _ in range(60)] + [draw(12) for _ in range(60)] + [set(), {"nowhere"}]
+    overlap = verify.BestOverlap(claims, Counter(w for s in sentences[:500] for w in s))
+    for k, s in enumerate(sentences):
+        overlap.meet(s)
+        if k % 500 == 499:
+            overlap.prune()
+    assert overlap.best == _plain_overlap(claims, sentences)
+    meeting = sum(1 for c in claims for s in sentences if c & s)
+    assert overlap.compared < 0.1 * meeting
+
+
+def test_support_in_any_equals_plain_overlaps_both_ways(spark, monkeypatch):
+    import random
+
+    rng = random.Random(4)
+    words = ["alpha", "beta", "gamma", "delta", "omega", "the", "of", "law", "visa", "stay", "über", "ABC"]
+    texts = [". ".join(" ".join(rng.choice(words) for _ in range(rng.randint(1, 8))).capitalize() for _ in range(rng.randint(1, 5))) for _ in range(200)] + ["", None]
+    claims = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(1, 6)))) for i in range(40)] + [(40, None), (41, ""), (3, "alpha omega"), (None, "beta")]
+    c, s = spark.createDataFrame(claims, "claim long, text string"), spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    sets = [w for t in texts if t for w in verify.sentence_words(t)]
+    want = []
+    for k, t in claims:
+        own = next(iter(verify.sentence_words(t or "")), set())
+        r = max((len(own & x) for x in sets), default=0) / len(own) if own else 1.0
+        want.append((str(k), round(r, 6), r < 0.6))
+    for rows in (200_000, 1):
+        monkeypatch.setattr(verify, "BROADCAST_ROWS", rows)
+        assert sorted((str(r.claim), round(r.ratio, 6), r.flagged) for r in verify.support_in_any(c, s).collect()) == sorted(want)
+    assert verify.support_in_any(c, s.limit(0)).where("ratio > 0 and ratio < 1").count() == 0
