@@ -10,14 +10,21 @@ minimum cut, found by Dinic's maximum flow, labels all blocks together: a single
 word or a linked line inside an article stays with it, a chatty line inside a menu
 goes with the menu.
 
-Words in class, id and role are evidence, not verdicts. Words of a place (sidebar,
-navbar, form) count only for elements that hold less than half of the page's plain
-words, since a wrapper is often named after what stands beside the article.
+Words in class, id and role are evidence, not verdicts. Words of a place or of what may
+stand beside an article (sidebar, form, related, ad) count only for elements that hold
+less than half of the page's plain words, since a wrapper is often named after its
+neighbours, and never for ``article`` and ``main`` themselves. Tags and words that name
+something else for sure (nav, aside, comments, cookies) count whatever their size, as
+comments are often longer than the article; but if the cut then keeps nothing at all,
+those that hold half of the page's plain words or more do not count. The classifier's
+weights are stated below, not fitted.
 
 Defined results: null and empty pages give an empty text; text that no tag
 surrounds is a block; unclosed tags and quotes end where the page ends; scripts that
 open with a slash at the end are not thereby closed; text that is not displayed
-(hidden attribute or style) is no block; scripts without spaces count two characters
+(hidden attribute or style) is no block, nor is what stands in for scripts and media
+(noscript, object, audio, video, canvas) and the source text of formulas; formulas
+themselves are text; scripts without spaces count two characters
 as a word; null ids and urls are kept; repeated rows each get a row; an empty table
 gives an empty result; other columns, whatever their names, are not read. A very long
 page is read whole, in memory linear in its length.
@@ -44,20 +51,20 @@ _ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>
 # Kinds of HTML elements.
 BLOCKS = frozenset("address article aside blockquote body br-none button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea iframe svg math object canvas audio video title".split())
+RAW = frozenset("script style noscript template textarea iframe svg annotation annotation-xml object canvas audio video title".split())
 NEVER = frozenset("nav footer aside menu dialog button select head search".split())
 WEAK = frozenset("header form fieldset".split())
 GOOD = frozenset("article main".split())
 CLOSES_P = BLOCKS - {"button", "option", "optgroup"}
 # Words in class, id and role that name what an element holds, whole or as a prefix.
-BAD_WORDS = frozenset("ad ads adv advert adslot contentinfo complementary comment comments disqus respond replies reply cookie cookies consent gdpr notice notices alert promo promotion sponsor sponsored share sharing social related recommended newsletter subscribe subscription copyright disclaimer outbrain taboola".split())
-BAD_STARTS = ("advert", "sponsor", "comment", "cookie", "newsletter")
-# Words that name a place on the page.
-PLACE_WORDS = frozenset("banner sidebar aside nav navbar navigation menu menubar footer popup modal overlay signup login breadcrumb breadcrumbs pagination pager widget toolbar masthead search form skip".split())
-PLACE_STARTS = ("sidebar", "breadcrumb", "navig", "footer")
+BAD_WORDS = frozenset("adslot comment comments disqus respond replies reply cookie cookies consent gdpr newsletter outbrain taboola".split())
+BAD_STARTS = ("advert", "comment", "cookie", "newsletter")
+# Words that name a place on the page, or what may stand beside an article.
+PLACE_WORDS = frozenset("ad ads adv contentinfo complementary notice notices alert promo promotion sponsor sponsored share sharing social related recommended subscribe subscription copyright disclaimer banner sidebar aside nav navbar navigation menu menubar footer popup modal overlay signup login breadcrumb breadcrumbs pagination pager widget toolbar masthead search form skip".split())
+PLACE_STARTS = ("sidebar", "breadcrumb", "navig", "footer", "sponsor")
 # Fixed values: "content-with-sidebar" names no sidebar, "comments-open" no comments
-NOT_ITSELF = frozenset("with has no without hide show".split())
-STATES = frozenset("open opened closed enabled disabled on off allowed".split())
+NOT_ITSELF = frozenset("with has no non without hide show".split())
+STATES = frozenset("open opened closed enabled disabled on off allowed free".split())
 GOOD_WORDS = frozenset("article content post entry story main prose articlebody maincontent".split())
 
 # Weights of the linear classifier, in units of capacity.
@@ -126,9 +133,9 @@ def _region(tag: str, attrs: str) -> tuple[int, int, int, int, int]:
 def blocks(page: str) -> list[dict]:
     """Blocks in page order: text, words, linked words, parent and region number, marks, tag."""
     out: list[dict] = []
-    # open block-level elements: tag, bad marks, inside good, number, hidden, region, innermost place and soft mark
-    stack: list[tuple] = [("", 0, 0, 0, 0, -1, -1, -1)]
-    marks: list[list[int]] = []  # of place and soft marks: first block, block after the last, the mark around
+    # open block-level elements: tag, innermost bad mark, inside good, number, hidden, region, innermost place and soft mark
+    stack: list[tuple] = [("", -1, 0, 0, 0, -1, -1, -1)]
+    marks: list[list[int]] = []  # first block, block after the last, the mark of its kind around
     closes: list[list[int]] = [[]]  # the marks that end with each open element
     text: list[str] = []
     linked, in_link, made, at, n = 0, 0, 1, 0, len(page)
@@ -144,7 +151,7 @@ def blocks(page: str) -> list[dict]:
             if joined and not stack[-1][4]:
                 tag, bad, good, _, _, region, place, soft = stack[-1]
                 words = _n_words(joined)
-                out.append({"text": joined, "words": words, "linked": min(linked, words), "parent": stack[-2][3] if len(stack) > 1 else 0, "hard": int(bad > 0), "place": place, "soft": soft, "good": good, "region": region, "tag": tag})
+                out.append({"text": joined, "words": words, "linked": min(linked, words), "parent": stack[-2][3] if len(stack) > 1 else 0, "hard": bad, "place": place, "soft": soft, "good": good, "region": region, "tag": tag})
             text.clear()
         linked = 0
 
@@ -223,11 +230,13 @@ def blocks(page: str) -> list[dict]:
                     good, region, soft = 1, made, -1
                 elif b:
                     good, region = 0, -1
+                if b:
+                    bad = mark(bad)
                 if p:
                     place = mark(place)
                 if s and not g:
                     soft = mark(soft)
-                stack.append((tag, bad + b, good, made, hidden or h, region, place, soft))
+                stack.append((tag, bad, good, made, hidden or h, region, place, soft))
                 made += 1
         elif closing and tag in inline and any(e[0] == tag for e in stack[1:]):
             end()
@@ -239,7 +248,8 @@ def blocks(page: str) -> list[dict]:
 
 
 def _weigh_marks(bs: list[dict], marks: list[list[int]]) -> None:
-    """Turn mark numbers into 0 or 1: a mark around half of the page's plain words or more is none."""
+    """Turn mark numbers into 0 or 1: a mark around half of the page's plain words or more is none.
+    A hard mark stays; ``narrow`` says whether it would not."""
     upto = [0]
     for b in bs:
         upto.append(upto[-1] + b["words"] - b["linked"])
@@ -248,6 +258,7 @@ def _weigh_marks(bs: list[dict], marks: list[list[int]]) -> None:
         small = 2 * (upto[after] - upto[first]) < upto[-1]
         counts.append(int(small or around >= 0 and counts[around]))
     for b in bs:
+        b["narrow"], b["hard"] = int(b["hard"] >= 0 and counts[b["hard"]]), int(b["hard"] >= 0)
         for k in ("place", "soft"):
             b[k] = counts[b[k]] if b[k] >= 0 else 0
 
@@ -356,7 +367,14 @@ def labels(bs: list[dict]) -> list[bool]:
 
 def main_text(page: str | None) -> str:
     bs = blocks(page or "")
-    return "\n".join(b["text"] for b, k in zip(bs, labels(bs)) if k) if bs else ""
+    if not bs:
+        return ""
+    keep = labels(bs)
+    if not any(keep) and any(b["hard"] > b["narrow"] for b in bs):
+        # what holds the page is no comment or menu, whatever it is called
+        bs = [b | {"hard": b["narrow"]} for b in bs]
+        keep = labels(bs)
+    return "\n".join(b["text"] for b, k in zip(bs, keep) if k)
 
 
 def extract(pages: DataFrame) -> DataFrame:

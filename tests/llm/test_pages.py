@@ -358,3 +358,31 @@ def test_very_long_and_odd_pages(spark):
     rows = [(1, "u", "<article>" + SENTENCES * 20_000 + "</article>", "a", "b", "c"), (1, "u", "x" * 3_000_000, "a", "b", "c"), (3, None, "<div>" * 50_000 + "deep", "a", "b", "c")]
     got = html_extraction.extract(spark.createDataFrame(rows, SCHEMA)).collect()
     assert len(got) == 3 and got[0].text.count("\n") == 19_999
+
+
+ARTICLE = " ".join(f"This is plain sentence number {w} of the whole article text." for w in ("one", "two", "three", "four", "five"))
+
+
+@pytest.mark.parametrize("beside", ["", "<nav><a href=x>Home</a> <a href=y>About us</a></nav>", "<footer>Copyright 2020 by the Foo Company. All rights reserved.</footer>", "<div class='cookie-banner'>We use cookies. Accept all of them now.</div>"])
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<div class='social-science'>{}</div>", "<div class='related-work'>{}</div>", "<div class='ad-free content'>{}</div>", "<div id='content'><div class='alert-news'>{}</div></div>", "<div class='share-post-page'><article>{}</article></div>",
+        "<div class='promo'><article>{}</article></div>", "<main id='notice'>{}</main>", "<article class='ad'>{}</article>", "<aside class='layout'><article>{}</article></aside>", "<div class='comments-page'><div>{}</div></div>",
+    ],
+)
+def test_no_article_is_lost_to_a_wrapper_s_name(page, beside):
+    text = html_extraction.main_text(beside + page.format(f"<p>{ARTICLE}</p>"))
+    assert text == ARTICLE
+
+
+def test_small_marked_elements_and_long_comments_stay_out():
+    long_comments = "".join(f"<div class='comment'><p>{ARTICLE}</p></div>" for _ in range(6))
+    small = "<div class='related'><p>Read this other fine story today. It is good.</p></div><div class='ad'><p>Buy two of them now. They are cheap.</p></div>"
+    assert html_extraction.main_text(f"<article><p>{ARTICLE}</p></article>{small}<section class='comments'>{long_comments}</section>") == ARTICLE
+    assert html_extraction.main_text(f"<div><p>{ARTICLE}</p></div><aside><p>{ARTICLE}</p><p>{ARTICLE}</p></aside>") == ARTICLE
+
+
+def test_formulas_are_text_and_their_source_is_not():
+    page = f"<p>{ARTICLE} Let <math><semantics><mrow><mi>x</mi><mo>+</mo><mn>1</mn></mrow><annotation encoding='application/x-tex'>x+1</annotation></semantics></math> be real.</p>"
+    assert html_extraction.main_text(page) == f"{ARTICLE} Let x+1 be real."
