@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusmill.llm import decontamination, mixing, packing, quality_rules, simhash
-from corpusmill.plans.staging import table
+from corpusmill.plans.staging import table, work_folder
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,9 +56,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in turn. What a stage keeps is written once as Parquet in the shared folder
+    and read from there by the next, which may pass over it several times."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs.write.parquet(path := f"{work_folder(spark, 'pipeline')}/rows")
+            docs = spark.read.parquet(path)
     return docs
 
 
