@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
-from corpusmill.plans.staging import BROADCAST_ROWS, cut
+from corpusmill.plans.staging import BROADCAST_ROWS, cut, spread
 
 #: Distinct query terms up to which they are looked for inside a row.
 FEW_TERMS = 32
@@ -29,6 +29,7 @@ def tokenized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Index:
     """All terms of all documents, one row an id. Persist the frames to query them
     repeatedly, or take ``stored``. Postings are counted inside their rows and shuffle nothing."""
+    docs = spread(docs.select(id_col, text_col))
     text = F.coalesce(F.col(text_col), F.lit(""))
     postings = docs.select(F.col(id_col).alias("id"), F.inline(T.counted_terms(text)))
     doc_stats = tokenized(docs, id_col, text_col).select("id", F.greatest(F.size("tokens"), F.lit(1)).cast("long").alias("len"))
@@ -40,7 +41,7 @@ def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> In
 def stored(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> Index:
     """The index written under ``path`` and read back; the texts are tokenised once."""
     spark, text = docs.sparkSession, F.coalesce(F.col(text_col), F.lit(""))
-    docs.select(F.col(id_col).alias("id"), T.counted_terms(text).alias("terms")).write.mode("overwrite").parquet(f"{path}/documents")
+    spread(docs.select(id_col, text_col)).select(F.col(id_col).alias("id"), T.counted_terms(text).alias("terms")).write.mode("overwrite").parquet(f"{path}/documents")
     d = spark.read.parquet(f"{path}/documents")
     size = F.aggregate("terms", F.lit(0).cast("long"), lambda s, x: s + x["tf"])
     d.select("id", F.greatest(size, F.lit(1)).cast("long").alias("len")).write.mode("overwrite").parquet(f"{path}/doc_stats")
@@ -73,7 +74,7 @@ def bm25(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col:
     enough to broadcast, meet the counted terms of each row, among which a row without a
     term stands for the document itself.
     """
-    terms = queries_to_terms(queries)
+    terms, docs = queries_to_terms(queries), spread(docs.select(id_col, text_col))
     t = tokenized(docs, id_col, text_col)
     long = F.greatest(F.size("tokens"), F.lit(1)).alias("len")
     few = [r["term"] for r in terms.select("term").distinct().limit(FEW_TERMS + 1).collect()]

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from corpusmill.functions import dates as D
 from corpusmill.functions import text as T
 from corpusmill.operators import validity as V
-from corpusmill.plans.staging import BROADCAST_ROWS, cut, small_batches, small_or_shuffled
+from corpusmill.plans.staging import BROADCAST_ROWS, cut, small_batches, small_or_shuffled, spread
 
 # Bracket and citation grammar, least quote, drift.
 BRACKET = r"\[(\d{1,2})\]"
@@ -317,7 +317,7 @@ def support_in_any(claims: DataFrame, sources: DataFrame, least: float = 0.6) ->
         yield pa.RecordBatch.from_arrays([pa.array(numbers[: len(best)], pa.int64()), pa.array(best, pa.int32())], names=["n", "shared"])
 
     small_batches(sources.sparkSession, 1 << 20)
-    most = sources.select("text").mapInArrow(run, "n long, shared int").groupBy("n").agg(F.max("shared").alias("shared"))
+    most = spread(sources.select("text")).mapInArrow(run, "n long, shared int").groupBy("n").agg(F.max("shared").alias("shared"))
     return _ratios(c.join(small_or_shuffled(cut(most)), "n", "left"), least)
 
 

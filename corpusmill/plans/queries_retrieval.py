@@ -9,6 +9,7 @@ from corpusmill.functions import text as T
 from corpusmill.functions.vectors import norm, unit
 from corpusmill.operators import index as I
 from corpusmill.operators import retrieve as R
+from corpusmill.operators import store
 from corpusmill.plans.registry import Registry
 from corpusmill.plans.staging import cut, small_or_shuffled, table, work_folder
 
@@ -114,6 +115,30 @@ def bm25_stored_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.top(scores, "bm25", K).select("q", F.col("id").alias("doc_id"), F.round("bm25", 6).alias("bm25"), "rank")
 
 
+@query(f"WITH {bm25_sql('SELECT item_id AS q, text FROM benchmark')} SELECT q, id AS doc_id, round(bm25, 6) AS bm25, rank FROM (SELECT q, id, bm25, row_number() OVER (PARTITION BY q ORDER BY round(bm25, 9) DESC, id) AS rank FROM bm) WHERE rank <= 12")
+def bm25_block_max(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rows from the session's store, where blocks that cannot hold a result are left out."""
+    queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("q"), "text")
+    return store.kept(table(spark, sf_dir, "documents")).search(queries, K).select("q", F.col("id").alias("doc_id"), F.round("bm25", 6).alias("bm25"), "rank")
+
+
+_REFRESHED = bm25_sql("SELECT item_id AS q, text FROM benchmark").replace("FROM documents)", "FROM documents WHERE doc_id % 7 <> 0)", 1)
+
+
+@query(f"WITH {_REFRESHED} SELECT q, id AS doc_id, round(bm25, 6) AS bm25, rank FROM (SELECT q, id, bm25, row_number() OVER (PARTITION BY q ORDER BY round(bm25, 9) DESC, id) AS rank FROM bm) WHERE rank <= 12")
+def index_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index that grew: documents come in two parts, those of one source in an older form, which
+    is replaced; every seventh document is taken out. It searches as one built of what is left."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    s = store.Store(spark, work_folder(spark, "store"))
+    s.add(d.where("doc_id % 2 = 0").withColumn("text", F.when(F.col("source") == "src0", F.reverse("text")).otherwise(F.col("text"))))
+    s.add(d.where("doc_id % 2 = 1"))
+    s.add(d.where("source = 'src0'"))
+    s.remove(d.where("doc_id % 7 = 0").select(F.col("doc_id").alias("id")))
+    queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("q"), "text")
+    return s.search(queries, K).select("q", F.col("id").alias("doc_id"), F.round("bm25", 6).alias("bm25"), "rank")
+
+
 _ALL_COS = f"c AS (SELECT b.vec_id AS q, a.vec_id AS id, a.label, {_COS} AS cosine FROM embeddings a, (SELECT * FROM embeddings WHERE vec_id % 20 = 0) b)"
 
 

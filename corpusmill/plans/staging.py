@@ -64,6 +64,16 @@ def small_or_shuffled(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, dealt out to all cores if it has fewer partitions than there are cores.
+
+    A small table may be one row group and so one task, however much work its rows make.
+    Tables of some size have more partitions than cores and come back as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def splittable(rows: DataFrame, unique: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
     """``rows`` joined to one row a key so that AQE can split a hot key's rows.
 
