@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import dates as D
 from corpusmill.functions import text as T
+from corpusmill.operators import asof as A
 from corpusmill.operators import consensus as C
 from corpusmill.operators import rules as R
 from corpusmill.operators import validity as V
 from corpusmill.plans.registry import Registry
 from corpusmill.plans.staging import table
+from corpusmill.sources import registry
 
 query = Registry()
 
@@ -105,6 +107,22 @@ def _readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").cast("string").alias("source"), F.col("l_returnflag").alias("chart"), F.col("l_linestatus").alias("category"), F.col("l_partkey").cast("string").alias("area"), F.when(F.col("l_quantity") > 48, "C").otherwise("U").alias("cell"))
 
 
+@query("""WITH h AS (SELECT l_returnflag AS chart, 'q' AS category, (l_suppkey % 9)::VARCHAR AS area, date_trunc('month', l_shipdate::DATE)::DATE AS month, max(l_shipdate::DATE) AS cell
+  FROM lineitem WHERE (month(l_shipdate::DATE) + l_suppkey % 9) % 3 = 0 GROUP BY ALL),
+o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'A' WHEN o_orderkey % 3 = 1 THEN 'N' ELSE 'R' END AS chart, 'q' AS category, (o_custkey % 10)::VARCHAR AS area, o_orderdate::DATE AS d, date_trunc('month', o_orderdate::DATE)::DATE AS m FROM orders)
+SELECT o_orderkey, month, strftime(cell, '%Y-%m-%d') AS cell, CASE WHEN month IS NULL THEN 'none' WHEN month = m THEN 'current' ELSE 'stale' END AS timing,
+CASE WHEN cell IS NULL THEN 'UNCONFIRMED' WHEN d + 20 < cell THEN 'CURRENT' ELSE 'NOT CURRENT' END AS status
+FROM o ASOF LEFT JOIN h ON o.chart = h.chart AND o.category = h.category AND o.area = h.area AND o.m >= h.month""")
+def cutoff_as_of_month(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Priority dates of orders against month-stamped charts of lineitem that keep their history; two months of three have none."""
+    ship = F.to_date("l_shipdate")
+    h = table(spark, sf_dir, "lineitem").where((F.month(ship) + F.col("l_suppkey") % 9) % 3 == 0)
+    h = h.groupBy(F.col("l_returnflag").alias("chart"), F.lit("q").alias("category"), (F.col("l_suppkey") % 9).cast("string").alias("area"), F.trunc(ship, "month").cast("date").alias("month")).agg(F.max(ship).cast("string").alias("cell"))
+    chart = F.when(F.col("o_orderkey") % 3 == 0, "A").when(F.col("o_orderkey") % 3 == 1, "N").otherwise("R")
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), chart.alias("chart"), F.lit("q").alias("category"), (F.col("o_custkey") % 10).cast("string").alias("area"), F.to_date("o_orderdate").alias("on"), F.date_add(F.to_date("o_orderdate"), 20).alias("priority"))
+    return A.cutoffs_as_of(o, h).withColumnRenamed("id", "o_orderkey")
+
+
 _VOTES = """r AS (SELECT DISTINCT l_suppkey AS source, l_returnflag AS chart, l_linestatus AS category, l_partkey::VARCHAR AS area, CASE WHEN l_quantity > 48 THEN 'C' ELSE 'U' END AS cell FROM lineitem),
 v AS (SELECT chart, category, area, count(DISTINCT cell) AS n_values, count(DISTINCT source) AS n_sources, min(cell) AS c FROM r GROUP BY ALL),
 con AS (SELECT chart, category, area, CASE WHEN n_values = 1 AND n_sources >= 2 THEN c END AS cell, n_values, n_sources, CASE WHEN n_values > 1 THEN 'disputed' WHEN n_sources < 2 THEN 'single source' ELSE 'agreed' END AS status FROM v)"""
@@ -150,7 +168,9 @@ def edition_diff_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def missing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left_anti").select("doc_id")
+    """Documents as definitions, labels as what was built."""
+    built = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("shard"))
+    return registry.missing(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("slug")), built).select(F.col("slug").alias("doc_id"))
 
 
 @query("""WITH p AS (SELECT doc_id AS id, doc_id % 4 AS title, doc_id % 3 AS sec, CASE doc_id % 5 WHEN 0 THEN [] WHEN 1 THEN ['f'] WHEN 2 THEN ['f', '5'] WHEN 3 THEN ['f', '5', 'i'] ELSE ['m'] END::VARCHAR[] AS parts, text || CASE WHEN doc_id % 2 = 0 THEN ' (5) Duration' ELSE ' (f) Students' END AS text FROM documents),
@@ -237,14 +257,14 @@ _ASK = (
 )
 # RE2 has no look-ahead: a decision counts unless "yet" follows it in its sentence
 _SAYS = {k: f"regexp_matches(q, '(?i){rx}')" for k, rx in R.SITUATIONS.items() if k != "says_decided"} | {"says_decided": r"regexp_matches(q, '(?i)\b(approved|denied|rejected)\b') AND NOT regexp_matches(q, '(?i)\b(approved|denied|rejected)\b[^.]{0,20}\byet\b')"}
-_ASKED = "SELECT conv_id, turn, left(text, 40) || '. ' || [" + ", ".join(f"'{q}'" for q in _ASK) + f"][(conv_id * 2 + turn) % {len(_ASK)} + 1] AS q FROM conversations"
+_ASKED = "SELECT conv_id, turn, text || '. ' || [" + ", ".join(f"'{q}'" for q in _ASK) + f"][(conv_id * 2 + turn) % {len(_ASK)} + 1] AS q FROM conversations"
 
 
 @query(" UNION ALL ".join(f"SELECT conv_id, turn, '{k}' AS says FROM ({_ASKED}) WHERE {c}" for k, c in _SAYS.items()))
 def read_situation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What every turn of every conversation says, with one of the questions after its first words."""
+    """What every turn of every conversation says, with one of the questions after it."""
     asked = F.get(F.array(*map(F.lit, _ASK)), ((F.col("conv_id") * 2 + F.col("turn")) % len(_ASK)).cast("int"))
-    x = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.substring("text", 1, 40), F.lit(". "), asked).alias("q"))
+    x = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat("text", F.lit(". "), asked).alias("q"))
     said = F.array_compact(F.array(*[F.when(c, k) for k, c in R.situation(F.col("q")).items()]))
     return x.select("conv_id", "turn", F.explode(said).alias("says"))
 

@@ -67,9 +67,9 @@ def pack_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.packed(d, budget=330).select(F.col("id").alias("doc_id"), "piece", T.n_tokens(F.col("text")).alias("tokens"), "text", "embed_text")
 
 
-_NUMERALS = ("i", "ii", "iii", "iv", "v", "vi", "vii", "viii", "ix", "x")
-_SPLIT = f"""WITH d AS (SELECT doc_id, '8 CFR § 9.' || doc_id AS line, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')[1:150] AS body, {_SENT}[1:10] AS ss FROM documents),
-e AS (SELECT *, list_transform(ss, lambda x, i: '(' || ['{"', '".join(_NUMERALS)}'][i] || ') Item ' || x) AS items, rtrim(line || chr(10) || array_to_string(body, ' '), chr(10)) AS stem FROM d),
+_NUMERALS = ("i", "ii", "iii", "iv", "v", "vi", "vii", "viii", "ix", "x")  # after the tenth sentence they start anew
+_SPLIT = f"""WITH d AS (SELECT doc_id, '8 CFR § 9.' || doc_id AS line, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS body, {_SENT} AS ss FROM documents),
+e AS (SELECT *, list_transform(ss, lambda x, i: '(' || ['{"', '".join(_NUMERALS)}'][(i - 1) % 10 + 1] || ') Item ' || x) AS items, rtrim(line || chr(10) || array_to_string(body, ' '), chr(10)) AS stem FROM d),
 g AS (SELECT *, line || chr(10) || array_to_string(body, ' ') || ' ' || array_to_string(items, ' ') AS whole FROM e),
 h AS (SELECT *, len(items) >= 4 AND {_TOK.format(t='whole')} >= 400 AS apart, trim(line || ' ' || array_to_string(body[greatest(len(body) - 119, 1):], ' ')) AS lead FROM g),
 u AS (SELECT doc_id, CASE WHEN apart THEN [{{'t': stem, 'e': ''}}] || list_transform(items, lambda i: {{'t': lead || ' ' || regexp_replace(i, '^\\s+|\\s+$', '', 'g'), 'e': regexp_replace(i, '^\\s+|\\s+$', '', 'g')}}) ELSE [{{'t': whole, 'e': ''}}] END AS ps FROM h)
@@ -78,10 +78,10 @@ SELECT doc_id, piece, p.t AS text, p.e AS embed_text FROM (SELECT doc_id, unnest
 
 @query(_SPLIT)
 def enumerated_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document as a provision: a citing line, its first words, its first ten sentences as items."""
+    """Every document as a provision: a citing line, its words, and its sentences as items."""
     numeral = F.array(*map(F.lit, _NUMERALS))
-    items = F.transform(F.slice(T.sentences(F.col("text")), 1, 10), lambda x, i: F.concat(F.lit("("), F.get(numeral, i), F.lit(") Item "), x))
-    whole = F.concat(F.lit("8 CFR § 9."), F.col("doc_id").cast("string"), F.lit("\n"), F.array_join(F.slice(T.words(F.col("text")), 1, 150), " "), F.lit(" "), F.array_join(items, " "))
+    items = F.transform(T.sentences(F.col("text")), lambda x, i: F.concat(F.lit("("), F.get(numeral, i % 10), F.lit(") Item "), x))
+    whole = F.concat(F.lit("8 CFR § 9."), F.col("doc_id").cast("string"), F.lit("\n"), F.array_join(T.words(F.col("text")), " "), F.lit(" "), F.array_join(items, " "))
     p = P.packed(table(spark, sf_dir, "documents").select("doc_id", F.array(whole).alias("paragraphs")), budget=10**9)
     return p.select(F.col("id").alias("doc_id"), "piece", "text", "embed_text")
 
@@ -105,6 +105,22 @@ def exact_dedupe_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").groupBy("source", F.substring("text", 1, 80).alias("head")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
 
 
+@query("SELECT min(doc_id) AS doc_id, source FROM documents GROUP BY source, text")
+def first_seen_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first document of every source and whole text."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", F.sha2("text", 256).alias("digest"))
+    return G.first_seen(d, [F.col("source"), F.col("digest")], "doc_id").select("doc_id", "source")
+
+
+@query("SELECT lang AS shard, count(*) AS chunks, date_diff('day', DATE '2026-01-01' + (ascii(lang) % 7)::INTEGER * 10, DATE '2026-03-01')::INT AS age_days, date_diff('day', DATE '2026-01-01' + (ascii(lang) % 7)::INTEGER * 10, DATE '2026-03-01') > 30 AS stale FROM documents WHERE lang IS NOT NULL GROUP BY lang")
+def shard_ages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages as shards, fetched on days that follow from their names."""
+    p = table(spark, sf_dir, "documents").select(F.col("lang").alias("shard"))
+    fetched = F.date_add(F.lit("2026-01-01").cast("date"), (F.ascii("shard") % 7 * 10).cast("int"))
+    m = p.where("shard is not null").distinct().select("shard", fetched.alias("fetched"), F.lit(30).alias("refresh_days"))
+    return shards.summary(p, m, "2026-03-01")
+
+
 @query("SELECT doc_id, sha256(text) AS sha256, strlen(text)::BIGINT AS bytes FROM documents")
 def sha256_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.col("text").cast("binary").alias("content"))
@@ -152,13 +168,13 @@ def _sql_list(xs: list[str]) -> str:
 
 
 def _asked(spark: SparkSession, sf_dir: str, phrases: list[str]) -> DataFrame:
-    """Every turn of every conversation with one of the phrases after its first 60 characters."""
+    """Every turn of every conversation with one of the phrases after it."""
     phrase = F.get(F.array(*map(F.lit, phrases)), ((F.col("conv_id") * 3 + F.col("turn")) % len(phrases)).cast("int"))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.substring("text", 1, 60), F.lit(" "), phrase).alias("q"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat("text", F.lit(" "), phrase).alias("q"))
 
 
 def _asked_sql(phrases: list[str]) -> str:
-    return f"SELECT conv_id, turn, left(text, 60) || ' ' || {_sql_list(phrases)}[(conv_id * 3 + turn) % {len(phrases)} + 1] AS q FROM conversations"
+    return f"SELECT conv_id, turn, text || ' ' || {_sql_list(phrases)}[(conv_id * 3 + turn) % {len(phrases)} + 1] AS q FROM conversations"
 
 
 def _expansion_sql() -> str:
