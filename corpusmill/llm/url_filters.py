@@ -105,16 +105,42 @@ def captures_of(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "url", day.alias("day"))
 
 
+#: Cycles of the generated list, and the days between their beginnings.
+CYCLES, PERIOD = 8, 45
+
+
+def events_of(pages: DataFrame) -> DataFrame:
+    """A list of dated events from the hosts and first path steps of ``pages`` (url), as there is no list table.
+
+    Each key is added and removed ``CYCLES`` times, on days that follow from its digest; every fifth is allowed.
+    """
+    x = pages.where("url is not null").select(F.lower(F.regexp_extract("url", HOST, 1)).alias("host"), F.get(F.expr(f"filter(split(lower(regexp_extract(url, r'{PATH}', 1)), '/'), s -> s != '')"), 0).alias("step")).where("host != ''")
+    # a hot host is one row a task before it is shuffled
+    x = x.distinct().select(F.explode(F.array_compact(F.array("host", F.concat("host", F.lit("/"), "step")))).alias("key")).distinct()
+    n = F.conv(F.substring(F.md5("key"), 1, 6), 16, 10).cast("int")
+    x = x.withColumn("n", n).select("key", "n", F.explode(F.sequence(F.lit(0), F.lit(CYCLES - 1))).alias("c"))
+    begin = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("n") % 60 + F.col("c") * PERIOD).cast("int"))
+    end = F.date_add(begin, (F.col("n") % 70 + 10).cast("int"))
+    x = x.select(F.when(F.col("n") % 2 == 0, "even").otherwise("odd").alias("list"), "key", F.when(F.col("n") % 5 == 0, "allow").otherwise("block").alias("verdict"), F.array(F.struct(F.lit("add").alias("action"), begin.alias("day")), F.struct(F.lit("remove").alias("action"), end.alias("day"))).alias("e"))
+    return x.select("list", "key", "verdict", F.inline("e")).select("list", "key", "action", "day", "verdict")
+
+
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decide(captures_of(table(spark, sf_dir, "pages")), entry_table(spark))
+    pages = table(spark, sf_dir, "pages")
+    return decide(captures_of(pages), entry_table(spark).unionByName(events_of(pages)))
 
 
 OP7_SQL = r"""
-WITH e AS (SELECT * FROM (VALUES %(values)s) AS t(list, key, action, day, verdict)),
-span AS (
-  SELECT * FROM (
-    SELECT list, key, action, day::DATE AS valid_from, verdict,
-           lead(day::DATE) OVER (PARTITION BY list, key ORDER BY day::DATE) AS valid_to FROM e
+WITH hosts AS (SELECT DISTINCT lower(regexp_extract(url, '%(host)s', 1)) AS host, list_filter(string_split(lower(regexp_extract(url, '%(path)s', 1)), '/'), lambda s: s <> '')[1] AS step FROM pages WHERE url IS NOT NULL),
+keyed AS (SELECT DISTINCT unnest(list_filter([host, host || '/' || step], lambda k: k IS NOT NULL)) AS key FROM hosts WHERE host <> ''),
+made AS (SELECT key, ('0x' || substr(md5(key), 1, 6))::INTEGER AS n, unnest(range(%(cycles)s)) AS c FROM keyed),
+dated AS (SELECT CASE WHEN n %% 2 = 0 THEN 'even' ELSE 'odd' END AS list, key, CASE WHEN n %% 5 = 0 THEN 'allow' ELSE 'block' END AS verdict, DATE '2024-01-01' + (n %% 60 + c * %(period)s)::INTEGER AS begin, (n %% 70 + 10)::INTEGER AS days FROM made),
+e AS (SELECT list, key, action, day::DATE AS day, verdict FROM (VALUES %(values)s) AS t(list, key, action, day, verdict)
+  UNION ALL SELECT list, key, 'add', begin::DATE, verdict FROM dated UNION ALL SELECT list, key, 'remove', (begin + days)::DATE, verdict FROM dated),
+one AS (SELECT list, key, day, max(action) AS action, arg_max(verdict, action) AS verdict FROM e GROUP BY list, key, day),
+span AS MATERIALIZED (
+  SELECT *, split_part(key, '/', 1) AS host FROM (
+    SELECT list, key, action, day AS valid_from, verdict, lead(day) OVER (PARTITION BY list, key ORDER BY day) AS valid_to FROM one
   ) WHERE action = 'add'
 ),
 cap AS (
@@ -127,12 +153,12 @@ hit AS (
   SELECT cap.page_id, s.list, s.key, s.verdict, s.valid_from,
          row_number() OVER (PARTITION BY cap.page_id ORDER BY length(s.key) DESC, s.verdict, s.list) AS rn,
          count(*) OVER (PARTITION BY cap.page_id) AS n
-  FROM cap JOIN span s
-    ON (cap.host = split_part(s.key, '/', 1) OR ends_with(cap.host, '.' || split_part(s.key, '/', 1)))
+  FROM (SELECT *, unnest(list_transform(range(1, len(string_split(host, '.')) + 1), lambda i: array_to_string(string_split(host, '.')[i:], '.'))) AS suffix FROM cap) AS cap JOIN span s
+    ON cap.suffix = s.host
    AND (NOT contains(s.key, '/') OR cap.path = s.key[strpos(s.key, '/'):] OR starts_with(cap.path, s.key[strpos(s.key, '/'):] || '/'))
    AND s.valid_from <= cap.day AND (s.valid_to IS NULL OR cap.day < s.valid_to)
 )
 SELECT cap.page_id, url, day, coalesce(hit.verdict = 'block', false) AS blocked,
        coalesce(hit.n, 0)::BIGINT AS n_active, hit.list, hit.key AS entry, hit.verdict, hit.valid_from
 FROM cap LEFT JOIN hit ON hit.page_id = cap.page_id AND hit.rn = 1
-""" % {"values": ", ".join(str(e) for e in ENTRIES), "host": HOST, "path": PATH}
+""" % {"cycles": CYCLES, "period": PERIOD, "values": ", ".join(str(e) for e in ENTRIES), "host": HOST, "path": PATH}
