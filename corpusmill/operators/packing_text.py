@@ -56,7 +56,9 @@ def stem_and_items(piece: Column) -> Column:
         lead = F.trim(F.concat_ws(" ", F.when(cites, first), F.array_join(F.slice(words, F.greatest(F.size(words) - STEM_WORDS, F.lit(0)) + 1, F.lit(STEM_WORDS)), " ")))
         items = F.transform(F.slice(x, F.lit(2), F.size(x)), lambda i: F.regexp_replace(i, r"^\s+|\s+$", ""))
         enumerated_ = (F.size(items) >= ENUM_ITEMS) & (T.n_tokens(piece) >= ENUM_TOKENS) & (stem != "")
-        return F.when(enumerated_, F.concat(F.array(pair(stem, stem)), F.transform(items, lambda i: pair(F.concat_ws(" ", lead, i), i)))).otherwise(F.array(pair(piece, piece)))
+        # the lead is bound by a lambda, so that it is made once and not for every item
+        served = F.get(F.transform(F.array(lead), lambda l: F.transform(items, lambda i: pair(F.concat_ws(" ", l, i), i))), 0)
+        return F.when(enumerated_, F.concat(F.array(pair(stem, stem)), served)).otherwise(F.array(pair(piece, piece)))
 
     # most pieces have no bracket and are not split; a lambda binds the split text once
     parts = F.get(F.transform(F.array(F.split(piece, f"(?={T.ENUM_ITEM})")), split), 0)
