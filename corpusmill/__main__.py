@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import argparse
 import datetime as dt
+from pathlib import Path
 
 from corpusmill.engine import Engine, to_json
-from corpusmill.sources import fetch, landing, registry
+from corpusmill.sources import fetch, landing, registers, registry
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -23,6 +24,7 @@ def main(argv: list[str] | None = None) -> int:
     x = sub.add_parser("ask", help="the slate and prompt for a question, as JSON")
     x.add_argument("question")
     x.add_argument("-k", type=int)
+    x.add_argument("--register", help="a register file of provisions not in force; what it covers is withheld")
     x = sub.add_parser("profile", help="show or set a field")
     x.add_argument("file")
     x.add_argument("assignment", nargs="?", help="key=value")
@@ -63,7 +65,7 @@ def main(argv: list[str] | None = None) -> int:
         return int(any(r["chunks"] == 0 for r in reports))
     if a.command == "refresh":
         items = spark.createDataFrame([tuple(x.split("=", 1)) for x in a.items.split(",")], "name string, url string")
-        done = fetch.refresh(spark, items, a.table, fetch.folder(a.mirror), lambda name, new, old: "" if new else "empty", dt.datetime.now(dt.timezone.utc).strftime("%Y-%m-%d %H:%M:%S"), force=a.force)
+        done = fetch.refresh(spark, items, a.table, fetch.folder(a.mirror), registers.accepts, dt.datetime.now(dt.timezone.utc).strftime("%Y-%m-%d %H:%M:%S"), force=a.force)
         for r in done.orderBy("name").collect():
             print(to_json(r.asDict()))
         return 0
@@ -75,6 +77,8 @@ def main(argv: list[str] | None = None) -> int:
         for r in engine.sources(registry.load(spark, a.definitions), dt.date.today().isoformat()).collect():
             print(to_json(r.asDict()))
         return 0
+    if a.register:
+        engine.register = registers.read_register(spark, Path(a.register).read_text())
     print(to_json(engine.ask(a.question, k=a.k)))
     return 0
 

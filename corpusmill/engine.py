@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
 from corpusmill.operators import answering, conversation, embed, index, ingest, retrieve, terminology, validity
-from corpusmill.plans.staging import cut
+from corpusmill.plans.staging import cut, small_or_shuffled
 from corpusmill.sources import landing, registry, shards
 
 
@@ -86,9 +86,11 @@ class Engine:
         q = self.spark.createDataFrame(list(enumerate(queries)), "q long, text string")
         lexical = retrieve.top(index.bm25(p, q, "id"), "bm25", retrieve.pool_size(n))
         matrix = np.array([self._vector(t) for t in queries])
-        every = self._cosines(p, matrix)
-        dense = retrieve.top(every, "cosine", retrieve.pool_size(n))
-        fused = retrieve.fuse(dense, lexical).join(every, ["q", "id"])
+        dense = retrieve.top(self._cosines(p, matrix), "cosine", retrieve.pool_size(n))
+        fused = cut(retrieve.fuse(dense, lexical))
+        # those of the lexical pool are scored, too, and no others again
+        near = p.join(small_or_shuffled(fused.select("id").distinct()), "id")
+        fused = fused.join(self._cosines(near, matrix), ["q", "id"])
         meta = p.select("id", "citation", "shard", "tier", "text", T.section_key(F.col("citation")).alias("section"))
         rows = retrieve.weigh(meta.join(fused, "id"), retrieve.tier_table(self.spark))
         rows = retrieve.without_siblings(retrieve.in_shards(rows, only), exclude or [])
@@ -115,9 +117,8 @@ class Engine:
     def _in_force(self, rows: DataFrame) -> DataFrame:
         if self.register is None:
             return rows.withColumn("usable", F.lit(True)).withColumn("served", F.col("text"))
-        x = rows.select("id", "citation", "text").distinct().withColumn("key", F.xxhash64("id"))
-        red = validity.redacted(x.select(F.col("key").alias("id"), "citation", "text"), self.register)
-        return rows.withColumn("key", F.xxhash64("id")).join(red.select(F.col("id").alias("key"), "served", "suspended"), "key").withColumn("usable", ~F.col("suspended")).drop("key", "suspended")
+        red = validity.redacted(rows.select("id", "citation", "text").distinct(), self.register)
+        return rows.join(red.select("id", "served", "suspended"), "id").withColumn("usable", ~F.col("suspended")).drop("suspended")
 
     def search(self, query: str, k: int | None = None, **options) -> DataFrame:
         return self.search_many([terminology.expand_text(query)], k, **options)
@@ -130,10 +131,15 @@ class Engine:
         ``results`` are evaluated rules (rows of ``rules.RESULT``). If one needs a fact,
         the questions come back before any retrieval.
         """
+        got, _ = self._asked(question, results, issues, previous, k)
+        return got
+
+    def _asked(self, question: str, results: list[dict] | None, issues: list[str] | None, previous: str | None, k: int | None) -> tuple[dict, list]:
+        """What ``ask`` says, and the slate's rows (rank, served): the texts that the prompt shows."""
         results = results or []
         needs = [r["question"] for r in results if r["kind"] == "needs"]
         if needs:
-            return {"status": "needs", "questions": needs}
+            return {"status": "needs", "questions": needs}, []
         one = self.spark.createDataFrame([(question, previous)], "q string, before string")
         context = one.select(F.when(F.col("before").isNotNull() & T.needs_context(F.col("q")), F.concat("before", F.lit(" "), "q")).otherwise(F.col("q")).alias("query"), "q")
         row = context.select("query", terminology.excluded(F.col("query")).alias("exclude"), T.needs_bulletin(F.col("q")).alias("volatile")).first()
@@ -145,32 +151,39 @@ class Engine:
             slate = merged.join(keyed, "key").drop("key")
         gate = retrieve.gate(slate.withColumn("q", F.lit(0))).first()
         prompt = conversation.prompt(slate.select("q", "rank", "citation", "served")).first()
-        sources = [r.asDict() for r in slate.orderBy("rank").select("rank", "citation", "tier", F.round("cosine", 2).alias("cosine"), "usable").collect()]  # a slate
+        rows = slate.orderBy("rank").select("rank", "id", "citation", "tier", F.round("cosine", 2).alias("cosine"), "usable", "served").collect()  # a slate
+        sources = [{c: v for c, v in r.asDict().items() if c != "served"} for r in rows]
         return {
             "status": "ok" if gate and gate["passes"] else "declined",
             "findings": [r["decision"] for r in results if r["kind"] == "outcome"],
             "warnings": ["Cut-off dates move every month; confirm them."] if row["volatile"] else [],
             "sources": sources,
             "prompt": prompt["prompt"] if prompt else "",
-        }
+        }, [(r["rank"], r["served"]) for r in rows]
 
     @staticmethod
     def _numbered(slate: DataFrame) -> DataFrame:
         return slate.select(F.lit(0).alias("question_id"), F.col("q").alias("qi"), "rank", F.xxhash64("id").alias("id"), "citation", "text", "score", "usable")
 
-    def answer(self, question: str, chat: answering.Client, facts: str = "", k: int | None = None, **options) -> dict:
-        """``ask`` with a model's part: issues planned, the answer cited and checked, loose duties attributed."""
+    def answer(self, question: str, chat: answering.Client, facts: str = "", k: int | None = None, results: list[dict] | None = None, previous: str | None = None) -> dict:
+        """``ask`` with a model's part: issues planned, the answer cited and checked, loose duties attributed.
+
+        A quote is kept if it stands in what the prompt showed, or in what a decided rule
+        quotes (``quotes`` of its row of ``results``): these are further sources, numbered on
+        from the slate's.
+        """
         q = self.spark.createDataFrame([(0, question, facts)], "id long, question string, facts string")
         issues = [r.issue for r in answering.planned_issues(q, chat).orderBy("n").collect()]  # six at most
-        got = self.ask(question, issues=issues, k=k, **options)
+        got, served = self._asked(question, results, issues, previous, k)
         if got["status"] != "ok":
             return got
-        slate = self.spark.createDataFrame([(0, r["rank"], r["citation"]) for r in got["sources"]], "id long, source int, citation string")
-        texts = self.passages().select("citation", "text").join(slate, "citation").select("id", "source", "text")
+        told = [x for r in results or [] if r["kind"] == "outcome" for x in r.get("quotes") or []]
+        texts = [(0, n, text or "") for n, text in served] + [(0, len(served) + n, x) for n, x in enumerate(told, 1)]
+        texts = self.spark.createDataFrame(texts, "id long, source int, text string")
         prompt = self.spark.createDataFrame([(0, got["prompt"] + "\n\n" + question)], "id long, prompt string")
         answers, quotes = answering.cited_answers(prompt, texts, chat)
         text = answers.first().answer
-        loose = answering.attributed_claims(prompt.select("id", "prompt", F.lit(text).alias("text"), F.lit(len(got["sources"])).alias("n_sources")), chat)
+        loose = answering.attributed_claims(prompt.select("id", "prompt", F.lit(text).alias("text"), F.lit(len(served) + len(told)).alias("n_sources")), chat)
         return got | {
             "answer": text,
             "quotes": [r.asDict() for r in quotes.orderBy("point", "part").select("source", "quote", "applies").collect()],

@@ -161,6 +161,47 @@ def test_engine_init_add_remember_and_answer(spark, tmp_path):
     assert [x["source"] for x in a["attributed"]] == [1]
 
 
+def test_answers_quote_only_what_was_shown(spark, tmp_path):
+    """A withheld passage's words, and those of a passage that the slate lacks, are no quotes; a finding's are."""
+    engine = Engine(spark, str(tmp_path / "corpus"))
+    shown = "Every student must report a change of address within ten days of the move."
+    hidden, outside = "A student may stay for sixty days after the program has come to its end.", "A scholar may bring a spouse and minor children who are to be housed with them."
+    finding = "Each student may be unemployed for ninety days in all and for no day more."
+    rows = [(1, "p:1", "8 CFR § 1.1", 3, 0.9, True, shown), (2, "p:2", "8 CFR § 1.1", 3, 0.8, False, "")]
+    slate = spark.createDataFrame([(0, *r, r[6]) for r in rows], "q long, rank int, id string, citation string, tier int, cosine double, usable boolean, served string, text string")
+    engine.search_many = lambda queries, k=None, only=None, exclude=None: slate
+    quotes = [shown, hidden, outside, finding]
+    reply = json.dumps({"answer": "See [1].", "points": [{"source": 1, "quote": x, "applies": ""} for x in quotes], "ask": ""})
+    chat = lambda prompts: ["" if "issues" in p else reply for p in prompts]
+    got = engine.answer("What must a student report?", chat, results=[{"kind": "outcome", "decision": "D", "question": None, "quotes": [finding]}])
+    assert [(q["source"], q["quote"]) for q in got["quotes"]] == [(1, shown.rstrip(".")), (3, finding.rstrip("."))]
+    assert got["sources"][1]["usable"] is False and hidden not in got["prompt"]
+
+
+def test_refresh_refuses_bad_registers_and_charts(spark, tmp_path, capsys):
+    from corpusmill.__main__ import main
+    from corpusmill.sources.registers import accepts, read_register
+
+    good = """[[entry]]\nprovisions = ["8 CFR 214.2(f)"]\namended = ["(5) Some paragraph."]\nstatus = "stayed"\ncase = "A v. B"\ndocket = "1"\ncourt = "C"\norder_date = 2026-01-01\nscope = "all"\nrule = "R"\nchecked = 2026-02-01\n"""
+    chart = 'month = "2026-05"\n[final_action_dates.EB-2]\nall = "C"\nindia = "2013-01-01"\n'
+    old = good.encode()
+    assert accepts("register.toml", old, None) == "" and accepts("bulletin.toml", chart.encode(), None) == ""
+    for bad, why in ((good.replace("8 CFR 214.2(f)", "somewhere"), "unreadable provisions"), ("", "no entries"), (good.replace('["8 CFR 214.2(f)"]', "[]"), "no provisions"), (good.replace("2026-02-01", "2025-02-01"), "checked less recently"), ("[[entry", "TOML")):
+        assert why in accepts("register.toml", bad.encode(), old), why
+    for bad, why in ((chart.replace("2026-05", "May"), "no month"), (chart.replace('"C"', '"soon"'), "unreadable cell"), (chart.replace("2026-05", "2026-04"), "older"), ('month = "2026-05"\n', "no chart")):
+        assert why in accepts("bulletin.toml", bad.encode(), chart.encode()), why
+    m, table, root = tmp_path / "m", str(tmp_path / "t"), ["--root", str(tmp_path / "c")]
+    m.mkdir()
+    put(m, "u:r", old)
+    assert main([*root, "refresh", "register.toml=u:r", str(m), table]) == 0
+    put(m, "u:r", good.replace("8 CFR 214.2(f)", "somewhere").encode())
+    assert main([*root, "refresh", "register.toml=u:r", str(m), table, "--force"]) == 0
+    out = [json.loads(x) for x in capsys.readouterr().out.splitlines() if x.startswith("{")]
+    assert [r["status"] for r in out] == ["updated", "kept"] and "unreadable provisions" in out[1]["detail"]
+    r = read_register(spark, good).first()
+    assert (r.entry, r.case_name, r.docket, r.provisions, r.amended, str(r.checked)) == (1, "A v. B", "1", ["8 CFR 214.2(f)"], ["(5) Some paragraph."], "2026-02-01")
+
+
 def test_command_line(spark, tmp_path, capsys):
     from corpusmill.__main__ import main
 
