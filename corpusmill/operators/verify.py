@@ -125,14 +125,14 @@ def containing(quotes: DataFrame, sources: DataFrame) -> DataFrame:
     The first and last word of a quote may be parts of longer ones; up to four words
     between them are its key, as a hash. A source keeps only the hashes of its word windows
     that are keys, in its own row; the pairs that this gives are confirmed on the texts of
-    the sources that are left. Quotes of one or two words have no such key, and are held
-    against each source. Null quotes and texts stand nowhere; ids may be null or repeat.
+    the sources that are left. Quotes of one or two words have no such key; they are found
+    by ``short_in``. Null quotes and texts stand nowhere; ids may be null or repeat.
     """
     w = T.words(F.col("quote"))
     n = F.greatest(F.least(F.size(w) - 2, F.lit(KEY_WORDS)), F.lit(0))
     q = cut(quotes.where("quote is not null").select("quote_id", "quote", n.alias("n"), F.xxhash64(n, F.array_join(F.slice(w, F.lit(2), n), " ")).alias("key")))
     sizes = [r.n for r in q.select("n").distinct().collect()]  # five at most
-    found = q.where("n = 0").join(sources, F.col("text").contains(F.col("quote"))).select("quote_id", "source_id")
+    found = short_in(q.where("n = 0"), sources) if 0 in sizes else None
 
     if any(sizes):
         # a row number names the source, whose id need not
@@ -148,10 +148,63 @@ def containing(quotes: DataFrame, sources: DataFrame) -> DataFrame:
         pairs = cut(grams.join(small_or_shuffled(q.where("n > 0").select("key").distinct()), "key").distinct())
         near = s.join(small_or_shuffled(pairs.select("row").distinct()), "row").dropDuplicates(["row"])
         keyed = near.join(pairs, "row").join(small_or_shuffled(q.where("n > 0")), "key").where(F.col("text").contains(F.col("quote")))
-        found = found.unionByName(keyed.select("quote_id", "source_id"))
+        keyed = keyed.select("quote_id", "source_id")
+        found = keyed if found is None else found.unionByName(keyed)
+    if found is None:  # no quotes
+        found = q.join(sources, F.lit(False)).select("quote_id", "source_id")
     return found.distinct()
 
 
+#: Quotes that one automaton holds.
+SHORT_BLOCK = 50_000
+
+
+def short_in(quotes: DataFrame, sources: DataFrame) -> DataFrame:
+    """(quote_id, source_id) of quotes (quote_id, quote) that stand in sources (source_id, text), however short.
+
+    All quotes of a block form one automaton, which finds them in a single pass over a
+    text; no text is held against quotes one by one. A block is what a task can hold:
+    more quotes are more passes. An empty quote stands in every text.
+    """
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    rows = quotes.where("quote is not null").select("quote_id", "quote").distinct()
+    blocks = max(1, -(-rows.count() // SHORT_BLOCK))
+    kinds = [to_arrow_type(quotes.schema["quote_id"].dataType), to_arrow_type(sources.schema["source_id"].dataType)]
+    schema = f"quote_id {dict(quotes.dtypes)['quote_id']}, source_id {dict(sources.dtypes)['source_id']}"
+
+    def search(held: dict[str, list]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            import ahocorasick
+
+            every, automaton = held.get("", []), ahocorasick.Automaton()
+            for quote in held:
+                if quote:
+                    automaton.add_word(quote, quote)
+            automaton.make_automaton()
+            for b in batches:
+                found: list[tuple] = []
+                for source, text in zip(b.column("source_id").to_pylist(), b.column("text")):
+                    if text.is_valid:
+                        hits = {q for _, q in automaton.iter(text.as_py())} if len(automaton) else ()
+                        found += [(i, source) for i in every] + [(i, source) for q in hits for i in held[q]]
+                columns = list(zip(*found)) or [(), ()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["quote_id", "source_id"])
+
+        return run
+
+    small_batches(sources.sparkSession)
+    texts, out = spread(sources.select("source_id", "text")), None
+    for n in range(blocks):
+        part = rows.where(F.pmod(F.xxhash64("quote_id", "quote"), F.lit(blocks)) == n) if blocks > 1 else rows
+        held: dict[str, list] = {}
+        for r in part.collect():
+            held.setdefault(r.quote, []).append(r.quote_id)
+        x = texts.mapInArrow(search(held), schema)
+        out = x if out is None else out.unionByName(x)
+    return out
+
+
 def check_quotes(points: DataFrame, sources: DataFrame) -> DataFrame:
     """(id, point, part, cited, source, quote, applies, moved, kept) of each sentence quoted.
 

@@ -259,3 +259,19 @@ def test_support_in_any_equals_plain_overlaps_both_ways(spark, monkeypatch):
         monkeypatch.setattr(verify, "BROADCAST_ROWS", rows)
         assert sorted((str(r.claim), round(r.ratio, 6), r.flagged) for r in verify.support_in_any(c, s).collect()) == sorted(want)
     assert verify.support_in_any(c, s.limit(0)).where("ratio > 0 and ratio < 1").count() == 0
+
+
+def test_short_quotes_need_no_pairs(spark, monkeypatch):
+    import random
+
+    rng = random.Random(11)
+    texts = ["".join(rng.choice("ab é漢.") for _ in range(rng.randint(0, 40))) for _ in range(80)] + [None, ""]
+    quotes = [(i, "".join(rng.choice("ab é漢.") for _ in range(rng.randint(1, 5)))) for i in range(60)] + [(60, ""), (61, None), (62, "zz"), (None, "a"), (3, "b")]
+    q, s = df(spark, quotes, "quote_id long, quote string"), df(spark, list(enumerate(texts)) + [(None, "ab"), (5, "zz b")], "source_id long, text string").repartition(3)
+    want = {(i, k) for i, x in quotes if x is not None for k, t in [*enumerate(texts), (None, "ab"), (5, "zz b")] if t is not None and x in t}
+    for block in (50_000, 9):
+        monkeypatch.setattr(verify, "SHORT_BLOCK", block)
+        got = verify.containing(q, s)
+        assert {tuple(r) for r in got.collect()} == want
+        assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
+    assert verify.containing(q.limit(0), s).count() == 0 and verify.containing(q, s.limit(0)).count() == 0
