@@ -65,19 +65,6 @@ def stem_and_items(piece: Column) -> Column:
     return F.when(piece.contains("("), parts).otherwise(F.array(pair(piece, piece)))
 
 
-def enumerated(piece: str) -> list[tuple[str, str]]:
-    """``stem_and_items`` of one piece on the driver or in a worker."""
-    stem, *items = re.split(f"(?={T.ENUM_ITEM})", piece)
-    stem = stem.rstrip()
-    if len(items) < ENUM_ITEMS or not stem or tokens(piece) < ENUM_TOKENS:
-        return [(piece, piece)]
-    line, *others = stem.split("\n", 1)
-    cited = bool(re.search("§|SEC\\.", line))
-    last = " ".join((others[0] if cited and others else "" if cited else stem).split()[-STEM_WORDS:])
-    lead = " ".join(([line] if cited else []) + ([last] if last else []))
-    return [(stem, stem), *((f"{lead} {i}", i) for i in map(str.strip, items))]
-
-
 def pieces(paragraphs: list[str], budget: int = BUDGET, overlap: int = OVERLAP) -> list[str]:
     """Whole paragraphs joined up to the budget, some of the last piece carried over.
 
@@ -93,11 +80,6 @@ def pieces(paragraphs: list[str], budget: int = BUDGET, overlap: int = OVERLAP)
     return [p for p in out if p.strip()]
 
 
-def pack(paragraphs: list[str], budget: int = BUDGET, overlap: int = OVERLAP) -> list[tuple[str, str]]:
-    """(served, embedded) of each piece or enumerated part."""
-    return [pair for p in pieces(paragraphs, budget, overlap) for pair in enumerated(p)]
-
-
 def packed(docs: DataFrame, id_col: str = "doc_id", paragraphs: str = "paragraphs", budget: int = BUDGET, overlap: int = OVERLAP, carry: tuple[str, ...] = ()) -> DataFrame:
     """(id, *carry, piece, text, embed_text) for an array of paragraphs a row; embed_text is
     '' where it equals the text. ``carry`` names string columns that go along.

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
 from corpusmill.operators import index, retrieve, terminology
-from corpusmill.operators.packing_text import enumerated, pack, tokens
+from corpusmill.operators.packing_text import pieces as pieces_of
+from corpusmill.operators.packing_text import stem_and_items, tokens
 
 SF = "/root/testdata/sf0.001"
 
@@ -164,7 +165,7 @@ def test_pack_keeps_order_budget_and_overlap():
     rng = random.Random(4)
     for _ in range(80):
         paras = [" ".join(f"w{k}_{i}" for i in range(rng.randint(1, 60))) + "." for k in range(rng.randint(0, 25))]
-        pieces = [p for p, _ in pack(paras, 60, 15)]
+        pieces = pieces_of(paras, 60, 15)
         seen = [w for p in pieces for w in p.split()]
         assert set(seen) == {w for p in paras for w in p.split()}
         firsts = [paras.index(next(p for p in paras if x.startswith(p[:4]))) for x in pieces] if pieces else []
@@ -173,35 +174,44 @@ def test_pack_keeps_order_budget_and_overlap():
 
 def test_oversized_paragraph_is_cut_at_sentences():
     big = " ".join(f"Sentence number {i} has a few words." for i in range(60))
-    pieces = [p for p, _ in pack(["Short one.", big, "Last one."], 60, 10)]
+    pieces = pieces_of(["Short one.", big, "Last one."], 60, 10)
     assert pieces[0] == "Short one." and all(tokens(p) <= 60 for p in pieces[:-1])
 
 
-def test_enumerated_split():
+def split_up(spark, texts):
+    """(served, embedded) of each part of each text."""
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", stem_and_items(F.col("t")).alias("p")).orderBy("i").collect()
+    return [[tuple(x) for x in r.p] for r in got]
+
+
+def test_enumerated_split(spark):
     stem = "8 CFR § 204.5(h) — Title\n" + "An alien must show at least three of the following: " + "filler words here " * 100
     text = stem + " ".join(f"({r}) Item {r} with its own words." for r in ("i", "ii", "iii", "iv"))
-    out = enumerated(text)
+    out, short = split_up(spark, [text, "(i) A (ii) B"])
     assert len(out) == 5 and out[0][0].startswith("8 CFR")
     assert out[2][1] == "(ii) Item ii with its own words." and out[2][0].endswith(out[2][1]) and out[2][0].startswith("8 CFR § 204.5(h) — Title")
-    assert enumerated("(i) A (ii) B") == [("(i) A (ii) B", "(i) A (ii) B")]
+    assert short == [("(i) A (ii) B", "(i) A (ii) B")]
 
 
-def test_enumerated_columns_equal_strings(spark):
-    from pyspark.sql import functions as F
-
-    from corpusmill.operators.packing_text import stem_and_items
-
+def test_enumerated_parts_make_up_the_text(spark):
     rng = random.Random(6)
     numerals = ["i", "ii", "iii", "iv", "v", "vi", "vii", "viii", "ix", "x"]
-    texts = ["", "(i) A (ii) B", "no items at all " * 200]
-    for k in range(40):
+    made = [("", [], ""), ("", ["(i) A", "(ii) B"], ""), ("no items at all " * 200, [], "")]
+    for _ in range(40):
         head = rng.choice(["8 CFR § 1.2(a) — T\n", "SEC. 4\n", "plain line\n", "", "8 U.S.C. § 9"])
-        stem = " ".join(f"w{i}" for i in range(rng.choice([0, 3, 90, 300]))) + rng.choice([" ", "\n", ""])
-        items = " ".join(f"({r}) Item {r} " + "and words " * rng.randint(0, 60) for r in numerals[: rng.randint(2, 10)])
-        texts.append(head + stem + items)
-    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", stem_and_items(F.col("t")).alias("p")).orderBy("i").collect()
-    for r, t in zip(got, texts):
-        assert [tuple(p) for p in r.p] == enumerated(t), t
+        stem = head + " ".join(f"w{i}" for i in range(rng.choice([0, 3, 90, 300]))) + rng.choice([" ", "\n", ""])
+        made.append((stem, [f"({r}) Item {r} " + "and words " * rng.randint(0, 60) for r in numerals[: rng.randint(2, 10)]], head))
+    for (stem, items, head), parts in zip(made, split_up(spark, [s + " ".join(i) for s, i, _ in made])):
+        text, items = stem + " ".join(items), [i.strip() for i in items]
+        apart = len(items) >= 4 and int(len(text.split()) * 1.33) >= 400 and stem.strip()
+        if not apart:
+            assert parts == [(text, text)]
+            continue
+        assert parts[0] == (stem.rstrip(), stem.rstrip()) and [e for _, e in parts[1:]] == items
+        cites = "§" in stem.split("\n")[0] or "SEC." in stem.split("\n")[0]
+        line = stem.split("\n")[0].rstrip() if cites else ""
+        last = (stem.partition("\n")[2] if cites else stem).split()[-120:]
+        assert [s for s, _ in parts[1:]] == [" ".join(x for x in (line, " ".join(last), i) if x) for i in items]
 
 
 def test_pieces_against_a_running_sum():
