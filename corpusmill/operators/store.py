@@ -235,16 +235,16 @@ class Store:
         heads = cut(self._postings(rows, few, "term string, block long, max_tf long, min_len long").join(wanted, "term").groupBy("q", "segment", "block").agg(F.sum(bound).alias("bound")))
         ranked = cut(retrieve.top(heads.withColumn("key", F.xxhash64("segment", "block")), "bound", FIRST_BLOCKS, "key").select("q", "segment", "block"))
         first = cut(self._scored(rows, ranked, wanted, few))
-        rounded = (lambda df: df) if digits is None else (lambda df: df.withColumn("bm25", F.round("bm25", digits)))
-        best = retrieve.top(rounded(first), "bm25", n)
-        threshold = best.where(F.col("rank") == n).select("q", F.col("bm25").alias("least"))
+        by = F.col("bm25") if digits is None else F.round("bm25", digits)
+        best = retrieve.top(first.withColumn("by", by), "by", n)
+        threshold = best.where(F.col("rank") == n).select("q", F.col("by").alias("least"))
         rest = heads.join(ranked, ["q", "segment", "block"], "left_anti").join(small_or_shuffled(threshold), "q", "left")
         rest = rest.where(F.col("least").isNull() | (F.col("bound") * (1 + SLACK) + SLACK >= F.col("least")))
         rest = cut(rest.select("q", "segment", "block"))
         if blocks is not None:
             blocks += [ranked.select("q", "segment", "block"), rest]
         both = first if rest.isEmpty() else first.unionByName(self._scored(rows, rest, wanted, few))
-        return retrieve.top(rounded(both), "bm25", n)
+        return retrieve.top(both.withColumn("by", by), "by", n).drop("by")
 
     def _scored(self, rows: list[dict], blocks: DataFrame, wanted: DataFrame, few: list[str] | None) -> DataFrame:
         """(q, id, bm25) of every document with a term of the query in the ``blocks`` (q, segment, block)."""
