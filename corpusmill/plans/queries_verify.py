@@ -12,6 +12,7 @@ from corpusmill.operators import retrieve as R
 from corpusmill.operators import verify as V
 from corpusmill.plans.registry import Registry
 from corpusmill.plans.staging import table
+from corpusmill.streaming import waiting as W
 
 query = Registry()
 
@@ -241,3 +242,28 @@ def json_point_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_type, json_extract_string(props, '$.k') AS k, count(*) AS n FROM events GROUP BY ALL")
 def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy("event_type", F.get_json_object("props", "$.k").alias("k")).agg(F.count("*").alias("n"))
+
+
+#: A turn's words, and what they are as SQL values: about unemployment, days stated, days and STEM extension as replies.
+_TURNS = (
+    ("How long may I be unemployed?", "true", "NULL", "NULL", "NULL"), ("forty days", "false", "NULL", "'40'", "NULL"), ("yes I am", "false", "NULL", "NULL", "'true'"), ("no", "false", "NULL", "NULL", "'false'"),
+    ("I was unemployed for 100 days", "true", "'100'", "'100'", "NULL"), ("thanks", "false", "NULL", "NULL", "NULL"), ("12 and 30 days", "false", "NULL", "'12,30'", "NULL"),
+)
+_TURN_CASE = lambda i: "CASE k " + " ".join(f"WHEN {k} THEN {t[i]}" for k, t in enumerate(_TURNS)) + " END"
+
+
+@query(f"""WITH RECURSIVE u AS (SELECT conv_id, turn, (conv_id * 5 + turn * 3) % {len(_TURNS)} AS k, (CASE WHEN conv_id % 10 = 0 THEN turn * 1296000 ELSE turn * 60 END)::BIGINT AS ts FROM conversations WHERE role = 'user'),
+t AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, {_TURN_CASE(1)} AS about, {_TURN_CASE(2)} AS stated, {_TURN_CASE(3)} AS as_days, {_TURN_CASE(4)} AS as_stem FROM u),
+r AS (SELECT DISTINCT conv_id, 0::BIGINT AS n, NULL::BIGINT AS turn, false AS active, '' AS asked, NULL::VARCHAR AS days, NULL::VARCHAR AS stem, 0::BIGINT AS seen, false AS shown FROM t
+UNION ALL SELECT conv_id, n, turn, held AND (days IS NULL OR stem IS NULL), CASE WHEN NOT held THEN '' WHEN days IS NULL THEN 'd' WHEN stem IS NULL THEN 's' ELSE '' END, days, stem, ts, held FROM (
+  SELECT conv_id, n, turn, ts, (NOT stale AND active) OR about AS held, coalesce(stated, CASE WHEN NOT stale AND asked = 'd' THEN as_days END, CASE WHEN NOT stale THEN days END) AS days,
+         coalesce(CASE WHEN NOT stale AND asked = 's' THEN as_stem END, CASE WHEN NOT stale THEN stem END) AS stem
+  FROM (SELECT t.*, r.active, r.asked, r.days, r.stem, t.ts - r.seen > {W.STALE} AS stale FROM r JOIN t ON t.conv_id = r.conv_id AND t.n = r.n + 1)))
+SELECT conv_id, turn, CASE asked WHEN '' THEN 'outcome' ELSE 'needs' END AS kind, CASE asked WHEN 'd' THEN 'unemployment_days' WHEN 's' THEN 'stem_extension' END AS fact,
+CASE WHEN asked = '' THEN CASE WHEN list_sum(list_transform(string_split(days, ','), lambda x: x::DOUBLE)) > CASE stem WHEN 'true' THEN 150 ELSE 90 END THEN 'OVER' ELSE 'REMAIN' END END AS word FROM r WHERE shown""")
+def waiting_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every user turn as one of a few questions and replies; every tenth conversation pauses for weeks between turns."""
+    said = F.get(F.array(*[F.lit(t[0]) for t in _TURNS]), ((F.col("conv_id") * 5 + F.col("turn") * 3) % len(_TURNS)).cast("int"))
+    ts = F.timestamp_seconds(F.when(F.col("conv_id") % 10 == 0, F.col("turn") * 1296000).otherwise(F.col("turn") * 60))
+    x = W.replayed(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", said.alias("text"), ts.alias("ts")))
+    return x.select("conv_id", "turn", "kind", "fact", F.when(F.col("decision").startswith("OVER"), "OVER").when(F.col("decision").isNotNull(), "REMAIN").alias("word"))
