@@ -173,8 +173,14 @@ def word_overlap_support(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _support(spark, sf_dir, table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("claim"), "text"))
 
 
-@query(_support_sql("conv_id || '/' || turn", "conversations"))
+@query(_support_sql("item_id", "benchmark"))
 def word_overlap_support_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same; the name that earlier callers use."""
+    return word_overlap_support(spark, sf_dir)
+
+
+@query(_support_sql("conv_id || '/' || turn", "conversations"))
+def turn_support(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every turn of every conversation as a claim against the sentences of all documents."""
     return _support(spark, sf_dir, table(spark, sf_dir, "conversations").select(F.concat(F.col("conv_id").cast("string"), F.lit("/"), F.col("turn").cast("string")).alias("claim"), "text"))
 
