@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from corpusmill.functions import dates as D
 from corpusmill.functions import text as T
 from corpusmill.operators import validity as V
+from corpusmill.operators.overlap import best_overlaps
 from corpusmill.plans.staging import BROADCAST_ROWS, cut, small_batches, small_or_shuffled, spread
 
 # Bracket and citation grammar, least quote, drift.
@@ -340,19 +341,25 @@ def sentence_words(text: str) -> Iterator[set[str]]:
         yield {w for w in re.findall("[a-z]+", s.lower()) if len(w) > 2 and w not in T.STOP}
 
 
+#: Claims up to which every task holds all of them.
+FEW_CLAIMS = 2_000
+
+
 def support_in_any(claims: DataFrame, sources: DataFrame, least: float = 0.6) -> DataFrame:
     """(claim, ratio, flagged) as ``support`` has it, over the sentences of all sources (text).
 
     Claims that were counted to be few go to every task, which walks over its sentences with
     ``BestOverlap`` (words ranked by their frequency in the task's first batch of texts) and
-    gives one row a claim. More claims meet the sentences by shared words, in a shuffle.
+    gives one row a claim. More claims meet the sentences in blocks (``overlap.best_overlaps``).
     Null texts say nothing; a claim without content words is supported; repeated claims
     count once each.
     """
     c = cut(claims.select("claim", T.content_words(F.coalesce("text", F.lit(""))).alias("cw"), F.monotonically_increasing_id().alias("n")))
-    held = c.select("n", "cw").limit(BROADCAST_ROWS + 1).collect()
-    if len(held) > BROADCAST_ROWS:
-        return _support_by_words(c, sources, least)
+    most = min(FEW_CLAIMS, BROADCAST_ROWS)
+    held = c.select("n", "cw").limit(most + 1).collect()
+    if len(held) > most:
+        met = best_overlaps(c, sources, sentence_words).groupBy("n").agg(F.max("shared").alias("shared"))
+        return _ratios(c.join(cut(met), "n", "left"), least)
     numbers, words = [r.n for r in held], [set(r.cw) for r in held]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -379,15 +386,6 @@ def _ratios(x: DataFrame, least: float) -> DataFrame:
     return x.select("claim", ratio.alias("ratio"), (ratio < least).alias("flagged"))
 
 
-def _support_by_words(c: DataFrame, sources: DataFrame, least: float) -> DataFrame:
-    """The same for any number of claims (claim, cw, n): sentences of the same words count once."""
-    s = sources.select(F.explode(T.sentences(F.col("text"))).alias("s")).select(F.array_sort(T.content_words(F.col("s"))).alias("sw"))
-    s = s.select(F.sha2(F.array_join("sw", " "), 256).alias("sentence"), "sw").dropDuplicates(["sentence"])
-    words = c.select("n", F.explode("cw").alias("word"))
-    shared = s.select("sentence", F.explode("sw").alias("word")).join(small_or_shuffled(words), "word").groupBy("n", "sentence").count()
-    return _ratios(c.join(shared.groupBy("n").agg(F.max("count").alias("shared")), "n", "left"), least)
-
-
 def best_sources(claims: DataFrame, sources: DataFrame, n: int = 3) -> DataFrame:
     """The n sources of each claim with the most words in common."""
     x = claims.select("claim", T.content_words(F.col("text")).alias("cw")).join(sources.select("claim", "source", T.content_words(F.col("text")).alias("sw")), "claim")

@@ -275,3 +275,34 @@ def test_short_quotes_need_no_pairs(spark, monkeypatch):
         assert {tuple(r) for r in got.collect()} == want
         assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
     assert verify.containing(q.limit(0), s).count() == 0 and verify.containing(q, s.limit(0)).count() == 0
+
+
+def test_blocks_of_claims_and_sentences_equal_plain_overlaps(spark, monkeypatch):
+    import random
+
+    import numpy as np
+
+    from corpusmill.operators import overlap
+
+    rng = random.Random(8)
+    words = [f"{a}{b}{c}" for a in "abcdef" for b in "ghijk" for c in "lmnop"]
+    draw = lambda n: list(dict.fromkeys(words[min(149, int(rng.paretovariate(0.5)))] for _ in range(n)))
+    sentences, claims = [draw(rng.randint(1, 40)) for _ in range(3000)], [draw(rng.randint(1, 60)) for _ in range(200)] + [["nowhere"]]
+    monkeypatch.setattr(overlap, "LONGEST", 16)
+    best = np.zeros(len(claims), np.int64)
+    _, c_sizes, c_codes, c_words = next(overlap._blocked(enumerate(claims), 10**9))
+    for at in range(0, 3000, 700):  # what one block gave bounds the next
+        _, sizes, codes, vocabulary = next(overlap._blocked(enumerate(sentences[at : at + 700]), 10**9))
+        overlap.SentenceSide(np.array(sizes), np.array(codes), vocabulary).meet(np.array(c_sizes), np.array(c_codes), c_words, best)
+    want = [max(len(set(c) & set(s)) for s in sentences) for c in claims]
+    assert best.tolist() == want
+
+    # more claims than every task holds: blocks on both sides, broadcast or not, and no shuffle of pairs
+    monkeypatch.setattr(verify, "FEW_CLAIMS", 5)
+    monkeypatch.setattr(overlap, "SENTENCE_WORDS", 5_000)
+    monkeypatch.setattr(overlap, "CLAIM_WORDS", 700)
+    c, s = df(spark, [(k, " ".join(x)) for k, x in enumerate(claims)], "claim long, text string"), df(spark, [(". ".join(" ".join(x).capitalize() for x in sentences[k : k + 9]),) for k in range(0, 3000, 9)], "text string")
+    for size in (64 << 20, 1):
+        monkeypatch.setattr(overlap, "BLOCK_BYTES", size)
+        got = {r.claim: r.ratio for r in verify.support_in_any(c, s).collect()}
+        assert got == {k: n / len(x) for k, (n, x) in enumerate(zip(want, claims))}
