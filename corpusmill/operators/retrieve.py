@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
-from corpusmill.plans.staging import cut
+from corpusmill.functions.process_cache import frugal
+from corpusmill.plans.staging import cut, small_batches
 
 # Pool, fusion, caps, gate and tier weights.
 TOP_K, RRF_K, CITATION_CAP, SECTION_CAP, MIN_SCORE, PRIMARY_SHARE = 12, 60, 3, 4, 0.62, 0.5
@@ -76,11 +77,13 @@ def unscored(vectors: DataFrame, d: int, id_col: str = "vec_id", vector: str = "
 
 
 #: Vectors and queries that one multiplication takes.
-CHUNK, BLOCK = 8192, 512
+CHUNK, BLOCK = 2048, 256
 #: Decimals by which the scores of block searches rank.
 DIGITS = 9
 #: Bytes of query blocks that may be broadcast.
 BLOCK_BYTES = 64 << 20
+#: Bytes of a batch of pairs that a task takes at once; one pair at least.
+BATCH_BYTES = 4 << 20
 
 
 def dense_top_blocks(vectors: DataFrame, queries: DataFrame, n: int, d: int, id_col: str = "vec_id", vector: str = "embedding", group: str | None = None) -> DataFrame:
@@ -94,8 +97,10 @@ def dense_top_blocks(vectors: DataFrame, queries: DataFrame, n: int, d: int, id_
     is one multiplication of which n rows a query and group remain. Nothing is held by the
     driver, so queries and groups may grow with the table. The blocks of queries are
     broadcast if their bytes were summed to be few, and dealt out as a Cartesian product
-    of blocks otherwise.
+    of blocks otherwise. Pairs reach Python a few at a time: a matrix stands in each of its
+    pairs, and a batch of the default 64 MB would be held several times over by a task.
     """
+    small_batches(vectors.sparkSession, BATCH_BYTES)
     kind = vectors.schema[group].dataType.simpleString() if group else "int"
 
     def matrices(rows: DataFrame, size: int, name: str, g: Column) -> DataFrame:
@@ -121,7 +126,7 @@ def dense_top_blocks(vectors: DataFrame, queries: DataFrame, n: int, d: int, id_
 
         scored = rows.where(_has_score(d, id_col, vector)).select(F.col(id_col).cast("long").alias("id"), F.col(vector).alias("v"), g.alias("g"))
         t = kind if name == "v" else "int"
-        return scored.mapInArrow(run, f"{name}_ids binary, {name}_m binary, {name}_g array<{t}>")
+        return scored.mapInArrow(frugal(run), f"{name}_ids binary, {name}_m binary, {name}_g array<{t}>")
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -132,14 +137,18 @@ def dense_top_blocks(vectors: DataFrame, queries: DataFrame, n: int, d: int, id_
                 codes = vg.values.dictionary_encode(null_encoding="encode").indices.to_numpy()
                 sizes = np.bincount(codes)
                 nth = np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes)  # place within its group, once sorted
-                at = np.stack([np.lexsort((ids, -k, codes))[nth < n] for k in keys])
+                if len(sizes) == 1 and n < len(ids) and not np.isnan(keys).any():  # only what reaches the n-th is sorted
+                    near = [np.flatnonzero(k >= np.partition(k, -n)[-n]) for k in keys]
+                    at = np.stack([c[np.lexsort((ids[c], -k[c]))[:n]] for c, k in zip(near, keys)])
+                else:
+                    at = np.stack([np.lexsort((ids, -k, codes))[nth < n] for k in keys])
                 cols = [pa.array(np.repeat(qs, at.shape[1])), pa.array(ids[at].ravel()), vg.values.take(pa.array(at.ravel()))]
                 yield pa.RecordBatch.from_arrays([*cols, *(pa.array(np.take_along_axis(x, at, 1).ravel()) for x in (keys, scores))], names=["q", "id", "g", "key", "cosine"])
 
     blocks = cut(matrices(queries, BLOCK, "q", F.lit(0)))
     few = (blocks.agg(F.sum(F.octet_length("q_m"))).first()[0] or 0) <= BLOCK_BYTES
     pairs = matrices(vectors, CHUNK, "v", F.col(group) if group else F.lit(0)).crossJoin(F.broadcast(blocks) if few else blocks)
-    found = pairs.mapInArrow(multiply, f"q long, id long, g {kind}, key double, cosine double")
+    found = pairs.mapInArrow(frugal(multiply), f"q long, id long, g {kind}, key double, cosine double")
     w = Window.partitionBy("q", "g").orderBy(F.col("key").desc(), "id")
     best = found.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= n)
     return best.select("q", *([F.col("g").alias(group)] if group else []), "id", "cosine", "rank")

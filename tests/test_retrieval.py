@@ -236,3 +236,19 @@ def test_pieces_against_a_running_sum():
                     back -= 1
             lo = back
         assert list(_fitting(costs, 60, overlap)) == want
+
+
+def test_block_searches_take_few_pairs_at_a_time(spark, monkeypatch):
+    from corpusmill.operators import retrieve as R
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.unset(key)
+    try:
+        v = spark.createDataFrame([(i, [float(i % 7), float(i % 5)]) for i in range(300)], "vec_id long, embedding array<float>")
+        found = R.dense_top_blocks(v, v.where("vec_id % 20 = 0"), 2, 2)
+        assert found.count() == 2 * 15
+        # a pair of full matrices of 64 dimensions and its scores stay within a few batches
+        assert int(spark.conf.get(key).rstrip("b")) <= 8 << 20 and R.CHUNK * R.BLOCK * 8 <= 8 << 20
+    finally:
+        spark.conf.set(key, before)
