@@ -102,7 +102,7 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {bm25_sql('SELECT item_id AS q, text FROM benchmark')} SELECT q, id AS doc_id, round(bm25, 6) AS bm25, rank FROM (SELECT q, id, bm25, row_number() OVER (PARTITION BY q ORDER BY round(bm25, 9) DESC, id) AS rank FROM bm) WHERE rank <= 12")
 def bm25_multi_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("q"), "text")
-    scores = I.bm25(table(spark, sf_dir, "documents"), queries).withColumn("by", F.round("bm25", 9))
+    scores = I.bm25_best(table(spark, sf_dir, "documents"), queries, K)
     return R.top(scores, "by", K).select("q", F.col("id").alias("doc_id"), F.round("bm25", 6).alias("bm25"), "rank")
 
 

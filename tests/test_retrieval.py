@@ -252,3 +252,27 @@ def test_block_searches_take_few_pairs_at_a_time(spark, monkeypatch):
         assert int(spark.conf.get(key).rstrip("b")) <= 8 << 20 and R.CHUNK * R.BLOCK * 8 <= 8 << 20
     finally:
         spark.conf.set(key, before)
+
+
+def test_best_of_each_task_equal_the_best_of_all_scores(spark, docs, tmp_path, monkeypatch):
+    from corpusmill.operators import retrieve as R
+
+    d = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(10_000, None), (10_001, ""), (None, "the erthan")], "doc_id long, text string"))
+    d = d.unionByName(d.where("doc_id % 3 = 0").withColumn("doc_id", F.col("doc_id") + 50_000)).repartition(5)  # copies tie, and rank by id
+    q = spark.createDataFrame([(7, "worthless erthan of the onand"), (3, "8 CFR 214.2 (f) zebra"), (2, "the of")] + [(20 + r.doc_id, r.text[:200]) for r in docs.limit(9).collect()], "q long, text string")
+    rows = lambda x: sorted((r.q, r["rank"], r.id, round(r.bm25, 9)) for r in R.top(x, "by", 4).collect())
+    want = rows(index.bm25(d.where("doc_id is not null"), q).withColumn("by", F.round("bm25", 9)))
+    whole = d.where("doc_id is not null")
+    stored = index.stored(whole, f"file://{tmp_path}/i")
+    found = index.bm25_best(whole, q, 4)
+    assert rows(found) == want and rows(index.bm25_best_indexed(stored, q, 4)) == want
+    # four rows a query and task at most leave the scan
+    assert found.count() <= 4 * q.count() * max(found.rdd.getNumPartitions(), whole.rdd.getNumPartitions())
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "7")  # documents that go over several batches
+    assert rows(index.bm25_best(whole, q, 4)) == want
+    spark.conf.set(key, before)
+    monkeypatch.setattr(index, "BROADCAST_ROWS", 1)
+    assert rows(index.bm25_best(whole, q, 4)) == want and rows(index.bm25_best_indexed(stored, q, 4)) == want
+    assert index.bm25_best(whole.limit(0), q, 4).count() == 0
