@@ -111,7 +111,7 @@ def bm25_stored_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same scores from an index that was written down first."""
     queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("q"), "text")
     index = I.stored(table(spark, sf_dir, "documents"), work_folder(spark, "index"))
-    scores = I.bm25_indexed(index, queries).withColumn("by", F.round("bm25", 9))
+    scores = I.bm25_best_indexed(index, queries, K)
     return R.top(scores, "by", K).select("q", F.col("id").alias("doc_id"), F.round("bm25", 6).alias("bm25"), "rank")
 
 
