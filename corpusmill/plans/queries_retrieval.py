@@ -254,7 +254,7 @@ def slate_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items in groups of four as one question and its three issues; every fifth document is suspended."""
     d = table(spark, sf_dir, "documents")
     queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("q"), "text")
-    scores = R.top(I.bm25(d, queries).withColumn("score", F.round("bm25", 9)), "score", K)
+    scores = R.top(I.bm25_best(d, queries, K).withColumnRenamed("by", "score"), "score", K)
     rows = cut(scores.select(F.floor(F.col("q") / 4).alias("question_id"), (F.col("q") % 4).alias("qi"), "rank", "id", "score"))
     ids = small_or_shuffled(rows.select("id").distinct())  # texts leave the scan for ranked documents only
     near = d.select(F.col("doc_id").alias("id"), F.col("source").alias("citation"), F.substring("text", 1, 80).alias("text")).join(ids, "id")
