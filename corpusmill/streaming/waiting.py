@@ -11,9 +11,11 @@ seconds starts anew. The rule itself is again columns, over what the state gave.
 
 from __future__ import annotations
 
+from collections import namedtuple
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -37,10 +39,9 @@ def read(turns: DataFrame) -> DataFrame:
     return x.select("conv_id", "turn", F.col("ts").cast("timestamp").alias("ts"), about.alias("about"), stated.alias("stated"), as_fact("unemployment_days").alias("as_days"), as_fact("stem_extension").alias("as_stem"))
 
 
-def step(state: tuple, row) -> tuple[tuple, tuple | None]:
-    """The state after one turn, and the facts (days, stem) if the rule is in play."""
+def step(state: tuple, row, at: int) -> tuple[tuple, tuple | None]:
+    """The state after one turn at second ``at``, and the facts (days, stem) if the rule is in play."""
     active, asked, days, stem, last = state
-    at = row.ts.value // 10**9
     if at - last > STALE:
         active, asked, days, stem = False, None, None, None
     if asked == "unemployment_days":
@@ -59,7 +60,7 @@ def step(state: tuple, row) -> tuple[tuple, tuple | None]:
 def _follow(rows: list, state: tuple) -> tuple[list[tuple], tuple]:
     out = []
     for r in sorted(rows, key=lambda r: r.turn):
-        state, facts = step(state, r)
+        state, facts = step(state, r, r.ts.value // 10**9)
         if facts:
             out.append((r.conv_id, r.turn, *facts))
     return out, state
@@ -99,7 +100,27 @@ def waiting(turns: DataFrame, late: str = "1 day") -> DataFrame:
     return _decided(x.applyInPandasWithState(run, FACTS, STATE, "append", GroupStateTimeout.EventTimeTimeout))
 
 
+_UNTIMED = pd.NaT.value // 10**9
+_Turn = namedtuple("_Turn", "conv_id turn at about stated as_days as_stem")
+
+
 def replayed(turns: DataFrame) -> DataFrame:
-    """The rows of ``waiting`` over a table: a conversation, which is short, is one group."""
-    run = lambda pdf: pd.DataFrame(_follow(_tuples(pdf), _NEW)[0], columns=_COLUMNS)
-    return _decided(read(turns).groupBy("conv_id").applyInPandas(run, FACTS))
+    """The rows of ``waiting`` over a table. Conversations are dealt out and sorted; a task walks
+    over its turns in batches and holds one state, however many conversations or turns there are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        conv, state = None, _NEW
+        for b in batches:
+            out = []
+            for r in map(_Turn._make, zip(*(b.column(c).to_pylist() for c in _Turn._fields))):
+                if r.conv_id != conv:
+                    conv, state = r.conv_id, _NEW
+                state, facts = step(state, r, r.at)
+                if facts:
+                    out.append((r.conv_id, r.turn, *facts))
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out)) or [()] * 4, kinds)], names=_COLUMNS)
+
+    x = read(turns).withColumn("at", F.coalesce(F.unix_seconds("ts"), F.lit(_UNTIMED))).select(*_Turn._fields)
+    x = x.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), *_Turn._fields[2:])
+    return _decided(x.repartition("conv_id").sortWithinPartitions("conv_id", "turn").mapInArrow(run, FACTS))

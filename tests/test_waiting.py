@@ -47,3 +47,16 @@ def test_a_stream_in_batches_gives_the_same_rows(spark, tmp_path):
     q = W.waiting(s).writeStream.format("memory").queryName("waiting").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert said(spark.sql("select * from waiting").collect()) == said(W.replayed(all_turns).collect())
+
+
+def test_a_replay_walks_over_batches_and_makes_no_group_a_frame(spark):
+    rows = [(100 * k + c if c is not None else None, t, r, x, s) for k in range(20) for c, t, r, x, s in ROWS]
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "3")  # conversations go over several batches
+    try:
+        x = W.replayed(turns(spark, rows))
+        assert said(x.collect()) == sorted((100 * k + c, *rest) for k in range(20) for c, *rest in WANT)
+        assert "FlatMapGroups" not in x._jdf.queryExecution().toString()
+    finally:
+        spark.conf.set(key, before)
