@@ -1,12 +1,13 @@
 """A stored inverted index that grows by segments and is searched by block maxima.
 
 A segment is what one ``add`` wrote: its documents with their counted terms, its term
-statistics and its postings. Documents are dealt to blocks by a hash of their id; a
+statistics and its postings. Documents that stand together are a block; a
 posting row is a (term, block) with all its entries and two bounds, the largest term
 frequency and the smallest document length. From those follows the most that any document
 of the block can score for the term, whatever the average length has become. Posting
-rows are range-sorted by term and block, so that a hot term is in many files and a
-search for few terms skips most.
+rows are made where the documents are read and sorted by term and block within their file, so
+nothing is shuffled, a hot term is in all files, a document's terms in one, and a search for
+few terms skips most of each.
 
 An ``add`` replaces documents of the same id, a ``remove`` takes them out: both leave old
 segments as they are and write tombstones, with the changes of document frequency and
@@ -21,12 +22,19 @@ not written to its end is never read. One writer at a time.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 from corpusmill.functions import text as T
+from corpusmill.functions.process_cache import frugal
 from corpusmill.operators import retrieve
 from corpusmill.operators.index import FEW_TERMS, queries_to_terms
 from corpusmill.plans.staging import cut, small_or_shuffled, spread, work_folder
@@ -34,11 +42,10 @@ from corpusmill.plans.staging import cut, small_or_shuffled, spread, work_folder
 K1, B = 1.5, 0.75
 #: Documents of a block, blocks scored before the threshold is known, and segments of a tier before they merge.
 BLOCK_DOCS, FIRST_BLOCKS, FAN = 128, 8, 4
-#: Documents behind a file of postings, and at least so many where that leaves cores idle.
-FILE_DOCS, LEAST_DOCS = 200_000, 1_000
 #: A block is dropped only if its bound is below the threshold by more than sums may be off.
 SLACK = 1e-9
 
+POSTINGS = "term string, block long, max_tf long, min_len long, entries array<struct<id:{0},tf:long,len:long>>"
 MANIFEST = "segment string, n long, tombstones string"
 
 
@@ -47,6 +54,36 @@ def impact(tf: Column, length: Column, avglen: Column) -> Column:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / avglen))
 
 
+def _posted(block_docs: int, id_type: DataType):
+    """Posting rows of documents (id, len, terms), block by block, in the task that reads them."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kind = to_arrow_type(id_type)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId() << 32
+        for whole in batches:
+            for lo in range(0, whole.num_rows, block_docs):
+                b = whole.slice(lo, block_docs)
+                block += 1
+                terms, ids, lens = b.column("terms"), b.column("id"), b.column("len").to_numpy()
+                flat = terms.flatten()
+                if not len(flat):
+                    continue
+                owner = np.repeat(np.arange(b.num_rows), pc.list_value_length(terms).to_numpy(zero_copy_only=False))
+                coded = flat.field("term").dictionary_encode()
+                codes = coded.indices.to_numpy()
+                order = np.lexsort((owner, codes))
+                first = np.flatnonzero(np.append(True, np.diff(codes[order])))
+                owner, tf = owner[order], flat.field("tf").to_numpy()[order]
+                entries = pa.StructArray.from_arrays([ids.take(pa.array(owner)).cast(kind), pa.array(tf), pa.array(lens[owner])], names=["id", "tf", "len"])
+                lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(owner)).astype(np.int32)), entries)
+                columns = [coded.dictionary.take(pa.array(codes[order][first])), pa.array(np.full(len(first), block, np.int64)), pa.array(np.maximum.reduceat(tf, first)), pa.array(np.minimum.reduceat(lens[owner], first)), lists]
+                yield pa.RecordBatch.from_arrays(columns, names=["term", "block", "max_tf", "min_len", "entries"])
+
+    return run
+
+
 @dataclass
 class Store:
     """``id_type`` is the type of the documents' ids: long or string."""
@@ -110,13 +147,9 @@ class Store:
         counted.write.parquet(f"{self.root}/documents/{name}")
         d = self.spark.read.schema(f"id {self.id_type}, len long, terms array<struct<term:string,tf:long>>").parquet(f"{self.root}/documents/{name}")
         n = d.count()
-        blocks = max(1, -(-n // BLOCK_DOCS))
-        entries = d.select("id", "len", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"), F.inline("terms"))
-        # a group has the documents of one block at most
-        rows = entries.groupBy("term", "block").agg(F.max("tf").alias("max_tf"), F.min("len").alias("min_len"), F.collect_list(F.struct("id", "tf", "len")).alias("entries"))
-        files = max(1, -(-n // FILE_DOCS), min(self.spark.sparkContext.defaultParallelism, n // LEAST_DOCS))
-        rows.repartitionByRange(files, "term", "block").sortWithinPartitions("term", "block").write.parquet(f"{self.root}/postings/{name}")
-        entries.groupBy("term").agg(F.count("*").alias("df")).write.parquet(f"{self.root}/terms/{name}")
+        rows = d.mapInArrow(frugal(_posted(BLOCK_DOCS, d.schema["id"].dataType)), POSTINGS.format(self.id_type))
+        rows.sortWithinPartitions("term", "block").write.parquet(f"{self.root}/postings/{name}")
+        d.select(F.explode("terms.term").alias("term")).groupBy("term").agg(F.count("*").alias("df")).write.parquet(f"{self.root}/terms/{name}")
         return {"segment": name, "n": n, "tombstones": None}
 
     def _bury(self, rows: list[dict], ids: DataFrame) -> list[dict]:
@@ -249,7 +282,12 @@ class Store:
     def _scored(self, rows: list[dict], blocks: DataFrame, wanted: DataFrame, few: list[str] | None) -> DataFrame:
         """(q, id, bm25) of every document with a term of the query in the ``blocks`` (q, segment, block)."""
         p = self._postings(rows, few, f"term string, block long, entries array<struct<id:{self.id_type},tf:long,len:long>>")
-        x = p.join(small_or_shuffled(wanted.join(blocks, "q")), ["segment", "term", "block"]).select("q", "segment", "idf", "avglen", F.inline("entries"))
+        # one row a term and one a block: postings stay in their tasks, which hold all terms of a document
+        per_term = wanted.groupBy("term").agg(F.collect_list(F.struct("q", "idf")).alias("asked"), F.first("avglen").alias("avglen"))
+        per_block = cut(blocks.groupBy("segment", "block").agg(F.collect_set("q").alias("qs")))
+        x = p.join(small_or_shuffled(cut(per_term)), "term").join(small_or_shuffled(per_block), ["segment", "block"])
+        x = x.withColumn("asked", F.filter("asked", lambda a: F.array_contains("qs", a["q"]))).where(F.size("asked") > 0)
+        x = x.select("segment", "avglen", "asked", F.inline("entries")).select("segment", "avglen", "id", "tf", "len", F.inline("asked"))
         if self._gone(rows):
             x = x.join(small_or_shuffled(self._tombstones(rows)), ["segment", "id"], "left_anti")
         return x.groupBy("q", "id").agg(F.sum(F.col("idf") * impact(F.col("tf"), F.col("len"), F.col("avglen"))).alias("bm25"))

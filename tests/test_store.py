@@ -5,6 +5,8 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
+
 from corpusmill.operators import store
 from corpusmill.operators.store import Store
 
@@ -92,3 +94,18 @@ def test_a_version_without_its_end_is_not_read(spark, tmp_path):
     s.remove(spark.createDataFrame([(1,)], "id long"))
     assert s.documents().count() == 0 and s.statistics().first().n == 1 and s.frequencies().count() == 0
     assert s.search(spark.createDataFrame([(0, "alpha")], "q long, text string"), 3).count() == 0
+
+
+def test_postings_are_made_and_scored_where_documents_stand(spark, tmp_path, small_blocks):
+    rng = random.Random(5)
+    docs = {i: text_of(rng, rng.randint(1, 40)) for i in range(400)}
+    s = Store(spark, f"file://{tmp_path}/s")
+    s.add(spark.createDataFrame(list(docs.items()), SCHEMA))
+    p = spark.read.parquet(f"{s.root}/postings/{s.segments()[0]}")
+    # all entries of a document are in one file, under one block of few documents
+    spread = p.select(F.input_file_name().alias("file"), "block", F.explode("entries.id").alias("id"))
+    assert spread.groupBy("id").agg(F.countDistinct("file", "block").alias("n")).where("n > 1").count() == 0
+    assert spread.groupBy("block").agg(F.countDistinct("id").alias("n")).agg(F.max("n")).first()[0] <= store.BLOCK_DOCS
+    assert p.agg(F.sum(F.size("entries"))).first()[0] == s.documents().agg(F.sum(F.size("terms"))).first()[0]
+    queries = [(q, text_of(rng, 6)) for q in range(5)]
+    assert found(s, spark.createDataFrame(queries, "q long, text string"), 4) == plain(docs, queries, 4)
