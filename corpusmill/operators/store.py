@@ -1,8 +1,8 @@
 """A stored inverted index that grows by segments and is searched by block maxima.
 
 A segment is what one ``add`` wrote: its documents with their counted terms, its term
-statistics and its postings. Documents that stand together are a block; a
-posting row is a (term, block) with all its entries and two bounds, the largest term
+statistics and its postings. Documents that stand together are a block, whose number they
+bear; a posting row is a (term, block) with all its entries and two bounds, the largest term
 frequency and the smallest document length. From those follows the most that any document
 of the block can score for the term, whatever the average length has become. Posting
 rows are made where the documents are read and sorted by term and block within their file, so
@@ -10,8 +10,10 @@ nothing is shuffled, a hot term is in all files, a document's terms in one, and
 few terms skips most of each.
 
 An ``add`` replaces documents of the same id, a ``remove`` takes them out: both leave old
-segments as they are and write tombstones, with the changes of document frequency and
-length that they cause. The statistics of a search are sums over segments and such
+segments as they are and write tombstones, one row a block with the ids that are gone, and
+the changes of document frequency and length that they cause. What is gone is found by ids
+and lengths alone and taken out where the block is read: neither texts nor terms nor
+postings are shuffled for it. The statistics of a search are sums over segments and such
 changes. Segments of one order of size are merged once there are ``FAN`` of them, from
 their counted terms; texts are not needed again.
 
@@ -28,7 +30,6 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
@@ -37,14 +38,17 @@ from corpusmill.functions import text as T
 from corpusmill.functions.process_cache import frugal
 from corpusmill.operators import retrieve
 from corpusmill.operators.index import FEW_TERMS, queries_to_terms
-from corpusmill.plans.staging import cut, small_or_shuffled, spread, work_folder
+from corpusmill.plans.staging import BROADCAST_ROWS, cut, small_or_shuffled, spread, work_folder
 
 K1, B = 1.5, 0.75
 #: Documents of a block, blocks scored before the threshold is known, and segments of a tier before they merge.
 BLOCK_DOCS, FIRST_BLOCKS, FAN = 128, 8, 4
 #: A block is dropped only if its bound is below the threshold by more than sums may be off.
 SLACK = 1e-9
+#: Blocks whose tombstones are broadcast, once they were counted to be no more.
+DEAD_BLOCKS = BROADCAST_ROWS // 4
 
+DOCUMENTS = "block long, id {0}, len long, terms array<struct<term:string,tf:long>>"
 POSTINGS = "term string, block long, max_tf long, min_len long, entries array<struct<id:{0},tf:long,len:long>>"
 MANIFEST = "segment string, n long, tombstones string"
 
@@ -54,18 +58,20 @@ def impact(tf: Column, length: Column, avglen: Column) -> Column:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / avglen))
 
 
-def _posted(block_docs: int, id_type: DataType):
-    """Posting rows of documents (id, len, terms), block by block, in the task that reads them."""
+def _posted(id_type: DataType):
+    """Posting rows of documents (block, id, len, terms), block by block, in the task that reads them.
+
+    A block that batches or tasks cut in two has two rows a term, which bound it as well."""
     from pyspark.sql.pandas.types import to_arrow_type
 
     kind = to_arrow_type(id_type)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = TaskContext.get().partitionId() << 32
         for whole in batches:
-            for lo in range(0, whole.num_rows, block_docs):
-                b = whole.slice(lo, block_docs)
-                block += 1
+            of = whole.column("block").to_numpy()
+            new = np.flatnonzero(np.append(True, np.diff(of))) if len(of) else []
+            for lo, hi in zip(new, [*new[1:], len(of)]):
+                b, block = whole.slice(lo, hi - lo), of[lo]
                 terms, ids, lens = b.column("terms"), b.column("id"), b.column("len").to_numpy()
                 flat = terms.flatten()
                 if not len(flat):
@@ -129,25 +135,34 @@ class Store:
     def _gone(self, rows: list[dict]) -> list[str]:
         return [r["tombstones"] for r in rows if r["tombstones"]]
 
-    def documents(self) -> DataFrame:
-        """(segment, id, len, terms) of all documents that are still there."""
-        rows = self.manifest()
-        d = self._read("documents", f"id {self.id_type}, len long, terms array<struct<term:string,tf:long>>", [r["segment"] for r in rows if r["segment"]])
-        gone = self._tombstones(rows)
-        return d.join(small_or_shuffled(gone), ["segment", "id"], "left_anti") if self._gone(rows) else d
+    def _counted(self, names: list[str]) -> DataFrame:
+        """(segment, block, id, len, terms) of segments as they were written."""
+        return self._read("documents", DOCUMENTS.format(self.id_type), names)
+
+    def documents(self, rows: list[dict] | None = None) -> DataFrame:
+        """(segment, block, id, len, terms) of all documents that are still there."""
+        rows = self.manifest() if rows is None else rows
+        d = self._counted([r["segment"] for r in rows if r["segment"]])
+        if not self._gone(rows):
+            return d
+        d = d.join(small_or_shuffled(cut(self._dead(rows)), DEAD_BLOCKS), ["segment", "block"], "left")
+        return d.where("dead is null or not array_contains(dead, id)").drop("dead")
 
-    def _tombstones(self, rows: list[dict]) -> DataFrame:
-        return self._read("tombstones", f"id {self.id_type}, of string", self._gone(rows)).select(F.col("of").alias("segment"), "id")
+    def _dead(self, rows: list[dict]) -> DataFrame:
+        """(segment, block, dead): the ids that are gone, one row a block."""
+        t = self._read("tombstones", f"of string, block long, dead array<{self.id_type}>", self._gone(rows))
+        return t.groupBy(F.col("of").alias("segment"), "block").agg(F.flatten(F.collect_list("dead")).alias("dead"))
 
     # --- writing -----------------------------------------------------------------------
 
     def _write_segment(self, counted: DataFrame) -> dict:
         """``counted`` (id, len, terms), one row an id, as a new segment."""
         name = uuid.uuid4().hex
-        counted.write.parquet(f"{self.root}/documents/{name}")
-        d = self.spark.read.schema(f"id {self.id_type}, len long, terms array<struct<term:string,tf:long>>").parquet(f"{self.root}/documents/{name}")
+        place = F.expr(f"monotonically_increasing_id() div {BLOCK_DOCS}")
+        counted.select(place.alias("block"), "id", "len", "terms").write.parquet(f"{self.root}/documents/{name}")
+        d = self._counted([name])
         n = d.count()
-        rows = d.mapInArrow(frugal(_posted(BLOCK_DOCS, d.schema["id"].dataType)), POSTINGS.format(self.id_type))
+        rows = d.select("block", "id", "len", "terms").mapInArrow(frugal(_posted(d.schema["id"].dataType)), POSTINGS.format(self.id_type))
         rows.sortWithinPartitions("term", "block").write.parquet(f"{self.root}/postings/{name}")
         d.select(F.explode("terms.term").alias("term")).groupBy("term").agg(F.count("*").alias("df")).write.parquet(f"{self.root}/terms/{name}")
         return {"segment": name, "n": n, "tombstones": None}
@@ -156,15 +171,22 @@ class Store:
         """Tombstones of the stored documents with one of ``ids`` (id), with their terms' and lengths' counts."""
         if not rows:
             return []
-        old = self.documents().join(small_or_shuffled(ids.select("id").distinct()), "id", "left_semi")
-        old = cut(old.select("segment", "id", "len", "terms"))
+        placed = self.documents(rows).select("segment", "block", "id", "len")
+        return self._entomb(rows, placed.join(small_or_shuffled(cut(ids.select("id").distinct())), "id", "left_semi"))
+
+    def _entomb(self, rows: list[dict], doomed: DataFrame) -> list[dict]:
+        """Tombstones of ``doomed`` (segment, block, id, len); their terms are counted where they stand."""
+        old = cut(doomed.groupBy("segment", "block").agg(F.collect_list("id").alias("dead"), F.count("*").alias("n"), F.sum("len").alias("len")))
         if old.isEmpty():
             return []
         name = uuid.uuid4().hex
-        old.select("id", F.col("segment").alias("of")).write.parquet(f"{self.root}/tombstones/{name}")
-        old.select(F.explode("terms.term").alias("term")).groupBy("term").agg(F.count("*").alias("df")).write.parquet(f"{self.root}/fewer_terms/{name}")
-        old.agg(F.count("*").alias("n"), F.sum("len").alias("len")).write.parquet(f"{self.root}/fewer_docs/{name}")
-        return [{"segment": None, "n": old.count(), "tombstones": name}]
+        old.select(F.col("segment").alias("of"), "block", "dead").write.parquet(f"{self.root}/tombstones/{name}")
+        held = self._counted([r["segment"] for r in rows if r["segment"]]).select("segment", "block", "id", "terms")
+        held = held.join(small_or_shuffled(old.select("segment", "block", "dead"), DEAD_BLOCKS), ["segment", "block"]).where("array_contains(dead, id)")
+        held.select(F.explode("terms.term").alias("term")).groupBy("term").agg(F.count("*").alias("df")).write.parquet(f"{self.root}/fewer_terms/{name}")
+        sums = old.agg(F.sum("n").alias("n"), F.sum("len").alias("len"))
+        sums.write.parquet(f"{self.root}/fewer_docs/{name}")
+        return [{"segment": None, "n": sums.first().n, "tombstones": name}]
 
     def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> None:
         """Documents (id, text) as a new segment; stored ones of the same id are replaced.
@@ -173,8 +195,8 @@ class Store:
         without an id are not stored; a null text is an empty document.
         """
         text = F.coalesce(F.col(text_col), F.lit(""))
-        counted = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast(self.id_type).alias("id"), text.alias("text"))
-        counted = spread(counted).groupBy("id").agg(F.max_by("text", F.struct(F.length("text"), "text")).alias("text")).select("id", T.counted_terms(F.col("text")).alias("terms"))
+        rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast(self.id_type).alias("id"), text.alias("text"))
+        counted = spread(_one_an_id(rows)).select("id", T.counted_terms(F.col("text")).alias("terms"))
         size = F.aggregate("terms", F.lit(0).cast("long"), lambda s, x: s + x["tf"])
         made = self._write_segment(counted.select("id", F.greatest(size, F.lit(1).cast("long")).alias("len"), "terms"))
         rows = self.manifest()
@@ -204,21 +226,15 @@ class Store:
         """The segments ``names`` (all) as one, without what was removed from them."""
         rows = self.manifest()
         names = [r["segment"] for r in rows if r["segment"]] if names is None else names
-        live = self.documents().where(F.col("segment").isin(names)).drop("segment")
+        live = self.documents(rows).where(F.col("segment").isin(names)).select("id", "len", "terms")
         made = self._write_segment(live)
         kept = [r for r in rows if r["segment"] and r["segment"] not in names]
         # tombstones of merged segments are done with; the others' counts are written anew
-        rest = self._tombstones(rows).where(~F.col("segment").isin(names)) if self._gone(rows) else None
         buried = []
-        if rest is not None and kept:
-            d = self._read("documents", f"id {self.id_type}, len long, terms array<struct<term:string,tf:long>>", [r["segment"] for r in kept])
-            old = cut(d.join(small_or_shuffled(rest), ["segment", "id"], "left_semi"))
-            if not old.isEmpty():
-                name = uuid.uuid4().hex
-                old.select("id", F.col("segment").alias("of")).write.parquet(f"{self.root}/tombstones/{name}")
-                old.select(F.explode("terms.term").alias("term")).groupBy("term").agg(F.count("*").alias("df")).write.parquet(f"{self.root}/fewer_terms/{name}")
-                old.agg(F.count("*").alias("n"), F.sum("len").alias("len")).write.parquet(f"{self.root}/fewer_docs/{name}")
-                buried = [{"segment": None, "n": old.count(), "tombstones": name}]
+        if kept and self._gone(rows):
+            rest = cut(self._dead(rows).where(~F.col("segment").isin(names)))
+            d = self._counted([r["segment"] for r in kept]).select("segment", "block", "id", "len")
+            buried = self._entomb(kept, d.join(small_or_shuffled(rest, DEAD_BLOCKS), ["segment", "block"]).where("array_contains(dead, id)"))
         self._commit([*kept, *buried, made])
 
     # --- searching ---------------------------------------------------------------------
@@ -232,12 +248,13 @@ class Store:
             d = d.unionByName(less).agg(F.sum("n").alias("n"), F.sum("len").alias("len"))
         return d.select(F.greatest("n", F.lit(1)).cast("long").alias("n"), F.when(F.col("n") > 0, F.col("len") / F.col("n")).otherwise(1.0).alias("avglen"))
 
-    def frequencies(self, rows: list[dict] | None = None) -> DataFrame:
-        """(term, df) over the documents that are there."""
+    def frequencies(self, rows: list[dict] | None = None, of: DataFrame | None = None) -> DataFrame:
+        """(term, df) over the documents that are there, of all terms or those of ``of`` (term)."""
         rows = self.manifest() if rows is None else rows
         t = self._read("terms", "term string, df long", [r["segment"] for r in rows if r["segment"]]).select("term", "df")
         if self._gone(rows):
             t = t.unionByName(self._read("fewer_terms", "term string, df long", self._gone(rows)).select("term", (-F.col("df")).alias("df")))
+        t = t if of is None else t.join(small_or_shuffled(of), "term", "left_semi")
         return t.groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
 
     def _postings(self, rows: list[dict], terms: list[str] | None, columns: str) -> DataFrame:
@@ -262,7 +279,7 @@ class Store:
         few = few if len(few) <= FEW_TERMS else None
         idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
         # corpus statistics are one row by construction
-        weights = cut(terms.join(self.frequencies(rows), "term").crossJoin(F.broadcast(self.statistics(rows))).select("q", "term", idf.alias("idf"), "avglen"))
+        weights = cut(terms.join(self.frequencies(rows, cut(terms.select("term").distinct())), "term").crossJoin(F.broadcast(self.statistics(rows))).select("q", "term", idf.alias("idf"), "avglen"))
         wanted = small_or_shuffled(weights)
         bound = F.col("idf") * impact(F.col("max_tf"), F.col("min_len"), F.col("avglen"))
         heads = cut(self._postings(rows, few, "term string, block long, max_tf long, min_len long").join(wanted, "term").groupBy("q", "segment", "block").agg(F.sum(bound).alias("bound")))
@@ -284,12 +301,11 @@ class Store:
         p = self._postings(rows, few, f"term string, block long, entries array<struct<id:{self.id_type},tf:long,len:long>>")
         # one row a term and one a block: postings stay in their tasks, which hold all terms of a document
         per_term = wanted.groupBy("term").agg(F.collect_list(F.struct("q", "idf")).alias("asked"), F.first("avglen").alias("avglen"))
-        per_block = cut(blocks.groupBy("segment", "block").agg(F.collect_set("q").alias("qs")))
+        per_block = blocks.groupBy("segment", "block").agg(F.collect_set("q").alias("qs"))
+        per_block = cut(per_block.join(self._dead(rows), ["segment", "block"], "left") if self._gone(rows) else per_block.withColumn("dead", F.lit(None).cast(f"array<{self.id_type}>")))
         x = p.join(small_or_shuffled(cut(per_term)), "term").join(small_or_shuffled(per_block), ["segment", "block"])
         x = x.withColumn("asked", F.filter("asked", lambda a: F.array_contains("qs", a["q"]))).where(F.size("asked") > 0)
-        x = x.select("segment", "avglen", "asked", F.inline("entries")).select("segment", "avglen", "id", "tf", "len", F.inline("asked"))
-        if self._gone(rows):
-            x = x.join(small_or_shuffled(self._tombstones(rows)), ["segment", "id"], "left_anti")
+        x = x.select("dead", "avglen", "asked", F.inline("entries")).where("dead is null or not array_contains(dead, id)").select("avglen", "id", "tf", "len", F.inline("asked"))
         return x.groupBy("q", "id").agg(F.sum(F.col("idf") * impact(F.col("tf"), F.col("len"), F.col("avglen"))).alias("bm25"))
 
     def shares(self, queries: DataFrame, n: int) -> tuple[int, int]:
@@ -302,6 +318,19 @@ class Store:
         return sum(size(p.join(terms.join(b, "q"), ["segment", "term", "block"])) for b in blocks), size(p.join(terms, "term"))
 
 
+def _one_an_id(docs: DataFrame) -> DataFrame:
+    """Of rows (id, text) with one id the longest text (then the last in order). Ids are counted alone; only
+    texts whose ids repeat are gathered, where those ids were counted to be few."""
+    longest = lambda x: x.groupBy("id").agg(F.max_by("text", F.struct(F.length("text"), "text")).alias("text"))
+    twice = cut(docs.groupBy("id").count().where("count > 1").select("id"))
+    n = twice.limit(BROADCAST_ROWS + 1).count()
+    if n == 0:
+        return docs
+    if n > BROADCAST_ROWS:
+        return longest(docs)
+    return docs.join(F.broadcast(twice), "id", "left_anti").unionByName(longest(docs.join(F.broadcast(twice), "id", "left_semi")))
+
+
 _kept: dict[tuple, Store] = {}
 
 

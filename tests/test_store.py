@@ -109,3 +109,31 @@ def test_postings_are_made_and_scored_where_documents_stand(spark, tmp_path, sma
     assert p.agg(F.sum(F.size("entries"))).first()[0] == s.documents().agg(F.sum(F.size("terms"))).first()[0]
     queries = [(q, text_of(rng, 6)) for q in range(5)]
     assert found(s, spark.createDataFrame(queries, "q long, text string"), 4) == plain(docs, queries, 4)
+
+
+def test_tombstones_are_one_row_a_block_and_shuffled_paths_agree(spark, tmp_path, small_blocks, monkeypatch):
+    rng = random.Random(7)
+    s, docs = Store(spark, f"file://{tmp_path}/s"), {i: text_of(rng, rng.randint(1, 20)) for i in range(200)}
+    s.add(spark.createDataFrame(list(docs.items()), SCHEMA).coalesce(1))
+    s.remove(spark.createDataFrame([(i,) for i in range(0, 200, 2)], "id long"))
+    docs = {i: t for i, t in docs.items() if i % 2}
+    gone = s.manifest()[-1]["tombstones"]
+    t = spark.read.parquet(f"{s.root}/tombstones/{gone}")
+    assert t.count() <= spark.read.parquet(f"{s.root}/postings/{s.segments()[0]}").select("block").distinct().count() < 100
+    queries = [(q, text_of(rng, 4)) for q in range(4)]
+    q = spark.createDataFrame(queries, "q long, text string")
+    assert found(s, q, 4) == plain(docs, queries, 4)
+    monkeypatch.setattr(store, "DEAD_BLOCKS", 0)  # more blocks than may be broadcast
+    s.add(spark.createDataFrame([(1, "wa wb"), (1, "wa wb wc"), (2, "wa")], SCHEMA))
+    docs |= {1: "wa wb wc", 2: "wa"}
+    assert found(s, q, 4) == plain(docs, queries, 4)
+    assert {(r.id, len(r.terms)) for r in s.documents().collect()} == {(i, len(set(x.split()))) for i, x in docs.items()}
+
+
+def test_texts_of_ids_that_do_not_repeat_are_not_shuffled(spark, tmp_path):
+    spark.createDataFrame([(i, "wa") for i in range(50)], "id long, text string").write.parquet(f"{tmp_path}/d")
+    once = store._one_an_id(spark.read.parquet(f"{tmp_path}/d"))
+    assert "Exchange" not in once._jdf.queryExecution().executedPlan().toString()
+    twice = spark.read.parquet(f"{tmp_path}/d").union(spark.createDataFrame([(3, "wa wb"), (3, "wc wb")], "id long, text string"))
+    got = {(r.id, r.text) for r in store._one_an_id(twice).collect()}
+    assert got == {(i, "wc wb" if i == 3 else "wa") for i in range(50)}
