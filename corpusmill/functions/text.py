@@ -22,6 +22,7 @@ SECTION_NO = f"(?:{CFR_SECTION}|{USC_SECTION})"
 SECTION_KEY = rf"^(\d+ (?:CFR|U\.S\.C\.) § {SECTION_NO})"
 CHAPTER_KEY = r"^(USCIS PM Vol \S+, Pt \S+, Ch \S+?)(?:,|$)"
 TOKENS_PER_WORD = 1.33
+SPACE = " \t\n\x0b\f\r"
 
 # Question openers that point back, volatile topics, first-person hints.
 OPENERS = ("what if", "and ", "but ", "so ", "then ", "what about", "how about", "why ", "no ", "yes ", "it ", "that ", "they ", "he ", "she ", "ok", "okay")
@@ -42,7 +43,7 @@ ENTITIES = {"nbsp": " ", "quot": '"', "apos": "'", "lt": "<", "gt": ">", "copy":
 
 def words(c: Column) -> Column:
     # one regex pass: the ends are trimmed without one
-    t = F.btrim(c, F.lit(" \t\n\x0b\f\r"))
+    t = F.btrim(c, F.lit(SPACE))
     return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, r"\s+"))
 
 
@@ -50,6 +51,17 @@ def n_words(c: Column) -> Column:
     return F.size(words(c)).cast("long")
 
 
+def at_least_words(c: Column, n: int) -> Column:
+    """``n_words(c) >= n`` for n over 1; a text is split no further than that."""
+    return F.size(F.split(F.btrim(c, F.lit(SPACE)), r"\s+", n)) >= n
+
+
+def last_words(c: Column, n: int) -> Column:
+    """The last n words, space-joined. The text is split from its end, no further than that."""
+    backwards = F.split(F.reverse(F.btrim(c, F.lit(SPACE))), r"\s+", n + 1)
+    return F.reverse(F.array_join(F.slice(backwards, 1, n), " "))
+
+
 def n_tokens(c: Column) -> Column:
     """Estimated model tokens: words times 1.33, rounded down."""
     return F.floor(n_words(c) * F.lit(TOKENS_PER_WORD)).cast("long")

@@ -8,7 +8,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
-from itertools import accumulate, groupby
+from itertools import accumulate, count, groupby
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -19,6 +19,8 @@ from corpusmill.functions import text as T
 # Budgets in estimated tokens, and the bounds of the enumerated split.
 BUDGET, MANUAL_BUDGET, OVERLAP, HARD_SPLIT = 700, 330, 80, 1.6
 ENUM_ITEMS, ENUM_TOKENS, STEM_WORDS = 4, 400, 120
+#: The fewest words that are so many tokens.
+ENUM_WORDS = next(n for n in count() if int(n * T.TOKENS_PER_WORD) >= ENUM_TOKENS)
 
 
 def tokens(s: str) -> int:
@@ -47,22 +49,25 @@ def stem_and_items(piece: Column) -> Column:
     of the stem, and embedded alone.
     """
     pair = lambda served, embedded: F.struct(served.alias("served"), embedded.alias("embedded"))
+    # a lambda binds what is used more than once: without it a value is made anew for each use
+    let = lambda value, of: F.get(F.transform(F.array(value), of), 0)
 
-    def split(x: Column) -> Column:
-        stem = F.regexp_replace(F.get(x, 0), r"\s+$", "")
-        first = F.regexp_extract(stem, r"^([^\n]*)", 1)
+    def lead(stem: Column, first: Column) -> Column:
         cites = first.contains("§") | first.contains("SEC.")
-        words = T.words(F.when(cites, F.regexp_replace(stem, r"^[^\n]*\n?", "")).otherwise(stem))
-        lead = F.trim(F.concat_ws(" ", F.when(cites, first), F.array_join(F.slice(words, F.greatest(F.size(words) - STEM_WORDS, F.lit(0)) + 1, F.lit(STEM_WORDS)), " ")))
-        items = F.transform(F.slice(x, F.lit(2), F.size(x)), lambda i: F.regexp_replace(i, r"^\s+|\s+$", ""))
-        enumerated_ = (F.size(items) >= ENUM_ITEMS) & (T.n_tokens(piece) >= ENUM_TOKENS) & (stem != "")
-        # the lead is bound by a lambda, so that it is made once and not for every item
-        served = F.get(F.transform(F.array(lead), lambda l: F.transform(items, lambda i: pair(F.concat_ws(" ", l, i), i))), 0)
-        return F.when(enumerated_, F.concat(F.array(pair(stem, stem)), served)).otherwise(F.array(pair(piece, piece)))
+        body = F.when(cites, F.substr(stem, F.length(first) + 2)).otherwise(stem)
+        last = T.last_words(body, STEM_WORDS)
+        return F.trim(F.concat_ws(" ", F.when(cites, first), last))
+
+    def split(x: Column) -> Column:
+        items = F.slice(x, F.lit(2), F.size(x))
+        served = lambda l: F.transform(items, lambda i: let(F.btrim(i, F.lit(T.SPACE)), lambda i: pair(F.concat_ws(" ", l, i), i)))
+        apart = lambda stem: F.concat(F.array(pair(stem, stem)), let(let(F.substring_index(stem, "\n", 1), lambda f: lead(stem, f)), served))
+        enough = (F.size(x) > ENUM_ITEMS) & T.at_least_words(piece, ENUM_WORDS)
+        whole = F.array(pair(piece, piece))
+        return F.when(enough, let(F.rtrim(F.get(x, 0), F.lit(T.SPACE)), lambda stem: F.when(stem != "", apart(stem)).otherwise(whole))).otherwise(whole)
 
-    # most pieces have no bracket and are not split; a lambda binds the split text once
-    parts = F.get(F.transform(F.array(F.split(piece, f"(?={T.ENUM_ITEM})")), split), 0)
-    return F.when(piece.contains("("), parts).otherwise(F.array(pair(piece, piece)))
+    # most pieces have no bracket and are not split
+    return F.when(piece.contains("("), let(F.split(piece, f"(?={T.ENUM_ITEM})"), split)).otherwise(F.array(pair(piece, piece)))
 
 
 def pieces(paragraphs: list[str], budget: int = BUDGET, overlap: int = OVERLAP) -> list[str]:
@@ -72,11 +77,13 @@ def pieces(paragraphs: list[str], budget: int = BUDGET, overlap: int = OVERLAP)
     order of the text (a deliberate difference from engines that emit the oversized
     paragraph first).
     """
+    if sum((len(p) + 1) // 2 * T.TOKENS_PER_WORD for p in paragraphs) <= budget:  # a word and its space are two characters at least
+        return [p for p in [" ".join(paragraphs)] if p.strip()]
     out: list[str] = []
-    for big, run in groupby(paragraphs, lambda p: tokens(p) > HARD_SPLIT * budget):
-        groups = [re.split(T.SENTENCE, p) for p in run] if big else [list(run)]
+    for big, run in groupby([(p, tokens(p)) for p in paragraphs], lambda p: p[1] > HARD_SPLIT * budget):
+        groups = [[(u, tokens(u)) for u in re.split(T.SENTENCE, p)] for p, _ in run] if big else [list(run)]
         for units in groups:
-            out += [" ".join(units[lo:hi]) for lo, hi in _fitting([tokens(u) for u in units], budget, 0 if big else overlap)]
+            out += [" ".join(u for u, _ in units[lo:hi]) for lo, hi in _fitting([n for _, n in units], budget, 0 if big else overlap)]
     return [p for p in out if p.strip()]
 
 
@@ -95,6 +102,7 @@ def packed(docs: DataFrame, id_col: str = "doc_id", paragraphs: str = "paragraph
 
     schema = ", ".join(["id long", *(f"`{c}` string" for c in carry), "pieces array<string>"])
     x = docs.select(F.col(id_col).cast("long").alias("id"), *[F.col(c).cast("string").alias(c) for c in carry], F.col(paragraphs).alias("ps"))
-    x = x.mapInArrow(run, schema).withColumn("pairs", F.flatten(F.transform("pieces", stem_and_items)))
-    x = x.select("id", *[F.col(f"`{c}`") for c in carry], F.posexplode("pairs").alias("piece", "p"))
+    x = x.mapInArrow(run, schema).where(F.size("pieces") > 0).withColumn("pairs", F.flatten(F.transform("pieces", stem_and_items)))
+    # no piece is without pairs; a plain posexplode would make them twice, the first time to look for empty arrays
+    x = x.select("id", *[F.col(f"`{c}`") for c in carry], F.posexplode_outer("pairs").alias("piece", "p"))
     return x.select("id", *[F.col(f"`{c}`") for c in carry], "piece", F.col("p.served").alias("text"), F.when(F.col("p.embedded") == F.col("p.served"), "").otherwise(F.col("p.embedded")).alias("embed_text"))

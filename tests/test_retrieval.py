@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
 from corpusmill.operators import index, retrieve, terminology
+from corpusmill.operators.packing_text import packed
 from corpusmill.operators.packing_text import pieces as pieces_of
 from corpusmill.operators.packing_text import stem_and_items, tokens
 
@@ -276,3 +277,19 @@ def test_best_of_each_task_equal_the_best_of_all_scores(spark, docs, tmp_path, m
     monkeypatch.setattr(index, "BROADCAST_ROWS", 1)
     assert rows(index.bm25_best(whole, q, 4)) == want and rows(index.bm25_best_indexed(stored, q, 4)) == want
     assert index.bm25_best(whole.limit(0), q, 4).count() == 0
+
+
+def test_a_split_makes_its_pairs_once(spark):
+    docs = spark.createDataFrame([(1, ["one (i) piece"]), (2, []), (3, None), (4, [" "])], "doc_id long, paragraphs array<string>")
+    got = packed(docs)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("flatten(") == 1
+    assert [(r.id, r.piece, r.text, r.embed_text) for r in got.collect()] == [(1, 0, "one (i) piece", "")]
+
+
+def test_words_are_counted_and_taken_from_the_ends_as_split_has_them(spark):
+    texts = ["", "  ", "a", " a\tb\n", "a\x0bb c d", "é ü x  ß\r\n", "w " * 50]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    for n in (2, 3, 50, 51):
+        for r in rows.select("t", T.words(F.col("t")).alias("w"), T.at_least_words(F.col("t"), n).alias("many"), T.last_words(F.col("t"), n).alias("last")).collect():
+            assert r.many == (len(r.w) >= n) and r.last == " ".join(r.w[-n:]), (n, r.t)
