@@ -74,7 +74,8 @@ def too_many_questions(answers: DataFrame) -> DataFrame:
 
 def reading(c: Column) -> Column:
     """A text as a reader sees it: entities decoded, white space collapsed."""
-    return T.clean(F.replace(T.unescape(c), F.lit(" "), F.lit(" ")))
+    decoded = F.when(c.contains("&"), T.unescape(c)).otherwise(c)  # most texts have no entity
+    return T.clean(F.replace(decoded, F.lit(" "), F.lit(" ")))
 
 
 def wanted(sentence: Column) -> Column:
@@ -86,6 +87,41 @@ KEY_WORDS = 4
 
 
 def _standing(quotes: DataFrame, sources: DataFrame) -> DataFrame:
+    """(id, point, part, cited, want, source, clean, folded): every quote in sources that hold it, among
+    them the first in order.
+
+    Quotes that were counted to be few form an automaton, which passes once over each text;
+    of the sources it finds, the first of each quote is read again for its wording. More
+    quotes meet the sources by keys (``_standing_keyed``).
+    """
+    wants = cut(quotes.where("want is not null").select(F.col("want").alias("quote_id"), F.col("want").alias("quote")).distinct())
+    if wants.limit(SHORT_BLOCK + 1).count() > SHORT_BLOCK:
+        return _standing_keyed(quotes, sources)
+    texts = sources.select(F.struct("id", "source").alias("source_id"), T.fold(reading(F.col("text"))).alias("text"))
+    hits = short_in(wants, texts).select("source_id.id", "source_id.source", F.col("quote_id").alias("want"))
+    hits = hits.join(small_or_shuffled(quotes), ["id", "want"])
+    first = hits.groupBy("id", "point", "part").agg(F.min_by(F.struct("cited", "want", F.col("source").alias("_source")), _order()).alias("f"))
+    first = cut(first.select("id", "point", "part", "f.*"))
+    return _read_again(first, sources)
+
+
+def _order() -> Column:
+    """The cited source is tried first, then the others in order."""
+    return F.struct((F.col("source") != F.col("cited")).cast("int"), "source")
+
+
+def _read(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("clean", reading(F.col("text"))).withColumn("folded", T.fold(F.col("clean"))).drop("text")
+
+
+def _read_again(pairs: DataFrame, sources: DataFrame) -> DataFrame:
+    """The texts of ``pairs`` (id, _source, point, part, cited, want), where they hold what is wanted."""
+    text = sources.select(F.col("id").alias("_id"), "source", "text")
+    near = text.join(small_or_shuffled(pairs), (F.col("_id") == F.col("id")) & F.col("source").eqNullSafe(F.col("_source")))
+    return _read(near).select("id", "point", "part", "cited", "want", "source", "clean", "folded").where(F.col("folded").contains(F.col("want")))
+
+
+def _standing_keyed(quotes: DataFrame, sources: DataFrame) -> DataFrame:
     """(id, point, part, cited, want, source, clean, folded): every quote in every source that holds it.
 
     The first and last word of a quote may be parts of longer words; those between them
@@ -98,26 +134,23 @@ def _standing(quotes: DataFrame, sources: DataFrame) -> DataFrame:
     quotes = quotes.withColumn("n", n).withColumn("key", F.array_join(F.slice(w, F.lit(2), n), " "))
     sizes = [r.n for r in quotes.select("n").distinct().collect()]  # five at most
 
-    def read(rows: DataFrame) -> DataFrame:
-        return rows.withColumn("clean", reading(F.col("text"))).withColumn("folded", T.fold(F.col("clean"))).drop("text")
-
     def windows(w: Column, k: int) -> Column:
         at = F.when(F.size(w) >= k, F.sequence(F.lit(0), F.size(w) - k))
         return F.coalesce(F.transform(at, lambda i: F.concat_ws(" ", *[F.get(w, i + j) for j in range(k)])), F.array().cast("array<string>"))
 
     columns = ["id", "point", "part", "cited", "want", "source", "clean", "folded"]
-    found = read(quotes.where("n = 0").join(sources, "id")) if 0 in sizes else None
+    found = _read(quotes.where("n = 0").join(sources, "id")).select(columns).where(F.col("folded").contains(F.col("want"))) if 0 in sizes else None
     if keyed := [k for k in sizes if k]:
         # the words are bound by a lambda, so that a text is read and split once and not for every window
         keys = F.transform(F.array(F.split("folded", " ")), lambda w: F.concat(*[windows(w, k) for k in keyed]))
-        grams = read(sources).select("id", "source", F.explode(F.flatten(keys)).alias("key"))
+        # a plain explode would make the keys twice, the first time to look for empty arrays
+        grams = _read(sources).select("id", "source", F.explode_outer(F.flatten(keys)).alias("key"))
         pairs = cut(grams.join(small_or_shuffled(quotes.where("n > 0")), ["id", "key"]).select("id", F.col("source").alias("_source"), "point", "part", "cited", "want").distinct())
-        text = sources.select(F.col("id").alias("_id"), "source", "text")
-        near = text.join(small_or_shuffled(pairs), (F.col("_id") == F.col("id")) & F.col("source").eqNullSafe(F.col("_source")))
-        found = read(near).select(columns) if found is None else read(near).select(columns).unionByName(found.select(columns))
+        near = _read_again(pairs, sources)
+        found = near if found is None else near.unionByName(found)
     if found is None:
-        found = read(quotes.join(sources, "id")).select(columns)
-    return found.where(F.col("folded").contains(F.col("want")))
+        found = _read(quotes.join(sources, "id")).select(columns).where(F.col("folded").contains(F.col("want")))
+    return found
 
 
 def containing(quotes: DataFrame, sources: DataFrame) -> DataFrame:
@@ -217,7 +250,7 @@ def check_quotes(points: DataFrame, sources: DataFrame) -> DataFrame:
     s = s.withColumn("want", wanted(F.col("sentence")))
     hit = _standing(s.where(F.length("want") >= MIN_QUOTE).select("id", "point", "part", "cited", "want"), sources.select("id", "source", "text"))
     own = F.substring("clean", F.expr("locate(want, folded)"), F.length("want"))
-    best = hit.groupBy("id", "point", "part").agg(F.min_by(F.struct("source", own.alias("quote")), F.struct((F.col("source") != F.col("cited")).cast("int"), "source")).alias("b"))
+    best = hit.groupBy("id", "point", "part").agg(F.min_by(F.struct("source", own.alias("quote")), _order()).alias("b"))
     x = s.join(best, ["id", "point", "part"], "left")
     return x.select("id", "point", "part", "cited", F.col("b.source").alias("source"), F.coalesce("b.quote", "sentence").alias("quote"), F.when(F.col("part") == 0, F.col("applies")).otherwise("").alias("applies"), F.coalesce(F.col("b.source") != F.col("cited"), F.lit(False)).alias("moved"), F.col("b").isNotNull().alias("kept"))
 

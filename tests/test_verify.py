@@ -2,7 +2,9 @@
 
 import datetime as dt
 import json
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
@@ -306,3 +308,24 @@ def test_blocks_of_claims_and_sentences_equal_plain_overlaps(spark, monkeypatch)
         monkeypatch.setattr(overlap, "BLOCK_BYTES", size)
         got = {r.claim: r.ratio for r in verify.support_in_any(c, s).collect()}
         assert got == {k: n / len(x) for k, (n, x) in enumerate(zip(want, claims))}
+
+
+def test_few_quotes_pass_once_over_texts_and_many_meet_them_by_keys(spark, monkeypatch):
+    rng = random.Random(9)
+    words = ["alpha", "beta", "gamma", "“Delta”", "eps&amp;", "zeta;", "Eta.", "theta "]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 60))) for _ in range(60)] + [None, ""]
+    rows = [(i % 2, None if i == 7 else i % 40, t) for i, t in enumerate(texts)]  # sources repeat
+    points = []
+    for p in range(40):
+        t = (rng.choice(texts) or "nothing of the kind stands here") if p % 4 else "a quote that stands nowhere at all"
+        at = rng.randint(0, len(t) // 2)
+        points.append((rng.randint(0, 2), p, rng.randint(0, 40), t[at : at + rng.randint(20, 80)], "x"))
+    src = df(spark, rows, "id long, source int, text string")
+    pts = df(spark, points, "id long, point int, cited int, quote string, applies string")
+    columns = ["id", "point", "part", "cited", "source", "applies", "moved", "kept"]
+    with monkeypatch.context() as m:
+        m.setattr(verify, "_standing_keyed", lambda *_: pytest.fail("few quotes need no keys"))
+        few = sorted(map(str, verify.check_quotes(pts, src).select(columns).collect()))
+    monkeypatch.setattr(verify, "SHORT_BLOCK", 3)
+    many = sorted(map(str, verify.check_quotes(pts, src).select(columns).collect()))
+    assert few == many and sum("kept=True" in x for x in few) >= 5
