@@ -310,6 +310,53 @@ def test_blocks_of_claims_and_sentences_equal_plain_overlaps(spark, monkeypatch)
         assert got == {k: n / len(x) for k, (n, x) in enumerate(zip(want, claims))}
 
 
+def test_meeting_blocks_compares_little_whatever_it_takes_at_once(monkeypatch):
+    import random
+
+    import numpy as np
+
+    from corpusmill.operators import overlap
+
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(4000)]
+    draw = lambda n: list(dict.fromkeys(words[min(3999, int(rng.paretovariate(0.35)))] for _ in range(n)))
+    sentences, claims = [draw(rng.randint(2, 30)) for _ in range(4000)], [draw(rng.randint(1, 90)) for _ in range(80)] + [["nowhere"]]
+    want = [max(len(set(c) & set(s)) for s in sentences) for c in claims]
+    (_, sizes, codes, vocabulary), (_, c_sizes, c_codes, c_words) = next(overlap._blocked(enumerate(sentences), 10**9)), next(overlap._blocked(enumerate(claims), 10**9))
+    side, c = overlap.SentenceSide(np.array(sizes), np.array(codes), vocabulary), (np.array(c_sizes), np.array(c_codes), c_words)
+    moved, within = [], overlap._within
+
+    def counted(starts, n):
+        moved.append(int(n.sum()))
+        return within(starts, n)
+
+    monkeypatch.setattr(overlap, "_within", counted)
+    side.meet(*c, np.array(want))  # bounds that nothing exceeds
+    assert sum(moved) < 150_000  # 380,901 when one word of the reach led to a comparison
+    for together, entries in ((4, 1 << 18), (4, 50), (1, 300), (9, 1)):
+        monkeypatch.setattr(overlap, "TOGETHER", together)
+        monkeypatch.setattr(overlap, "ENTRIES", entries)
+        for start in (np.zeros(81, np.int64), np.maximum(np.array(want) - 2, 0), np.array(want) // 2):
+            side.meet(*c, start)
+            assert start.tolist() == want
+        best = np.zeros(81, np.int64)
+        side.count(*c, best)
+        assert best.tolist() == want
+
+
+def test_blocks_of_equal_codes_and_other_words_are_two_blocks(spark, monkeypatch):
+    from corpusmill.operators import overlap
+
+    monkeypatch.setattr(verify, "FEW_CLAIMS", 1)
+    monkeypatch.setattr(overlap, "SENTENCE_WORDS", 3)
+    monkeypatch.setattr(overlap, "LONGEST", 1)
+    monkeypatch.setattr(overlap, "spread", lambda rows: rows.coalesce(1))
+    names = "alpha beta gamma delta omega sigma kappa lambda theta".split()
+    texts = [" ".join(names[k : k + 3]).capitalize() for k in (0, 3, 6)]
+    c, s = df(spark, list(enumerate(texts)), "claim long, text string"), df(spark, [(". ".join(texts),)] * 40, "text string")
+    assert {r.claim: r.ratio for r in verify.support_in_any(c, s).collect()} == {0: 1.0, 1: 1.0, 2: 1.0}
+
+
 def test_few_quotes_pass_once_over_texts_and_many_meet_them_by_keys(spark, monkeypatch):
     rng = random.Random(9)
     words = ["alpha", "beta", "gamma", "“Delta”", "eps&amp;", "zeta;", "Eta.", "theta "]
