@@ -67,6 +67,38 @@ def test_copies_of_a_document_tie_and_rank_by_id(spark):
     assert [r.id for r in ranked] == [i for i, _ in rows if i % len(texts) == best][:96]
 
 
+@pytest.fixture(scope="module")
+def copies(spark, tmp_path_factory):
+    """Tables in which each matching document has many copies, read by Spark and by DuckDB on one thread."""
+    import duckdb
+
+    from corpusmill.plans import queries_retrieval
+
+    rng, path = random.Random(2), tmp_path_factory.mktemp("copies")
+    words = queries_retrieval.QUESTION.split()
+    texts = [" ".join(rng.choices(words, k=rng.randint(4, 12)) + ["filler"] * k) for k in range(8)] + ["nothing", "filler"]
+    rows = [(i, texts[i % len(texts)], "en", f"src{i % 97}") for i in range(1500)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(9).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(0, 1500, 2)], "doc_id long, toxic int").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame([(100_000 + i if i else 0, [float(i % 7), 1.0]) for i in range(90)], "vec_id long, embedding array<float>").write.parquet(f"{path}/embeddings.parquet")
+    con = duckdb.connect(config={"threads": 1})
+    for t in ("documents", "labels", "embeddings"):
+        con.execute(f"create view {t} as select * from '{path}/{t}.parquet/*.parquet'")
+    return str(path), con
+
+
+def _as_sql(spark, copies, name):
+    import __spark_entry__ as entry
+
+    got = entry.queries()[name](spark, copies[0])
+    want = copies[1].sql(f"select {', '.join(got.columns)} from ({entry.oracle_sql()[name]})").fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want) and want
+
+
+def test_tier_weighted_rank_of_copies_is_that_of_sql(spark, copies):
+    _as_sql(spark, copies, "tier_weighted_rank")
+
+
 def test_empty_corpus(spark):
     d = spark.createDataFrame([], "doc_id long, text string")
     s = index.build(d).corpus_stats.first()
