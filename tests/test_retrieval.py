@@ -99,6 +99,10 @@ def test_tier_weighted_rank_of_copies_is_that_of_sql(spark, copies):
     _as_sql(spark, copies, "tier_weighted_rank")
 
 
+def test_usable_limit_of_copies_is_that_of_sql(spark, copies):
+    _as_sql(spark, copies, "usable_limit")
+
+
 def test_empty_corpus(spark):
     d = spark.createDataFrame([], "doc_id long, text string")
     s = index.build(d).corpus_stats.first()
